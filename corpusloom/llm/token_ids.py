@@ -22,16 +22,18 @@ class TokenIds:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.kept: dict[str, bytes] = {}
-        # The byte-level alphabet, read off the pre-tokenizer: which character stands for each byte.
+        self.alphabet = self.byte_alphabet()
+
+    @staticmethod
+    def byte_alphabet() -> dict[int, str]:
+        """Which character stands for each byte, read off the library's byte-level pre-tokenizer."""
         from tokenizers.pre_tokenizers import ByteLevel
 
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        low = [level.pre_tokenize_str(chr(b))[0][0] for b in range(128)]
-        high = {}
-        for c in range(128, 0x3000):
-            for b, ch in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True):
-                high[b] = ch
-        self.alphabet = {b: low[b] for b in range(128)} | high
+        found = {}
+        for c in [*range(128), *range(128, 0x3000), *range(0x3000, 0xD800, 0x40), *range(0xE000, 0x110000, 0x1000)]:
+            found |= zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True)
+        return found
 
     def word(self, word: str) -> bytes:
         if not word.isascii():
