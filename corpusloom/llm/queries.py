@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, token_counts, token_store
+from corpusloom.llm import mixing, packing, secret_scan, token_counts, token_store
 from corpusloom.workdir import scratch_path
 
 
@@ -20,6 +20,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"), secret_scan.spans_text(every).alias("spans"), F.size("added").alias("n_owned"), "n_examples")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "shard")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
