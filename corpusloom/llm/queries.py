@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, mixing, packing, secret_scan, token_counts, token_store, toxicity
+from corpusloom.llm import language_id, mixing, packing, secret_scan, token_counts, token_store, toxicity, vector_dedup
 from corpusloom.workdir import scratch_path
 
 
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
