@@ -68,7 +68,7 @@ class Pretokenizer:
             kind = {1: LETTER, 2: SPACE, 3: NUMBER if two == 2 else OTHER}.get(n, ODD)
             self.cls[c], self.low[c] = kind, c if kind == SPACE else ord(low)
         rng = np.random.Generator(np.random.PCG64(20240607))
-        self.lanes = [_Lane(rng, TOP + 1) for _ in range(2)]
+        self.lanes = [Lane(rng, TOP + 1) for _ in range(2)]
         self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def odd(self, text: str) -> bool:
@@ -125,7 +125,7 @@ class Pretokenizer:
             done |= hit
 
 
-class _Lane:
+class Lane:
     """A 64-bit hash of stretches of an array: sum of by_char[c] * base**place, brought to place 0."""
 
     def __init__(self, rng: np.random.Generator, n: int) -> None:
