@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, mixing, ngram_join, packing, secret_scan, token_counts, token_store, toxicity, vector_dedup
+from corpusloom.llm import language_id, mixing, ngram_join, packing, quality_rules, secret_scan, token_counts, token_store, toxicity, vector_dedup
 from corpusloom.workdir import scratch_path
 
 
@@ -39,6 +39,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
