@@ -154,17 +154,20 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     Shards are written in order, and rows of a shard in the order of their place.
     """
     seed = options.get("seed", SEED)
-    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "shard", "place", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.dropDuplicates(["_id", "_mark"])
-    mark = F.xxhash64(F.lit(seed), docs.doc_id, F.xxhash64(docs.text))
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_id")) & (mark == F.col("_mark")))
-    lengths = F.expr("transform(sequence(1L, (_taken + _size - 1) div _size), k -> least(_size, _taken - (k - 1) * _size))")
-    copies = joined.withColumn("_words", F.explode(lengths))
-    cut = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("_words")))
-    out = copies.withColumn("text", cut)
+    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("of"), F.col("mark").alias("at"), "shard", "place", "size", "taken")
+    taken = taken.dropDuplicates(["of", "at"])
+    # the input's columns travel as one, so that none can clash with ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("mark"))
+    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("at")))
+    lengths = F.expr("transform(sequence(1L, (taken + size - 1) div size), k -> least(size, taken - (k - 1) * size))")
+    copies = joined.withColumn("words", F.explode(lengths))
+    whole = F.col("words") == F.col("size")
+    text = F.when(whole, F.col("row.text")).otherwise(first_words(F.col("row.text"), F.col("words")))
+    dealt = copies.withColumn("text", text).repartition("shard").sortWithinPartitions("shard", "place", "words")
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartition(F.col("shard")).sortWithinPartitions("shard", "place", "_words").select(*docs.columns)
+        changed["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return dealt.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -12,7 +12,7 @@ shingle sets.  A tile gives each of its classes one row at most, so no pairs are
 With 25 bands of 5 values a pair of similarity 0.8 meets with probability 1 - 5e-5, a more similar one
 nearly surely; nothing caps buckets or partners.  Words are runs without ASCII white space, as they are;
 a text of fewer than five words is one shingle.  Null texts and texts without words link with nothing
-and are their own class.  Rows that repeat an identifier are one node.  Very long texts take part with all
+and are their own class, and so are rows without an identifier.  Rows that repeat an identifier are one node.  Very long texts take part with all
 their shingles.  An empty table gives no rows; other columns are ignored.
 """
 
@@ -258,8 +258,8 @@ def link(docs: DataFrame) -> DataFrame:
     ``class_id`` is the least identifier reachable by links, ``n_links`` how many other rows are linked
     directly, and ``kept`` marks the row whose identifier is the class's.
     """
-    signed = materialize(sign(docs), "signatures")
-    grouped = signed.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("sig").alias("sig"))
+    signed = materialize(sign(docs), "signatures").withColumn("able", F.expr("mark is not null and doc_id is not null"))
+    grouped = signed.where("able").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("sig").alias("sig"))
     classes = materialize(grouped, "classes")
     entries = bucket_entries(classes)
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
@@ -277,6 +277,6 @@ def link(docs: DataFrame) -> DataFrame:
     others = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = classes.select("mark", "rep", "times").join(others, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("mark", F.coalesce("component", "rep").alias("class_id"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = signed.where("mark is not null").select("doc_id", "mark").join(named, "mark").select("doc_id", "class_id", "n_links")
-    alone = signed.where("mark is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    out = signed.where("able").select("doc_id", "mark").join(named, "mark").select("doc_id", "class_id", "n_links")
+    alone = signed.where("not able").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -11,8 +11,8 @@ coordinates.  Pairs within rounding of the cosine are decided by the vectors as
 Equal vectors are compared once, with how often they occur.  A tile gives each of its vectors one row
 at most: how many it is linked to and the least vector it is joined with there; so a group of near
 copies costs comparisons but no rows by pair.  Vectors of different lengths link with nothing of the
-other length.  Vectors that are null or empty, zero, or hold null or non-finite components link with
-nothing.  Rows that repeat are vectors of their own.  An empty table gives no rows.
+other length.  Vectors that are null or empty, zero, hold null or non-finite components, or have no
+identifier link with nothing.  Rows that repeat are vectors of their own.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -228,7 +228,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_RO
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    good = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
+    good = "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     rows = rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
     # negative zeros equal zeros
     rows = rows.withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + F.lit(0.0))))
@@ -254,4 +254,4 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_RO
     named = grouped.select("v", "rep").join(facts, "rep").drop("rep")
     single = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = rows.where("good").join(named, "v").select("vec_id", "n_links", "component_id").union(single)
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
