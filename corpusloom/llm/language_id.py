@@ -33,7 +33,7 @@ WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDED = 16, 8
 #: Labelled windows of each language that training takes, in expectation; no more than twice that in all.
 PER_LANGUAGE = 800
-EPOCHS, BATCH, RATE = 14, 64, 4e-3
+EPOCHS, LEAST_STEPS, BATCH, RATE = 14, 600, 64, 4e-3
 #: Windows whose filter answers are held at a time.
 WINDOWS_AT_A_TIME = 512
 
@@ -101,7 +101,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     params[0][0] = 0  # padding
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(windows)))):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             take = order[at : at + BATCH]
