@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom import model
 from corpusloom.operators import maintenance, threads
 from corpusloom.sources.agents import get, tool_line
-from corpusloom.sources.files import plain_path
+from corpusloom.sources.files import metadata_path
 
 # File names of exports and what they are.
 PERSONAL = ("user.json", "users.json", "login_history.json")
@@ -46,7 +46,7 @@ def date_of(value: Column) -> Column:
 
 def json_files(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
     """((path, v) of valid files, (path) of files that hold no JSON)."""
-    raw = spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("path"), F.try_parse_json("value").alias("v"))
+    raw = spark.read.text(paths, wholetext=True).select(metadata_path().alias("path"), F.try_parse_json("value").alias("v"))
     return raw.where("v is not null"), raw.where("v is null").select("path")
 
 
@@ -112,7 +112,7 @@ def flat_messages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     tools = F.transform(F.filter(blocks, lambda b: get(b, "type") == "tool_use"), lambda b: tool_line(b, EXPORT_SALIENT))
     nodes = nodes.select("conv", F.coalesce(get(m, "uuid"), F.concat(F.lit("#"), F.col("i").cast("string"))).alias("node"), get(m, "parent_message_uuid").alias("parent"), F.coalesce(get(m, "created_at"), F.lit("")).alias("at"), get(m, "sender").alias("role"), prose.alias("prose"), F.array_join(tools, "\n").alias("reasoning"))
     held = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("ok"))
-    nodes = nodes.join(held, ["conv", "parent"], "left").withColumn("parent", F.when("ok", F.col("parent"))).drop("ok")
+    nodes = nodes.join(held, ["conv", "parent"], "left").withColumn("parent", F.when(F.col("ok"), F.col("parent"))).drop("ok")
     heads = nodes.groupBy("conv").agg(F.max_by("node", F.struct("at", "node")).alias("head"))
     return last.drop("messages").join(heads, "conv"), nodes
 

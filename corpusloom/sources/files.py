@@ -40,7 +40,7 @@ def load_config(text: str) -> Config:
 
 def globs(names: tuple[str, ...]) -> str:
     """One pattern for shell globs over a whole name; none match nothing."""
-    return "|".join(f"(?:{translate(n)})" for n in names).replace(r"\Z", "$").replace(r"\z", "$") or r"(?!)"
+    return "|".join(f"^(?:{translate(n)})" for n in names).replace(r"\Z", "$").replace(r"\z", "$") or r"(?!)"
 
 
 def admitted(rel: Column, path: Column, config: Config, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
@@ -60,7 +60,12 @@ def admitted(rel: Column, path: Column, config: Config, suffixes: tuple[str, ...
 
 
 def plain_path(column: Column) -> Column:
-    return F.url_decode(F.regexp_replace(column, r"^file:/*", "/"))
+    return F.regexp_replace(column, r"^file:/*", "/")
+
+
+def metadata_path() -> Column:
+    """The path of a row's file; the metadata column has it percent-encoded."""
+    return F.url_decode(F.replace(plain_path(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
 
 
 def read_tree(spark: SparkSession, root: str, label: str, config: Config, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
@@ -81,5 +86,5 @@ def read_tree(spark: SparkSession, root: str, label: str, config: Config, suffix
 def lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, seq, value) of every line; ``seq`` sorts the lines of a file."""
     raw = spark.read.text(paths)
-    raw = raw.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"), "value")
+    raw = raw.select(metadata_path().alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"), "value")
     return raw.where("trim(value) <> ''")

@@ -92,10 +92,10 @@ def alias_table(index: DataFrame, config_aliases: dict[str, str] | None = None)
     cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     rows = rows.where(F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+$")).withColumn("c", cells)
     ticked = lambda c: F.regexp_extract_all(c, F.lit("`([^`]+)`"), 1)
-    families = rows.where(F.col("section").contains("famil") & (F.size("c") >= 3)).select(F.try_element_at(ticked(F.col("c")[1]), F.lit(1)).alias("canonical"), F.explode(ticked(F.col("c")[2])).alias("alias")).where("canonical is not null")
+    families = rows.where(F.col("section").contains("famil") & (F.size("c") >= 3)).select(F.try_element_at(ticked(F.get("c", F.lit(1))), F.lit(1)).alias("canonical"), F.explode(ticked(F.get("c", F.lit(2)))).alias("alias")).where("canonical is not null")
     clean = lambda c: F.trim(F.regexp_replace(c, r"[`*\[\]]|\(.*?\)", ""))
-    projects = rows.where(F.col("section").contains("project") & (F.size("c") >= 5)).select(clean(F.col("c")[0]).alias("canonical"), F.explode(F.split(F.element_at("c", -1), "[,;]")).alias("a")).select("canonical", clean(F.col("a")).alias("alias"))
-    names = rows.where(F.col("section").contains("project")).select(clean(F.col("c")[0]).alias("canonical")).select("canonical", F.col("canonical").alias("alias"))
+    projects = rows.where(F.col("section").contains("project") & (F.size("c") >= 5)).select(clean(F.get("c", F.lit(0))).alias("canonical"), F.explode(F.split(F.element_at("c", -1), "[,;]")).alias("a")).select("canonical", clean(F.col("a")).alias("alias"))
+    names = rows.where(F.col("section").contains("project")).select(clean(F.get("c", F.lit(0))).alias("canonical")).select("canonical", F.col("canonical").alias("alias"))
     every = families.select("alias", "canonical").withColumn("rank", F.lit(2)).union(projects.select("alias", "canonical").withColumn("rank", F.lit(3))).union(names.select("alias", "canonical").withColumn("rank", F.lit(4)))
     if config_aliases:
         every = every.union(spark.createDataFrame([(a, c, 1) for a, c in config_aliases.items()], "alias string, canonical string, rank int"))
