@@ -31,8 +31,9 @@ from corpusloom.llm.arrow_rows import batch, slices, small_batches
 
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 THRESHOLD = 0.7
-#: A lexicon term is in so many toxic sample texts at least, with this log odds ratio against others.
-LEAST_TEXTS, LEAST_ODDS = 3, 2.5
+#: A lexicon term is in so many toxic sample texts at least and in this share of them, with this log odds
+#: ratio against others; copies of one text would else make its rare words terms.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.006, 2.5
 #: Word beginnings of these lengths are terms too, so that inflected forms count.
 STEMS = (4, 5, 6)
 NEAR = 5
@@ -59,7 +60,8 @@ def terms(words: Iterable[str]) -> set[str]:
 def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
     """Terms with their log odds ratio; terms of few toxic texts stay out."""
     held = Counter(t for text, y in zip(texts, toxic, strict=True) if y for t in terms(WORD.findall(text.lower())))
-    held = {t: n for t, n in held.items() if n >= LEAST_TEXTS}
+    least = max(LEAST_TEXTS, LEAST_SHARE * toxic.sum())
+    held = {t: n for t, n in held.items() if n >= least}
     other = Counter(t for text, y in zip(texts, toxic, strict=True) if not y for t in terms(WORD.findall(text.lower())) if t in held)
     n_toxic, n_other = int(toxic.sum()), int(len(toxic) - toxic.sum())
     odds = {t: math.log((n + 0.5) / (n_toxic + 1)) - math.log((other[t] + 0.5) / (n_other + 1)) for t, n in held.items()}
