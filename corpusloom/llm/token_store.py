@@ -37,7 +37,7 @@ MAGIC = b"CLSSTAB1"
 TOKENIZER = "word_bpe_49k.json"
 DOCUMENT_END = 1
 BLOCK_BYTES = 64 * 1024
-SHARD_BYTES = 4 * 1024 * 1024
+SHARD_BYTES = 32 * 1024 * 1024
 FILTER_BITS, FILTER_HASHES = 10, 7
 ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<9sQIIQ")

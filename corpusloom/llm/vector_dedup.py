@@ -169,6 +169,21 @@ def compare_tiles(rows: DataFrame, dim: int, turn: np.ndarray, cosine: float) ->
     return dealt.mapInArrow(run, "rep long, n long, least long")
 
 
+def blocked(placed: DataFrame, cuts: np.ndarray, first: np.ndarray, many: np.ndarray) -> DataFrame:
+    """``placed`` with the block of each row: by its first coordinate between ``cuts``, then by a hash."""
+    names = placed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lead = b.column("lead")
+            along = np.searchsorted(cuts, np.asarray(lead.flatten())[:: len(lead[0])] if len(lead) else [])
+            x = b.column("rep").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            block = first[along] + ((x >> np.uint64(33)) % many[along].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int32())], [*names, "block"])
+
+    return placed.mapInArrow(run, "rep long, times long, raw binary, lead array<double>, tail double, block int")
+
+
 def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int) -> DataFrame:
     """(rep, n, least) over all tiles; ``distinct`` has rep, times, raw."""
     spark = distinct.sparkSession
@@ -190,17 +205,11 @@ def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int) -> Dat
     if wanted > 1:
         asked = [k / wanted for k in range(1, wanted)]
         cuts = sorted(set(placed.agg(F.percentile_approx(placed.lead[0], asked, max(10_000, 20 * wanted))).first()[0]))
-    along = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("lead")[0])) if cuts else F.lit(0)
     # equal first coordinates can overfill a block, which a hash then splits
-    placed = placed.withColumn("along", along)
-    counts = {r[0]: r[1] for r in placed.groupBy("along").count().collect()}
-    many = {k: -(-n // block_rows) if n > 1.5 * block_rows else 1 for k, n in counts.items()}
-    first, at = {}, 0
-    for k in sorted(many):
-        first[k], at = at, at + many[k]
-    number = F.create_map(*(x for k in many for x in (F.lit(k), F.array(F.lit(first[k]), F.lit(many[k])))))
-    number = F.element_at(number, F.col("along"))
-    placed = placed.withColumn("block", number[0] + F.pmod(F.xxhash64("rep"), number[1]).cast("int"))
+    held = blocked(placed, np.array(cuts), np.arange(len(cuts) + 1), np.ones(len(cuts) + 1, np.int64))
+    counts = {r[0]: r[1] for r in held.groupBy("block").count().collect()}
+    many = np.array([-(-n // block_rows) if (n := counts.get(k, 0)) > 1.5 * block_rows else 1 for k in range(len(cuts) + 1)])
+    placed = blocked(placed, np.array(cuts), np.cumsum(many) - many, many)
     bounds = [F.min(placed.lead[i]) for i in range(lead)] + [F.max(placed.lead[i]) for i in range(lead)]
     stats = {r[0]: np.array(r[1:]) for r in placed.groupBy("block").agg(*bounds, F.max("tail")).collect()}
     tiles = pairs_of_blocks(stats, lead, cosine)
