@@ -59,6 +59,23 @@ def admitted(rel: Column, path: Column, config: Config, suffixes: tuple[str, ...
     return ends & ~F.exists(dirs, lambda d: d.rlike(globs(config.exclude_dirs))) & ~name.rlike(globs(config.exclude_files)) & ~banned
 
 
+def admit(path: Column, config: Config, banned_roots: tuple[str, ...] = (), suffixes: tuple[str, ...] = TEXT_SUFFIXES) -> Column:
+    """Whether a path may be shown: inside a root, in no banned one, and admitted below that root.
+
+    Paths that climb are refused; links are the business of whoever opens the file.
+    """
+    clean = F.regexp_replace(path, r"/(?:\./)*/*", "/")
+    below = lambda root: clean.startswith(root.rstrip("/") + "/")
+    rel = F.lit(None).cast("string")
+    for root in reversed(list(config.roots.values())):
+        rel = F.when(below(root), F.substr(clean, F.lit(len(root.rstrip("/")) + 2))).otherwise(rel)
+    banned = F.lit(False)
+    for root in banned_roots:
+        banned = banned | below(root)
+    climbs = F.array_contains(F.split(clean, "/"), "..")
+    return F.coalesce(rel.isNotNull() & ~banned & ~climbs & admitted(rel, clean, config, suffixes), F.lit(False))
+
+
 def plain_path(column: Column) -> Column:
     return F.regexp_replace(column, r"^file:/*", "/")
 

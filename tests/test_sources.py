@@ -40,6 +40,13 @@ def test_tree(spark, tmp_path):
     assert got["alpha/docs/a.md"].project == "alpha" and got["alpha/docs/a.md"].size == 8 and not got["alpha/docs/a.md"].encoding_fallback
 
 
+def test_admission(spark):
+    cfg = files.Config(roots={"r": "/r"}, exclude_dirs=("node_modules",), exclude_files=(".env*",), never_index=("/r/never",))
+    paths = ["/r/a/b.md", "/r//a/./b.txt", "/r/a/../../etc/x.md", "/x/a.md", "/r/node_modules/a.md", "/r/.env.md", "/r/never/a.md", "/r/private/a.md", "/r/a.py", "/r"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
+    assert [r.i for r in df.where(files.admit(F.col("path"), cfg, ("/r/private",))).orderBy("i").collect()] == [0, 1]
+
+
 def test_config():
     cfg = files.load_config("source_roots:\n  - {path: /a/projects}\n  - {path: /b/x}\n  - /c/x\nexclude_dirs: [node_modules]\nhistorical_aliases: {old: new}\n")
     assert cfg.roots == {"a-projects": "/a/projects", "x": "/b/x", "c-x": "/c/x"} and cfg.aliases == {"old": "new"}
