@@ -40,11 +40,10 @@ NEAR = 5
 TREES, DEPTH, RATE, BINS, L2 = 60, 3, 0.15, 32, 1.0
 
 WORD = re.compile(r"[^\W\d_]+")
-#: A letter, then a digit or sign that stands in for one, then a letter.
-MASKED = re.compile(r"[^\s]*[^\W\d_][0-9@$!*+.|_-]+[^\W\d_][^\s]*")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
-CAPITAL = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
-MARKS = re.compile(r"[^\w\s]")
+#: A letter, then digits or signs that may stand for letters, then a letter.
+MASKED = re.compile(r"[^\W\d_][0-9@$!*+.|_-]+[^\W\d_]")
+#: Words whose weights a worker keeps; beyond it the store starts anew.  It bounds memory, not results.
+KEPT_WORDS = 400_000
 # What signs stand for, and pronouns of the second person.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tus usted ustedes vosotros".split())
@@ -68,36 +67,68 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
     return {t: w for t, w in odds.items() if w >= LEAST_ODDS}
 
 
+def kinds_of_characters() -> np.ndarray:
+    """For each UTF-16 unit: 1 for a capital, 2 for a mark, 4 for a letter; astral characters count as one mark."""
+    out = np.zeros(65536, np.uint8)
+    for c in range(65536):
+        ch = chr(c)
+        if ch.isalpha():
+            out[c] = 4 + ch.isupper()
+        elif 0xD800 <= c < 0xDC00 or not (ch.isalnum() or ch.isspace() or ch == "_" or 0xDC00 <= c < 0xE000):
+            out[c] = 2
+    return out
+
+
+def rates(text: str, low: str, kinds: np.ndarray) -> tuple[int, int, int]:
+    """How many capitals, marks and letters that follow two of their kind."""
+    kind = kinds[np.frombuffer(text.encode("utf-16-le"), np.uint16)]
+    small = np.frombuffer(low.encode("utf-16-le"), np.uint16)
+    same = small[1:] == small[:-1]
+    tripled = np.flatnonzero(same[1:] & same[:-1]) if len(small) > 2 else np.empty(0, np.int64)
+    return int((kind & 1).sum()), int((kind == 2).sum()), int((kinds[small[tripled]] >= 4).sum())
+
+
 class Lexicon:
     def __init__(self, weights: dict[str, float]) -> None:
         self.words = {t: w for t, w in weights.items() if not t.endswith("-")}
         self.stems = {n: {t[:-1]: w for t, w in weights.items() if t.endswith("-") and len(t) == n + 1} for n in STEMS}
+        self.kinds = kinds_of_characters()
+        self.kept: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
-        return max(self.words.get(word, 0.0), *(self.stems[n].get(word[:n], 0.0) if len(word) >= n else 0.0 for n in STEMS))
+        found = self.kept.get(word)
+        if found is None:
+            found = max(self.words.get(word, 0.0), *(self.stems[n].get(word[:n], 0.0) if len(word) >= n else 0.0 for n in STEMS))
+            self.kept[word] = found
+        return found
 
     def features(self, text: str | None) -> list[float]:
         if not text:
             return [0.0] * len(FEATURES)
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
         low = text.lower()
         words = WORD.findall(low)
         n = len(words)
         if not n:
             return [0.0] * len(FEATURES)
-        distinct = set(words)
-        known = {w: x for w in distinct if (x := self.weight(w))}
-        at = [i for i, w in enumerate(words) if w in known] if known else []
-        weights = [known[words[i]] for i in at]
-        near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
-        you = sum(words.count(w) for w in SECOND_PERSON & distinct)
-        masked = MASKED.findall(low)
-        undone = ["".join(WORD.findall(m.translate(STANDS_FOR))) for m in masked]
-        chars = len(text)
+        weights = [x for x in map(self.weight, words) if x]
+        near = you = 0
+        distinct = SECOND_PERSON.intersection(words)
+        if distinct:
+            you = sum(words.count(w) for w in distinct)
+            if weights:
+                at = [i for i, w in enumerate(words) if self.kept[w]]
+                near = sum(not distinct.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
+        masked = [t for t in low.split() if not t.isalpha() and MASKED.search(t)]
+        undone = ["".join(WORD.findall(t.translate(STANDS_FOR))) for t in masked]
+        capitals, marks, repeated = rates(text, low, self.kinds)
+        chars, hits = len(text), len(weights)
         return [
-            100 * len(at) / n, math.log1p(len(at)), max(weights, default=0.0), math.log1p(sum(weights)), 100 * sum(weights) / n,
-            math.log1p(near), near / len(at) if at else 0.0, 100 * you / n,
-            len(CAPITAL.findall(text)) / chars, 100 * text.count("!") / chars, 100 * len(MARKS.findall(text)) / chars,
-            100 * len(REPEATED.findall(low)) / n, 100 * len(masked) / n, float(sum(self.weight(w) > 0 for w in undone)), math.log1p(n),
+            100 * hits / n, math.log1p(hits), max(weights, default=0.0), math.log1p(sum(weights)), 100 * sum(weights) / n,
+            math.log1p(near), near / hits if hits else 0.0, 100 * you / n,
+            capitals / chars, 100 * text.count("!") / chars, 100 * marks / chars,
+            100 * repeated / n, 100 * len(masked) / n, float(sum(self.weight(w) > 0 for w in undone)), math.log1p(n),
         ]
 
 
