@@ -33,7 +33,7 @@ class Policy:
 
 
 def exact_policy(filters: Filters) -> Policy:
-    """Both legs always scoped; pools as for the reference's filters."""
+    """Both legs always scoped; pools by what is filtered."""
     pool = model.POOL_BROAD if filters.active() and filters.projects is None else model.POOL_PROJECT
     return Policy(pool, model.POOL_GLOBAL, True, not filters.skips_vectors())
 
