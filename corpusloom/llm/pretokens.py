@@ -21,7 +21,7 @@ TOP = 0x2060
 #: Code points whose normal form and case do not depend on their neighbours.
 PLAIN = [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0x80, 0x250), *range(0x400, 0x460), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]
 #: Characters held in arrays at a time; about 60 bytes of memory each.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 500_000
 #: In ASCII, what the classes leave out.
 CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Contractions that are pre-tokens of their own when an apostrophe begins them.

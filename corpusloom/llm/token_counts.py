@@ -28,7 +28,7 @@ from corpusloom.llm.token_ids import TokenIds
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Pre-tokens whose counts a worker keeps; beyond it the store starts anew.  It bounds memory, not results.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 NEVER = np.iinfo(np.int32).max
 
 

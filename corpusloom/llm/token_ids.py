@@ -9,7 +9,7 @@ import numpy as np
 from corpusloom.llm.pretokens import Pretokenizer, chunks, load_tokenizer
 
 #: Pre-tokens whose ids a worker keeps; beyond it the store starts anew.  It bounds memory, not results.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 
 
 class TokenIds:
