@@ -12,7 +12,8 @@ Mahalanobis distance exceeds ``CUTOFF``.
 
 Groups are aggregates, combined before the shuffle; a group with a third of all rows is no larger
 there than any other.  Null languages and sources are groups of their own.  Groups with fewer than
-``LEAST_ROWS`` passing rows are judged by the base rules alone.  Null and empty texts have no words and fail
+``LEAST_ROWS`` passing rows are judged by the estimate of all rows of their language, and languages with
+fewer by that of all rows, so every row that passes the base rules has a distance.  Null and empty texts have no words and fail
 the base rules.  Texts of any length are counted whole; repeated rows get equal verdicts.  An
 empty table gives no rows; other columns of the input are ignored.
 """
@@ -87,7 +88,7 @@ def factored(groups: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             root = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}")
             groups = groups.withColumn(f"l{i}{j}", root)
-    return groups.select("g_lang", "g_source", "n", *(f"m{i}" for i in range(n)), *(f"l{i}{j}" for i in range(n) for j in range(i + 1)))
+    return groups.select("key", "n", *(f"m{i}" for i in range(n)), *(f"l{i}{j}" for i in range(n) for j in range(i + 1)))
 
 
 def distance() -> Column:
@@ -101,50 +102,58 @@ def distance() -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
-def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
+def levels(rows: DataFrame) -> DataFrame:
+    """(g_lang, g_source, own, feeds) of each group: the key of the estimate that judges it, and of those its rows enter."""
+    sizes = materialize(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), "groups")
+    langs = sizes.groupBy(F.col("lang").alias("g_lang")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    held = sizes.join(langs, F.col("lang").eqNullSafe(F.col("g_lang"))).crossJoin(langs.agg(F.min("n_lang").alias("least_lang")))
+    # a null name leaves its field out, so it differs from every other name
+    keys = [F.to_json(F.struct(F.lit(k).alias("level"), *names)) for k, names in enumerate((("lang", "source"), ("lang",), ()))]
+    own = F.when(F.col("n") >= LEAST_ROWS, keys[0]).when(F.col("n_lang") >= LEAST_ROWS, keys[1]).otherwise(keys[2])
+    needed = (F.col("n") >= LEAST_ROWS, (F.col("n_lang") >= LEAST_ROWS) & (F.col("least") < LEAST_ROWS), F.col("least_lang") < LEAST_ROWS)
+    feeds = F.array_compact(F.array(*(F.when(c, k) for c, k in zip(needed, keys, strict=True))))
+    return materialize(held.select("g_lang", F.col("source").alias("g_source"), own.alias("own"), feeds.alias("feeds")), "groups")
 
 
-def grouped(rows: DataFrame):
-    return rows.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"))
+def with_level(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), how)
 
 
 def moments(rows: DataFrame) -> DataFrame:
     n = len(STATISTICS)
     means = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)]
     pairs = [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c{i}{j}") for i in range(n) for j in range(i + 1)]
-    return grouped(rows).agg(F.count("*").alias("n"), *means, *pairs)
+    return rows.groupBy("key").agg(F.count("*").alias("n"), *means, *pairs)
 
 
 def start(rows: DataFrame) -> DataFrame:
     """Medians, and squared normalised interquartile ranges as a diagonal covariance."""
     n = len(STATISTICS)
     quarters = [F.percentile_approx(s, [0.25, 0.5, 0.75], ACCURACY).alias(f"q{i}") for i, s in enumerate(STATISTICS)]
-    out = grouped(rows).agg(F.count("*").alias("n"), *quarters)
+    out = rows.groupBy("key").agg(F.count("*").alias("n"), *quarters)
     means = {f"m{i}": F.col(f"q{i}")[1] for i in range(n)}
     spread = {f"c{i}{j}": F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0) for i in range(n) for j in range(i + 1)}
     return out.withColumns(means | spread)
 
 
 def robust(rows: DataFrame) -> DataFrame:
-    """The estimate of each group: location, root of the covariance, and the scale of distances."""
-    now = materialize(factored(start(rows)).where(F.col("n") >= LEAST_ROWS), "groups")
+    """The estimate of each key: location, root of the covariance, and the scale of distances."""
+    now = materialize(factored(start(rows)), "groups")
     for _ in range(STEPS):
-        far = with_group(rows, now).withColumn("d", distance())
-        near = materialize(far.groupBy("g_lang", "g_source").agg(F.percentile_approx("d", NEAREST, ACCURACY).alias("q")), "groups")
-        limits = now.join(near, now.g_lang.eqNullSafe(near.g_lang) & now.g_source.eqNullSafe(near.g_source)).select(*(now[c] for c in now.columns), "q")
-        now = materialize(factored(moments(with_group(rows, limits).withColumn("d", distance()).where("d <= q"))), "groups")
-    middle = with_group(rows, now).withColumn("d", distance()).groupBy("g_lang", "g_source").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("q"))
-    middle = materialize(middle, "groups")
-    return now.join(middle, now.g_lang.eqNullSafe(middle.g_lang) & now.g_source.eqNullSafe(middle.g_source)).select(*(now[c] for c in now.columns), F.greatest(F.lit(1.0), F.col("q") / MEDIAN).alias("scale"))
+        far = rows.join(now, "key").withColumn("d", distance())
+        near = materialize(far.groupBy("key").agg(F.percentile_approx("d", NEAREST, ACCURACY).alias("q")), "groups")
+        now = materialize(factored(moments(rows.join(now.join(near, "key"), "key").withColumn("d", distance()).where("d <= q"))), "groups")
+    middle = rows.join(now, "key").withColumn("d", distance()).groupBy("key").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("q"))
+    return now.join(materialize(middle, "groups"), "key").withColumn("scale", F.greatest(F.lit(1.0), F.col("q") / MEDIAN)).drop("q")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """(doc_id, counts, base_failed, distance, kept) of every row; distance is null where none was measured."""
+    """(doc_id, counts, base_failed, distance, kept) of every row; distance is null where the base rules fail."""
     rows = materialize(statistics(counts(docs)), "quality")
-    groups = robust(rows.where("not base_failed"))
-    joined = rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    far = F.when(~F.col("base_failed"), distance() / F.col("scale"))
-    out = joined.withColumn("distance", far)
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+    passed = rows.where("not base_failed")
+    groups = levels(passed)
+    fed = materialize(with_level(passed, groups).select(F.explode("feeds").alias("key"), *STATISTICS), "quality")
+    joined = with_level(rows, groups, "left").join(robust(fed), F.col("own") == F.col("key"), "left")
+    out = joined.withColumn("distance", F.when(~F.col("base_failed"), distance() / F.col("scale")))
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

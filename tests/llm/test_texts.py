@@ -167,6 +167,17 @@ def test_quality(spark, sf):
     assert quality_rules.judge(odd_rows.empty(spark)).count() == 0
 
 
+def test_quality_of_small_groups(spark):
+    junk = "#$% " * 60 + odd_rows.prose(90, 5)
+    rows = [(k, odd_rows.prose(80 + k, k), "en", f"s{k % 20}", 1) for k in range(120)] + [(900, junk, "en", "s3", 1), (901, junk, "xx", None, 1), (902, odd_rows.prose(90, 7), "xx", "", 1)]
+    by = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()}
+    assert len(by) == len(rows) and all(r.distance is not None for r in by.values() if not r.base_failed)
+    assert not by[900].base_failed and not by[900].kept and not by[901].base_failed and not by[901].kept and by[902].kept
+    assert np.mean([by[k].kept for k in range(120)]) > 0.97
+    few = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows[:1], odd_rows.SCHEMA)).collect()}
+    assert few[0].kept and few[0].distance is not None
+
+
 def test_language(spark):
     got = queries.op9_language_id(spark, MID).join(spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
