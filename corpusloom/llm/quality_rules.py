@@ -4,8 +4,10 @@ Everything is DataFrame functions.  Each text gives counts in one pass over its
 carry numbers only from then on.  Texts that pass the base rules are described by four transformed
 statistics (logarithm of the mean word length; square roots of symbols by character, of repeated lines
 by line and of words in repeated triples by word).  For each language and source the minimum-covariance-
-determinant estimate starts at medians and interquartile ranges and takes concentration steps: the
-three quarters of rows that are nearest give the next mean and covariance.  The covariance has a floor on
+determinant estimate has two starts, medians with median deviations and with interquartile ranges.  From each it
+takes concentration steps, in which the half of the rows that is nearest gives the next mean and covariance, until
+the determinant settles; the core of least determinant counts, so that junk must hold about half of a group
+to move the estimate.  The rows within ``INNER`` of that core give the last mean and covariance.  The covariance has a floor on
 its diagonal, so that statistics that hardly vary in clean text don't reject small deviations, and is
 scaled so that the median distance is that of a normal sample (it is never shrunk).  A text is rejected when its squared
 Mahalanobis distance exceeds ``CUTOFF``.
@@ -20,6 +22,8 @@ empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +37,13 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 STATISTICS = ("word_length", "symbols", "dup_lines", "repeats")
 #: Standard deviations that a statistic is taken to have at least.
 FLOORS = (0.06, 0.05, 0.12, 0.10)
-NEAREST, STEPS, LEAST_ROWS = 0.75, 3, 50
+NEAREST, LEAST_ROWS = 0.5, 50
+#: A core has settled when its determinant's logarithm falls by no more than this; floors bound it from below.
+SETTLED = 1e-3
 #: Squared distance of the outermost one in 10**7 of a normal sample in four dimensions, and its median.
 CUTOFF, MEDIAN = 38.2, 3.357
+#: Squared distance within which a row counts in the last estimate: that of 97.5 % of a normal sample.
+INNER = 11.143
 ACCURACY = 2000
 
 
@@ -79,7 +87,7 @@ def statistics(counted: DataFrame) -> DataFrame:
 
 
 def factored(groups: DataFrame) -> DataFrame:
-    """Means m0.. and the lower triangle l00.. of the covariance's root, from m0.. and c00..; floors added."""
+    """Means m0.., the lower triangle l00.. of the covariance's root and its size (log determinant), from m0.. and c00..; floors added."""
     n = len(STATISTICS)
     for i in range(n):
         for j in range(i + 1):
@@ -88,7 +96,8 @@ def factored(groups: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             root = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}")
             groups = groups.withColumn(f"l{i}{j}", root)
-    return groups.select("key", "n", *(f"m{i}" for i in range(n)), *(f"l{i}{j}" for i in range(n) for j in range(i + 1)))
+    groups = groups.withColumn("size", 2 * sum((F.log(f"l{i}{i}") for i in range(1, n)), F.log("l00")))
+    return groups.select("key", "start", "size", *(f"m{i}" for i in range(n)), *(f"l{i}{j}" for i in range(n) for j in range(i + 1)))
 
 
 def distance() -> Column:
@@ -123,28 +132,44 @@ def moments(rows: DataFrame) -> DataFrame:
     n = len(STATISTICS)
     means = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)]
     pairs = [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c{i}{j}") for i in range(n) for j in range(i + 1)]
-    return rows.groupBy("key").agg(F.count("*").alias("n"), *means, *pairs)
+    return rows.groupBy("key", "start").agg(*means, *pairs)
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Medians, and squared normalised interquartile ranges as a diagonal covariance."""
+def starts(rows: DataFrame) -> DataFrame:
+    """Medians, with squared normalised median deviations and interquartile ranges as diagonal covariances."""
     n = len(STATISTICS)
     quarters = [F.percentile_approx(s, [0.25, 0.5, 0.75], ACCURACY).alias(f"q{i}") for i, s in enumerate(STATISTICS)]
-    out = rows.groupBy("key").agg(F.count("*").alias("n"), *quarters)
+    middle = materialize(rows.groupBy("key").agg(*quarters), "groups")
+    off = [F.percentile_approx(F.abs(F.col(s) - F.col(f"q{i}")[1]), 0.5, ACCURACY).alias(f"a{i}") for i, s in enumerate(STATISTICS)]
+    held = materialize(middle.join(rows.join(middle, "key").groupBy("key").agg(*off), "key"), "groups")
+    wide = ([1.4826 * F.col(f"a{i}") for i in range(n)], [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(n)])
     means = {f"m{i}": F.col(f"q{i}")[1] for i in range(n)}
-    spread = {f"c{i}{j}": F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0) for i in range(n) for j in range(i + 1)}
-    return out.withColumns(means | spread)
+    out = [held.withColumns({"start": F.lit(k)} | means | {f"c{i}{j}": F.pow(w[i], 2) if i == j else F.lit(0.0) for i in range(n) for j in range(i + 1)}) for k, w in enumerate(wide)]
+    return factored(out[0].unionByName(out[1]))
+
+
+def scaled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` with the scale that makes the median distance of ``rows`` that of a normal sample, 1 at least."""
+    middle = rows.join(groups, "key").withColumn("d", distance()).groupBy("key").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("q"))
+    return groups.join(materialize(middle, "groups"), "key").withColumn("scale", F.greatest(F.lit(1.0), F.col("q") / MEDIAN)).drop("q")
 
 
 def robust(rows: DataFrame) -> DataFrame:
     """The estimate of each key: location, root of the covariance, and the scale of distances."""
-    now = materialize(factored(start(rows)), "groups")
-    for _ in range(STEPS):
+    now, cores = materialize(starts(rows).withColumn("size", F.lit(math.inf)), "groups"), None
+    while not now.isEmpty():
         far = rows.join(now, "key").withColumn("d", distance())
-        near = materialize(far.groupBy("key").agg(F.percentile_approx("d", NEAREST, ACCURACY).alias("q")), "groups")
-        now = materialize(factored(moments(rows.join(now.join(near, "key"), "key").withColumn("d", distance()).where("d <= q"))), "groups")
-    middle = rows.join(now, "key").withColumn("d", distance()).groupBy("key").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("q"))
-    return now.join(materialize(middle, "groups"), "key").withColumn("scale", F.greatest(F.lit(1.0), F.col("q") / MEDIAN)).drop("q")
+        near = materialize(far.groupBy("key", "start").agg(F.percentile_approx("d", NEAREST, ACCURACY).alias("q")), "groups")
+        core = factored(moments(rows.join(now.join(near, ["key", "start"]), "key").withColumn("d", distance()).where("d <= q")))
+        core = materialize(core.join(now.select("key", "start", F.col("size").alias("before")), ["key", "start"]), "groups")
+        cores = core if cores is None else cores.union(core)
+        now = core.where(F.col("before") - F.col("size") > SETTLED).drop("before")
+    if cores is None:
+        return now.withColumn("scale", F.lit(1.0))
+    least = cores.groupBy("key").agg(F.min_by(F.struct(*(c for c in cores.columns if c != "key")), F.struct("size", "start")).alias("core"))
+    best = scaled(rows, materialize(least.select("key", "core.*"), "groups"))
+    inner = rows.join(best, "key").withColumn("d", distance() / F.col("scale")).where(F.col("d") <= INNER)
+    return scaled(inner.select("key", *STATISTICS), materialize(factored(moments(inner)), "groups"))
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

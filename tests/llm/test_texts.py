@@ -178,6 +178,15 @@ def test_quality_of_small_groups(spark):
     assert few[0].kept and few[0].distance is not None
 
 
+@pytest.mark.parametrize("junk", [35, 40])
+def test_quality_with_many_copies_of_junk(spark, junk):
+    text = "#$% " * 60 + odd_rows.prose(90, 5)
+    rows = [(k, text if k < junk else odd_rows.prose(80 + k, k), "en", "big", 1) for k in range(100)]
+    by = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()}
+    assert not any(by[k].base_failed or by[k].kept for k in range(junk))
+    assert np.mean([by[k].kept for k in range(junk, 100)]) > 0.97
+
+
 def test_language(spark):
     got = queries.op9_language_id(spark, MID).join(spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
