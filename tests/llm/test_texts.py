@@ -76,6 +76,13 @@ def test_redaction_of_odd_rows(spark):
     assert secret_scan.scan(odd_rows.empty(spark)).count() == 0
 
 
+def test_redaction_without_identifiers(spark):
+    texts = ["password=hunter2hunter2 a", "password=hunter2hunter2 a", "no secret", "token: abcdefgh12345 b", None]
+    rows = [(i, t, "en", "s", 1) for i in (None, 7) for t in texts]
+    got = Counter((r.doc_id, r.text) for r in secret_scan.redact(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect())
+    assert got == Counter((i, t) for i in (None, 7) for t in ["[SECRET] a", "[SECRET] a", "no secret", "[SECRET] b", None])
+
+
 def plain_targets(sizes):
     names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
