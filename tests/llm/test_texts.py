@@ -62,6 +62,13 @@ def test_ownership_tells_examples_from_owned(spark):
     assert clean[10] == "my [SECRET] value" and clean[0] == rows[0][1]
 
 
+@pytest.mark.parametrize("places", [2, 3])
+def test_copies_of_a_document_keep_its_credential(spark, places):
+    rows = [(i, "my Mn1Bv2Cx3Zl4Kj5Hg6Fd7S value" + " again" * i, "en", f"src{i}", 1) for i in range(places)]
+    got = secret_scan.scan(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()
+    assert all(len(r.added) == 1 and r.n_examples == 0 for r in got)
+
+
 def test_redaction_of_odd_rows(spark):
     docs = odd_rows.docs(spark)
     out = secret_scan.redact(docs)
