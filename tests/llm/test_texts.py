@@ -69,6 +69,17 @@ def test_copies_of_a_document_keep_its_credential(spark, places):
     assert all(len(r.added) == 1 and r.n_examples == 0 for r in got)
 
 
+def test_random_keys_are_candidates():
+    rng = np.random.default_rng(3)
+    for signs, n in [("0123456789abcdef", 20), ("0123456789abcdef", 31), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 40)]:
+        keys = ["".join(rng.choice(list(signs), n)) for _ in range(1000)]
+        assert np.mean([len(secret_scan.candidates(f"a {k} b", [])) == 1 for k in keys]) >= 0.98, (signs, n)
+    path = "/".join(["example", "documents", "archive"] * 4)
+    key = "Mn1Bv2Cx3Zl4Kj5Hg6Fd7S"
+    assert [(a, z) for a, z, _ in secret_scan.candidates(f"{path}/{key}", [])] == [(len(path) + 1, len(path) + 1 + len(key))]
+    assert not secret_scan.candidates("internationalization " + path + " InternationalizationSupportModule " + "=" * 40 + "a1" + "-" * 40, [])
+
+
 def test_redaction_of_odd_rows(spark):
     docs = odd_rows.docs(spark)
     out = secret_scan.redact(docs)
