@@ -12,6 +12,10 @@ its diagonal, so that statistics that hardly vary in clean text don't reject sma
 scaled so that the median distance is that of a normal sample (it is never shrunk).  A text is rejected when its squared
 Mahalanobis distance exceeds ``CUTOFF``.
 
+Estimates are made from cells: rows of a group whose statistics fall on the same point of a grid of 1 / ``GRID``, so that a value
+moves by a fortieth of the least floor at most.  Every row counts, and a step costs as much as there are cells, whatever the number
+of rows.  Distances of rows are from their own statistics.
+
 Groups are aggregates, combined before the shuffle; a group with a third of all rows is no larger
 there than any other.  Null languages and sources are groups of their own.  Groups with fewer than
 ``LEAST_ROWS`` passing rows are judged by the estimate of all rows of their language, and languages with
@@ -44,7 +48,8 @@ SETTLED = 1e-3
 CUTOFF, MEDIAN = 38.2, 3.357
 #: Squared distance within which a row counts in the last estimate: that of 97.5 % of a normal sample.
 INNER = 11.143
-ACCURACY = 2000
+#: Points of a statistic's grid by unit, and of a distance's logarithm, from which quantiles are taken.
+GRID, SPOTS = 400, 256
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -128,48 +133,64 @@ def with_level(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFr
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), how)
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    n = len(STATISTICS)
-    means = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)]
-    pairs = [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c{i}{j}") for i in range(n) for j in range(i + 1)]
-    return rows.groupBy("key", "start").agg(*means, *pairs)
+def cells(rows: DataFrame) -> DataFrame:
+    """(key, the statistics on their grid, n): how many rows of a key fall on each point."""
+    return rows.groupBy("key", *((F.round(F.col(s) * GRID) / GRID).alias(s) for s in STATISTICS)).agg(F.count("*").alias("n"))
+
+
+def moments(held: DataFrame) -> DataFrame:
+    """Means m0.. and covariances c00.. of the rows in the cells of each key and start."""
+    k = len(STATISTICS)
+    lower = [(i, j) for i in range(k) for j in range(i + 1)]
+    sums = [F.sum(F.col("n") * F.col(s)).alias(f"s{i}") for i, s in enumerate(STATISTICS)]
+    products = [F.sum(F.col("n") * F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"p{i}{j}") for i, j in lower]
+    added = held.groupBy("key", "start").agg(F.sum("n").alias("n"), *sums, *products)
+    means = added.select("*", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(k)))
+    return means.select("key", "start", *(f"m{i}" for i in range(k)), *((F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in lower))
 
 
-def starts(rows: DataFrame) -> DataFrame:
+def starts(held: DataFrame) -> DataFrame:
     """Medians, with squared normalised median deviations and interquartile ranges as diagonal covariances."""
-    n = len(STATISTICS)
-    quarters = [F.percentile_approx(s, [0.25, 0.5, 0.75], ACCURACY).alias(f"q{i}") for i, s in enumerate(STATISTICS)]
-    middle = materialize(rows.groupBy("key").agg(*quarters), "groups")
-    off = [F.percentile_approx(F.abs(F.col(s) - F.col(f"q{i}")[1]), 0.5, ACCURACY).alias(f"a{i}") for i, s in enumerate(STATISTICS)]
-    held = materialize(middle.join(rows.join(middle, "key").groupBy("key").agg(*off), "key"), "groups")
-    wide = ([1.4826 * F.col(f"a{i}") for i in range(n)], [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(n)])
-    means = {f"m{i}": F.col(f"q{i}")[1] for i in range(n)}
-    out = [held.withColumns({"start": F.lit(k)} | means | {f"c{i}{j}": F.pow(w[i], 2) if i == j else F.lit(0.0) for i in range(n) for j in range(i + 1)}) for k, w in enumerate(wide)]
+    k = len(STATISTICS)
+    # values lie on the grid, so a quantile's table of values is small
+    middle = held.groupBy("key").agg(*(F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"q{i}") for i, s in enumerate(STATISTICS)))
+    middle = materialize(middle, "groups")
+    off = [F.percentile(F.abs(F.col(s) - F.col(f"q{i}")[1]), 0.5, F.col("n")).alias(f"a{i}") for i, s in enumerate(STATISTICS)]
+    both = materialize(middle.join(held.join(middle, "key").groupBy("key").agg(*off), "key"), "groups")
+    wide = ([1.4826 * F.col(f"a{i}") for i in range(k)], [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(k)])
+    means = {f"m{i}": F.col(f"q{i}")[1] for i in range(k)}
+    out = [both.withColumns({"start": F.lit(at)} | means | {f"c{i}{j}": F.pow(w[i], 2) if i == j else F.lit(0.0) for i in range(k) for j in range(i + 1)}) for at, w in enumerate(wide)]
     return factored(out[0].unionByName(out[1]))
 
 
-def scaled(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``groups`` with the scale that makes the median distance of ``rows`` that of a normal sample, 1 at least."""
-    middle = rows.join(groups, "key").withColumn("d", distance()).groupBy("key").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("q"))
-    return groups.join(materialize(middle, "groups"), "key").withColumn("scale", F.greatest(F.lit(1.0), F.col("q") / MEDIAN)).drop("q")
+def spot() -> Column:
+    """The distance on its logarithmic grid."""
+    return F.round(SPOTS * F.log1p("d"))
+
+
+def scaled(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` with the scale that makes the median distance of the cells' rows that of a normal sample, 1 at least."""
+    middle = held.join(groups, "key").withColumn("d", distance()).groupBy("key").agg(F.percentile(spot(), 0.5, F.col("n")).alias("q"))
+    return materialize(groups.join(middle, "key").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("q") / SPOTS) / MEDIAN)).drop("q"), "groups")
 
 
-def robust(rows: DataFrame) -> DataFrame:
-    """The estimate of each key: location, root of the covariance, and the scale of distances."""
-    now, cores = materialize(starts(rows).withColumn("size", F.lit(math.inf)), "groups"), None
+def robust(held: DataFrame) -> DataFrame:
+    """The estimate of each key from its cells: location, root of the covariance, and the scale of distances."""
+    now, cores = materialize(starts(held).withColumn("size", F.lit(math.inf)), "groups"), None
     while not now.isEmpty():
-        far = rows.join(now, "key").withColumn("d", distance())
-        near = materialize(far.groupBy("key", "start").agg(F.percentile_approx("d", NEAREST, ACCURACY).alias("q")), "groups")
-        core = factored(moments(rows.join(now.join(near, ["key", "start"]), "key").withColumn("d", distance()).where("d <= q")))
-        core = materialize(core.join(now.select("key", "start", F.col("size").alias("before")), ["key", "start"]), "groups")
+        far = held.join(now, "key").select("key", "start", "n", F.col("size").alias("before"), *STATISTICS, distance().alias("d"))
+        near = far.groupBy("key", "start").agg(F.percentile(spot(), NEAREST, F.col("n")).alias("q"))
+        inside = far.join(near, ["key", "start"]).where(spot() <= F.col("q"))
+        core = factored(moments(inside)).join(now.select("key", "start", F.col("size").alias("before")), ["key", "start"])
+        core = materialize(core, "groups")
         cores = core if cores is None else cores.union(core)
         now = core.where(F.col("before") - F.col("size") > SETTLED).drop("before")
     if cores is None:
         return now.withColumn("scale", F.lit(1.0))
     least = cores.groupBy("key").agg(F.min_by(F.struct(*(c for c in cores.columns if c != "key")), F.struct("size", "start")).alias("core"))
-    best = scaled(rows, materialize(least.select("key", "core.*"), "groups"))
-    inner = rows.join(best, "key").withColumn("d", distance() / F.col("scale")).where(F.col("d") <= INNER)
-    return scaled(inner.select("key", *STATISTICS), materialize(factored(moments(inner)), "groups"))
+    best = scaled(held, least.select("key", "core.*"))
+    inner = held.join(best, "key").withColumn("d", distance() / F.col("scale")).where(F.col("d") <= INNER)
+    return scaled(inner.select("key", "n", *STATISTICS), factored(moments(inner)))
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -177,8 +198,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = materialize(statistics(counts(docs)), "quality")
     passed = rows.where("not base_failed")
     groups = levels(passed)
-    fed = materialize(with_level(passed, groups).select(F.explode("feeds").alias("key"), *STATISTICS), "quality")
-    joined = with_level(rows, groups, "left").join(robust(fed), F.col("own") == F.col("key"), "left")
+    held = materialize(cells(with_level(passed, groups).select(F.explode("feeds").alias("key"), *STATISTICS)), "cells")
+    joined = with_level(rows, groups, "left").join(robust(held), F.col("own") == F.col("key"), "left")
     out = joined.withColumn("distance", F.when(~F.col("base_failed"), distance() / F.col("scale")))
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
