@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.arrow_rows import batch, slices, small_batches
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals such as halves and Roman ones, which are none.
+WORDLIKE = re.compile(r"[^\W\d_]")
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDED = 16, 8
@@ -76,6 +77,11 @@ class Network:
         return out
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter of any script."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -165,7 +171,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> N
     drawn = usable.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < F.element_at(chance, F.col("lang")) * (1 << 30))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
     sample = drawn.select("doc_id", "lang", F.substring("text", start, F.lit(WINDOW)).alias("text")).limit(2 * per_language * len(counts)).collect()
-    sample = sorted((r for r in sample if LETTER.search(r["text"])), key=lambda r: (r["doc_id"], r["text"]))
+    sample = sorted((r for r in sample if has_letter(r["text"])), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample}, key=lambda s: s.encode())
@@ -201,7 +207,7 @@ def means(net: Network | None, texts: list[str | None], most: int = 4096) -> Ite
     held: list[tuple[int, np.ndarray]] = []
     size = 0
     for i, text in [*enumerate(texts), (-1, None)]:
-        if net and text and LETTER.search(text):
+        if net and text and has_letter(text):
             held.append((i, windows_of(text)))
             size += len(held[-1][1])
         if held and (i < 0 or size >= most):
