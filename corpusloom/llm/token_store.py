@@ -9,18 +9,21 @@ A shard is one file, written and read by Spark alone, so it lies in whatever sto
     footer      fixed length: where index and filter are, counts, shard order, checksum, magic
 
 Keys are a byte that tells null from not null and the identifier as 8 big-endian bytes with the sign
-turned, so byte order is identifier order, and neighbours share long prefixes.  A lookup tests the
-filter, bisects the index and opens one block.
+turned, so byte order is identifier order, and neighbours share long prefixes.  A shard lies in a folder whose
+name tells its place in the order, its first and last key, its entries and its tokens, so a listing of the
+folders is the manifest: ``start`` of every shard and the shards that could hold a key are known before
+a byte is read.  A lookup opens these alone, tests the filter, bisects the index and opens one block.
 
 Null texts count as empty and null identifiers sort first.  Rows that repeat an identifier are all kept,
-in order of their text's hash.  An empty table gives no shard, and reading that gives no rows.
+in order of their text's hash, and are dealt into shards by it, so a frequent identifier is spread.  An empty
+table gives no shard, and reading that gives no rows.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ TOKENIZER = "word_bpe_49k.json"
 DOCUMENT_END = 1
 BLOCK_BYTES = 64 * 1024
 SHARD_BYTES = 32 * 1024 * 1024
+#: A shard's folder is named so, with what ``Manifest`` reads.
+FOLDER = "shard"
 FILTER_BITS, FILTER_HASHES = 10, 7
 ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<9sQIIQ")
@@ -66,8 +71,9 @@ def filter_places(keys: list[bytes], bits: int) -> np.ndarray:
 
 
 class ShardWriter:
-    def __init__(self, width: int, part: int, number: int) -> None:
+    def __init__(self, width: int, part: int, number: int, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> None:
         self.width, self.part, self.number = width, part, number
+        self.shard_bytes, self.block_bytes = shard_bytes, block_bytes
         self.body, self.size = [MAGIC], len(MAGIC)
         self.index: list[bytes] = []
         self.keys: list[bytes] = []
@@ -86,7 +92,7 @@ class ShardWriter:
         self.block_size += len(ids) + 16
         self.last, self.count, self.tokens = key, self.count + 1, self.tokens + n
         self.keys.append(key)
-        if self.block_size >= BLOCK_BYTES:
+        if self.block_size >= self.block_bytes:
             self._end_block()
 
     def _end_block(self) -> None:
@@ -98,7 +104,11 @@ class ShardWriter:
         self._begin()
 
     def full(self) -> bool:
-        return self.size >= SHARD_BYTES
+        return self.size >= self.shard_bytes
+
+    def name(self) -> str:
+        """What the shard's folder tells; see ``Manifest``."""
+        return "-".join(["shard", str(self.part), str(self.number), self.keys[0].hex(), self.keys[-1].hex(), str(len(self.keys)), str(self.tokens)])
 
     def finish(self) -> bytes:
         self._end_block()
@@ -161,9 +171,32 @@ class Shard:
         return found
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int | None = DOCUMENT_END) -> None:
+class Manifest:
+    """The shards below a path in order of their keys, from the names of their folders."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        home = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = home.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(home)
+        names = [f.getPath().getName().removeprefix(f"{FOLDER}=") for f in found if f.isDirectory() and f.getPath().getName().startswith(f"{FOLDER}=")]
+        shards = sorted((int(part), int(number), bytes.fromhex(first), bytes.fromhex(last), int(tokens), name) for name in names for _, part, number, first, last, _, tokens in [name.split("-")])
+        self.names = [s[5] for s in shards]
+        self.first, self.last = [s[2] for s in shards], [s[3] for s in shards]
+        ends = np.cumsum([s[4] for s in shards], dtype=np.int64)
+        #: ids of all documents before a shard, by part and number
+        self.before = {(s[0], s[1]): int(e) - s[4] for s, e in zip(shards, ends, strict=True)}
+
+    def holding(self, keys: list[bytes]) -> list[str]:
+        """Names of the shards whose range holds one of the keys; ranges of neighbours may share a key."""
+        found = set()
+        for key in keys:
+            found |= set(range(bisect_left(self.last, key), bisect_right(self.first, key)))
+        return [self.names[i] for i in sorted(found)]
+
+
+def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int | None = DOCUMENT_END, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> None:
     """Write the shards of ``docs`` (doc_id, text) below ``path``."""
     small_batches(docs.sparkSession)
+    types = {FOLDER: pa.string(), "data": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = TokenIds(tokenizer)
@@ -171,51 +204,54 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
         part, number, shard = TaskContext.get().partitionId(), 0, None
         for b in slices(batches):
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), ids_of.of(b.column("text").to_pylist()), strict=True):
-                shard = shard or ShardWriter(ids_of.dtype.itemsize, part, number)
+                shard = shard or ShardWriter(ids_of.dtype.itemsize, part, number, shard_bytes, block_bytes)
                 shard.add(key_of(doc_id), ids.tobytes() + end)
                 if shard.full():
-                    yield batch({"shard": [shard.finish()]}, {"shard": pa.binary()})
+                    yield batch({FOLDER: [shard.name()], "data": [shard.finish()]}, types)
                     number, shard = number + 1, None
         if shard:
-            yield batch({"shard": [shard.finish()]}, {"shard": pa.binary()})
+            yield batch({FOLDER: [shard.name()], "data": [shard.finish()]}, types)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    shards = ordered.mapInArrow(run, "shard binary").select(F.col("shard").cast("string"))
-    shards.write.option("maxRecordsPerFile", 1).text(path)
+    mark = F.xxhash64("text")
+    # the text's hash and a row's number split what shares an identifier
+    ordered = docs.select("doc_id", "text", mark.alias("_mark"), F.monotonically_increasing_id().alias("_row")).repartitionByRange("doc_id", "_mark", "_row").sortWithinPartitions("doc_id", "_mark")
+    shards = ordered.select("doc_id", "text").mapInArrow(run, f"{FOLDER} string, data binary").withColumn("data", F.col("data").cast("string"))
+    shards.write.partitionBy(FOLDER).text(path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    """(content, shard) of every file; a condition on ``shard`` leaves the other files unread."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content", F.col(FOLDER).cast("string").alias(FOLDER))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of all shards; ids are little-endian, 4 bytes each.
 
-    ``start`` counts the ids of all documents before it.  One footer a file goes to the driver, which
-    already holds a file listing.
+    ``start`` counts the ids of all documents before it.  The driver holds a name for each shard, as it
+    holds a listing of files.
     """
-    # the writer's line feed makes the footer one byte longer
-    tails = files(spark, path).select(F.expr(f"substring(content, -{FOOTER.size + 1}, {FOOTER.size})")).collect()
-    totals = sorted((f[5], f[6], f[4]) for f in (FOOTER.unpack(t[0]) for t in tails))
-    bases, total = {}, 0
-    for part, number, tokens in totals:
-        bases[part, number], total = total, total + tokens
+    before = Manifest(spark, path).before
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             shard = Shard(b.column("content")[0].as_py())
-            base = bases[shard.part, shard.number]
+            base = before[shard.part, shard.number]
             for number in range(len(shard.index)):
                 rows = list(shard.block(number))
                 ids = [np.frombuffer(x, f"<u{shard.width}").astype("<u4") for _, _, x in rows]
                 yield batch({"doc_id": [id_of(k) for k, _, _ in rows], "start": [base + s for _, s, _ in rows], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}, ROW)
 
-    return files(spark, path).select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, ids binary"
+    return files(spark, path).select("content").mapInArrow(run, schema) if before else spark.createDataFrame([], schema)
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of some identifiers: each shard answers from its filter, its index and few blocks."""
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, ids) of some identifiers: only shards whose range holds one are read, and answer from their
+    filter, their index and few blocks."""
     wanted = list(doc_ids)
+    names = Manifest(spark, path).holding([key_of(d) for d in wanted])
+    if not names:
+        return spark.createDataFrame([], "doc_id long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -223,4 +259,4 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
             found = [(d, x.astype("<u4").tobytes()) for d in wanted for x in shard.get(d)]
             yield batch({"doc_id": [d for d, _ in found], "ids": [x for _, x in found]}, {"doc_id": pa.int64(), "ids": pa.binary()})
 
-    return files(spark, path).select("content").mapInArrow(run, "doc_id long, ids binary")
+    return files(spark, path).where(F.col(FOLDER).isin(names)).select("content").mapInArrow(run, "doc_id long, ids binary")
