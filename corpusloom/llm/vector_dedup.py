@@ -2,8 +2,10 @@
 
 Every pair at or above the cosine is found, and none below it.  Unit vectors are turned into the basis
 of their principal directions (of the second moments of all vectors), where most of a product lies in
-the leading coordinates.  Vectors are dealt into blocks along the first direction; two blocks meet in a
-tile unless the ranges of their leading coordinates and their residual norms rule it out.  Within a
+the leading coordinates.  Vectors are dealt into blocks along the first direction and within each stretch of it
+along the second; two blocks meet in a
+tile unless the ranges of their leading coordinates and their residual norms rule it out.  Which do is found
+by tasks over blocks; the driver holds one row of ranges for each block, never a row for a pair.  Within a
 tile the products of the leading coordinates are summed first, the rest is bounded by the product of
 suffix norms, and pairs that cannot reach the cosine stop there; the others go on over the next
 coordinates.  Pairs within rounding of the cosine are decided by the vectors as given.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_rows import batch, small_batches
@@ -29,7 +31,10 @@ from corpusloom.llm.components import components
 from corpusloom.workdir import materialize
 
 COSINE = 0.9
-BLOCK_ROWS = 4096
+#: A block of this size holds 8192 vectors of 64 coordinates; a task holds two blocks at a time.
+BLOCK_BYTES = 4 * 1024 * 1024
+#: Blocks compared with all others by one task.
+BLOCKS_AT_A_TIME = 256
 #: Rows of each side compared at once, and coordinates added at once.
 PATCH_ROWS, LEAD = 1024, 16
 SLACK = 1e-9
@@ -169,24 +174,63 @@ def compare_tiles(rows: DataFrame, dim: int, turn: np.ndarray, cosine: float) ->
     return dealt.mapInArrow(run, "rep long, n long, least long")
 
 
-def blocked(placed: DataFrame, cuts: np.ndarray, first: np.ndarray, many: np.ndarray) -> DataFrame:
-    """``placed`` with the block of each row: by its first coordinate between ``cuts``, then by a hash."""
+class Grid:
+    """Blocks of vectors: stretches of the first coordinate, each cut along the second, overfull ones split by a hash."""
+
+    def __init__(self, first: list[float], second: list[list[float]]) -> None:
+        self.first, self.second = np.array(first), [np.array(c) for c in second]
+        self.cells = np.cumsum([0, *(len(c) + 1 for c in second)])
+        self.many = np.ones(self.cells[-1], np.int64)
+
+    def of(self, rep: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        along = np.searchsorted(self.first, lead[:, 0])
+        cell = self.cells[along]
+        for k in np.unique(along):
+            here = along == k
+            cell[here] += np.searchsorted(self.second[k], lead[here, -1 if lead.shape[1] < 2 else 1])
+        x = rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (np.cumsum(self.many) - self.many)[cell] + ((x >> np.uint64(33)) % self.many[cell].astype(np.uint64)).astype(np.int64)
+
+
+def blocked(placed: DataFrame, grid: Grid) -> DataFrame:
+    """``placed`` with the block of each row."""
     names = placed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lead = b.column("lead")
-            along = np.searchsorted(cuts, np.asarray(lead.flatten())[:: len(lead[0])] if len(lead) else [])
-            x = b.column("rep").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            block = first[along] + ((x >> np.uint64(33)) % many[along].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int32())], [*names, "block"])
+            if len(lead):
+                block = grid.of(b.column("rep").to_numpy(), np.asarray(lead.flatten()).reshape(len(lead), -1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int32())], [*names, "block"])
 
     return placed.mapInArrow(run, "rep long, times long, raw binary, lead array<double>, tail double, block int")
 
 
+def grid_of(placed: DataFrame, total: int, block_rows: int) -> Grid:
+    """About equal blocks of ``block_rows``: as many stretches along the first coordinate as cuts along the second."""
+    wanted = max(1, -(-total // block_rows))
+    slabs = max(1, round(wanted**0.5))
+    each = -(-wanted // slabs)
+
+    def quantiles(column: Column, n: int) -> Column:
+        return F.percentile_approx(column, [k / n for k in range(1, n)], max(10_000, 20 * n))
+
+    first = sorted(set(placed.agg(quantiles(placed.lead[0], slabs)).first()[0])) if slabs > 1 else []
+    second: list[list[float]] = [[] for _ in range(len(first) + 1)]
+    if each > 1:
+        coordinate = F.element_at("lead", 2) if len(placed.first()["lead"]) > 1 else F.element_at("lead", 1)
+        slab = blocked(placed, Grid(first, second)).groupBy("block").agg(quantiles(coordinate, each))
+        for k, cuts in slab.collect():
+            second[k] = sorted(set(cuts))
+    grid = Grid(first, second)
+    # equal coordinates can overfill a block, which a hash then splits
+    for k, n in blocked(placed, grid).groupBy("block").count().collect():
+        grid.many[k] = -(-n // block_rows) if n > 1.5 * block_rows else 1
+    return grid
+
+
 def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int) -> DataFrame:
     """(rep, n, least) over all tiles; ``distinct`` has rep, times, raw."""
-    spark = distinct.sparkSession
     moments = second_moments(distinct, dim)
     values, turn = np.linalg.eigh(moments)
     turn = turn[:, np.argsort(values)[::-1]]
@@ -199,40 +243,34 @@ def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int) -> Dat
             yield batch({k: b.column(k) for k in ("rep", "times", "raw")} | {"lead": list(x[:, :lead]), "tail": np.sqrt((x[:, lead:] ** 2).sum(axis=1))}, types)
 
     placed = materialize(distinct.select("rep", "times", "raw").mapInArrow(project, "rep long, times long, raw binary, lead array<double>, tail double"), "vectors")
-    total = placed.count()
-    wanted = max(1, -(-total // block_rows))
-    cuts = []
-    if wanted > 1:
-        asked = [k / wanted for k in range(1, wanted)]
-        cuts = sorted(set(placed.agg(F.percentile_approx(placed.lead[0], asked, max(10_000, 20 * wanted))).first()[0]))
-    # equal first coordinates can overfill a block, which a hash then splits
-    held = blocked(placed, np.array(cuts), np.arange(len(cuts) + 1), np.ones(len(cuts) + 1, np.int64))
-    counts = {r[0]: r[1] for r in held.groupBy("block").count().collect()}
-    many = np.array([-(-n // block_rows) if (n := counts.get(k, 0)) > 1.5 * block_rows else 1 for k in range(len(cuts) + 1)])
-    placed = blocked(placed, np.array(cuts), np.cumsum(many) - many, many)
+    placed = blocked(placed, grid_of(placed, placed.count(), block_rows))
     bounds = [F.min(placed.lead[i]) for i in range(lead)] + [F.max(placed.lead[i]) for i in range(lead)]
     stats = {r[0]: np.array(r[1:]) for r in placed.groupBy("block").agg(*bounds, F.max("tail")).collect()}
-    tiles = pairs_of_blocks(stats, lead, cosine)
-    dealt = spark.createDataFrame(tiles, "tile long, in_block int")
-    rows = placed.join(dealt, placed.block == dealt.in_block).select("tile", "block", "rep", "times", "raw")
+    tiles = pairs_of_blocks(distinct.sparkSession, stats, lead, cosine)
+    rows = placed.join(tiles, placed.block == tiles.in_block).select("tile", "block", "rep", "times", "raw")
     return compare_tiles(rows, dim, turn, cosine)
 
 
-def pairs_of_blocks(stats: dict[int, np.ndarray], lead: int, cosine: float) -> list[tuple[int, int]]:
-    """(tile, block) of every pair of blocks that could hold a link, from ranges and residual norms."""
-    names = sorted(stats)
-    low, high, tail = (np.array([stats[k][p] for k in names]) for p in (slice(0, lead), slice(lead, 2 * lead), 2 * lead))
-    out = []
-    for i, a in enumerate(names):
-        products = np.maximum.reduce([low[i] * low[i:], low[i] * high[i:], high[i] * low[i:], high[i] * high[i:]])
-        reach = products.sum(axis=1) + tail[i] * tail[i:]
-        for j in np.flatnonzero(reach >= cosine - SLACK) + i:
-            tile = i * len(names) + int(j)
-            out += [(tile, a)] if i == j else [(tile, a), (tile, names[j])]
-    return out
+def pairs_of_blocks(spark: SparkSession, stats: dict[int, np.ndarray], lead: int, cosine: float) -> DataFrame:
+    """(tile, in_block) of every pair of blocks that could hold a link, from ranges and residual norms."""
+    names = np.array(sorted(stats))
+    low, high, tail = (np.array([stats[k][p] for k in names.tolist()]) for p in (slice(0, lead), slice(lead, 2 * lead), 2 * lead))
+    types = {"tile": pa.int64(), "in_block": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                products = np.maximum.reduce([low[i] * low[i:], low[i] * high[i:], high[i] * low[i:], high[i] * high[i:]])
+                met = np.flatnonzero(products.sum(axis=1) + tail[i] * tail[i:] >= cosine - SLACK) + i
+                tile = i * len(names) + met
+                other = met != i
+                yield batch({"tile": np.concatenate([tile, tile[other]]), "in_block": np.concatenate([np.full(len(met), names[i]), names[met[other]]])}, types)
+
+    tasks = -(-len(names) // BLOCKS_AT_A_TIME)
+    return spark.range(0, len(names), 1, tasks).mapInArrow(run, "tile long, in_block int")
 
 
-def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -251,7 +289,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_RO
     distinct = materialize(grouped.mapInArrow(pack, "rep long, times long, dim int, raw binary"), "vectors")
     found = None
     for (dim,) in sorted(distinct.select("dim").distinct().collect()):
-        part = linked(distinct.where(F.col("dim") == dim), dim, cosine, block_rows)
+        part = linked(distinct.where(F.col("dim") == dim), dim, cosine, block_rows or max(PATCH_ROWS, BLOCK_BYTES // (8 * dim)))
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
