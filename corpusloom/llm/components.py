@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     for _ in range(MOST_ROUNDS):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.sum("b")).first())
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.sum(F.xxhash64("b") % (1 << 40))).first())
         if mark == before or not mark[0]:
             break
         before = mark

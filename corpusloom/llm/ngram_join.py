@@ -1,6 +1,7 @@
 """Similarity join of texts by the Jaccard coefficient of their word shingles, with Bayesian pruning.
 
-Texts with equal word sequences are one class with a count.  Each class has a MinHash signature; classes
+Texts with equal word sequences are one class with a count, known by its least identifier; where an identifier
+stands on different texts, each of their classes is known by a hash of identifier and words.  Each class has a MinHash signature; classes
 that agree on all values of a band fall into a bucket.  Buckets of equal members are one.  A bucket is
 dealt into chunks and two chunks meet in a tile, so a bucket of any size is compared in bounded tasks.
 In a tile the signatures are compared incrementally: after each stretch of values the posterior
@@ -12,8 +13,8 @@ shingle sets.  A tile gives each of its classes one row at most, so no pairs are
 With 25 bands of 5 values a pair of similarity 0.8 meets with probability 1 - 5e-5, a more similar one
 nearly surely; nothing caps buckets or partners.  Words are runs without ASCII white space, as they are;
 a text of fewer than five words is one shingle.  Null texts and texts without words link with nothing
-and are their own class, and so are rows without an identifier.  Rows that repeat an identifier are one node.  Very long texts take part with all
-their shingles.  An empty table gives no rows; other columns are ignored.
+and are their own class, and so are rows without an identifier.  Rows that repeat an identifier take part each
+with its own text.  Very long texts take part with all their shingles.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ FACTOR = _RNG.integers(0, 2**31, VALUES, np.uint32) * np.uint32(2) + np.uint32(1
 OFFSET = _RNG.integers(0, 2**32, VALUES, np.uint32)
 BAND_FACTOR = _RNG.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = {"doc_id": pa.int64(), "mark": pa.binary(), "sig": pa.binary()}
+SIGNED = {"doc_id": pa.int64(), "text_mark": pa.int64(), "mark": pa.binary(), "sig": pa.binary()}
 FOUND = {"rep": pa.int64(), "n": pa.int64(), "least": pa.int64()}
 
 
@@ -96,7 +97,8 @@ def signatures(shingles: list[np.ndarray]) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, sig) of every row; mark and sig are null without words."""
+    """(doc_id, text_mark, mark, sig) of every row; ``text_mark`` tells texts of one identifier apart, mark and sig
+    are null without words."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +107,9 @@ def sign(docs: DataFrame) -> DataFrame:
             some = [i for i, w in enumerate(first) if len(w)]
             sigs = dict(zip(some, signatures([shingle_hashes(first[i], WORDS) for i in some]), strict=True))
             marks = [sequence_mark(*w) for w in zip(first, second, strict=True)]
-            yield batch({"doc_id": b.column("doc_id"), "mark": marks, "sig": [sigs[i].tobytes() if i in sigs else None for i in range(len(first))]}, SIGNED)
+            yield batch({k: b.column(k) for k in ("doc_id", "text_mark")} | {"mark": marks, "sig": [sigs[i].tobytes() if i in sigs else None for i in range(len(first))]}, SIGNED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark binary, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_mark")).mapInArrow(run, "doc_id long, text_mark long, mark binary, sig binary")
 
 
 def bucket_entries(classes: DataFrame) -> DataFrame:
@@ -161,9 +163,7 @@ class Tile:
             s = slice(at, at + 20_000)
             same = (a[r[s]] == b[c[s]]).reshape(-1, BANDS, ROWS).all(axis=2)
             mine[s] = same[:, self.band] & ~same[:, : self.band].any(axis=1)
-        r, c = r[mine], c[mine] + (0 if own else cut)
-        other = self.rep[r] != self.rep[c]
-        return r[other], c[other]
+        return r[mine], c[mine] + (0 if own else cut)
 
     def verified(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Which pairs reach the threshold by their shingle sets."""
@@ -246,21 +246,33 @@ def compare(rows: DataFrame) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, text) of the identifiers in ``wanted`` (rep); they are broadcast where they are few enough."""
+    """(rep, text) of the classes in ``wanted`` (rep, id, id_mark); they are broadcast where they are few enough."""
     few = wanted.count() <= BROADCAST_ROWS
-    held = docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null").join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_mark"), "text").where("text is not null")
+    held = texts.join(F.broadcast(wanted) if few else wanted, ["id", "id_mark"])
     return held.groupBy("rep").agg(F.min("text").alias("text"))
 
 
+def classes_of(signed: DataFrame) -> DataFrame:
+    """(rep, id, id_mark, mark, times, sig): the classes of equal word sequences, each known by ``rep``."""
+    first = F.min(F.struct("doc_id", "text_mark"))
+    grouped = signed.where("able").groupBy("mark").agg(first.alias("r"), F.count("*").alias("times"), F.first("sig").alias("sig"))
+    held = materialize(grouped.select(F.col("r.doc_id").alias("id"), F.col("r.text_mark").alias("id_mark"), "mark", "times", "sig"), "classes")
+    again = held.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
+    if again.isEmpty():
+        return held.withColumn("rep", F.col("id"))
+    return materialize(held.join(again, "id", "left").withColumn("rep", F.when(F.col("again"), F.xxhash64("id", "mark")).otherwise(F.col("id"))).drop("again"), "classes")
+
+
 def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, kept) of every row.
+    """(doc_id, text_mark, group, class_id, n_links, kept) of every row.
 
     ``class_id`` is the least identifier reachable by links, ``n_links`` how many other rows are linked
-    directly, and ``kept`` marks the row whose identifier is the class's.
+    directly, and ``kept`` marks rows whose identifier is the class's.  ``group`` tells classes apart, also where
+    an identifier stands on different texts; it is null for rows that link with nothing by rule.
     """
     signed = materialize(sign(docs), "signatures").withColumn("able", F.expr("mark is not null and doc_id is not null"))
-    grouped = signed.where("able").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("sig").alias("sig"))
-    classes = materialize(grouped, "classes")
+    classes = classes_of(signed)
     entries = bucket_entries(classes)
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
     # of buckets with equal members the one of the first band stays, to which all their pairs belong
@@ -271,12 +283,15 @@ def link(docs: DataFrame) -> DataFrame:
     chunk = F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("chunks")).cast("int")
     dealt = members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "band", "chunk", "rep")
-    facts = classes.select("rep", "times", "sig").join(fetch(docs, members.select("rep").distinct()), "rep")
+    wanted = classes.select("rep", "id", "id_mark").join(members.select("rep").distinct(), "rep", "left_semi")
+    facts = classes.select("rep", "times", "sig").join(fetch(docs, wanted), "rep")
     found = materialize(compare(dealt.join(facts, "rep").select("tile", "band", "chunk", "rep", "times", "sig", "text")), "links")
-    groups = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    groups = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
+    ids = groups.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("class_id"))
+    groups = groups.join(ids, "component")
     others = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = classes.select("mark", "rep", "times").join(others, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("mark", F.coalesce("component", "rep").alias("class_id"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = signed.where("able").select("doc_id", "mark").join(named, "mark").select("doc_id", "class_id", "n_links")
-    alone = signed.where("not able").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = classes.select("mark", "rep", "id", "times").join(others, "rep", "left").join(groups, "rep", "left")
+    named = named.select("mark", F.coalesce("component", "rep").alias("group"), F.coalesce("class_id", "id").alias("class_id"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    out = signed.where("able").select("doc_id", "text_mark", "mark").join(named, "mark").select("doc_id", "text_mark", "group", "class_id", "n_links")
+    alone = signed.where("not able").select("doc_id", "text_mark", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
