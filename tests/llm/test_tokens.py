@@ -102,6 +102,30 @@ def test_store_round_trip(spark):
     assert np.frombuffer(next(r.ids for r in found if r.doc_id == 9), "<u4").tolist() == ids_of(odd_rows.rows()[9][1]) + [1]
 
 
+def test_store_query(spark, sf):
+    texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    start = 0
+    for (doc_id, text), r in zip(texts, queries.op8_token_store(spark, sf).orderBy("start").collect(), strict=True):
+        want = ids_of(text) + [1]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(want), crc(want))
+        start += len(want)
+
+
+def test_lookup_reads_only_shards_that_could_hold_a_key(spark):
+    path = scratch_path(spark, "test-store")
+    rows = [(k // 3 if k % 7 else None, f"text number {k}") for k in range(3000)]
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, shard_bytes=2000, block_bytes=500)
+    manifest = token_store.Manifest(spark, path)
+    assert len(manifest.names) >= 4 and manifest.first == sorted(manifest.first)
+    wanted = [5, 700, None, 10_000]
+    names = manifest.holding([token_store.key_of(d) for d in wanted[:2]])
+    assert 1 <= len(names) < len(manifest.names)
+    found = sorted((str(r.doc_id), r.ids) for r in token_store.lookup(spark, path, wanted).collect())
+    assert found == sorted((str(d), np.array(ids_of(t) + [1], "<u4").tobytes()) for d, t in rows if d in wanted)
+    assert token_store.lookup(spark, path, [10_000]).count() == 0
+    assert token_store.read(spark, path).count() == len(rows)
+
+
 def test_shard_blocks_and_damage():
     w = token_store.ShardWriter(2, 0, 0)
     ids = {k: np.arange(k % 900, dtype="<u2") for k in range(0, 5000, 3)}
