@@ -5,8 +5,8 @@ return the columns of docs.  ``run`` writes what each stage returns below the sh
 back for the next one, so a lost executor costs tasks of one stage at most.
 
 1. language: rows whose text has no letter, or in which no language reaches ``LEAST_SCORE``, go.
-2. near_duplicates: of each class of near copies the row with the least identifier stays; of rows that
-   repeat that identifier, one.
+2. near_duplicates: of each group of near copies one row stays, the least identifier's; different texts of
+   one identifier are in groups of their own.  Rows without an identifier stay.
 3. secrets: every span that the scan finds is replaced by a mark in the text, and n_chars follows.
 4. mixing: rows come as often as the mix takes them, the last copy of a source cut to the words taken.
 5. packing: pieces of documents in sequences of 4096 tokens, with their ids.
@@ -37,12 +37,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.link(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    # a missing identifier names no class: such rows stay
-    linked = materialize(linked.where("doc_id is not null and (not kept or n > 1)"), "near-duplicates")
-    once = docs.join(linked, "doc_id", "left_anti")
-    again = docs.join(linked.where("kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    linked = materialize(ngram_join.link(docs).where("group is not null").select("doc_id", "text_mark", "group"), "near-duplicates")
+    # one row of each group of several stays: the least identifier's, and of its texts the one of least hash
+    chosen = linked.groupBy("group").agg(F.min(F.struct("doc_id", "text_mark")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    among = linked.join(chosen.select("group"), "group", "left_semi").select("doc_id", "text_mark").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_mark"))
+    single = rows.join(among, ["doc_id", "text_mark"], "left_anti").select("row.*")
+    stays = rows.join(chosen.select("least.*"), ["doc_id", "text_mark"], "left_semi").dropDuplicates(["doc_id", "text_mark"]).select("row.*")
+    return single.unionByName(stays)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
