@@ -1,4 +1,4 @@
-"""BM25 over chunks: from the texts themselves, or from a written inverted index.
+"""BM25 over chunks from the texts themselves, and ranking; see ``indexed`` for search from a written inverted index.
 
 A query is a list of phrases, each a list of tokens; a phrase counts as one term, and one that is given
 twice counts twice.  Statistics are of the whole corpus even where a filter narrows the hits, and the
@@ -42,49 +42,10 @@ def scan_scores(chunks: DataFrame, phrases: list[list[str]], key: str = "chunk_i
     return scored.select(key, score.alias("score"))
 
 
-def postings(chunks: DataFrame, key: str = "content_hash") -> DataFrame:
-    """(term, key, tf, positions): the inverted index; written sorted by term, a term filter prunes row groups."""
-    words = chunks.select(key, F.posexplode(text.tokens(F.col("text"))).alias("at", "term"))
-    return words.groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-
-
 def shifted(positions: str, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
 
-def lengths(chunks: DataFrame, key: str = "content_hash") -> DataFrame:
-    return chunks.select(key, F.size(text.tokens(F.col("text"))).alias("dl"))
-
-
-def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
-    return doc_lengths.agg(F.count("*").alias("total"), F.avg("dl").alias("mean_dl"))
-
-
-def index_scores(index: DataFrame, doc_lengths: DataFrame, phrases: list[list[str]], key: str = "content_hash", allowed: DataFrame | None = None) -> DataFrame:
-    """(key, score) from the index: only the query's terms are read; phrases are told by their positions."""
-    wanted = sorted({t for p in phrases for t in p})
-    if not wanted:
-        return doc_lengths.select(key, F.lit(0.0).alias("score")).where("false")
-    few = index.where(F.col("term").isin(wanted))
-    parts = []
-    for number, phrase in enumerate(phrases):
-        hit = few.where(F.col("term") == phrase[0]).select(key, "positions")
-        for k, term in enumerate(phrase[1:], 1):
-            more = few.where(F.col("term") == term).select(key, shifted("positions", k).alias("p"))
-            hit = hit.join(more, key).select(key, F.array_intersect("positions", "p").alias("positions"))
-        parts.append(hit.select(F.lit(number).alias("phrase"), key, F.size("positions").alias("tf")).where("tf > 0"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.union(p)
-    found = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    if allowed is not None:
-        hits = hits.join(allowed.select(key), key, "left_semi")
-    stats = corpus_stats(doc_lengths)
-    scored = hits.join(found, "phrase").join(doc_lengths, key).join(F.broadcast(stats))
-    term = scoring.bm25_term(F.col("tf"), F.col("dl"), F.col("mean_dl"), scoring.idf(F.col("df"), F.col("total")))
-    return scored.groupBy(key).agg(F.sum(term).alias("score"))
-
-
 def ranked(scores: DataFrame, limit: int, key: str = "chunk_id", order: str = "score", descending: bool = True, digits: int = 6) -> DataFrame:
     """The first ``limit`` rows with their rank from 0; ties by key, values compared at ``digits``."""
     value = F.round(order, digits)

@@ -69,16 +69,16 @@ def vector_leg(chunks: DataFrame, vectors: DataFrame, query: list[float], limit:
     return nearest(vectors, query, limit)
 
 
-def fuse(lexical_hits: DataFrame, vector_hits: DataFrame | None) -> DataFrame:
-    """(chunk_id, rrf, is_fts, distance, matched_by): the legs by union and one sum, no outer join."""
-    legs = lexical_hits.select("chunk_id", scoring.rrf(F.col("rank0")).alias("part"), F.lit(None).cast("double").alias("distance"), F.lit("fts").alias("leg"))
+def fuse(lexical_hits: DataFrame, vector_hits: DataFrame | None, key: str = "chunk_id") -> DataFrame:
+    """(key, rrf, is_fts, distance, matched_by): the legs by union and one sum, no outer join."""
+    legs = lexical_hits.select(key, scoring.rrf(F.col("rank0")).alias("part"), F.lit(None).cast("double").alias("distance"), F.lit("fts").alias("leg"))
     if vector_hits is not None:
-        legs = legs.unionByName(vector_hits.select("chunk_id", scoring.rrf(F.col("rank0")).alias("part"), "distance", F.lit("vector").alias("leg")))
-    return legs.groupBy("chunk_id").agg(F.sum("part").alias("rrf"), F.max("distance").alias("distance"), F.bool_or(F.col("leg") == "fts").alias("is_fts"), F.sort_array(F.collect_set("leg")).alias("matched_by"))
+        legs = legs.unionByName(vector_hits.select(key, scoring.rrf(F.col("rank0")).alias("part"), "distance", F.lit("vector").alias("leg")))
+    return legs.groupBy(key).agg(F.sum("part").alias("rrf"), F.max("distance").alias("distance"), F.bool_or(F.col("leg") == "fts").alias("is_fts"), F.sort_array(F.collect_set("leg")).alias("matched_by"))
 
 
-def scored(candidates: DataFrame, chunks: DataFrame, query: str, sure: float, hopeless: float) -> DataFrame:
-    rows = F.broadcast(candidates).join(chunks.select(*ATTRIBUTES, "text"), "chunk_id")  # legs' limits bound the candidates
+def scored(rows: DataFrame, query: str, sure: float, hopeless: float) -> DataFrame:
+    """Candidates with their attributes and text, with boost, confidence and score."""
     sure_of = scoring.confidence(scoring.vector_confidence(F.col("distance"), sure, hopeless), text.coverage(querytext.terms(query), F.col("text")))
     rows = rows.withColumn("confidence", sure_of).withColumn("boost", scoring.boost(*map(F.col, ("source_type", "kind", "path", "branch"))))
     return rows.withColumn("score", F.col("rrf") * F.col("boost") * F.col("confidence"))
@@ -107,10 +107,15 @@ def search(
     near = None
     if vectors is not None and vector is not None and policy.use_vectors:
         near = vector_leg(chunks, vectors, vector, policy.vector, filters, policy.scoped)
-    rows = scored(fuse(hits, near), chunks, query, sure, hopeless)
+    rows = F.broadcast(fuse(hits, near)).join(chunks.select(*ATTRIBUTES, "text"), "chunk_id")  # the legs' limits bound it
     if near is not None and not policy.scoped and filters.active():
         rows = rows.where(filters.predicate())  # a global pool holds rows the filter excludes
-    rows = best_by_document(rows, digits)
+    return finished(rows, query, sure, hopeless, limit, digits)
+
+
+def finished(rows: DataFrame, query: str, sure: float, hopeless: float, limit: int, digits: int = 9) -> DataFrame:
+    """The result rows in order, from candidates with attributes and text: the best of each document."""
+    rows = best_by_document(scored(rows, query, sure, hopeless), digits)
     rows = rows.withColumn("excerpt", text.excerpt(F.col("text"))).drop("text")
     first = [F.col("is_fts").desc()] if querytext.is_exact(query) else []
     return rows.orderBy(*first, F.round("score", digits).desc(), F.col("chunk_id").asc()).limit(limit)
@@ -119,11 +124,3 @@ def search(
 def median_confidence(results: DataFrame) -> DataFrame:
     """(median_confidence, absent): exact median, 0 without rows."""
     return results.agg(F.coalesce(F.median("confidence"), F.lit(0.0)).alias("median_confidence")).withColumn("absent", F.col("median_confidence") < model.ABSENT_MEDIAN)
-
-
-def checked_model(vectors: DataFrame, name: str) -> DataFrame:
-    """Vectors of the model ``name``; vectors of another model beside them are refused."""
-    others = [r[0] for r in vectors.select("model").distinct().collect() if r[0] != name]
-    if others:
-        raise ValueError(f"the index holds vectors of {sorted(others)}; the query's are of {name}")
-    return vectors

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from corpusloom import model
 from corpusloom.functions import querytext, scoring, text
-from corpusloom.operators import aliases, analytics, chunking, lexical, maintenance, reading, search, sessions, threads
+from corpusloom.operators import aliases, analytics, chunking, indexed, lexical, maintenance, reading, search, sessions, threads
 from corpusloom.operators.filters import Filters
 from corpusloom.plans.ingest import sign_embedder
 from corpusloom.sources import notes
+from corpusloom.workdir import materialize, scratch_path
 
 #: What the search queries ask for, and whom.
 ASKED = "moron worthless with nicht erst"
@@ -83,13 +84,55 @@ def overlap_prefix(spark, sf_dir):
 
 
 def term_postings(spark, sf_dir):
-    p = lexical.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.min(F.col("positions")[0]).cast("long").alias("earliest"))
+    p = indexed.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"), F.min(F.col("positions")[0]).cast("long").alias("earliest"))
+
+
+#: Units of a bucket of texts, and how many built indexes a session keeps.
+BUCKET_UNITS, KEPT_INDEXES = 50_000, 4
+_indexes: dict[tuple, indexed.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> indexed.Index:
+    """The written index of a folder's documents; built by the first query that asks, and anew when files change."""
+    held, marks = [f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings")], []
+    for path in held:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        marks += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    key = (spark.sparkContext.applicationId, sf_dir, *marks)
+    if key not in _indexes:
+        for old in list(_indexes)[: len(_indexes) - KEPT_INDEXES + 1]:
+            del _indexes[old]
+        _indexes[key] = built(spark, corpus(spark, sf_dir), vectors(spark, sf_dir))
+    return _indexes[key]
+
+
+def built(spark: SparkSession, chunks: DataFrame, held: DataFrame) -> indexed.Index:
+    units = chunks.withColumnRenamed("chunk_id", "unit")
+    found = materialize(indexed.postings(units.select("unit", "text")), "postings")
+    sizes = units.select("text").agg(F.count("*").alias("n")).join(found.agg(F.sum(F.size("positions")).alias("tokens"))).first()  # one row each
+    buckets = 1 + sizes["n"] // BUCKET_UNITS
+    bucket = indexed.bucket_of(F.col("unit"), buckets)
+    rows, texts = (scratch_path(spark, n) for n in ("rows", "texts"))
+    units.drop("text").withColumns({"chunk_id": F.col("unit"), "bucket": bucket}).write.partitionBy("bucket").parquet(rows)
+    units.select("unit", "text", bucket.alias("bucket")).write.partitionBy("bucket").parquet(texts)
+    embedded = held.select(F.col("chunk_id").alias("unit"), F.lit("given").alias("model"), "embedding")
+    return indexed.Index(spark.read.parquet(rows), found, spark.read.parquet(texts), sizes["n"], (sizes["tokens"] or 0) / max(1, sizes["n"]), buckets, embedded, ("given",))
+
+
+def search_index(spark, sf_dir):
+    """The index built anew, and what it holds."""
+    made = built(spark, corpus(spark, sf_dir), vectors(spark, sf_dir))
+    p = made.postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum(F.size("positions").cast("long")).alias("tokens"))
+    return p.select(F.lit(made.total).cast("long").alias("units"), "terms", "postings", "tokens")
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col(hits.columns[0]).alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank0").cast("long").alias("rank0"))
 
 
 def _bm25(spark, sf_dir, query, filters=Filters(), limit=20):  # noqa: B008
-    hits = search.lexical_leg(corpus(spark, sf_dir), query, limit, filters)
-    return hits.select("chunk_id", F.round("score", 6).alias("score"), F.col("rank0").cast("long").alias("rank0"))
+    return _ranked(indexed.lexical_leg(index(spark, sf_dir), query, limit, filters))
 
 
 def bm25_topk(spark, sf_dir):
@@ -100,11 +143,18 @@ def bm25_phrase(spark, sf_dir):
     return _bm25(spark, sf_dir, PHRASED)
 
 
+def bm25_scan(spark, sf_dir):
+    """The same as bm25_phrase, from the texts."""
+    return _ranked(search.lexical_leg(corpus(spark, sf_dir), PHRASED, 20, Filters()))
+
+
 def bm25_index(spark, sf_dir):
-    """The same as bm25_phrase, from postings with positions."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    scores = lexical.index_scores(lexical.postings(d, "chunk_id"), lexical.lengths(d, "chunk_id"), querytext.phrases(PHRASED), "chunk_id")
-    return lexical.ranked(scores, 20).select("chunk_id", F.round("score", 6).alias("score"), F.col("rank0").cast("long").alias("rank0"))
+    """The same, from postings that the query itself makes and doesn't write."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
+    p = indexed.postings(d)
+    sizes = d.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean")).first()
+    made = indexed.Index(d.select("unit"), p, d, sizes["n"], sizes["mean"], 1)
+    return _ranked(lexical.ranked(indexed.scores(made, querytext.phrases(PHRASED)), 20, "unit"))
 
 
 def bm25_project_scoped(spark, sf_dir):
@@ -117,10 +167,10 @@ def bm25_date_scoped(spark, sf_dir):
 
 def filter_post_vs_pre(spark, sf_dir):
     """How many of ten wanted rows a filter leaves below and above the limit."""
-    c, f = corpus(spark, sf_dir), Filters(projects=(PROJECT,))
-    pre = search.lexical_leg(c, ASKED, 10, f).agg(F.count("*").alias("pre"))
-    top = search.lexical_leg(c, ASKED, 10, Filters())
-    post = top.join(c.where(f.predicate()).select("chunk_id"), "chunk_id", "left_semi").agg(F.count("*").alias("post"))
+    i, f = index(spark, sf_dir), Filters(projects=(PROJECT,))
+    pre = indexed.lexical_leg(i, ASKED, 10, f).agg(F.count("*").alias("pre"))
+    top = indexed.lexical_leg(i, ASKED, 10)
+    post = top.join(indexed.allowed(i, f), "unit", "left_semi").agg(F.count("*").alias("post"))
     return pre.join(F.broadcast(post))
 
 
@@ -155,9 +205,9 @@ def vector_confidence(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    hits = search.lexical_leg(corpus(spark, sf_dir), ASKED, 50, Filters())
-    near = search.nearest(vectors(spark, sf_dir), asked_vector(spark, sf_dir), 50)
-    return search.fuse(hits, near).select("chunk_id", F.round("rrf", 9).alias("rrf"), F.array_join("matched_by", ",").alias("matched_by"))
+    policy = search.Policy(50, 50, False)
+    fused = indexed.candidates(index(spark, sf_dir), ASKED, asked_vector(spark, sf_dir), Filters(), policy)
+    return fused.select(F.col("unit").alias("chunk_id"), F.round("rrf", 9).alias("rrf"), F.array_join("matched_by", ",").alias("matched_by"))
 
 
 def static_boosts(spark, sf_dir):
@@ -166,15 +216,23 @@ def static_boosts(spark, sf_dir):
     return c.select("chunk_id", scoring.boost(F.col("source_type"), F.col("kind"), path, F.col("branch")).alias("boost"))
 
 
-def _hybrid(spark, sf_dir, query, filters=Filters(), policy=None):  # noqa: B008
-    rows = search.search(corpus(spark, sf_dir), vectors(spark, sf_dir), query, asked_vector(spark, sf_dir), filters, 20, policy, SURE, HOPELESS)
+def _shown(rows):
     return rows.select("chunk_id", "path", "source_type", F.round("score", 9).alias("score"), F.round("confidence", 6).alias("confidence"), F.array_join("matched_by", ",").alias("matched_by"), F.sha2("excerpt", 256).alias("excerpt_hash"))
 
 
+def _hybrid(spark, sf_dir, query, filters=Filters(), policy=None):  # noqa: B008
+    return _shown(indexed.find(index(spark, sf_dir), query, asked_vector(spark, sf_dir), filters, 20, policy, SURE, HOPELESS, name="given"))
+
+
 def hybrid_search(spark, sf_dir):
     return _hybrid(spark, sf_dir, ASKED)
 
 
+def hybrid_scan(spark, sf_dir):
+    """The same, from the texts."""
+    return _shown(search.search(corpus(spark, sf_dir), vectors(spark, sf_dir), ASKED, asked_vector(spark, sf_dir), limit=20, sure=SURE, hopeless=HOPELESS))
+
+
 def hybrid_filtered(spark, sf_dir):
     return _hybrid(spark, sf_dir, ASKED, Filters(source_type=model.TRANSCRIPT, before=BEFORE))
 
@@ -198,7 +256,7 @@ def best_chunk_per_document(spark, sf_dir):
 
 
 def median_confidence_banner(spark, sf_dir):
-    rows = search.search(corpus(spark, sf_dir), vectors(spark, sf_dir), ASKED, asked_vector(spark, sf_dir), limit=20, sure=SURE, hopeless=HOPELESS)
+    rows = indexed.find(index(spark, sf_dir), ASKED, asked_vector(spark, sf_dir), limit=20, sure=SURE, hopeless=HOPELESS, name="given")
     return search.median_confidence(rows).select(F.round("median_confidence", 6).alias("median_confidence"), "absent")
 
 
@@ -229,7 +287,7 @@ def path_resolution(spark, sf_dir):
 def excerpt_trim(spark, sf_dir):
     t = table(spark, sf_dir, "documents")
     short = text.excerpt(F.col("text"))
-    tail = F.substring("text", 4, 400)
+    tail = text.excerpt(F.substr("text", F.lit(4)))
     return t.select("doc_id", F.sha2(short, 256).alias("excerpt_hash"), F.sha2(text.trimmed_excerpt(tail, (F.col("doc_id") % 3).cast("int")), 256).alias("trimmed_hash"))
 
 
@@ -478,9 +536,9 @@ def embed_sign_python(spark, sf_dir):
 
 
 NAMES = """
-content_hash chunk_plain chunk_dedup dedupe_savings overlap_prefix term_postings bm25_topk bm25_phrase bm25_index bm25_project_scoped
+content_hash chunk_plain chunk_dedup dedupe_savings overlap_prefix term_postings search_index bm25_topk bm25_phrase bm25_scan bm25_index bm25_project_scoped
 bm25_date_scoped filter_post_vs_pre bm25_folded lexical_coverage knn_l2 knn_scoped eligible_count vector_confidence rrf_fusion static_boosts
-hybrid_search hybrid_filtered hybrid_exact_first hybrid_parity best_chunk_per_document median_confidence_banner read_document read_window
+hybrid_search hybrid_scan hybrid_filtered hybrid_exact_first hybrid_parity best_chunk_per_document median_confidence_banner read_document read_window
 path_resolution excerpt_trim health_counts docs_by_type health_verdict pending_embeddings dangling_occurrences orphan_vectors capture_lag
 export_freshness latest_run_per_source source_status run_totals backlog alias_resolution alias_suppressions session_transcripts canonical_thread
 branch_points branch_share latest_batch_wins snapshot_diff upsert_merge prune_missing unchanged_fast_path rehome_chunks redact_text

@@ -118,12 +118,18 @@ def redactions() -> str:
 
 
 def scrub() -> str:
-    out = "html"
-    for tag in ("script", "style", "iframe", "object", "embed", "form"):
-        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
-    out = rf"regexp_replace({out}, '(?is)</?(?:script|style|iframe|object|embed|form|link|meta|base)\b[^>]*>', '', 'g')"
-    out = rf"""regexp_replace({out}, '(?is)\s+on[a-z]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')"""
-    return rf"""regexp_replace({out}, '(?is)(href|src)\s*=\s*["'']?\s*(?:javascript|vbscript|data):[^"''\s>]*["'']?', '\1="#"', 'g')"""
+    """Element by element, since these patterns know no back-references: all that an opening tag begins, to its closing one or the end."""
+    out, tags = "html", ("script", "style", "iframe", "object", "embed", "applet", "form", "link", "meta", "base")
+    # the element that opens first goes first; what it holds, or all after it, goes with it
+    first = "least(" + ", ".join(rf"CASE WHEN regexp_matches(h, '(?i)<\s*{t}\b') THEN length(regexp_extract(h, '(?is)^(.*?)<\s*{t}\b', 1)) ELSE 1000000000 END" for t in tags) + ")"
+    rest = "CASE " + " ".join(rf"WHEN regexp_matches(cut, '(?i)^<\s*{t}\b') THEN regexp_replace(cut, '(?is)^<\s*{t}\b.*?(?:</\s*{t}\s*>|$)', '')" for t in tags) + " END"
+    steps = f"RECURSIVE go AS (SELECT page_id, '' AS done, html AS h FROM pages UNION ALL SELECT page_id, done || substr(h, 1, spot), {rest} FROM (SELECT page_id, done, h, spot, substr(h, spot + 1) AS cut FROM (SELECT *, {first} AS spot FROM go) WHERE spot < 1000000000)), left_over AS (SELECT page_id, done || h AS html FROM go WHERE {first} = 1000000000)"
+    out = rf"regexp_replace({out}, '(?i)<\s*/?\s*(?:{'|'.join(tags)})\b[^>]*>', '', 'g')"
+    out = rf"""regexp_replace({out}, '(?i)\son[a-z]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')"""
+    for mark in ('"', "''"):
+        out = rf"""regexp_replace({out}, '(?i)\s(href|src)\s*=\s*{mark}\s*(?:javascript|vbscript|data)\s*:[^"'']*{mark}', ' \1="#"', 'g')"""
+    out = rf"""regexp_replace({out}, '(?i)\s(href|src)\s*=\s*(?:javascript|vbscript|data)\s*:[^\s>]*', ' \1="#"', 'g')"""
+    return f"WITH {steps} SELECT page_id, sha256({out}) AS html_hash FROM left_over"
 
 
 BODY = "CASE WHEN doc_id % 3 = 0 THEN '# Heading ' || doc_id || chr(10) ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN 'Date: 2025-03-04' || chr(10) ELSE '' END || text"
@@ -141,6 +147,9 @@ ORACLES = {
     "bm25_topk": f"WITH {BASE}, {bm25(ASKED, 20)} {TOP}",
     "bm25_phrase": f"WITH {BASE}, {bm25(PHRASED, 20)} {TOP}",
     "bm25_index": f"WITH {BASE}, {bm25(PHRASED, 20)} {TOP}",
+    "bm25_scan": f"WITH {BASE}, {bm25(PHRASED, 20)} {TOP}",
+    "search_index": f"WITH t AS (SELECT unnest({TOKENS}) AS term, doc_id FROM documents) SELECT (SELECT count(*) FROM documents) AS units, (SELECT count(DISTINCT term) FROM t) AS terms, (SELECT count(*) FROM (SELECT DISTINCT term, doc_id FROM t)) AS postings, (SELECT count(*) FROM t) AS tokens",
+    "hybrid_scan": hybrid(ASKED, TERMS),
     "bm25_project_scoped": f"WITH {BASE}, {bm25(ASKED, 20, PROJECTS)} {TOP}",
     "bm25_date_scoped": f"WITH {BASE}, {bm25(ASKED, 20, DATES)} {TOP}",
     "filter_post_vs_pre": f"WITH {BASE}, {bm25(ASKED, 1000000000)} SELECT least(10, (SELECT count(*) FROM ranked JOIN base USING (chunk_id) WHERE project = '{c.PROJECT}')) AS pre, (SELECT count(*) FROM ranked JOIN base USING (chunk_id) WHERE rank0 < 10 AND project = '{c.PROJECT}') AS post",
@@ -161,7 +170,7 @@ ORACLES = {
     "read_document": f"WITH RECURSIVE {CHUNKS}, {OCC}, w AS (SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS t FROM occ GROUP BY path), r AS (SELECT path, CASE WHEN length(t) > 20000 THEN substr(t, 1, 20000) || chr(10) || chr(10) || '[truncated]' ELSE t END AS t FROM w) SELECT path, length(t) AS n_chars, sha256(t) AS text_hash FROM r",
     "read_window": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, ord, content_hash FROM chunks WHERE ord BETWEEN 0 AND 2",
     "path_resolution": f"WITH {BASE}, asked AS (SELECT unnest(['doc/7', 'oc/19', 'doc/10', 'nowhere', 'c/100%']) AS asked), hit AS (SELECT asked, path, path = asked AS exact, bool_or(path = asked) OVER (PARTITION BY asked) AS has, count(*) OVER (PARTITION BY asked) AS n, row_number() OVER (PARTITION BY asked ORDER BY path) AS k FROM asked, base WHERE contains(path, asked)) SELECT asked, CASE WHEN has OR n = 1 THEN 'found' ELSE 'ambiguous' END AS status, path FROM hit WHERE exact OR (NOT has AND k <= 10)",
-    "excerpt_trim": r"WITH t AS (SELECT doc_id, text, substr(text, 4, 400) AS tail FROM documents), c AS (SELECT *, regexp_extract(tail, '^(\p{Ll}[^\s]{0,23})\s', 1) AS cut FROM t) SELECT doc_id, sha256(CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '...' ELSE text END) AS excerpt_hash, sha256(CASE WHEN doc_id % 3 > 0 AND length(cut) > 0 THEN '…' || ltrim(substr(tail, length(cut) + 2)) ELSE tail END) AS trimmed_hash FROM c",
+    "excerpt_trim": r"WITH t AS (SELECT doc_id, text, CASE WHEN length(text) > 603 THEN substr(text, 4, 600) || '...' ELSE substr(text, 4) END AS tail FROM documents), c AS (SELECT *, regexp_extract(tail, '^(\p{Ll}[^\s]{0,23})\s', 1) AS cut FROM t) SELECT doc_id, sha256(CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '...' ELSE text END) AS excerpt_hash, sha256(CASE WHEN doc_id % 3 > 0 AND length(cut) > 0 THEN '…' || ltrim(substr(tail, length(cut) + 2)) ELSE tail END) AS trimmed_hash FROM c",
     "health_counts": f"WITH {BASE} SELECT count(*) AS documents, count(*) AS chunks, count(*) FILTER (kind = 'prose') AS prose, count(*) FILTER (kind = 'tool_event') AS tool_events, count(*) FILTER (kind = 'prose' AND chunk_id NOT IN (SELECT vec_id FROM embeddings)) AS pending, (SELECT count(*) FROM embeddings) AS vectors FROM base",
     "docs_by_type": f"WITH {BASE} SELECT source_type, count(*) AS documents FROM base GROUP BY 1",
     "health_verdict": f"WITH {BASE}, p AS (SELECT count(*) FILTER (kind = 'prose' AND chunk_id NOT IN (SELECT vec_id FROM embeddings)) AS pending FROM base), r AS (SELECT event_type = 'error' AS bad, CAST(json_extract_string(props, '$.k') AS INTEGER) AS written FROM events ORDER BY event_id DESC LIMIT 1) SELECT CASE WHEN bad THEN 'red' WHEN pending > 0 THEN 'amber' ELSE 'green' END AS state, CASE WHEN bad THEN 'IMPORTER ERRORS' WHEN pending > 0 THEN 'DEGRADED' WHEN written = 0 THEN 'NOTHING NEW' ELSE 'HEALTHY' END AS verdict FROM p, r",
@@ -188,10 +197,10 @@ ORACLES = {
     "rehome_chunks": f"WITH RECURSIVE {CHUNKS}, {OCC} SELECT content_hash, path, ord FROM occ WHERE CAST(substr(path, 5) AS BIGINT) % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY path, ord) = 1",
     "redact_text": f"WITH {redactions()} SELECT doc_id, sha256(text) AS text_hash, array_to_string(kinds, ',') AS kinds FROM r{len(MARKED)}",
     "redaction_totals": f"WITH {redactions()}, k AS (SELECT unnest(kinds) AS kind FROM r{len(MARKED)}) SELECT kind, count(*) AS documents FROM k GROUP BY 1",
-    "html_scrub": f"SELECT page_id, sha256({scrub()}) AS html_hash FROM pages",
+    "html_scrub": scrub(),
     "html_escape": "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS html_hash FROM pages",
     "doc_title_date": f"WITH b AS (SELECT doc_id, {BODY} AS text FROM documents) SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^#[ \\t]+(.+)$') THEN trim(regexp_extract(text, '(?m)^#[ \\t]+(.+)$', 1)) ELSE CASE WHEN doc_id % 5 = 0 THEN '2024-12-31-' ELSE '' END || 'note' || doc_id END AS title, CASE WHEN doc_id % 5 = 0 THEN '2024-12-31' WHEN doc_id % 4 = 0 THEN '2025-03-04' ELSE strftime(make_timestamp(doc_id * 86400000000), '%Y-%m-%d') END AS doc_date FROM b",
-    "project_from_path": r"WITH p AS (SELECT page_id, regexp_extract(url, '^https?:/(/[^?#]*)', 1) AS path FROM pages), r AS (SELECT '/' || min(regexp_extract(path, '^/([^/]+)', 1)) AS root FROM p), q AS (SELECT p.*, root, path = root OR starts_with(path, root || '/') AS inside, substr(path, length(root) + 2) AS rest FROM p, r) SELECT page_id, path, CASE WHEN NOT inside THEN nullif(regexp_extract(path, '/(?:worktrees|\.worktrees)/([^/]+)(?:/|$)', 1), '') WHEN rest = '' OR NOT contains(rest, '/') THEN '_loose' ELSE string_split(rest, '/')[1] END AS project FROM q",
+    "project_from_path": r"WITH p AS (SELECT page_id, regexp_extract(url, '^https?:/(/[^?#]*)', 1) AS path FROM pages), r AS (SELECT '/' || min(regexp_extract(path, '^/([^/]+)', 1)) AS root FROM p), q AS (SELECT p.*, root, path = root OR starts_with(path, root || '/') AS inside, substr(path, length(root) + 2) AS rest FROM p, r) SELECT page_id, path, CASE WHEN NOT inside THEN coalesce(nullif(regexp_extract(path, '/\.codex/worktrees/[^/]+/([^/]+)', 1), ''), nullif(regexp_extract(path, '/codex_projects/([^/]+)', 1), '')) WHEN rest = '' OR NOT contains(rest, '/') THEN '_loose' ELSE string_split(rest, '/')[1] END AS project FROM q",
     "recent_feed_topn": "WITH o AS (SELECT o_orderpriority AS project, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) <= 12) SELECT * FROM o ORDER BY date DESC, id DESC LIMIT 36",
     "name_scan": f"WITH n AS (SELECT DISTINCT lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '_')) AS name FROM benchmark), l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) SELECT DISTINCT name, path, CAST(l.n AS INTEGER) AS n FROM n, l WHERE {PLAIN.format('name')} <> '' AND contains(' ' || {PLAIN.format('line')} || ' ', ' ' || {PLAIN.format('name')} || ' ')",
     "embed_sign": "WITH t AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda ch: ord(ch) % 16) AS c FROM documents), v AS (SELECT doc_id, list_transform(range(0, 16), lambda k: len(list_filter(c, lambda x: x = k))) AS v FROM t), n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))) AS norm FROM v) SELECT doc_id, round(v[1] / norm, 6) AS v0, round(v[2] / norm, 6) AS v1, round(v[6] / norm, 6) AS v5, round(v[16] / norm, 6) AS v15 FROM n",
