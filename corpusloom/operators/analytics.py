@@ -23,6 +23,23 @@ def by_type(documents: DataFrame) -> DataFrame:
     return documents.groupBy("source_type").agg(F.count("*").alias("documents"))
 
 
+def documents_of(documents: DataFrame, names: list[str]) -> DataFrame:
+    """(documents): how many a project has under any of its names, in either case."""
+    return documents.where(F.lower("project").isin([n.lower() for n in names])).agg(F.count("*").alias("documents"))
+
+
+def distilled_names(curated: DataFrame, renames: DataFrame) -> DataFrame:
+    """(project): names that have notes, and old names declared for them."""
+    own = curated.select("project").distinct()
+    return own.union(renames.join(own.select(F.col("project").alias("now")), "now", "left_semi").select(F.col("old").alias("project"))).distinct()
+
+
+def branch_share(documents: DataFrame) -> DataFrame:
+    """(project, branch, documents, share): how a project's transcripts divide among branches."""
+    n = documents.where(F.col("source_type") == model.TRANSCRIPT).groupBy("project", F.coalesce("branch", F.lit(model.CANONICAL)).alias("branch")).agg(F.count("*").alias("documents"))
+    return n.withColumn("share", F.col("documents") / F.sum("documents").over(Window.partitionBy("project")))
+
+
 def capture_lag(live: DataFrame, archived: DataFrame, alarm_hours: float = model.CAPTURE_ALARM_HOURS) -> DataFrame:
     """(source, lag_hours, state): newest live time against newest archived time, never below zero."""
     a = live.groupBy("source").agg(F.max("mtime").alias("live"))

@@ -1,23 +1,36 @@
-"""The store: numbered folders of Parquet tables, a manifest in each, and a pointer that is replaced whole."""
+"""The store: numbered folders of Parquet tables, a manifest in each, and a pointer that is replaced whole.
+
+What is written once for each distinct chunk (texts, postings, vectors) lies in segments that later snapshots go on
+reading; a run writes a segment of its new chunks only, and the hashes of chunks that no document holds any more (``dead``).
+Segments are merged when there are many, or many dead in them.
+"""
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import model
+from corpusloom.operators import indexed
 
-TABLES = ("documents", "chunks", "occurrences", "postings", "lengths", "vectors", "ingest_runs")
+#: Tables of a folder, and the schemas of those that lie in segments.
+TABLES = ("documents", "occurrences", "owners", "dead", "ingest_runs")
+SCHEMAS = {
+    "texts": "content_hash string, text string, bucket int", "postings": "term string, content_hash string, dl int, positions array<int>", "vectors": "content_hash string, model string, embedding array<float>",
+}
+#: Segments of a table at most, and dead chunks for each live one, beyond which segments are merged.
+MOST_SEGMENTS, MOST_DEAD = 8, 0.5
 
 
 class Store:
-    """A corpus below one folder, in any file system that Spark writes to."""
+    """A corpus below one folder, in any file system that Spark writes to; ``buckets`` is fixed by its first snapshot."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 8) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,50 +47,107 @@ class Store:
             stream.close()
 
     def _write(self, path: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
-        fs, p = self._fs(path)
-        _, part = self._fs(path + ".part")
+        """Write beside the target, then rename over it in one step: a reader sees the old or the new."""
+        fs, part = self._fs(path + ".part")
         stream = fs.create(part, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(part, p)
+        jvm = self.spark._jvm
+        rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = jvm.java.lang.reflect.Array.newInstance(rename, 1)
+        options[0] = rename.getEnumConstants()[1]
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, self._fs(path)[1], options)
+
+    def holds(self, path: str) -> bool:
+        """Whether a table was written whole below the path."""
+        fs, p = self._fs(f"{path}/_SUCCESS")
+        return fs.exists(p)
+
+    def log(self, name: str, record: dict) -> None:
+        """Append one record to the JSON-lines log ``name``."""
+        self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/logs/{name}")
+
+    def logged(self, name: str) -> DataFrame:
+        return self.spark.read.text(f"{self.root}/logs/{name}")
 
     def current(self) -> Snapshot | None:
         name = self._read(f"{self.root}/CURRENT")
         return Snapshot(self, int(name), json.loads(self._read(f"{self.root}/{name.strip()}/manifest.json") or "{}")) if name else None
 
-    def publish(self, tables: dict[str, DataFrame], meta: dict[str, str]) -> Snapshot:
-        """Write all tables of the next snapshot, then turn the pointer; readers of the last one go on.
+    def publish(self, tables: dict[str, DataFrame], added: dict[str, DataFrame], meta: dict[str, str], anew: bool = False) -> Snapshot:
+        """Write the tables and the new segments of the next snapshot, then turn the pointer; readers of the last one go on.
 
-        Postings are sorted by term, so that a query's terms prune row groups.
+        ``added`` has the rows of each new segment; with ``anew`` it has all rows, and older segments are left.
         """
         last = self.current()
         number = last.number + 1 if last else 0
+        segments = {n: [] if anew or not last else list(last.meta["segments"][n]) for n in SCHEMAS}
         for name, df in tables.items():
-            target = f"{self.root}/{number}/{name}"
-            if name == "postings":
-                df = df.repartitionByRange("term").sortWithinPartitions("term")
-            df.write.mode("overwrite").parquet(target)
-        manifest = (last.meta if last else {}) | {"schema_version": str(model.SCHEMA_VERSION)} | meta
+            df.write.mode("overwrite").parquet(f"{self.root}/{number}/{name}")
+        for name, df in added.items():
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy("bucket") if name == "texts" else writer).parquet(f"{self.root}/{number}/{name}")
+            segments[name].append(f"{number}/{name}")
+        owners = self.spark.read.parquet(f"{self.root}/{number}/owners").agg(F.count("*"), F.avg("dl")).first()
+        dead = self.spark.read.parquet(f"{self.root}/{number}/dead").count()
+        models = [r[0] for r in self.spark.read.schema(SCHEMAS["vectors"]).parquet(*(f"{self.root}/{s}" for s in segments["vectors"])).select("model").distinct().collect()]
+        facts = {"segments": segments, "buckets": last.meta["buckets"] if last else self.buckets, "total": owners[0], "mean_dl": owners[1] or 0.0, "dead": dead, "models": models}
+        manifest = (last.meta if last else {}) | {"schema_version": str(model.SCHEMA_VERSION)} | facts | meta
         self._write(f"{self.root}/{number}/manifest.json", json.dumps(manifest))
         self._write(f"{self.root}/CURRENT", str(number))
-        return Snapshot(self, number, manifest)
+        snapshot = Snapshot(self, number, manifest)
+        return snapshot.merged() if snapshot.is_scattered() else snapshot
 
 
 @dataclass
 class Snapshot:
     store: Store
     number: int
-    meta: dict[str, str]
+    meta: dict
+
+    def path(self, name: str) -> str:
+        return f"{self.store.root}/{self.number}/{name}"
+
+    def segments(self, name: str) -> DataFrame:
+        """All rows of a segmented table, also of dead chunks."""
+        read = self.store.spark.read
+        return reduce(DataFrame.unionByName, (read.schema(SCHEMAS[name]).parquet(f"{self.store.root}/{s}") for s in self.meta["segments"][name]))
+
+    def live(self, name: str) -> DataFrame:
+        rows = self.segments(name)
+        return rows.join(self.table("dead"), "content_hash", "left_anti") if self.meta["dead"] else rows
 
     def table(self, name: str) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.store.root}/{self.number}/{name}")
+        """A table by name; chunks are owners with their texts."""
+        if name == "chunks":
+            return self.table("owners").join(self.segments("texts").drop("bucket"), "content_hash").select("content_hash", "path", "ord", "kind", "text")
+        return self.live(name) if name in SCHEMAS else self.store.spark.read.parquet(self.path(name))
+
+    def is_scattered(self) -> bool:
+        return max(map(len, self.meta["segments"].values())) > MOST_SEGMENTS or self.meta["dead"] > MOST_DEAD * max(1, self.meta["total"])
+
+    def merged(self) -> Snapshot:
+        """The next snapshot, with the same rows in one segment each and no dead ones."""
+        same = {n: self.table(n) for n in TABLES if n != "dead"} | {"dead": self.table("dead").where("false")}
+        rows = {n: self.live(n) for n in SCHEMAS} | {"postings": self.live("postings").repartitionByRange("term", "content_hash").sortWithinPartitions("term")}
+        return self.store.publish(same, rows, {}, anew=True)
 
     def search_rows(self) -> DataFrame:
-        """Chunks with the attributes of the documents that hold them, one row for each occurrence."""
+        """Occurrences with the attributes of the documents that hold them and their text."""
+        return self.places().join(self.segments("texts").drop("bucket"), "content_hash")
+
+    def places(self) -> DataFrame:
         d = self.table("documents").select("path", "project", "source_type", "doc_date", "title", "branch")
         o = self.table("occurrences").select("path", "ord", "content_hash", "kind")
-        c = self.table("chunks").select("content_hash", "text")
-        return o.join(d, "path").join(c, "content_hash").withColumn("chunk_id", F.xxhash64("path", "ord"))
+        return o.join(d, "path").withColumn("chunk_id", F.xxhash64("path", "ord"))
+
+    @cached_property
+    def index(self) -> indexed.Index:
+        """What a search reads."""
+        unit = F.col("content_hash").alias("unit")
+        rows = self.places().withColumn("branch", F.coalesce("branch", F.lit(model.CANONICAL)))
+        rows = rows.select(unit, "chunk_id", "path", "project", "source_type", "kind", "doc_date", "title", "ord", "branch")
+        return indexed.Index(
+            rows, self.live("postings").withColumnRenamed("content_hash", "unit"), self.segments("texts").withColumnRenamed("content_hash", "unit"), self.meta["total"], self.meta["mean_dl"], self.meta["buckets"],
+            self.live("vectors").withColumnRenamed("content_hash", "unit") if self.meta["models"] else None, tuple(self.meta["models"]),
+        )
