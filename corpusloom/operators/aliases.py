@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Folders that hold checkouts outside every root, and how many path parts lie between them and the project.
+CONTAINERS = ((r"\.codex/worktrees", 1), ("codex_projects", 0))
+
+
 def resolve(aliases: DataFrame, names: DataFrame) -> DataFrame:
     """(name, canonical, names): ``aliases`` is (alias, canonical); an unknown name stands for itself."""
     held = aliases.select(F.lower("alias").alias("_a"), "canonical").dropDuplicates(["_a"])
@@ -27,5 +31,5 @@ def project_of(paths: DataFrame, roots: list[str], is_file: bool = True) -> Data
     rest = F.substr("path", F.length("_root") + F.lit(2))
     deep = F.split(rest, "/")
     loose = (F.length(rest) == 0) | (F.lit(is_file) & (F.size(deep) == 1))
-    container = F.nullif(F.regexp_extract("path", r"/(?:worktrees|\.worktrees)/([^/]+)(?:/|$)", 1), F.lit(""))
+    container = F.coalesce(*(F.nullif(F.regexp_extract("path", rf"(?:^|/){name}/(?:[^/]+/){{{skip}}}([^/]+)(?:/|$)", 1), F.lit("")) for name, skip in CONTAINERS))
     return paths.withColumn("_root", root).select("path", F.when(F.col("_root").isNull(), container).when(loose, "_loose").otherwise(deep[0]).alias("project"))

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.sources import exports
-from corpusloom.sources.files import plain_path
-
-
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, size) of every file below ``root``; contents are not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.select(plain_path(F.col("path")).alias("path"), (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"), F.col("length").alias("size"))
 
 
 def export_batches(files: DataFrame) -> DataFrame:
@@ -23,6 +16,16 @@ def export_batches(files: DataFrame) -> DataFrame:
     return by.select("batch", exports.batch_date(F.col("batch"), F.col("mtime")).alias("batch_date"), "files").orderBy("batch_date", "batch")
 
 
+def second_batches(files: DataFrame, prefix: str = "data-") -> DataFrame:
+    """(batch, batch_date) of folders of the second export: named with the prefix, or holding a file only it has."""
+    folder = F.regexp_replace("path", r"/[^/]*$", "")
+    marks = F.substring_index("path", "/", -1).isin("memories.json", "projects.json") | F.col("path").rlike(r"/projects/[^/]+\.json$")
+    home = F.regexp_replace(folder, r"/projects$", "")
+    held = files.select(home.alias("batch"), "mtime", (marks | F.substring_index(home, "/", -1).startswith(prefix)).alias("is"))
+    by = held.groupBy("batch").agg(F.max("mtime").alias("mtime"), F.bool_or("is").alias("is")).where("is")
+    return by.select("batch", exports.batch_date(F.col("batch"), F.col("mtime")).alias("batch_date")).orderBy("batch_date", "batch")
+
+
 def rollouts(files: DataFrame, folders: tuple[str, ...] = ("sessions", "archived_sessions")) -> DataFrame:
     """Rollout files below the named folders, with whether they are archived ones."""
     parts = F.split("path", "/")

@@ -19,6 +19,8 @@ PERSONAL = ("user.json", "users.json", "login_history.json")
 SKIPPED = ("chat.html", "ads.json", "export_manifest.json", "conversation_asset_file_names.json", "library_files.json", "user_settings.json", "message_feedback.json", "shared_conversations.json")
 CONVERSATIONS = r"conversations[^/]*\.json"
 EXPORT_SALIENT = ("command", "file_path", "path", "query", "pattern", "url", "prompt", "description")
+ASSET_NAMES = "conversation_asset_file_names.json"
+ASSET_KINDS = {"image_asset_pointer": "image", "audio_asset_pointer": "audio", "real_time_user_audio_video_asset_pointer": "video"}
 CONTENT_TYPES = ("text", "multimodal_text", "code", "execution_output", "thoughts", "reasoning_recap")
 
 
@@ -50,6 +52,16 @@ def json_files(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame,
     return raw.where("v is not null"), raw.where("v is null").select("path")
 
 
+def asset_names(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Names of assets by their key, from the maps beside an export's conversations; a map that isn't there, or no map, is empty."""
+    held = [p for p in paths if (found := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)]
+    if not held:
+        return {}
+    good, _ = json_files(spark, held)
+    rows = good.select("path", F.explode(F.try_variant_get("v", "$", "map<string,string>")).alias("key", "name")).where("name is not null")
+    return {r["key"]: r["name"] for r in rows.orderBy("path").collect()}
+
+
 def items(files: DataFrame, inner: str = "conversations") -> DataFrame:
     """(path, at, item): elements of an array, of an object's array ``inner``, or the object itself."""
     listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", f"$.{inner}", "array<variant>"), F.array("v"))
@@ -69,7 +81,7 @@ def node_text(message: Column, assets: Column) -> Column:
         key = F.substring_index(pointer, "/", -1)
         name = F.coalesce(F.try_element_at(assets, F.concat(key, F.lit(".dat"))), F.try_element_at(assets, key))
         what = F.coalesce(get(part, "content_type"), F.lit("asset"))
-        what = F.when(what == "image_asset_pointer", "image").when(what == "audio_asset_pointer", "audio").when(what == "real_time_user_audio_video_asset_pointer", "video").otherwise(what)
+        what = F.coalesce(*(F.when(what == kind, name_) for kind, name_ in ASSET_KINDS.items()), what)
         return F.when(pointer.isNotNull(), F.concat(F.lit("["), what, F.coalesce(F.concat(F.lit(": "), name), F.lit("")), F.lit("]")))
 
     said = lambda s: F.when(F.trim(s) != "", s)

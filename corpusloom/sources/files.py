@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fnmatch import translate
 
@@ -85,18 +87,87 @@ def metadata_path() -> Column:
     return F.url_decode(F.replace(plain_path(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
 
 
-def read_tree(spark: SparkSession, root: str, label: str, config: Config, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+@dataclass(frozen=True)
+class Found:
+    """A file of a listing; its time is in seconds, to the millisecond that Spark's readers tell."""
+
+    path: str
+    mtime: float
+    size: int
+
+
+def local(root: str) -> str | None:
+    """The path of a root on this machine's own disk, if it is one."""
+    scheme = re.match(r"([a-z][a-z0-9+.-]*):", root)
+    return re.sub(r"^file:/*", "/", root) if not scheme or scheme[1] == "file" else None
+
+
+def entries(spark: SparkSession, folder: str) -> Iterator[tuple[str, bool, Found]]:
+    """(name, is folder, file) of what lies in a folder; links are left out, an unreadable folder is empty."""
+    if (own := local(folder)) is not None:
+        try:
+            with os.scandir(own) as held:
+                for e in sorted(held, key=lambda e: e.name):
+                    if not e.is_symlink():
+                        at = e.stat(follow_symlinks=False)
+                        yield e.name, e.is_dir(follow_symlinks=False), Found(e.path, at.st_mtime_ns // 1_000_000 / 1000, at.st_size)
+        except OSError:
+            return
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        held = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    except Exception:  # noqa: BLE001  the file system's own errors: no access, no such folder
+        return
+    for f in held:
+        if not f.isSymlink():
+            yield f.getPath().getName(), f.isDirectory(), Found(f.getPath().toString(), f.getModificationTime() / 1000, f.getLen())
+
+
+def walk(spark: SparkSession, root: str, config: Config = Config(), suffixes: tuple[str, ...] | None = None) -> Iterator[Found]:  # noqa: B008  never changed
+    """Files below ``root`` that the configuration admits, of all suffixes if none are given.
+
+    Excluded and forbidden folders are not listed, links are not followed, and no file is opened.
+    """
+    dirs, names = re.compile(globs(config.exclude_dirs)), re.compile(globs(config.exclude_files))
+    banned = [p.rstrip("/") for p in config.never_index]
+    forbidden = lambda path: any(path == p or path.startswith(p + "/") for p in banned)
+    left = [root.rstrip("/")]
+    while left:
+        for name, is_dir, found in entries(spark, left.pop()):
+            plain = local(found.path) or found.path
+            if forbidden(plain):
+                continue
+            if is_dir and not dirs.match(name):
+                left.append(found.path)
+            elif not is_dir and not names.match(name) and (suffixes is None or name.lower().endswith(suffixes)):
+                yield found
+
+
+def listing(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:  # noqa: B008  never changed
+    """(path, mtime, size) of every admitted file below ``root``; contents are not read."""
+    return listed(spark, list(walk(spark, root, config)))
+
+
+def listed(spark: SparkSession, found: list[Found]) -> DataFrame:
+    return spark.createDataFrame([(f.path, f.mtime, f.size) for f in found], "path string, mtime double, size long")
+
+
+def read_tree(spark: SparkSession, root: str, label: str, config: Config, suffixes: tuple[str, ...] = SUFFIXES, skip: Callable[[list[Found]], set[str]] | None = None) -> DataFrame:
     """(path, root, project, text, encoding_fallback, mtime, size) of the admitted files below ``root``.
 
-    Content is read of admitted files only: the filter on the path is pushed below the read of bytes.
+    The tree is walked first, so only admitted files are opened; of these ``skip`` names those that need no read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = plain_path(F.col("path"))
-    base = re.sub(r"^file:/*", "/", root).rstrip("/")
-    rows = raw.select(path.alias("path"), F.col("modificationTime").alias("at"), F.col("length").alias("size"), "content")
-    rel = F.substr("path", F.lit(len(base) + 2))
-    rows = rows.where(admitted(rel, F.col("path"), config, suffixes))
-    parts = F.split(rel, "/")
+    found = list(walk(spark, root, config, suffixes))
+    done = skip(found) if skip else set()
+    wanted = [f.path for f in found if f.path not in done]
+    if not wanted:
+        return spark.createDataFrame([], "path string, root string, project string, text string, encoding_fallback boolean, mtime double, size long")
+    # a path's own characters are no glob
+    raw = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in wanted])
+    rows = raw.select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("at"), F.col("length").alias("size"), "content")
+    base = (local(root) or root).rstrip("/")
+    parts = F.split(F.substr("path", F.lit(len(base) + 2)), "/")
     return rows.select("path", F.lit(label).alias("root"), F.when(F.size(parts) == 1, "_loose").otherwise(parts[0]).alias("project"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), (~F.is_valid_utf8(F.col("content").cast("string"))).alias("encoding_fallback"), (F.unix_micros("at") / F.lit(1e6)).alias("mtime"), "size")
 
 

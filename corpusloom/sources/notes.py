@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DECISION = r"^##\s+(D-\d{4}-\d{2}-\d{2}[A-Za-z]?(?:-\d+[A-Za-z]?)?)\s*(?:[—–-]+\s*)?(.*?)\s*(?:\[([^\]]+)\])?\s*$"
-DECISION_ID = r"D-\d{4}-\d{2}-\d{2}[A-Za-z]?(?:-\d+[A-Za-z]?)?"
+# A decision's identifier is a date and a series of letters or digits.
+DECISION_ID = r"D-\d{4}-\d{2}-\d{2}-[A-Za-z0-9]+"
+DECISION = rf"^##\s+({DECISION_ID})\s*(?:[—–-]+\s*)?(.*?)\s*(?:\[([^\]]+)\])?\s*$"
 LOG = r"^##\s+(\d{4}-\d{2}-\d{2})\s*[—–-]+\s*([^—–]+?)\s*(?:[—–]+\s*(.*))?$"
 
 
