@@ -25,14 +25,14 @@ def test_report_and_dashboard(spark, tmp_path):
     snap = ingest.run(store, docs, docs.select("source_type"))
     row = report.health(snap).first()
     assert (row.documents, row.pending, row.verdict, row.state, row.dangling_occurrences) == (2, 2, "DEGRADED", "amber", 0) and report.exit_code(row) == 1
-    assert report.health(snap) is report.health(store.current())
+    assert report.health(snap).collect() == report.health(store.current()).collect()
     assert {(r.source_type, r.redacted) for r in report.coverage(snap).collect()} == {("repo-doc", 1), ("curated", 0)}
     assert [(r.kind, r.documents) for r in report.redaction_totals(snap).collect()] == [("openai-key", 1)]
-    curated = spark.createDataFrame([("done/overview.md", "done", "# Done\n**Status:** *running*\n## Open questions\n- why\n"), ("done/log.md", "done", "## 2026-03-01 — me — Started\ntext\n"), ("done/decisions.md", "done", "## D-2026-03-01 — Go [active]\n- Why: x\n")], "path string, project string, text string")
+    curated = spark.createDataFrame([("done/overview.md", "done", "# Done\n**Status:** *running*\n## Open questions\n- why\n"), ("done/log.md", "done", "## 2026-03-01 — me — Started\ntext\n"), ("done/decisions.md", "done", "## D-2026-03-01-01 — Go [active]\n- Why: x\n")], "path string, project string, text string")
     n = snap.table("occurrences").groupBy("path").agg(F.count("*").alias("n_chunks"))
     board = report.dashboard(curated, snap.table("documents"), n, "2026-03-02")
     page = report.home_page(board)
-    assert "**done** 2026-03-01 running" in page and "D-2026-03-01 done: Go [active]" in page and "done: why" in page and "raw: 1 documents" in page
+    assert "**done** 2026-03-01 running" in page and "D-2026-03-01-01 done: Go [active]" in page and "done: why" in page and "raw: 1 documents" in page
     assert "raw" in report.distill_prompt(board.backlog.first())
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import querytext, text
-from corpusloom.operators import aliases, chunking, reading, search
+from corpusloom.operators import aliases, chunking, indexed, reading, search
 from corpusloom.operators.filters import Filters
 from corpusloom.plans import ingest
 from corpusloom.plans.snapshot import Store
@@ -40,6 +42,44 @@ def test_tree(spark, tmp_path):
     assert got["alpha/docs/a.md"].project == "alpha" and got["alpha/docs/a.md"].size == 8 and not got["alpha/docs/a.md"].encoding_fallback
 
 
+def test_walk_prunes_and_follows_no_links(spark, tmp_path):
+    root, outside = tmp_path / "repos", tmp_path / "outside"
+    put(root / "a/x.md", "x")
+    put(outside / "y.md", "y")
+    put(root / "secrets/z.md", "z")
+    os.symlink(outside, root / "a/linked")
+    os.symlink(outside / "y.md", root / "a/y.md")
+    # what cannot be opened lies in a folder that isn't entered, or is a link
+    os.symlink(tmp_path / "nowhere.md", root / "secrets/broken.md")
+    os.symlink(tmp_path / "nowhere.md", root / "a/broken.md")
+    put(root / "b[1]/odd {name}*.md", "odd")
+    cfg = files.Config(exclude_dirs=("secrets",))
+    got = {r.path[len(str(root)) + 1 :]: r.text for r in files.read_tree(spark, f"file://{root}", "repos", cfg).collect()}
+    assert got == {"a/x.md": "x", "b[1]/odd {name}*.md": "odd"}
+    assert files.read_tree(spark, str(tmp_path / "none"), "r", cfg).count() == 0
+    seen = []
+    files.read_tree(spark, str(root), "repos", cfg, skip=lambda found: seen.extend(found) or {f.path for f in found if f.path.endswith("x.md")})
+    assert len(seen) == 2
+
+
+def test_scrub(spark):
+    """The rule itself: what begins at a dangerous element goes to its closing tag, or to the end."""
+    cases = {
+        "<p>x</p><script>alert(1)": "<p>x</p>", "a< script >b</ script >c": "ac", "a<applet code=x>b</applet>c": "ac", "a<STYLE>b</style>c<b>d</b>": "ac<b>d</b>", "a<meta charset=x>b": "a", "x</form>y": "xy",
+        '<a onclick="f()" href="/ok">z</a>': '<a href="/ok">z</a>', "<a href='javascript:f()'>z</a>": '<a href="#">z</a>', "<img src=data:x>": '<img src="#">', "<p>scripted</p>": "<p>scripted</p>", '<a href="javascript:it(\'s\')">z</a>': '<a href="javascript:it(\'s\')">z</a>',
+    }
+    df = spark.createDataFrame(list(cases.items()), "html string, want string").select("want", text.scrubbed(F.col("html")).alias("got"))
+    assert [(r.got) for r in df.collect()] == [r.want for r in df.collect()]
+
+
+@pytest.mark.parametrize("series", ["B01", "TM05", "AD01", "M01", "01"])
+def test_decision_series(spark, series):
+    n = spark.createDataFrame([("p/decisions.md", "p", f"## D-2026-04-10-{series} — A title; of one [active]\n- Why: x\n## D-2026-04-11-{series} — Second\n- Status: superseded by D-2026-04-10-{series} — replaced\n")], "path string, project string, text string")
+    got = {r.id: r for r in notes.decisions(n).collect()}
+    assert got[f"D-2026-04-10-{series}"].title == "A title; of one" and got[f"D-2026-04-10-{series}"].supersedes == [f"D-2026-04-11-{series}"]
+    assert got[f"D-2026-04-11-{series}"].superseded_by == [f"D-2026-04-10-{series}"]
+
+
 def test_admission(spark):
     cfg = files.Config(roots={"r": "/r"}, exclude_dirs=("node_modules",), exclude_files=(".env*",), never_index=("/r/never",))
     paths = ["/r/a/b.md", "/r//a/./b.txt", "/r/a/../../etc/x.md", "/x/a.md", "/r/node_modules/a.md", "/r/.env.md", "/r/never/a.md", "/r/private/a.md", "/r/a.py", "/r"]
@@ -133,14 +173,14 @@ def test_flat_export(spark, tmp_path):
 
 
 def test_notes(spark):
-    body = "## D-2026-01-02 — Use Spark [active]\n- **Why:** fast\n## D-2026-01-03a — Old way\n- **Status:** superseded by D-2026-01-02\n- **Date:** 2025-12-31\n"
+    body = "## D-2026-01-02-01 — Use Spark [active]\n- **Why:** fast\n## D-2026-01-03-B02 — Old way\n- **Status:** superseded by D-2026-01-02-01\n- **Date:** 2025-12-31\n"
     n = spark.createDataFrame([("p/decisions.md", "p", body)], "path string, project string, text string")
     got = {r.id: r for r in notes.decisions(n).collect()}
-    assert (got["D-2026-01-02"].status, got["D-2026-01-02"].supersedes, got["D-2026-01-02"].why, got["D-2026-01-02"].title) == ("active", ["D-2026-01-03a"], "fast", "Use Spark")
-    assert (got["D-2026-01-03a"].status, got["D-2026-01-03a"].superseded_by, got["D-2026-01-03a"].date) == ("superseded", ["D-2026-01-02"], "2025-12-31")
-    log = n.withColumn("text", F.lit("## 2026-01-05 — bot — Did things\n- first D-2026-01-02\nmore D-2026-01-02\n"))
+    assert (got["D-2026-01-02-01"].status, got["D-2026-01-02-01"].supersedes, got["D-2026-01-02-01"].why, got["D-2026-01-02-01"].title) == ("active", ["D-2026-01-03-B02"], "fast", "Use Spark")
+    assert (got["D-2026-01-03-B02"].status, got["D-2026-01-03-B02"].superseded_by, got["D-2026-01-03-B02"].date) == ("superseded", ["D-2026-01-02-01"], "2025-12-31")
+    log = n.withColumn("text", F.lit("## 2026-01-05 — bot — Did things\n- first D-2026-01-02-01\nmore D-2026-01-02-01\n"))
     e = notes.log_entries(log).first()
-    assert (e.date, e.agent, e.heading, e.decisions, e.first_line) == ("2026-01-05", "bot", "Did things", ["D-2026-01-02"], "first D-2026-01-02")
+    assert (e.date, e.agent, e.heading, e.decisions, e.first_line) == ("2026-01-05", "bot", "Did things", ["D-2026-01-02-01"], "first D-2026-01-02-01")
     q = n.withColumn("text", F.lit("## Open questions\n- why?\n  because\n- done (resolved 2026)\n## Other\n- no\n"))
     assert [r.question for r in notes.open_questions(q).collect()] == ["why? because"]
     index = n.withColumn("text", F.lit("## Families\n| f | m | n |\n|---|---|---|\n| F | `alpha`, `beta` | was `old-alpha` |\n## Projects\n| name | x | y | z | aliases |\n|--|--|--|--|--|\n| beta | a | b | c | bb, `cc` |\n"))
@@ -197,6 +237,9 @@ def test_store_over_runs(spark, tmp_path):
     assert {r.path for r in second.table("documents").collect()} == {"/r/p/a.md", "/r/p/b.md", "/s#session=1"}
     assert {r.path for r in second.table("chunks").where("text like 'alpha%'").collect()} == {"/r/p/b.md"}
     assert second.table("vectors").count() == 3 and second.number == 1
+    # of the second run only new chunks were written
+    assert second.meta["segments"]["postings"] == ["0/postings", "1/postings"]
+    assert second.store.spark.read.parquet(f"file://{tmp_path}/store/1/texts").select("text").collect() == [("gamma words only",)]
     # b is gone: its chunk, postings and vector go too
     third = ingest.run(store, docs(spark, two[:1]), scanned, None)
     assert third.table("chunks").where("text like 'alpha%'").count() == 0 and third.table("postings").where("term = 'alpha'").count() == 0
@@ -206,6 +249,17 @@ def test_store_over_runs(spark, tmp_path):
     rows = third.search_rows().withColumn("branch", F.lit("canonical"))
     found = search.search(rows, None, "gamma", filters=Filters(projects=("P",))).collect()
     assert [r.path for r in found] == ["/r/p/a.md"] and found[0].matched_by == ["fts"] and found[0].confidence == 1.0
+    near = indexed.find(third.index, "gamma", ingest.sign_embedder(["gamma words only"])[0], name="sign-16").collect()
+    assert near[0].path == "/r/p/a.md" and near[0].matched_by == ["fts", "vector"] and "/s#session=1" in {r.path for r in near}
+    with pytest.raises(ValueError, match="sign-16"):
+        indexed.find(third.index, "gamma", [0.0] * 16, name="other")
+    # a dead chunk that comes back is not written again
+    fourth = ingest.run(store, docs(spark, two), scanned, ingest.sign_embedder)
+    assert fourth.meta["segments"] == third.meta["segments"] and fourth.meta["dead"] == 0 and fourth.table("chunks").count() == 3
+    assert [r.path for r in indexed.find(fourth.index, "alpha").collect()] == ["/r/p/b.md"] and fourth.meta["total"] == 3
+    merged = fourth.merged()
+    assert all(len(v) == 1 for v in merged.meta["segments"].values()) and merged.table("chunks").count() == 3
+    assert [r.path for r in indexed.find(merged.index, "alpha").collect()] == ["/r/p/b.md"]
     got = reading.read_documents(third.table("occurrences"), third.table("chunks")).where("path = '/s#session=1'").first().text
     assert got == "beta words password"
 
