@@ -50,6 +50,8 @@ CUTOFF, MEDIAN = 38.2, 3.357
 INNER = 11.143
 #: Points of a statistic's grid by unit, and of a distance's logarithm, from which quantiles are taken.
 GRID, SPOTS = 400, 256
+#: Groups whose estimates may be broadcast, of some 200 bytes each; beyond it they are joined.
+BROADCAST_GROUPS = 100_000
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -129,6 +131,10 @@ def levels(rows: DataFrame) -> DataFrame:
     return materialize(held.select("g_lang", F.col("source").alias("g_source"), own.alias("own"), feeds.alias("feeds")), "groups")
 
 
+def hinted(groups: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(groups) if n <= BROADCAST_GROUPS else groups
+
+
 def with_level(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), how)
 
@@ -156,7 +162,7 @@ def starts(held: DataFrame) -> DataFrame:
     middle = held.groupBy("key").agg(*(F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"q{i}") for i, s in enumerate(STATISTICS)))
     middle = materialize(middle, "groups")
     off = [F.percentile(F.abs(F.col(s) - F.col(f"q{i}")[1]), 0.5, F.col("n")).alias(f"a{i}") for i, s in enumerate(STATISTICS)]
-    both = materialize(middle.join(held.join(middle, "key").groupBy("key").agg(*off), "key"), "groups")
+    both = materialize(middle.join(held.join(hinted(middle, middle.count()), "key").groupBy("key").agg(*off), "key"), "groups")
     wide = ([1.4826 * F.col(f"a{i}") for i in range(k)], [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(k)])
     means = {f"m{i}": F.col(f"q{i}")[1] for i in range(k)}
     out = [both.withColumns({"start": F.lit(at)} | means | {f"c{i}{j}": F.pow(w[i], 2) if i == j else F.lit(0.0) for i in range(k) for j in range(i + 1)}) for at, w in enumerate(wide)]
@@ -168,19 +174,19 @@ def spot() -> Column:
     return F.round(SPOTS * F.log1p("d"))
 
 
-def scaled(held: DataFrame, groups: DataFrame) -> DataFrame:
+def scaled(held: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """``groups`` with the scale that makes the median distance of the cells' rows that of a normal sample, 1 at least."""
-    middle = held.join(groups, "key").withColumn("d", distance()).groupBy("key").agg(F.percentile(spot(), 0.5, F.col("n")).alias("q"))
+    middle = held.join(hinted(groups, n), "key").withColumn("d", distance()).groupBy("key").agg(F.percentile(spot(), 0.5, F.col("n")).alias("q"))
     return materialize(groups.join(middle, "key").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("q") / SPOTS) / MEDIAN)).drop("q"), "groups")
 
 
 def robust(held: DataFrame) -> DataFrame:
     """The estimate of each key from its cells: location, root of the covariance, and the scale of distances."""
     now, cores = materialize(starts(held).withColumn("size", F.lit(math.inf)), "groups"), None
-    while not now.isEmpty():
-        far = held.join(now, "key").select("key", "start", "n", F.col("size").alias("before"), *STATISTICS, distance().alias("d"))
+    while n := now.count():
+        far = held.join(hinted(now, n), "key").select("key", "start", "n", F.col("size").alias("before"), *STATISTICS, distance().alias("d"))
         near = far.groupBy("key", "start").agg(F.percentile(spot(), NEAREST, F.col("n")).alias("q"))
-        inside = far.join(near, ["key", "start"]).where(spot() <= F.col("q"))
+        inside = far.join(hinted(near, n), ["key", "start"]).where(spot() <= F.col("q"))
         core = factored(moments(inside)).join(now.select("key", "start", F.col("size").alias("before")), ["key", "start"])
         core = materialize(core, "groups")
         cores = core if cores is None else cores.union(core)
@@ -188,9 +194,11 @@ def robust(held: DataFrame) -> DataFrame:
     if cores is None:
         return now.withColumn("scale", F.lit(1.0))
     least = cores.groupBy("key").agg(F.min_by(F.struct(*(c for c in cores.columns if c != "key")), F.struct("size", "start")).alias("core"))
-    best = scaled(held, least.select("key", "core.*"))
-    inner = held.join(best, "key").withColumn("d", distance() / F.col("scale")).where(F.col("d") <= INNER)
-    return scaled(inner.select("key", "n", *STATISTICS), factored(moments(inner)))
+    least = materialize(least.select("key", "core.*"), "groups")
+    n = least.count()
+    best = scaled(held, least, n)
+    inner = held.join(hinted(best, n), "key").withColumn("d", distance() / F.col("scale")).where(F.col("d") <= INNER)
+    return scaled(inner.select("key", "n", *STATISTICS), materialize(factored(moments(inner)), "groups"), n)
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -198,8 +206,10 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = materialize(statistics(counts(docs)), "quality")
     passed = rows.where("not base_failed")
     groups = levels(passed)
+    groups = hinted(groups, groups.count())
     held = materialize(cells(with_level(passed, groups).select(F.explode("feeds").alias("key"), *STATISTICS)), "cells")
-    joined = with_level(rows, groups, "left").join(robust(held), F.col("own") == F.col("key"), "left")
+    found = robust(held)
+    joined = with_level(rows, groups, "left").join(hinted(found, found.count()), F.col("own") == F.col("key"), "left")
     out = joined.withColumn("distance", F.when(~F.col("base_failed"), distance() / F.col("scale")))
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
