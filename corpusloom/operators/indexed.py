@@ -35,6 +35,8 @@ class Index:
     buckets: int
     vectors: DataFrame | None = None
     models: tuple[str, ...] = field(default=())
+    #: unit and kind of every place, from which a filter on the kind alone is answered
+    kinds: DataFrame | None = None
 
     def checked(self, name: str | None) -> DataFrame | None:
         """Vectors of one model; a query of another model is refused."""
@@ -83,7 +85,9 @@ def scores(index: Index, phrases: list[list[str]], allowed: DataFrame | None = N
 
 
 def allowed(index: Index, filters: Filters) -> DataFrame | None:
-    return index.rows.where(filters.predicate()).select("unit") if filters.active() else None
+    """(unit) of the places that pass; a filter on the kind alone doesn't touch documents."""
+    rows = index.rows if filters.needs_documents() or index.kinds is None else index.kinds
+    return rows.where(filters.predicate()).select("unit") if filters.active() else None
 
 
 def lexical_leg(index: Index, query: str, limit: int, filters: Filters = Filters()) -> DataFrame:  # noqa: B008  immutable

@@ -379,8 +379,7 @@ def alias_resolution(spark, sf_dir):
 
 def alias_suppressions(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    renames = docs.select(F.col("project").alias("old")).distinct().withColumn("now", F.concat(F.lit("src"), ((F.substring("old", 4, 9).cast("int") + 1) % 20).cast("string")))
-    return analytics.suppressions(docs, renames, _distilled(spark, sf_dir))
+    return analytics.suppressions(docs, _renames(docs), _distilled(spark, sf_dir))
 
 
 def _records(spark, sf_dir):
@@ -505,11 +504,51 @@ def recent_feed_topn(spark, sf_dir):
 
 def name_scan(spark, sf_dir):
     """First two words of every benchmark item, as names, in the lines of all documents."""
-    names = table(spark, sf_dir, "benchmark").select(F.lower(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), 1, 2), "_")).alias("name")).distinct()
+    names = _names(spark, sf_dir).select("name").distinct()
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return notes.name_scan(rows, names).select("name", "path", "n")
 
 
+def _names(spark, sf_dir):
+    """First two words of every benchmark item, as names."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), 1, 2), "_")).alias("name"))
+
+
+def protected_names(spark, sf_dir):
+    """Names of all items but those that every third item allows, too short ones and generic ones."""
+    n = _names(spark, sf_dir)
+    return notes.protected_names(n, n.where("item_id % 3 = 0"), ("the_first", "In_The"), 7)
+
+
+def session_files(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    listing = c.select((F.col("conv_id") % 50).alias("session"), F.concat_ws("/", F.lit("f"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), (F.col("conv_id") + F.col("turn") / 8).alias("mtime"), F.length("text").cast("long").alias("size"))
+    return sessions.session_files(listing).withColumn("files", F.sha2(F.array_join("files", ","), 256))
+
+
+def _renames(docs):
+    return docs.select(F.col("project").alias("old")).distinct().withColumn("now", F.concat(F.lit("src"), ((F.substring("old", 4, 9).cast("int") + 1) % 20).cast("string")))
+
+
+def distilled_names(spark, sf_dir):
+    return analytics.distilled_names(_distilled(spark, sf_dir), _renames(corpus(spark, sf_dir)))
+
+
+def project_documents(spark, sf_dir):
+    return analytics.documents_of(corpus(spark, sf_dir), [PROJECT.upper(), "src5"])
+
+
+def transcript_branches(spark, sf_dir):
+    return analytics.branch_share(corpus(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+def reattributed(spark, sf_dir):
+    """Every fourth document is found in another project, every eighth in none."""
+    c = corpus(spark, sf_dir)
+    found = c.where("chunk_id % 4 = 0").select("path", F.when(F.col("chunk_id") % 8 == 0, "").otherwise(F.concat(F.lit("new"), (F.col("chunk_id") % 3).cast("string"))).alias("project"))
+    return maintenance.reattributed(c.select("path", "project"), found)
+
+
 def _times(values: str, wanted: int):
     return F.size(F.filter(values, lambda x: x == wanted))
 
@@ -532,7 +571,7 @@ def embed_sign_python(spark, sf_dir):
     from corpusloom.plans.ingest import embedded
 
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("content_hash"), "text")
-    return embedded(rows, sign_embedder, "sign-16").select("content_hash", F.round(F.col("embedding")[0], 4).alias("v0"))
+    return embedded(rows, sign_embedder, "sign-16").select("content_hash", F.round(F.col("embedding")[0].cast("double"), 4).alias("v0"))
 
 
 NAMES = """
@@ -542,7 +581,7 @@ hybrid_search hybrid_scan hybrid_filtered hybrid_exact_first hybrid_parity best_
 path_resolution excerpt_trim health_counts docs_by_type health_verdict pending_embeddings dangling_occurrences orphan_vectors capture_lag
 export_freshness latest_run_per_source source_status run_totals backlog alias_resolution alias_suppressions session_transcripts canonical_thread
 branch_points branch_share latest_batch_wins snapshot_diff upsert_merge prune_missing unchanged_fast_path rehome_chunks redact_text
-redaction_totals html_scrub html_escape doc_title_date project_from_path recent_feed_topn name_scan embed_sign markdown_chunks embed_sign_python
+redaction_totals html_scrub html_escape doc_title_date project_from_path recent_feed_topn name_scan protected_names session_files distilled_names project_documents transcript_branches reattributed embed_sign markdown_chunks embed_sign_python
 """.split()
 
 

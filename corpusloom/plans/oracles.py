@@ -204,4 +204,11 @@ ORACLES = {
     "recent_feed_topn": "WITH o AS (SELECT o_orderpriority AS project, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) <= 12) SELECT * FROM o ORDER BY date DESC, id DESC LIMIT 36",
     "name_scan": f"WITH n AS (SELECT DISTINCT lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '_')) AS name FROM benchmark), l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) SELECT DISTINCT name, path, CAST(l.n AS INTEGER) AS n FROM n, l WHERE {PLAIN.format('name')} <> '' AND contains(' ' || {PLAIN.format('line')} || ' ', ' ' || {PLAIN.format('name')} || ' ')",
     "embed_sign": "WITH t AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda ch: ord(ch) % 16) AS c FROM documents), v AS (SELECT doc_id, list_transform(range(0, 16), lambda k: len(list_filter(c, lambda x: x = k))) AS v FROM t), n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))) AS norm FROM v) SELECT doc_id, round(v[1] / norm, 6) AS v0, round(v[2] / norm, 6) AS v1, round(v[6] / norm, 6) AS v5, round(v[16] / norm, 6) AS v15 FROM n",
+    "protected_names": f"WITH n AS (SELECT item_id, lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '_')) AS name FROM benchmark) SELECT DISTINCT name FROM n WHERE length(name) >= 7 AND name NOT IN ('the_first', 'in_the') AND name NOT IN (SELECT name FROM n WHERE item_id % 3 = 0)",
+    "session_files": "SELECT conv_id % 50 AS session, max(conv_id + turn / 8.0) AS mtime, sum(length(text))::BIGINT AS size, sha256(string_agg(DISTINCT 'f/' || conv_id || '/' || turn, ',' ORDER BY 'f/' || conv_id || '/' || turn)) AS files FROM conversations GROUP BY 1",
+    "distilled_names": "WITH d AS (SELECT DISTINCT source AS project FROM documents WHERE CAST(substr(source, 4) AS INTEGER) % 5 = 0) SELECT project FROM d UNION SELECT DISTINCT source FROM documents WHERE 'src' || ((CAST(substr(source, 4) AS INTEGER) + 1) % 20) IN (SELECT project FROM d)",
+    "project_documents": f"SELECT count(*) AS documents FROM documents WHERE lower(source) IN ('{c.PROJECT}', 'src5')",
+    "transcript_branches": f"WITH {BASE}, n AS (SELECT project, branch, count(*) AS documents FROM base WHERE source_type = 'transcript' GROUP BY 1, 2) SELECT project, branch, documents, round(documents / sum(documents) OVER (PARTITION BY project), 6)::DOUBLE AS share FROM n",
+    "reattributed": f"WITH {BASE} SELECT path, CASE WHEN chunk_id % 8 = 4 THEN 'new' || (chunk_id % 3) ELSE project END AS project FROM base",
+    "embed_sign_python": "WITH t AS (SELECT doc_id, list_transform(string_split(lower(substr(text, 1, 8000)), ''), lambda ch: ord(ch) % 16) AS c FROM documents), v AS (SELECT doc_id, list_transform(range(0, 16), lambda k: len(list_filter(c, lambda x: x = k))) AS v FROM t) SELECT CAST(doc_id AS VARCHAR) AS content_hash, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))), 4) AS v0 FROM v",
 }

@@ -150,4 +150,5 @@ class Snapshot:
         return indexed.Index(
             rows, self.live("postings").withColumnRenamed("content_hash", "unit"), self.segments("texts").withColumnRenamed("content_hash", "unit"), self.meta["total"], self.meta["mean_dl"], self.meta["buckets"],
             self.live("vectors").withColumnRenamed("content_hash", "unit") if self.meta["models"] else None, tuple(self.meta["models"]),
+            self.table("occurrences").select(unit, "kind"),
         )

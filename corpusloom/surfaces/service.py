@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import model
 from corpusloom.functions import querytext, text
-from corpusloom.operators import aliases, analytics, indexed, maintenance, reading
+from corpusloom.operators import aliases, analytics, indexed, reading
 from corpusloom.operators.filters import Filters
 from corpusloom.plans.ingest import Embedder
 from corpusloom.plans.snapshot import Snapshot
@@ -81,14 +81,15 @@ class Service:
         found = reading.resolve(s.table("documents"), path).collect()
         if not found or found[0]["status"] == reading.MANY:
             return {"error": reading.MANY if found else reading.NONE, "candidates": [r["path"] for r in found]}
-        own = s.table("documents").where(F.col("path") == found[0]["path"]).first()
+        place = F.col("path")
+        own = s.table("documents").where(place == found[0]["path"]).withColumns({"is_transcript": text.is_transcript(place), "base_path": text.base_path(place)}).first()
         chunks = reading.chunks_of(s.table("occurrences"), s.table("chunks"), own["path"])
         held = chunks if ord_ is None else reading.window(chunks, ord_, max(0, min(MOST_CONTEXT, context)))
         rows = sorted(held.collect(), key=lambda r: r["ord"])
         whole = "\n\n".join(r["text"] for r in rows)
         if len(whole) > model.READ_CHARS:
             whole = whole[: model.READ_CHARS] + "\n\n[truncated]"
-        return {k: own[k] for k in ("path", "title", "source_type", "project", "doc_date")} | {"chunk_count": chunks.count() if ord_ is not None else len(rows), "text": whole}
+        return {k: own[k] for k in ("path", "title", "source_type", "project", "doc_date", "is_transcript", "base_path")} | {"chunk_count": chunks.count() if ord_ is not None else len(rows), "text": whole}
 
     def read_text(self, path: str, ord_: int | None = None, context: int = 2) -> str:
         d = self.read(path, ord_, context)
@@ -119,7 +120,3 @@ class Service:
         from corpusloom.plans import report
 
         return report.health(self.snapshot).first().asDict()
-
-    def documents(self) -> DataFrame:
-        """The latest state of every document, by path."""
-        return maintenance.latest(self.snapshot.table("documents"), "path", F.coalesce("mtime", F.lit(0.0)))

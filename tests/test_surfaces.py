@@ -79,6 +79,9 @@ def test_service_and_web(spark, tmp_path, sources):
     assert lonely.startswith("No results") and "lexical results only" in lonely
     d = service.read("alpha/docs/a.md")
     assert d["title"] == "Alpha design" and "zebra kind" in d["text"] and service.read("alpha/docs/a.md", 0, 99)["chunk_count"] == 1
+    talk = service.read("#session=S1")
+    assert talk["is_transcript"] and talk["base_path"].endswith("/sessions") and not d["is_transcript"]
+    assert [r["title"] for r in service.search("zebra", kind="tool_event")] == []
     assert service.read("no such")["error"] == "not found" and service.read(".md")["error"] == "ambiguous" and "ambiguous" in service.read_text(".md")
     curated = files.read_tree(spark, sources.curated, "kb", files.Config())
     page = service.project("old-alpha", curated)
