@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.batching import slices, small_batches
 from corpusloom.model import MERGED_CHARS, MIN_CHUNK_CHARS, OVERLAP_CHARS, TARGET_CHARS
 
 HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
@@ -102,9 +103,10 @@ def markdown_pieces(text: str, size: int = TARGET_CHARS, overlap: int = OVERLAP_
 def chunked(docs: DataFrame, key: str = "path", pieces: Callable[[str], list[str]] = plain_pieces, kind: str = "prose", first: int = 0) -> DataFrame:
     """(key, ord, kind, text, content_hash) of every piece of every text."""
     types = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, ords, texts = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = pieces(t) if t else []

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import model
+from corpusloom.batching import small_batches
 from corpusloom.functions import text
 from corpusloom.operators import aliases, chunking, indexed, maintenance
 from corpusloom.plans.snapshot import Snapshot, Store
@@ -61,6 +62,8 @@ def chunks_of(rows: DataFrame) -> DataFrame:
 def embedded(pending: DataFrame, embed: Embedder, model_name: str) -> DataFrame:
     """(content_hash, model, embedding) of pending chunks, in batches, three tries each; a count that differs is an error."""
 
+    small_batches(pending.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []

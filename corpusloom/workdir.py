@@ -1,12 +1,13 @@
 """Scratch tables in the folder that the driver and all executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset
-(tests, a laptop) a folder of our own is made and set on the context.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset and everything runs
+in one process (tests, a laptop) a folder of our own is made and set on the context; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         named = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(named)
