@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark.sql import SparkSession
-
-#: Rows and bytes of a batch at most; texts can be long, and a worker holds a batch and its arrays at a time.
-BATCH_ROWS, BATCH_BYTES = 512, 8 * 1024 * 1024
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Have Spark hand Python batches of few rows and bytes, so that long texts fit a worker.
-
-    The settings are read when a plan runs, so they stay in the session; smaller ones are left as they are.
-    """
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = int(spark.conf.get(key).removesuffix("b"))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
 
+from corpusloom.batching import slices, small_batches
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut to ``rows`` rows, and to ``most`` bytes on average; one row is never cut."""
-    for batch in batches:
-        step = max(1, min(rows, rows if batch.nbytes <= most else batch.num_rows * most // batch.nbytes))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+__all__ = ["batch", "slices", "small_batches"]
 
 
 def batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
