@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_rows import batch, slices, small_batches
-from corpusloom.llm.token_ids import TokenIds
+from corpusloom.llm.token_ids import shared_ids
 from corpusloom.workdir import materialize
 
 SEQUENCE_TOKENS = 4096
@@ -38,7 +38,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = DOC
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TokenIds(tokenizer)
+        ids_of = shared_ids(tokenizer)
         end = np.array([] if end_id is None else [end_id], ids_of.dtype)
         part, before = TaskContext.get().partitionId(), 0
         for b in slices(batches):
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = DOCUMENT_END
 
 
 def id_bytes(tokenizer: str) -> int:
-    return TokenIds(tokenizer).dtype.itemsize
+    return shared_ids(tokenizer).dtype.itemsize
 
 
 def cut(encoded: DataFrame, width: int, sequence_tokens: int = SEQUENCE_TOKENS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from array import array
+from functools import cache
 
 import numpy as np
 
@@ -73,3 +74,9 @@ class TokenIds:
         ids = flat[np.repeat(head[pieces.which] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
         ends = np.cumsum(np.bincount(pieces.doc, weights=each, minlength=len(texts)).astype(np.int64))
         return np.split(ids, ends[:-1])
+
+
+@cache
+def shared_ids(name: str) -> TokenIds:
+    """One ``TokenIds`` for a worker, which serves task after task: the file is read and frequent words are merged once."""
+    return TokenIds(name)

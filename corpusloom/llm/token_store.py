@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_rows import batch, slices, small_batches
-from corpusloom.llm.token_ids import TokenIds
+from corpusloom.llm.token_ids import shared_ids
 
 MAGIC = b"CLSSTAB1"
 TOKENIZER = "word_bpe_49k.json"
@@ -199,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
     types = {FOLDER: pa.string(), "data": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TokenIds(tokenizer)
+        ids_of = shared_ids(tokenizer)
         end = b"" if end_id is None else np.array([end_id], ids_of.dtype).tobytes()
         part, number, shard = TaskContext.get().partitionId(), 0, None
         for b in slices(batches):
