@@ -31,8 +31,9 @@ from corpusloom.llm.components import components
 from corpusloom.workdir import materialize
 
 COSINE = 0.9
-#: A block of this size holds 8192 vectors of 64 coordinates; a task holds two blocks at a time.
-BLOCK_BYTES = 4 * 1024 * 1024
+#: A block of this size holds 8192 vectors of 64 coordinates; a task holds two blocks at a time.  Fewer vectors still
+#: make so many blocks, so that their tiles are many tasks.
+BLOCK_BYTES, LEAST_BLOCKS = 4 * 1024 * 1024, 8
 #: Blocks compared with all others by one task.
 BLOCKS_AT_A_TIME = 256
 #: Rows of each side compared at once, and coordinates added at once.
@@ -229,7 +230,7 @@ def grid_of(placed: DataFrame, total: int, block_rows: int) -> Grid:
     return grid
 
 
-def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int) -> DataFrame:
+def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int | None) -> DataFrame:
     """(rep, n, least) over all tiles; ``distinct`` has rep, times, raw."""
     moments = second_moments(distinct, dim)
     values, turn = np.linalg.eigh(moments)
@@ -243,7 +244,9 @@ def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int) -> Dat
             yield batch({k: b.column(k) for k in ("rep", "times", "raw")} | {"lead": list(x[:, :lead]), "tail": np.sqrt((x[:, lead:] ** 2).sum(axis=1))}, types)
 
     placed = materialize(distinct.select("rep", "times", "raw").mapInArrow(project, "rep long, times long, raw binary, lead array<double>, tail double"), "vectors")
-    placed = blocked(placed, grid_of(placed, placed.count(), block_rows))
+    total = placed.count()
+    most = max(PATCH_ROWS, min(BLOCK_BYTES // (8 * dim), -(-total // LEAST_BLOCKS)))
+    placed = blocked(placed, grid_of(placed, total, block_rows or most))
     bounds = [F.min(placed.lead[i]) for i in range(lead)] + [F.max(placed.lead[i]) for i in range(lead)]
     stats = {r[0]: np.array(r[1:]) for r in placed.groupBy("block").agg(*bounds, F.max("tail")).collect()}
     tiles = pairs_of_blocks(distinct.sparkSession, stats, lead, cosine)
@@ -289,7 +292,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int | None = N
     distinct = materialize(grouped.mapInArrow(pack, "rep long, times long, dim int, raw binary"), "vectors")
     found = None
     for (dim,) in sorted(distinct.select("dim").distinct().collect()):
-        part = linked(distinct.where(F.col("dim") == dim), dim, cosine, block_rows or max(PATCH_ROWS, BLOCK_BYTES // (8 * dim)))
+        part = linked(distinct.where(F.col("dim") == dim), dim, cosine, block_rows)
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
