@@ -15,7 +15,7 @@ from test_sources import jsonl, put
 from corpusloom.plans import gather, ingest, report
 from corpusloom.plans.snapshot import Store
 from corpusloom.sources import files
-from corpusloom.surfaces import cli, web
+from corpusloom.surfaces import cli, golden, web
 from corpusloom.surfaces.service import Service
 
 
@@ -103,6 +103,19 @@ def test_service_and_web(spark, tmp_path, sources):
         server.shutdown()
 
 
+def test_golden_suite(spark, tmp_path, sources):
+    snap, _ = gather.update(Store(spark, f"file://{tmp_path}/store"), sources, ingest.sign_embedder)
+    service = Service(snap)
+    checks = golden.Checks((("zebra parser", "alpha"),), ("quixotic umbrella saxophone",), ("zebra",), (("zebra", "alpha"), ("zebra", "nowhere")), seconds=30)
+    outcomes = golden.run(service, checks)
+    by = {(o.section, o.detail.split(":")[0]): o.state for o in outcomes}
+    assert by["answers", "'zebra parser' finds alpha"] == "PASS" and by["small project answers", "nowhere"] == "SKIP" and by["small project answers", "alpha"] == "PASS"
+    assert not [o for o in outcomes if o.state == "FAIL" and o.section != "crosses projects"]
+    text, code = golden.summary(outcomes)
+    assert "skipped" in text and code == int(any(o.state == "FAIL" for o in outcomes))
+    assert golden.run(service, golden.Checks((("zebra", "no such path"),)))[2].state == "FAIL"
+
+
 def test_repair_and_attribution(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     rows = [("/a.md", "repo-doc", "p", "alpha words", "/w/x", 1.0, 1), ("/b.md", "repo-doc", None, "beta words", "/r/proj/sub", 1.0, 1)]
