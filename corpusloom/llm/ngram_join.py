@@ -7,8 +7,9 @@ dealt into chunks and two chunks meet in a tile, so a bucket of any size is comp
 In a tile the signatures are compared incrementally: after each stretch of values the posterior
 probability (uniform prior) that a pair reaches the threshold is a binomial tail, and the pair is dropped
 when it falls below the tolerance.  A pair belongs to the first band on which it agrees, so it is
-decided once although it meets in several buckets.  Those that remain are verified by their whole
-shingle sets.  A tile gives each of its classes one row at most, so no pairs are written.
+decided once although it meets in several buckets.  Tiles hold signatures only; of each tile the classes that have
+a pair left meet again with their texts, and their pairs are verified by whole shingle sets.  Each time a tile gives
+each of its classes one row at most, so no pairs are written.
 
 With 25 bands of 5 values a pair of similarity 0.8 meets with probability 1 - 5e-5, a more similar one
 nearly surely; nothing caps buckets or partners.  Words are runs without ASCII white space, as they are;
@@ -19,7 +20,7 @@ with its own text.  Very long texts take part with all their shingles.  An empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import comb
 
@@ -53,6 +54,7 @@ OFFSET = _RNG.integers(0, 2**32, VALUES, np.uint32)
 BAND_FACTOR = _RNG.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 SIGNED = {"doc_id": pa.int64(), "text_mark": pa.int64(), "mark": pa.binary(), "sig": pa.binary()}
+LEFT = {"tile": pa.int64(), "band": pa.int32(), "chunk": pa.int32(), "rep": pa.int64()}
 FOUND = {"rep": pa.int64(), "n": pa.int64(), "least": pa.int64()}
 
 
@@ -128,11 +130,15 @@ def bucket_entries(classes: DataFrame) -> DataFrame:
 class Tile:
     """Classes of one or two chunks of a bucket."""
 
-    def __init__(self, rep: np.ndarray, chunk: np.ndarray, times: np.ndarray, sig: np.ndarray, text: np.ndarray, band: int) -> None:
-        self.rep, self.times, self.text, self.band = rep, times, text, band
-        self.sig = sig
-        self.cut = int(np.searchsorted(chunk, chunk[0], "right"))
-        self.sets: dict[int, np.ndarray] = {}
+    def __init__(self, held: list[pa.RecordBatch]) -> None:
+        """From batches of one tile's rows, with tile, band, chunk, rep, sig and perhaps more columns."""
+        names = held[0].schema.names
+        self.tile, self.band = held[0].column("tile")[0].as_py(), held[0].column("band")[0].as_py()
+        self.col = {k: np.concatenate([h.column(k).to_numpy(zero_copy_only=False) for h in held]) for k in names if k not in ("tile", "band")}
+        order = np.lexsort((self.col["rep"], self.col["chunk"]))
+        self.col = {k: v[order] for k, v in self.col.items()}
+        self.rep, self.sig = self.col["rep"], np.frombuffer(b"".join(self.col["sig"]), np.uint32).reshape(-1, VALUES)
+        self.cut = int(np.searchsorted(self.col["chunk"], self.col["chunk"][0], "right"))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that the posterior leaves and that belong to this band."""
@@ -170,7 +176,7 @@ class Tile:
         if not len(r):
             return np.zeros(0, bool)
         used = np.unique(np.concatenate([r, c]))
-        words, _ = word_hashes([self.text[i] for i in used])
+        words, _ = word_hashes([self.col["text"][i] for i in used])
         sets = [np.unique(shingle_hashes(w, WORDS)) for w in words]
         size = np.array([len(s) for s in sets])
         r, c = np.searchsorted(used, r), np.searchsorted(used, c)
@@ -201,28 +207,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def compare(rows: DataFrame) -> DataFrame:
-    """(rep, n, least) for each linked class of each tile; rows has tile, band, chunk, rep, times, sig, text."""
-
-    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        col = {k: np.concatenate([h.column(k).to_numpy(zero_copy_only=False) for h in held]) for k in ("chunk", "rep", "times", "sig", "text")}
-        order = np.lexsort((col["rep"], col["chunk"]))
-        col = {k: v[order] for k, v in col.items()}
-        sig = np.frombuffer(b"".join(col["sig"]), np.uint32).reshape(-1, VALUES)
-        tile = Tile(col["rep"], col["chunk"], col["times"], sig, col["text"], held[0].column("band")[0].as_py())
-        r, c = tile.pairs()
-        good = tile.verified(r, c)
-        r, c = r[good], c[good]
-        if not len(r):
-            return
-        n = len(tile.rep)
-        links = np.bincount(r, weights=tile.times[c], minlength=n) + np.bincount(c, weights=tile.times[r], minlength=n)
-        sets = np.arange(n)
-        join_sets(sets, r, c)
-        low = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(low, sets, tile.rep)
-        got = links > 0
-        yield batch({"rep": tile.rep[got], "n": links[got].astype(np.int64), "least": low[sets][got]}, FOUND)
+def by_tile(rows: DataFrame, solve: Callable[[Tile], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``solve`` gives of each tile of ``rows``; a task holds one tile at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,15 +220,47 @@ def compare(rows: DataFrame) -> DataFrame:
                 if a == z:
                     continue
                 if held and tiles[a] != last:
-                    yield from solve(held)
+                    yield from solve(Tile(held))
                     held = []
                 last = tiles[a]
                 held.append(b.slice(a, z - a))
         if held:
-            yield from solve(held)
+            yield from solve(Tile(held))
 
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(run, "rep long, n long, least long")
+    return dealt.mapInArrow(run, schema)
+
+
+def left_over(rows: DataFrame) -> DataFrame:
+    """(tile, band, chunk, rep) of the classes that have a pair left; rows has tile, band, chunk, rep, sig."""
+
+    def solve(tile: Tile) -> Iterator[pa.RecordBatch]:
+        used = np.unique(np.concatenate(tile.pairs()))
+        if len(used):
+            yield batch({"tile": np.full(len(used), tile.tile), "band": np.full(len(used), tile.band), "chunk": tile.col["chunk"][used], "rep": tile.rep[used]}, LEFT)
+
+    return by_tile(rows, solve, "tile long, band int, chunk int, rep long")
+
+
+def compare(rows: DataFrame) -> DataFrame:
+    """(rep, n, least) for each linked class of each tile; rows has tile, band, chunk, rep, times, sig, text."""
+
+    def solve(tile: Tile) -> Iterator[pa.RecordBatch]:
+        r, c = tile.pairs()
+        good = tile.verified(r, c)
+        r, c = r[good], c[good]
+        if not len(r):
+            return
+        n, times = len(tile.rep), tile.col["times"]
+        links = np.bincount(r, weights=times[c], minlength=n) + np.bincount(c, weights=times[r], minlength=n)
+        sets = np.arange(n)
+        join_sets(sets, r, c)
+        low = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(low, sets, tile.rep)
+        got = links > 0
+        yield batch({"rep": tile.rep[got], "n": links[got].astype(np.int64), "least": low[sets][got]}, FOUND)
+
+    return by_tile(rows, solve, "rep long, n long, least long")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -283,9 +301,10 @@ def link(docs: DataFrame) -> DataFrame:
     chunk = F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("chunks")).cast("int")
     dealt = members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "band", "chunk", "rep")
-    wanted = classes.select("rep", "id", "id_mark").join(members.select("rep").distinct(), "rep", "left_semi")
+    left = materialize(left_over(dealt.join(classes.select("rep", "sig"), "rep").select("tile", "band", "chunk", "rep", "sig")), "left-over")
+    wanted = materialize(classes.select("rep", "id", "id_mark").join(left.select("rep").distinct(), "rep", "left_semi"), "left-over")
     facts = classes.select("rep", "times", "sig").join(fetch(docs, wanted), "rep")
-    found = materialize(compare(dealt.join(facts, "rep").select("tile", "band", "chunk", "rep", "times", "sig", "text")), "links")
+    found = materialize(compare(left.join(facts, "rep").select("tile", "band", "chunk", "rep", "times", "sig", "text")), "links")
     groups = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
     ids = groups.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("class_id"))
     groups = groups.join(ids, "component")
