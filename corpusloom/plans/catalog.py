@@ -491,8 +491,9 @@ def doc_title_date(spark, sf_dir):
 
 
 def project_from_path(spark, sf_dir):
+    """Three hosts are roots, the other paths lie outside every root."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?:/(/[^?#]*)", 1).alias("path"))
-    hosts = [f"/{r[0]}" for r in p.select(F.regexp_extract("path", r"^/([^/]+)", 1).alias("h")).groupBy().agg(F.min("h")).collect()]  # one row
+    hosts = [f"/{r[0]}" for r in p.select(F.regexp_extract("path", r"^/([^/]+)", 1).alias("h")).distinct().orderBy("h").limit(3).collect()]
     found = aliases.project_of(p.select("path").distinct(), hosts)
     return p.join(found, "path").select("page_id", "path", "project")
 

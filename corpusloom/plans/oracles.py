@@ -132,6 +132,24 @@ def scrub() -> str:
     return f"WITH {steps} SELECT page_id, sha256({out}) AS html_hash FROM left_over"
 
 
+# Sections of one line each; long ones give their heading and slices.  Groups are numbered by a walk over lengths, then joined.
+STRIPPED = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+MARKDOWN = f"""src AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
+sec AS (SELECT doc_id, i, line, CASE WHEN i = 1 THEN '# Top' ELSE '## Part' END AS head, CASE WHEN i = 1 THEN 'Top' ELSE 'Top > Part' END AS place, CASE WHEN i = n AND line = '' THEN '' ELSE chr(10) || line END AS tail FROM src),
+parts AS (SELECT doc_id, i, 0 AS k, place, head || tail AS body, false AS large FROM sec WHERE length(head || tail) <= 3200
+  UNION ALL SELECT doc_id, i, 0, place, head, true FROM sec WHERE length(head || tail) > 3200
+  UNION ALL SELECT doc_id, i, k, place, substr(line, 3200 * (k - 1) + 1, 3200), true FROM (SELECT *, unnest(range(1, CAST(ceil(length(line) / 3200.0) AS BIGINT) + 1)) AS k FROM sec WHERE length(head || tail) > 3200)),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS u FROM parts),
+pack AS (SELECT doc_id, u, 1 AS g, CASE WHEN large THEN -1 ELSE length(body) END AS held FROM u WHERE u = 1
+  UNION ALL SELECT u.doc_id, u.u, CASE WHEN NOT large AND held >= 0 AND held + 1 + length(body) <= 3200 THEN g ELSE g + 1 END, CASE WHEN large THEN -1 WHEN held >= 0 AND held + 1 + length(body) <= 3200 THEN held + 1 + length(body) ELSE length(body) END
+    FROM pack JOIN u ON u.doc_id = pack.doc_id AND u.u = pack.u + 1),
+packed AS (SELECT doc_id, g, string_agg(body, chr(10) ORDER BY u) AS body, arg_min(place, u) AS place FROM pack JOIN u USING (doc_id, u) GROUP BY ALL),
+merge_ AS (SELECT doc_id, g, 1 AS m, length(body) AS size FROM packed WHERE g = 1
+  UNION ALL SELECT p.doc_id, p.g, CASE WHEN least(length(body), size) < 400 AND length(body) + size + 1 <= 4000 THEN m ELSE m + 1 END, CASE WHEN least(length(body), size) < 400 AND length(body) + size + 1 <= 4000 THEN size + 1 + length(body) ELSE length(body) END
+    FROM merge_ JOIN packed p ON p.doc_id = merge_.doc_id AND p.g = merge_.g + 1),
+whole AS (SELECT doc_id, m, {STRIPPED.format("string_agg(body, chr(10) ORDER BY g)")} AS body, arg_min(place, g) AS place FROM merge_ JOIN packed USING (doc_id, g) GROUP BY doc_id, m),
+ranked_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY m) - 1 AS ord, lag(body) OVER (PARTITION BY doc_id ORDER BY m) AS before FROM whole WHERE body <> ''),
+out_ AS (SELECT doc_id, ord, CASE WHEN body LIKE '#%' THEN '' ELSE '[' || place || ']' || chr(10) END || CASE WHEN before IS NULL THEN body ELSE regexp_replace(right(before, 480), '^[ \\t\\n\\x0B\\f\\r]+', '') || chr(10) || chr(10) || body END AS text FROM ranked_)"""
 BODY = "CASE WHEN doc_id % 3 = 0 THEN '# Heading ' || doc_id || chr(10) ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN 'Date: 2025-03-04' || chr(10) ELSE '' END || text"
 RECORDS = """rec AS (SELECT conv_id AS session, turn AS seq, role, text, CASE WHEN turn % 3 = 1 THEN '/work/p' || (conv_id % 4) || '/' || turn END AS cwd, CASE WHEN turn = 2 THEN substr(text, 1, 20) END AS title,
   strftime(make_timestamp((1700000000 + conv_id * 1000 + turn) * 1000000), '%Y-%m-%dT%H:%M:%S') AS stamp, turn % 7 = 6 AS is_meta, conv_id % 10 = 3 AS side, turn % 11 = 10 AS tool FROM conversations)"""
@@ -200,7 +218,7 @@ ORACLES = {
     "html_scrub": scrub(),
     "html_escape": "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS html_hash FROM pages",
     "doc_title_date": f"WITH b AS (SELECT doc_id, {BODY} AS text FROM documents) SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^#[ \\t]+(.+)$') THEN trim(regexp_extract(text, '(?m)^#[ \\t]+(.+)$', 1)) ELSE CASE WHEN doc_id % 5 = 0 THEN '2024-12-31-' ELSE '' END || 'note' || doc_id END AS title, CASE WHEN doc_id % 5 = 0 THEN '2024-12-31' WHEN doc_id % 4 = 0 THEN '2025-03-04' ELSE strftime(make_timestamp(doc_id * 86400000000), '%Y-%m-%d') END AS doc_date FROM b",
-    "project_from_path": r"WITH p AS (SELECT page_id, regexp_extract(url, '^https?:/(/[^?#]*)', 1) AS path FROM pages), r AS (SELECT '/' || min(regexp_extract(path, '^/([^/]+)', 1)) AS root FROM p), q AS (SELECT p.*, root, path = root OR starts_with(path, root || '/') AS inside, substr(path, length(root) + 2) AS rest FROM p, r) SELECT page_id, path, CASE WHEN NOT inside THEN coalesce(nullif(regexp_extract(path, '/\.codex/worktrees/[^/]+/([^/]+)', 1), ''), nullif(regexp_extract(path, '/codex_projects/([^/]+)', 1), '')) WHEN rest = '' OR NOT contains(rest, '/') THEN '_loose' ELSE string_split(rest, '/')[1] END AS project FROM q",
+    "project_from_path": r"WITH p AS (SELECT page_id, regexp_extract(url, '^https?:/(/[^?#]*)', 1) AS path FROM pages), r AS (SELECT '/' || h AS root FROM (SELECT DISTINCT regexp_extract(path, '^/([^/]+)', 1) AS h FROM p ORDER BY h LIMIT 3)), q AS (SELECT p.*, root, root IS NOT NULL AS inside, substr(path, length(root) + 2) AS rest FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/')) SELECT page_id, path, CASE WHEN NOT inside THEN coalesce(nullif(regexp_extract(path, '/\.codex/worktrees/[^/]+/([^/]+)', 1), ''), nullif(regexp_extract(path, '/codex_projects/([^/]+)', 1), '')) WHEN rest = '' OR NOT contains(rest, '/') THEN '_loose' ELSE string_split(rest, '/')[1] END AS project FROM q",
     "recent_feed_topn": "WITH o AS (SELECT o_orderpriority AS project, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) <= 12) SELECT * FROM o ORDER BY date DESC, id DESC LIMIT 36",
     "name_scan": f"WITH n AS (SELECT DISTINCT lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], '_')) AS name FROM benchmark), l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) SELECT DISTINCT name, path, CAST(l.n AS INTEGER) AS n FROM n, l WHERE {PLAIN.format('name')} <> '' AND contains(' ' || {PLAIN.format('line')} || ' ', ' ' || {PLAIN.format('name')} || ' ')",
     "embed_sign": "WITH t AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda ch: ord(ch) % 16) AS c FROM documents), v AS (SELECT doc_id, list_transform(range(0, 16), lambda k: len(list_filter(c, lambda x: x = k))) AS v FROM t), n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))) AS norm FROM v) SELECT doc_id, round(v[1] / norm, 6) AS v0, round(v[2] / norm, 6) AS v1, round(v[6] / norm, 6) AS v5, round(v[16] / norm, 6) AS v15 FROM n",
@@ -211,4 +229,5 @@ ORACLES = {
     "transcript_branches": f"WITH {BASE}, n AS (SELECT project, branch, count(*) AS documents FROM base WHERE source_type = 'transcript' GROUP BY 1, 2) SELECT project, branch, documents, round(documents / sum(documents) OVER (PARTITION BY project), 6)::DOUBLE AS share FROM n",
     "reattributed": f"WITH {BASE} SELECT path, CASE WHEN chunk_id % 8 = 4 THEN 'new' || (chunk_id % 3) ELSE project END AS project FROM base",
     "embed_sign_python": "WITH t AS (SELECT doc_id, list_transform(string_split(lower(substr(text, 1, 8000)), ''), lambda ch: ord(ch) % 16) AS c FROM documents), v AS (SELECT doc_id, list_transform(range(0, 16), lambda k: len(list_filter(c, lambda x: x = k))) AS v FROM t) SELECT CAST(doc_id AS VARCHAR) AS content_hash, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))), 4) AS v0 FROM v",
+    "markdown_chunks": f"WITH RECURSIVE {MARKDOWN} SELECT doc_id, ord, length(text) AS n_chars, sha256(text) AS content_hash FROM out_",
 }
