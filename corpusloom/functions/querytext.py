@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+
+
+def _folding() -> dict[str, str]:
+    """Latin small letters with a mark to the letter alone, and combining marks to nothing."""
+    bases = {chr(c).lower(): unicodedata.normalize("NFD", chr(c))[0].lower() for c in range(0xC0, 0x250)}
+    return {c: base for c, base in bases.items() if len(c) == 1 and base.isascii() and base.isalpha()} | {chr(c): "" for c in range(0x300, 0x370)}
+
+
+FOLDING = _folding()
 
 QUOTED = re.compile(r'"([^"]+)"')
 IDENTIFIER = re.compile(r"[\w./\\-]*[/.\\_][\w./\\-]*")
@@ -11,13 +21,18 @@ TERM = re.compile(r"[A-Za-z0-9_]{3,}")
 EDGES = ".,;:!?()[]{}"
 
 
+def folded(text: str) -> str:
+    """Small letters without diacritics, as the index has them."""
+    return "".join(FOLDING.get(c, c) for c in text.lower())
+
+
 def phrases(query: str) -> list[list[str]]:
     """Phrases of index tokens: quoted stretches, then the other words, each split where the index splits it.
 
     Every word becomes a phrase, so no punctuation can disable the query; repeated phrases stay.
     """
     parts = [*QUOTED.findall(query), *(w.strip(EDGES) for w in QUOTED.sub(" ", query).split())]
-    found = [TOKEN.findall(p.lower()) for p in parts]
+    found = [TOKEN.findall(folded(p)) for p in parts]
     return [p for p in found if p]
 
 

@@ -176,7 +176,7 @@ def filter_post_vs_pre(spark, sf_dir):
 
 def bm25_folded(spark, sf_dir):
     """Document frequencies with accents folded."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text"), folded=True))).alias("term"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
     return t.groupBy("term").agg(F.count("*").alias("df"))
 
 

@@ -28,7 +28,7 @@ chunks AS (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS ord, body AS text, sha256(body) AS content_hash
   FROM (SELECT doc_id, step, regexp_replace(raw, '^{SPACE}+|{SPACE}+$', '', 'g') AS body FROM pieces) WHERE body <> '')"""
 
-TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 TERMS = ("moron", "worthless", "with", "nicht", "erst")
 COVERAGE = "(" + " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in TERMS) + ") / 5.0"
 

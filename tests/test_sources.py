@@ -215,6 +215,13 @@ def test_query_text():
     assert querytext.is_hosted_model("big:120b-cloud") and not querytext.is_hosted_model("small:7b")
 
 
+def test_folding(spark):
+    said = "Café CAFE\u0301 Ångström straße naïve İstanbul Ελλάς e\u0301\u0302x"
+    got = spark.createDataFrame([(said,)], "t string").select(text.tokens(F.col("t")).alias("a"), text.tokens(F.col("t"), folded=False).alias("b")).first()
+    assert got.a == ["cafe", "cafe", "angstrom", "straße", "naive", "istanbul", "ελλάς", "ex"] and got.b[0] == "café"
+    assert querytext.phrases('"Café Ångström" naïve') == [["cafe", "angstrom"], ["naive"]]
+
+
 def test_high_entropy(spark):
     keep, drop = "a1" * 40, "aB3" * 25
     r = spark.createDataFrame([(f"{keep} and {drop}== end",)], "text string").select(text.redacted(F.col("text")).alias("r"), text.redact_text(F.col("text")).alias("t")).first()
