@@ -25,6 +25,8 @@ from corpusloom.workdir import materialize
 
 #: Mean odds that the best language of a text must have.
 LEAST_SCORE = 0.4
+#: Verdicts on rows of groups that may be broadcast, of some 20 bytes each; beyond it rows are joined to them.
+BROADCAST_ROWS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +39,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few = lambda frame: F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
     linked = materialize(ngram_join.link(docs).where("group is not null").select("doc_id", "text_mark", "group"), "near-duplicates")
     # one row of each group of several stays: the least identifier's, and of its texts the one of least hash
-    chosen = linked.groupBy("group").agg(F.min(F.struct("doc_id", "text_mark")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    among = linked.join(chosen.select("group"), "group", "left_semi").select("doc_id", "text_mark").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_mark"))
-    single = rows.join(among, ["doc_id", "text_mark"], "left_anti").select("row.*")
-    stays = rows.join(chosen.select("least.*"), ["doc_id", "text_mark"], "left_semi").dropDuplicates(["doc_id", "text_mark"]).select("row.*")
-    return single.unionByName(stays)
+    chosen = materialize(linked.groupBy("group").agg(F.min(F.struct("doc_id", "text_mark")).alias("least"), F.count("*").alias("n")).where("n > 1"), "near-duplicates")
+    named = linked.join(few(chosen), "group").withColumn("stays", F.struct("doc_id", "text_mark") == F.col("least"))
+    judged = materialize(named.groupBy("doc_id", "text_mark").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("times")), "near-duplicates")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_mark")).join(few(judged), ["doc_id", "text_mark"], "left")
+    out = rows.where("stays is null or (stays and times = 1)").select("row.*")
+    if judged.where("stays and times > 1").isEmpty():
+        return out
+    # rows that repeat both identifier and text are told apart by nothing
+    return out.unionByName(rows.where("stays and times > 1").dropDuplicates(["doc_id", "text_mark"]).select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
