@@ -74,6 +74,34 @@ class Store:
         name = self._read(f"{self.root}/CURRENT")
         return Snapshot(self, int(name), json.loads(self._read(f"{self.root}/{name.strip()}/manifest.json") or "{}")) if name else None
 
+    def reset(self) -> Snapshot | None:
+        """The next snapshot, empty; readers of the last one go on, and ``expire`` frees its space."""
+        last = self.current()
+        if last is None:
+            return None
+        none = {n: last.table(n).where("false") for n in TABLES}
+        return self.publish(none, {n: last.segments(n).where("false") for n in SCHEMAS}, {"pipeline_version": ""}, anew=True)
+
+    def expire(self, keep: int = 2) -> list[str]:
+        """Delete what none of the last ``keep`` snapshots reads; what was deleted, as paths below the root."""
+        last = self.current()
+        if last is None:
+            return []
+        kept = [Snapshot(self, n, json.loads(self._read(f"{self.root}/{n}/manifest.json") or "{}")) for n in range(max(0, last.number - keep + 1), last.number + 1)]
+        used = {s for k in kept for held in k.meta["segments"].values() for s in held}
+        fs, root = self._fs(self.root)
+        gone = []
+        for folder in (f.getPath() for f in fs.listStatus(root)):
+            name = folder.getName()
+            if not name.isdigit() or int(name) >= kept[0].number:
+                continue
+            inside = {f"{name}/{f.getPath().getName()}": f.getPath() for f in fs.listStatus(folder)}
+            needed = used & inside.keys()
+            for path in [f"{name}/{p.split('/')[1]}" for p in inside if p not in needed] if needed else [name]:
+                fs.delete(self._fs(f"{self.root}/{path}")[1], True)
+                gone.append(path)
+        return sorted(gone)
+
     def publish(self, tables: dict[str, DataFrame], added: dict[str, DataFrame], meta: dict[str, str], anew: bool = False) -> Snapshot:
         """Write the tables and the new segments of the next snapshot, then turn the pointer; readers of the last one go on.
 

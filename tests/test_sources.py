@@ -256,6 +256,8 @@ def test_store_over_runs(spark, tmp_path):
     rows = third.search_rows().withColumn("branch", F.lit("canonical"))
     found = search.search(rows, None, "gamma", filters=Filters(projects=("P",))).collect()
     assert [r.path for r in found] == ["/r/p/a.md"] and found[0].matched_by == ["fts"] and found[0].confidence == 1.0
+    got = reading.read_documents(third.table("occurrences"), third.table("chunks")).where("path = '/s#session=1'").first().text
+    assert got == "beta words password"
     near = indexed.find(third.index, "gamma", ingest.sign_embedder(["gamma words only"])[0], name="sign-16").collect()
     assert near[0].path == "/r/p/a.md" and near[0].matched_by == ["fts", "vector"] and "/s#session=1" in {r.path for r in near}
     with pytest.raises(ValueError, match="sign-16"):
@@ -267,8 +269,14 @@ def test_store_over_runs(spark, tmp_path):
     merged = fourth.merged()
     assert all(len(v) == 1 for v in merged.meta["segments"].values()) and merged.table("chunks").count() == 3
     assert [r.path for r in indexed.find(merged.index, "alpha").collect()] == ["/r/p/b.md"]
-    got = reading.read_documents(third.table("occurrences"), third.table("chunks")).where("path = '/s#session=1'").first().text
-    assert got == "beta words password"
+    # the first run's texts are still read by the fourth, which is kept
+    gone = store.expire(keep=2)
+    assert "0/documents" in gone and "0/texts" not in gone and fourth.table("chunks").count() == 3
+    assert set(store.expire(keep=1)) >= {"0", "1"} and merged.table("chunks").count() == 3
+    empty = store.reset()
+    assert empty.table("chunks").count() == 0 and empty.table("documents").count() == 0 and indexed.find(empty.index, "alpha").count() == 0
+    again = ingest.run(store, docs(spark, two), scanned, None)
+    assert again.table("documents").count() == 2
 
 
 def test_filters_before_limit(spark):
