@@ -8,7 +8,8 @@ count is the sum over its pre-tokens.  Counts of pre-tokens met before are kept
 Texts with characters outside the plain range are normalised and cut by the tokenizer file's own
 normalizer and pre-tokenizer, then merged alike; special strings inside a text count one each, as the
 library takes them by default.  A null text has no bytes and no tokens; so has an empty one.  Every row
-gives a row, repeated ones too; other columns are ignored.  Texts of any length are counted whole.
+gives a row, repeated ones too, and an empty table none; other columns are ignored.  Texts of any length are
+counted whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,13 +133,19 @@ class TokenCounts:
         return np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
 
 
+@cache
+def shared_counts(name: str) -> TokenCounts:
+    """One ``TokenCounts`` for a worker, which serves task after task."""
+    return TokenCounts(name)
+
+
 def count(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row."""
     small_batches(docs.sparkSession)
     types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = TokenCounts(tokenizer)
+        counts = shared_counts(tokenizer)
         for b in slices(batches):
             n = counts.of(b.column("text").to_pylist())
             yield batch({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "n_tokens": n, "over_limit": n > limit}, types)
