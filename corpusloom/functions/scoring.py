@@ -42,7 +42,8 @@ def boost(source_type: Column, kind: Column, path: Column, branch: Column) -> Co
     fixed = F.when(source_type == model.REPO_DOC, F.when(top, model.BOOST_REPO_TOP).otherwise(model.BOOST_REPO_DEEP))
     for name, value in model.BOOSTS.items():
         fixed = fixed.when(source_type == name, value)
-    said = F.when(branch == model.ABANDONED, model.BOOST_ABANDONED).when(kind == model.TOOL_EVENT, model.BOOST_TOOL_EVENT).otherwise(model.BOOST_PROSE)
+    said = F.when(branch == model.ABANDONED, model.BOOST_ABANDONED).when(kind == model.TOOL_EVENT,
+        model.BOOST_TOOL_EVENT).otherwise(model.BOOST_PROSE)
     return fixed.when(source_type == model.TRANSCRIPT, said).otherwise(F.lit(1.0))
 
 

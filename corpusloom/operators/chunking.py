@@ -114,6 +114,7 @@ def chunked(docs: DataFrame, key: str = "path", pieces: Callable[[str], list[str
                 ords += range(first, first + len(got))
                 texts += got
             hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(ords, pa.int32()), pa.array([kind] * len(keys)), pa.array(texts, pa.string()), pa.array(hashes, pa.string())], [key, "ord", "kind", "text", "content_hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(ords, pa.int32()), pa.array([kind] * len(keys)),
+                pa.array(texts, pa.string()), pa.array(hashes, pa.string())], [key, "ord", "kind", "text", "content_hash"])
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {types}, ord int, kind string, text string, content_hash string")

@@ -53,7 +53,8 @@ def bucket_of(unit: Column, buckets: int) -> Column:
 
 def postings(units: DataFrame, unit: str = "unit") -> DataFrame:
     """(term, unit, dl, positions) of (unit, text), sorted by term."""
-    held = units.select(F.col(unit).alias("unit"), text.tokens(F.col("text")).alias("t")).select("unit", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
+    held = units.select(F.col(unit).alias("unit"), text.tokens(F.col("text")).alias("t")).select("unit", F.size("t").alias("dl"),
+        F.posexplode("t").alias("at", "term"))
     found = held.groupBy("term", "unit").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("positions"))
     return found.repartitionByRange("term", "unit").sortWithinPartitions("term")
 
@@ -65,7 +66,8 @@ def scores(index: Index, phrases: list[list[str]], allowed: DataFrame | None = N
         return index.postings.select("unit", F.lit(0.0).alias("score")).where("false")
     few = index.postings.where(F.col("term").isin(wanted))
     at = {t: f"p{k}" for k, t in enumerate(wanted)}
-    held = few.groupBy("unit").agg(F.first("dl").alias("dl"), *(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(p) for t, p in at.items()))
+    held = few.groupBy("unit").agg(F.first("dl").alias("dl"), *(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(p) for t,
+        p in at.items()))
 
     def times(phrase: list[str]) -> Column:
         met = F.col(at[phrase[0]])

@@ -31,8 +31,10 @@ def occurrences(tokens: Column, phrase: list[str]) -> Column:
 def scan_scores(chunks: DataFrame, phrases: list[list[str]], key: str = "chunk_id", where: Column | None = None) -> DataFrame:
     """(key, score) of the hits, in two passes over the text and no shuffle but of one row of statistics."""
     counted = chunks.withColumn("tokens", text.tokens(F.col("text")))
-    counted = counted.select(*(c for c in chunks.columns if c != "text"), F.size("tokens").alias("dl"), *(occurrences(F.col("tokens"), p).alias(f"tf{i}") for i, p in enumerate(phrases)))
-    stats = counted.agg(F.count("*").alias("total"), F.avg("dl").alias("mean_dl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
+    counted = counted.select(*(c for c in chunks.columns if c != "text"), F.size("tokens").alias("dl"),
+        *(occurrences(F.col("tokens"), p).alias(f"tf{i}") for i, p in enumerate(phrases)))
+    stats = counted.agg(F.count("*").alias("total"), F.avg("dl").alias("mean_dl"),
+        *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
     hits = counted if where is None else counted.where(where)
     any_hit = F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{i}") for i in range(len(phrases)))) > 0
     scored = hits.where(any_hit).join(F.broadcast(stats))  # one row

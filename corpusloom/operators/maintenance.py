@@ -34,12 +34,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     """``old`` with the rows of ``new`` put in by key; new rows win whole."""
     o, n = old.alias("o"), new.alias("n")
     taken = F.col(f"n.{key}").isNotNull()
-    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*(F.when(taken, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns))
+    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"),
+        "full").select(*(F.when(taken, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns))
 
 
 def prune(documents: DataFrame, seen: DataFrame, scanned: DataFrame) -> DataFrame:
     """Documents that stay: seen ones, and all of sources that were not scanned successfully."""
-    stale = documents.join(scanned.select("source_type").distinct(), "source_type", "left_semi").join(seen.select("path").distinct(), "path", "left_anti")
+    stale = documents.join(scanned.select("source_type").distinct(), "source_type", "left_semi").join(seen.select("path").distinct(), "path",
+        "left_anti")
     return documents.join(stale.select("path"), "path", "left_anti")
 
 
@@ -52,7 +54,8 @@ def owners(occurrences: DataFrame) -> DataFrame:
 def rehome(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Chunks that some document still holds, each owned by its least surviving occurrence."""
     home = occurrences.groupBy("content_hash").agg(F.min(F.struct("path", "ord")).alias("home"))
-    return chunks.drop("path", "ord").join(home, "content_hash").select("content_hash", F.col("home.path").alias("path"), F.col("home.ord").alias("ord"), *(c for c in chunks.columns if c not in ("content_hash", "path", "ord")))
+    return chunks.drop("path", "ord").join(home, "content_hash").select("content_hash", F.col("home.path").alias("path"),
+        F.col("home.ord").alias("ord"), *(c for c in chunks.columns if c not in ("content_hash", "path", "ord")))
 
 
 def add_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,7 +78,8 @@ def replace_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
 
 def integrity(occurrences: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(dangling_occurrences, damaged_documents, orphan_vectors) in one row."""
-    lost = occurrences.join(chunks.select("content_hash"), "content_hash", "left_anti").agg(F.count("*").alias("dangling_occurrences"), F.count_distinct("path").alias("damaged_documents"))
+    lost = occurrences.join(chunks.select("content_hash"), "content_hash", "left_anti").agg(F.count("*").alias("dangling_occurrences"),
+        F.count_distinct("path").alias("damaged_documents"))
     orphans = vectors.join(chunks.select("content_hash"), "content_hash", "left_anti").agg(F.count("*").alias("orphan_vectors"))
     return lost.join(F.broadcast(orphans))  # one row each
 

@@ -16,7 +16,8 @@ def resolve(documents: DataFrame, asked: str) -> DataFrame:
     No row means that nothing matches.
     """
     exact = documents.where(F.col("path") == asked).select("path").limit(1).withColumn("exact", F.lit(True))
-    part = documents.where(F.col("path").contains(asked)).select("path").distinct().orderBy("path").limit(model.CANDIDATES + 1).withColumn("exact", F.lit(False))
+    part = documents.where(F.col("path").contains(asked)).select("path").distinct().orderBy("path").limit(model.CANDIDATES + 1).withColumn("exact",
+        F.lit(False))
     both = exact.union(part)  # 12 rows at most
     facts = both.agg(F.bool_or("exact").alias("has"), F.count_if(~F.col("exact")).alias("n"))
     rows = both.join(F.broadcast(facts)).where(F.col("exact") | ~F.col("has"))

@@ -71,10 +71,12 @@ def vector_leg(chunks: DataFrame, vectors: DataFrame, query: list[float], limit:
 
 def fuse(lexical_hits: DataFrame, vector_hits: DataFrame | None, key: str = "chunk_id") -> DataFrame:
     """(key, rrf, is_fts, distance, matched_by): the legs by union and one sum, no outer join."""
-    legs = lexical_hits.select(key, scoring.rrf(F.col("rank0")).alias("part"), F.lit(None).cast("double").alias("distance"), F.lit("fts").alias("leg"))
+    legs = lexical_hits.select(key, scoring.rrf(F.col("rank0")).alias("part"), F.lit(None).cast("double").alias("distance"),
+        F.lit("fts").alias("leg"))
     if vector_hits is not None:
         legs = legs.unionByName(vector_hits.select(key, scoring.rrf(F.col("rank0")).alias("part"), "distance", F.lit("vector").alias("leg")))
-    return legs.groupBy(key).agg(F.sum("part").alias("rrf"), F.max("distance").alias("distance"), F.bool_or(F.col("leg") == "fts").alias("is_fts"), F.sort_array(F.collect_set("leg")).alias("matched_by"))
+    return legs.groupBy(key).agg(F.sum("part").alias("rrf"), F.max("distance").alias("distance"), F.bool_or(F.col("leg") == "fts").alias("is_fts"),
+        F.sort_array(F.collect_set("leg")).alias("matched_by"))
 
 
 def scored(rows: DataFrame, query: str, sure: float, hopeless: float) -> DataFrame:
@@ -123,4 +125,5 @@ def finished(rows: DataFrame, query: str, sure: float, hopeless: float, limit: i
 
 def median_confidence(results: DataFrame) -> DataFrame:
     """(median_confidence, absent): exact median, 0 without rows."""
-    return results.agg(F.coalesce(F.median("confidence"), F.lit(0.0)).alias("median_confidence")).withColumn("absent", F.col("median_confidence") < model.ABSENT_MEDIAN)
+    return results.agg(F.coalesce(F.median("confidence"), F.lit(0.0)).alias("median_confidence")).withColumn("absent",
+        F.col("median_confidence") < model.ABSENT_MEDIAN)

@@ -19,12 +19,14 @@ def transcript(role: str, text: str, *order: str) -> Column:
 
 def session_files(listing: DataFrame) -> DataFrame:
     """(session, mtime, size, files): a session is all its files."""
-    return listing.groupBy("session").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"), F.array_sort(F.collect_set("path")).alias("files"))
+    return listing.groupBy("session").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"),
+        F.array_sort(F.collect_set("path")).alias("files"))
 
 
 def messages(records: DataFrame) -> DataFrame:
     """What is said in a session: user and assistant records, no meta records, no tool results."""
-    return records.where(~F.coalesce("is_meta", F.lit(False)) & F.col("type").isin("user", "assistant") & ~F.coalesce("has_tool_result", F.lit(False)))
+    return records.where(~F.coalesce("is_meta", F.lit(False)) & F.col("type").isin("user", "assistant") & ~F.coalesce("has_tool_result",
+        F.lit(False)))
 
 
 def session_documents(records: DataFrame) -> DataFrame:
@@ -35,8 +37,10 @@ def session_documents(records: DataFrame) -> DataFrame:
     """
     seq = F.col("seq")
     facts = records.groupBy("session").agg(
-        first_said(F.col("cwd"), seq).alias("cwd"), first_said(F.col("git_branch"), seq).alias("git_branch"), first_said(F.col("title"), seq).alias("title"),
-        F.min("timestamp").alias("started"), F.max("timestamp").alias("ended"), F.bool_or(F.coalesce("is_sidechain", F.lit(False))).alias("sidechain"), F.count_if(F.coalesce("is_meta", F.lit(False))).alias("meta_records"),
+        first_said(F.col("cwd"), seq).alias("cwd"), first_said(F.col("git_branch"), seq).alias("git_branch"),
+        first_said(F.col("title"), seq).alias("title"),
+        F.min("timestamp").alias("started"), F.max("timestamp").alias("ended"),
+        F.bool_or(F.coalesce("is_sidechain", F.lit(False))).alias("sidechain"), F.count_if(F.coalesce("is_meta", F.lit(False))).alias("meta_records"),
     )
     said = messages(records).where("text is not null and trim(text) <> ''").groupBy("session").agg(transcript("role", "text", "seq").alias("text"))
     return facts.join(said, "session", "left")

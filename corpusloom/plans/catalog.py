@@ -26,7 +26,8 @@ PROJECT, AFTER, BEFORE = "src3", "2026-02-01", "2026-05-31"
 SURE, HOPELESS = 1.10, 1.30
 #: The day that ages count from.
 AS_OF = "2026-08-01"
-TYPES = (model.CURATED, model.REPO_DOC, model.TRANSCRIPT, model.ARCHIVE_DOC, model.TOOL_MEMORY, model.USER_MEMORY, model.PROJECT_BRIEF, model.TRANSCRIPT)
+TYPES = (model.CURATED, model.REPO_DOC, model.TRANSCRIPT, model.ARCHIVE_DOC, model.TOOL_MEMORY, model.USER_MEMORY, model.PROJECT_BRIEF,
+    model.TRANSCRIPT)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     kind = F.col("doc_id") % 8
     types = F.element_at(F.array(*map(F.lit, TYPES)), (kind + 1).cast("int"))
-    date = F.when(F.col("doc_id") % 17 != 0, F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")), "yyyy-MM-dd"))
+    date = F.when(F.col("doc_id") % 17 != 0, F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")),
+        "yyyy-MM-dd"))
     return d.select(
-        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("project"), types.alias("source_type"), F.when(kind == 7, model.TOOL_EVENT).otherwise(model.PROSE).alias("kind"), date.alias("doc_date"),
-        F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), F.lit(0).alias("ord"), F.when((kind == 2) & (F.col("doc_id") % 5 == 0), model.ABANDONED).otherwise(model.CANONICAL).alias("branch"), "text",
+        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("project"),
+        types.alias("source_type"), F.when(kind == 7, model.TOOL_EVENT).otherwise(model.PROSE).alias("kind"), date.alias("doc_date"),
+        F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), F.lit(0).alias("ord"),
+        F.when((kind == 2) & (F.col("doc_id") % 5 == 0), model.ABANDONED).otherwise(model.CANONICAL).alias("branch"), "text",
     )
 
 
@@ -74,18 +78,21 @@ def chunk_dedup(spark, sf_dir):
 
 def dedupe_savings(spark, sf_dir):
     c = chunked(spark, sf_dir).groupBy("content_hash").agg(F.count("*").alias("n"), F.first(F.length("text").cast("long")).alias("chars"))
-    return c.agg(F.sum("n").alias("occurrences"), F.count("*").alias("chunks"), F.sum(F.col("n") * F.col("chars")).alias("chars"), F.sum("chars").alias("kept_chars"))
+    return c.agg(F.sum("n").alias("occurrences"), F.count("*").alias("chunks"), F.sum(F.col("n") * F.col("chars")).alias("chars"),
+        F.sum("chars").alias("kept_chars"))
 
 
 def overlap_prefix(spark, sf_dir):
     c = chunked(spark, sf_dir)
     before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("ord"))
-    return c.withColumn("p", before).where("p is not null").select("doc_id", "ord", F.sha2(F.substring("p", -model.OVERLAP_CHARS, model.OVERLAP_CHARS), 256).alias("prefix_hash"))
+    return c.withColumn("p", before).where("p is not null").select("doc_id", "ord",
+        F.sha2(F.substring("p", -model.OVERLAP_CHARS, model.OVERLAP_CHARS), 256).alias("prefix_hash"))
 
 
 def term_postings(spark, sf_dir):
     p = indexed.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"), F.min(F.col("positions")[0]).cast("long").alias("earliest"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"),
+        F.min(F.col("positions")[0]).cast("long").alias("earliest"))
 
 
 #: Units of a bucket of texts, and how many built indexes a session keeps.
@@ -98,7 +105,8 @@ def index(spark: SparkSession, sf_dir: str) -> indexed.Index:
     held, marks = [f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings")], []
     for path in held:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        marks += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+        marks += [(f.getPath().toString(), f.getModificationTime(),
+            f.getLen()) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
     key = (spark.sparkContext.applicationId, sf_dir, *marks)
     if key not in _indexes:
         for old in list(_indexes)[: len(_indexes) - KEPT_INDEXES + 1]:
@@ -117,13 +125,15 @@ def built(spark: SparkSession, chunks: DataFrame, held: DataFrame) -> indexed.In
     units.drop("text").withColumns({"chunk_id": F.col("unit"), "bucket": bucket}).write.partitionBy("bucket").parquet(rows)
     units.select("unit", "text", bucket.alias("bucket")).write.partitionBy("bucket").parquet(texts)
     embedded = held.select(F.col("chunk_id").alias("unit"), F.lit("given").alias("model"), "embedding")
-    return indexed.Index(spark.read.parquet(rows), found, spark.read.parquet(texts), sizes["n"], (sizes["tokens"] or 0) / max(1, sizes["n"]), buckets, embedded, ("given",))
+    return indexed.Index(spark.read.parquet(rows), found, spark.read.parquet(texts), sizes["n"], (sizes["tokens"] or 0) / max(1, sizes["n"]), buckets,
+        embedded, ("given",))
 
 
 def search_index(spark, sf_dir):
     """The index built anew, and what it holds."""
     made = built(spark, corpus(spark, sf_dir), vectors(spark, sf_dir))
-    p = made.postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum(F.size("positions").cast("long")).alias("tokens"))
+    p = made.postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"),
+        F.sum(F.size("positions").cast("long")).alias("tokens"))
     return p.select(F.lit(made.total).cast("long").alias("units"), "terms", "postings", "tokens")
 
 
@@ -185,7 +195,8 @@ def lexical_coverage(spark, sf_dir):
 
 
 def knn_l2(spark, sf_dir):
-    return search.nearest(vectors(spark, sf_dir), asked_vector(spark, sf_dir), 20).select("chunk_id", F.round("distance", 6).alias("distance"), F.col("rank0").cast("long").alias("rank0"))
+    return search.nearest(vectors(spark, sf_dir), asked_vector(spark, sf_dir), 20).select("chunk_id", F.round("distance", 6).alias("distance"),
+        F.col("rank0").cast("long").alias("rank0"))
 
 
 def knn_scoped(spark, sf_dir):
@@ -212,12 +223,14 @@ def rrf_fusion(spark, sf_dir):
 
 def static_boosts(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    path = F.concat(F.repeat(F.lit("d/"), (F.col("chunk_id") % 9).cast("int")), F.when(F.col("chunk_id") % 5 == 0, "docs/").otherwise(""), F.lit("x.md"))
+    path = F.concat(F.repeat(F.lit("d/"), (F.col("chunk_id") % 9).cast("int")), F.when(F.col("chunk_id") % 5 == 0, "docs/").otherwise(""),
+        F.lit("x.md"))
     return c.select("chunk_id", scoring.boost(F.col("source_type"), F.col("kind"), path, F.col("branch")).alias("boost"))
 
 
 def _shown(rows):
-    return rows.select("chunk_id", "path", "source_type", F.round("score", 9).alias("score"), F.round("confidence", 6).alias("confidence"), F.array_join("matched_by", ",").alias("matched_by"), F.sha2("excerpt", 256).alias("excerpt_hash"))
+    return rows.select("chunk_id", "path", "source_type", F.round("score", 9).alias("score"), F.round("confidence", 6).alias("confidence"),
+        F.array_join("matched_by", ",").alias("matched_by"), F.sha2("excerpt", 256).alias("excerpt_hash"))
 
 
 def _hybrid(spark, sf_dir, query, filters=Filters(), policy=None):  # noqa: B008
@@ -230,7 +243,8 @@ def hybrid_search(spark, sf_dir):
 
 def hybrid_scan(spark, sf_dir):
     """The same, from the texts."""
-    return _shown(search.search(corpus(spark, sf_dir), vectors(spark, sf_dir), ASKED, asked_vector(spark, sf_dir), limit=20, sure=SURE, hopeless=HOPELESS))
+    return _shown(search.search(corpus(spark, sf_dir), vectors(spark, sf_dir), ASKED, asked_vector(spark, sf_dir), limit=20, sure=SURE,
+        hopeless=HOPELESS))
 
 
 def hybrid_filtered(spark, sf_dir):
@@ -251,7 +265,8 @@ def best_chunk_per_document(spark, sf_dir):
     """Chunks scored by coverage, the best of each document."""
     c = chunked(spark, sf_dir).select("doc_id", "ord", "text")
     cover = F.round(text.coverage(querytext.terms(ASKED), F.col("text")), 6)
-    rows = c.select(F.col("doc_id").alias("path"), F.col("ord").alias("chunk_id"), cover.alias("score"), F.lower("text").contains("with").alias("is_fts"))
+    rows = c.select(F.col("doc_id").alias("path"), F.col("ord").alias("chunk_id"), cover.alias("score"),
+        F.lower("text").contains("with").alias("is_fts"))
     return search.best_by_document(rows).select(F.col("path").alias("doc_id"), F.col("chunk_id").alias("ord"), "score", "is_fts")
 
 
@@ -262,11 +277,13 @@ def median_confidence_banner(spark, sf_dir):
 
 def _occurrences(spark, sf_dir):
     c = chunked(spark, sf_dir)
-    return c.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "ord", "content_hash"), c.groupBy("content_hash").agg(F.first("text").alias("text"))
+    return c.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "ord",
+        "content_hash"), c.groupBy("content_hash").agg(F.first("text").alias("text"))
 
 
 def read_document(spark, sf_dir):
-    return reading.read_documents(*_occurrences(spark, sf_dir)).select("path", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+    return reading.read_documents(*_occurrences(spark, sf_dir)).select("path", F.length("text").cast("long").alias("n_chars"),
+        F.sha2("text", 256).alias("text_hash"))
 
 
 def read_window(spark, sf_dir):
@@ -288,7 +305,8 @@ def excerpt_trim(spark, sf_dir):
     t = table(spark, sf_dir, "documents")
     short = text.excerpt(F.col("text"))
     tail = text.excerpt(F.substr("text", F.lit(4)))
-    return t.select("doc_id", F.sha2(short, 256).alias("excerpt_hash"), F.sha2(text.trimmed_excerpt(tail, (F.col("doc_id") % 3).cast("int")), 256).alias("trimmed_hash"))
+    return t.select("doc_id", F.sha2(short, 256).alias("excerpt_hash"),
+        F.sha2(text.trimmed_excerpt(tail, (F.col("doc_id") % 3).cast("int")), 256).alias("trimmed_hash"))
 
 
 def _health(spark, sf_dir):
@@ -309,7 +327,8 @@ def docs_by_type(spark, sf_dir):
 def health_verdict(spark, sf_dir):
     c, v = _health(spark, sf_dir)
     e = table(spark, sf_dir, "events")
-    runs = e.select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("errors"), F.get_json_object("props", "$.k").cast("int").alias("written"), F.lit(100).alias("seen"))
+    runs = e.select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("errors"),
+        F.get_json_object("props", "$.k").cast("int").alias("written"), F.lit(100).alias("seen"))
     return analytics.verdict(analytics.counts(c, c.select("content_hash", "kind"), v), runs)
 
 
@@ -331,14 +350,16 @@ def orphan_vectors(spark, sf_dir):
 
 
 def capture_lag(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("source"), F.col("ts").alias("mtime"), "event_type")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("source"), F.col("ts").alias("mtime"),
+        "event_type")
     live = e.where("event_type <> 'error' and source <> 'u6'")
     kept = e.where("event_type = 'error' and source <> 'u5'")
     return analytics.capture_lag(live, kept, 0.5).select("source", F.round("lag_hours", 6).alias("lag_hours"), "state")
 
 
 def export_freshness(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("batch_date"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("batch_date"))
     return analytics.export_freshness(o, F.lit("1998-08-15").cast("date")).withColumn("age_days", F.col("age_days").cast("long"))
 
 
@@ -348,8 +369,10 @@ def latest_run_per_source(spark, sf_dir):
 
 
 def source_status(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("source"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return e.groupBy("source").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("k").cast("long").alias("written"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("source"), "event_type",
+        F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return e.groupBy("source").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") == "error").alias("errors"),
+        F.sum("k").cast("long").alias("written"))
 
 
 def run_totals(spark, sf_dir):
@@ -373,7 +396,8 @@ def _aliases(spark, sf_dir):
 
 
 def alias_resolution(spark, sf_dir):
-    asked = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("name")).distinct())
+    asked = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(table(spark, sf_dir,
+        "supplier").select(F.lower("s_name").alias("name")).distinct())
     return aliases.resolve(_aliases(spark, sf_dir), asked).withColumn("names", F.array_join("names", ","))
 
 
@@ -386,8 +410,14 @@ def _records(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     blank = F.lit(None).cast("string")
     return c.select(
-        F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.when(F.col("role") == "system", "system").otherwise(F.col("role")).alias("type"), "role", "text", F.when(F.col("turn") % 3 == 1, F.concat(F.lit("/work/p"), (F.col("conv_id") % 4).cast("string"), F.lit("/"), F.col("turn").cast("string"))).alias("cwd"),
-        blank.alias("git_branch"), F.when(F.col("turn") == 2, F.substring("text", 1, 20)).alias("title"), F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 1000 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), (F.col("turn") % 7 == 6).alias("is_meta"), (F.col("conv_id") % 10 == 3).alias("is_sidechain"), (F.col("turn") % 11 == 10).alias("has_tool_result"),
+        F.col("conv_id").alias("session"), F.col("turn").alias("seq"),
+        F.when(F.col("role") == "system", "system").otherwise(F.col("role")).alias("type"), "role", "text",
+        F.when(F.col("turn") % 3 == 1, F.concat(F.lit("/work/p"), (F.col("conv_id") % 4).cast("string"), F.lit("/"),
+            F.col("turn").cast("string"))).alias("cwd"),
+        blank.alias("git_branch"), F.when(F.col("turn") == 2, F.substring("text", 1, 20)).alias("title"),
+        F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 1000 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        (F.col("turn") % 7 == 6).alias("is_meta"), (F.col("conv_id") % 10 == 3).alias("is_sidechain"),
+        (F.col("turn") % 11 == 10).alias("has_tool_result"),
     )
 
 
@@ -420,15 +450,19 @@ def branch_share(spark, sf_dir):
 def latest_batch_wins(spark, sf_dir):
     """Three exports overlap: conversations by number modulo 2 and 3."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
-    batches = c.select("conv_id", "turns", F.lit(1).alias("batch")).union(c.where("conv_id % 2 = 0").select("conv_id", F.col("turns") + 1, F.lit(2))).union(c.where("conv_id % 3 = 0").select("conv_id", F.col("turns") + 2, F.lit(3)))
+    batches = c.select("conv_id", "turns", F.lit(1).alias("batch")).union(c.where("conv_id % 2 = 0").select("conv_id", F.col("turns") + 1,
+        F.lit(2))).union(c.where("conv_id % 3 = 0").select("conv_id", F.col("turns") + 2, F.lit(3)))
     return maintenance.latest(batches, "conv_id", F.col("batch")).select("conv_id", "turns", "batch")
 
 
 def _versions(spark, sf_dir):
     """The corpus before and after: some documents gone, new, changed and touched, by number."""
-    c = corpus(spark, sf_dir).select("path", "chunk_id", "source_type", "project", F.sha2("text", 256).alias("content_hash"), F.col("chunk_id").cast("double").alias("mtime"), F.length("text").cast("long").alias("size"))
+    c = corpus(spark, sf_dir).select("path", "chunk_id", "source_type", "project", F.sha2("text", 256).alias("content_hash"),
+        F.col("chunk_id").cast("double").alias("mtime"), F.length("text").cast("long").alias("size"))
     old = c.where("chunk_id % 10 <> 1")
-    new = c.where("chunk_id % 10 <> 2").withColumn("content_hash", F.when(F.col("chunk_id") % 10 == 3, F.concat(F.col("content_hash"), F.lit("x"))).otherwise(F.col("content_hash"))).withColumn("mtime", F.when(F.col("chunk_id") % 10 == 4, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    new = c.where("chunk_id % 10 <> 2").withColumn("content_hash", F.when(F.col("chunk_id") % 10 == 3,
+        F.concat(F.col("content_hash"), F.lit("x"))).otherwise(F.col("content_hash"))).withColumn("mtime",
+        F.when(F.col("chunk_id") % 10 == 4, F.col("mtime") + 1).otherwise(F.col("mtime")))
     return old, new
 
 
@@ -461,7 +495,9 @@ def rehome_chunks(spark, sf_dir):
 
 def _secrets(spark, sf_dir):
     """Texts with credentials put in by number, since the tables hold few that the rules name."""
-    made = F.element_at(F.array(*map(F.lit, ("", " sk-ant-" + "a1" * 10, " sk-" + "b2" * 10, " ghp_" + "c3" * 10, " AKIA" + "D4" * 8, " AIza" + "e5f" * 11 + "gh", " xoxb-" + "1a" * 6, " Bearer " + "h6" * 12, " https://me:pw@host/x", " api_key = '" + "i7" * 12 + "'"))), (F.col("doc_id") % 10 + 1).cast("int"))
+    made = F.element_at(F.array(*map(F.lit, ("", " sk-ant-" + "a1" * 10, " sk-" + "b2" * 10, " ghp_" + "c3" * 10, " AKIA" + "D4" * 8,
+        " AIza" + "e5f" * 11 + "gh", " xoxb-" + "1a" * 6, " Bearer " + "h6" * 12, " https://me:pw@host/x", " api_key = '" + "i7" * 12 + "'"))),
+        (F.col("doc_id") % 10 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), made, F.lit(" end")).alias("text"))
 
 
@@ -485,8 +521,10 @@ def html_escape(spark, sf_dir):
 
 def doc_title_date(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    body = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Heading "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(""), F.when(F.col("doc_id") % 4 == 0, "Date: 2025-03-04\n").otherwise(""), F.col("text"))
-    path = F.concat(F.lit("/r/p/"), F.when(F.col("doc_id") % 5 == 0, "2024-12-31-").otherwise(""), F.lit("note"), F.col("doc_id").cast("string"), F.lit(".md"))
+    body = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Heading "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(""),
+        F.when(F.col("doc_id") % 4 == 0, "Date: 2025-03-04\n").otherwise(""), F.col("text"))
+    path = F.concat(F.lit("/r/p/"), F.when(F.col("doc_id") % 5 == 0, "2024-12-31-").otherwise(""), F.lit("note"), F.col("doc_id").cast("string"),
+        F.lit(".md"))
     return d.select("doc_id", text.title(body, path).alias("title"), text.doc_date(body, path, F.col("doc_id") * 86_400.0).alias("doc_date"))
 
 
@@ -499,7 +537,8 @@ def project_from_path(spark, sf_dir):
 
 
 def recent_feed_topn(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("project"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("project"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.col("o_orderkey").alias("id"))
     return analytics.feed(o, "project", model.FEED_LOG, model.FEED_LOG * 3, F.col("date").desc(), F.col("id").desc())
 
 
@@ -512,7 +551,8 @@ def name_scan(spark, sf_dir):
 
 def _names(spark, sf_dir):
     """First two words of every benchmark item, as names."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), 1, 2), "_")).alias("name"))
+    return table(spark, sf_dir, "benchmark").select("item_id",
+        F.lower(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), 1, 2), "_")).alias("name"))
 
 
 def protected_names(spark, sf_dir):
@@ -523,12 +563,15 @@ def protected_names(spark, sf_dir):
 
 def session_files(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    listing = c.select((F.col("conv_id") % 50).alias("session"), F.concat_ws("/", F.lit("f"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), (F.col("conv_id") + F.col("turn") / 8).alias("mtime"), F.length("text").cast("long").alias("size"))
+    listing = c.select((F.col("conv_id") % 50).alias("session"), F.concat_ws("/", F.lit("f"), F.col("conv_id").cast("string"),
+        F.col("turn").cast("string")).alias("path"), (F.col("conv_id") + F.col("turn") / 8).alias("mtime"),
+        F.length("text").cast("long").alias("size"))
     return sessions.session_files(listing).withColumn("files", F.sha2(F.array_join("files", ","), 256))
 
 
 def _renames(docs):
-    return docs.select(F.col("project").alias("old")).distinct().withColumn("now", F.concat(F.lit("src"), ((F.substring("old", 4, 9).cast("int") + 1) % 20).cast("string")))
+    return docs.select(F.col("project").alias("old")).distinct().withColumn("now",
+        F.concat(F.lit("src"), ((F.substring("old", 4, 9).cast("int") + 1) % 20).cast("string")))
 
 
 def distilled_names(spark, sf_dir):
@@ -546,7 +589,8 @@ def transcript_branches(spark, sf_dir):
 def reattributed(spark, sf_dir):
     """Every fourth document is found in another project, every eighth in none."""
     c = corpus(spark, sf_dir)
-    found = c.where("chunk_id % 4 = 0").select("path", F.when(F.col("chunk_id") % 8 == 0, "").otherwise(F.concat(F.lit("new"), (F.col("chunk_id") % 3).cast("string"))).alias("project"))
+    found = c.where("chunk_id % 4 = 0").select("path", F.when(F.col("chunk_id") % 8 == 0,
+        "").otherwise(F.concat(F.lit("new"), (F.col("chunk_id") % 3).cast("string"))).alias("project"))
     return maintenance.reattributed(c.select("path", "project"), found)
 
 
@@ -565,7 +609,8 @@ def embed_sign(spark, sf_dir):
 def markdown_chunks(spark, sf_dir):
     """Documents with headings put before every paragraph, through the Markdown chunker."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Top\n"), F.regexp_replace("text", "\n", "\n## Part\n")).alias("text"))
-    return chunking.chunked(d, "doc_id", chunking.markdown_pieces).select("doc_id", "ord", F.length("text").cast("long").alias("n_chars"), "content_hash")
+    return chunking.chunked(d, "doc_id", chunking.markdown_pieces).select("doc_id", "ord", F.length("text").cast("long").alias("n_chars"),
+        "content_hash")
 
 
 def embed_sign_python(spark, sf_dir):

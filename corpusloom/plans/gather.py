@@ -68,7 +68,9 @@ class Run:
     def tree(self, root: str, label: str, kind: str) -> DataFrame:
         rows = files.read_tree(self.spark, root, label, self.sources.config, skip=self.skip)
         path = F.col("path")
-        return rows.select("path", F.lit(kind).alias("source_type"), "project", "root", text.doc_date(F.col("text"), path, F.col("mtime")).alias("doc_date"), "mtime", "size", text.title(F.col("text"), path).alias("title"), F.col("text").alias("prose"))
+        return rows.select("path", F.lit(kind).alias("source_type"), "project", "root",
+            text.doc_date(F.col("text"), path, F.col("mtime")).alias("doc_date"), "mtime", "size", text.title(F.col("text"), path).alias("title"),
+            F.col("text").alias("prose"))
 
     def placed(self, documents: DataFrame) -> DataFrame:
         """Documents with the project of the folder they were worked in."""
@@ -115,7 +117,8 @@ class Run:
             out = out.unionByName(exports.documents(*exports.flat_messages(good), root), allowMissingColumns=True)
         for batch in (r["batch"] for r in discovery.second_batches(listing).collect()):
             name = batch.rsplit("/", 1)[-1]
-            for wanted, read in ((lambda p: p == f"{batch}/memories.json", exports.memory_documents), (lambda p: p.startswith(f"{batch}/projects/"), exports.project_documents)):  # noqa: B023
+            for wanted, read in ((lambda p: p == f"{batch}/memories.json", exports.memory_documents),
+                (lambda p: p.startswith(f"{batch}/projects/"), exports.project_documents)):  # noqa: B023
                 if mine := [p for p in held if wanted(p)]:
                     good, bad = exports.json_files(self.spark, mine)
                     self.report(bad)
@@ -132,10 +135,14 @@ class Run:
     def named(self) -> list[tuple[str, tuple[str, ...], Callable[[], DataFrame]]]:
         """(name, types it feeds, how it is read) of every source that is there."""
         s = self.sources
-        out = [(f"tree {label}", (model.REPO_DOC,), lambda root=root, label=label: self.tree(root, label, model.REPO_DOC)) for label, root in s.config.roots.items()]
+        out = [(f"tree {label}", (model.REPO_DOC,), lambda root=root, label=label: self.tree(root, label, model.REPO_DOC)) for label,
+            root in s.config.roots.items()]
         for name, at, kinds, read in (
-            ("curated", s.curated, (model.CURATED,), lambda at: self.tree(at, "curated", model.CURATED)), ("memory", s.memory, (model.TOOL_MEMORY,), lambda at: self.tree(at, "memory", model.TOOL_MEMORY)),
-            ("sessions", s.sessions, (model.TRANSCRIPT,), self.session_documents), ("rollouts", s.rollouts, (model.TRANSCRIPT,), self.rollout_documents), ("tree export", s.tree_exports, (model.TRANSCRIPT,), self.tree_export),
+            ("curated", s.curated, (model.CURATED,), lambda at: self.tree(at, "curated", model.CURATED)),
+            ("memory", s.memory, (model.TOOL_MEMORY,), lambda at: self.tree(at, "memory", model.TOOL_MEMORY)),
+            ("sessions", s.sessions, (model.TRANSCRIPT,), self.session_documents),
+            ("rollouts", s.rollouts, (model.TRANSCRIPT,), self.rollout_documents),
+            ("tree export", s.tree_exports, (model.TRANSCRIPT,), self.tree_export),
             ("flat export", s.flat_exports, (model.TRANSCRIPT, model.USER_MEMORY, model.PROJECT_BRIEF), self.flat_export),
         ):
             if at:
@@ -163,7 +170,8 @@ def gather(spark: SparkSession, sources: Sources, last: Snapshot | None = None,
     return Gathered(documents, unchanged, scanned, states)
 
 
-def update(store: Store, sources: Sources, embed: ingest.Embedder | None = None, model_name: str = "sign-16", full: bool = False) -> tuple[Snapshot, Gathered]:
+def update(store: Store, sources: Sources, embed: ingest.Embedder | None = None, model_name: str = "sign-16", full: bool = False) -> tuple[Snapshot,
+    Gathered]:
     """One run over all sources."""
     found = gather(store.spark, sources, store.current(), full)
     return ingest.run(store, found.documents, found.scanned, embed, model_name, full, found.errors, unchanged=found.unchanged), found

@@ -37,12 +37,14 @@ def sign_embedder(texts: list[str], dims: int = 16) -> list[list[float]]:
 def prepared(documents: DataFrame) -> DataFrame:
     """Redacted, hashed documents: (…DOCUMENT_COLUMNS, prose, events) of any source's rows."""
     have = set(documents.columns)
-    rows = documents.withColumns({c: F.lit(None).cast("string") for c in ("project", "root", "doc_date", "title", "branch", "cwd", "events", "prose") if c not in have})
+    rows = documents.withColumns({c: F.lit(None).cast("string") for c in ("project", "root", "doc_date", "title", "branch", "cwd", "events",
+        "prose") if c not in have})
     if "text" in have and "prose" not in have:
         rows = rows.withColumn("prose", F.col("text"))
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("mtime", "double"), ("size", "long")) if c not in have})
     rows = rows.withColumns({"_p": text.redacted(F.coalesce("prose", F.lit(""))), "_e": text.redacted(F.coalesce("events", F.lit("")))})
-    rows = rows.withColumns({"prose": F.col("_p.text"), "events": F.col("_e.text"), "redactions": F.array_sort(F.array_union("_p.kinds", "_e.kinds"))})
+    rows = rows.withColumns({"prose": F.col("_p.text"), "events": F.col("_e.text"),
+        "redactions": F.array_sort(F.array_union("_p.kinds", "_e.kinds"))})
     # what a reader sees of a document is part of its hash, so a new title alone is a change
     marks = F.concat_ws("\x1f", "prose", "events", *(F.coalesce(c, F.lit("")) for c in ("title", "doc_date", "project", "branch")))
     return rows.withColumn("content_hash", F.sha2(marks, 256)).select(*DOCUMENT_COLUMNS, "prose", "events")
@@ -52,7 +54,8 @@ def chunks_of(rows: DataFrame) -> DataFrame:
     """(path, ord, kind, text, content_hash): Markdown documents by section, the rest plainly; events follow prose."""
     marked = rows.where(F.lower("path").rlike(r"\.(md|markdown)$"))
     other = rows.where(~F.lower("path").rlike(r"\.(md|markdown)$"))
-    prose = chunking.chunked(marked.select("path", F.col("prose").alias("text")), pieces=chunking.markdown_pieces).union(chunking.chunked(other.select("path", F.col("prose").alias("text"))))
+    prose = chunking.chunked(marked.select("path", F.col("prose").alias("text")),
+        pieces=chunking.markdown_pieces).union(chunking.chunked(other.select("path", F.col("prose").alias("text"))))
     events = chunking.chunked(rows.where("events <> ''").select("path", F.col("events").alias("text")), kind=model.TOOL_EVENT)
     n = prose.groupBy("path").agg(F.count("*").alias("n"))
     later = events.join(n, "path", "left").withColumn("ord", (F.col("ord") + F.coalesce("n", F.lit(0))).cast("int")).drop("n")
@@ -85,7 +88,8 @@ def embedded(pending: DataFrame, embed: Embedder, model_name: str) -> DataFrame:
 
 
 def run(
-    store: Store, documents: DataFrame, scanned: DataFrame, embed: Embedder | None = None, model_name: str = "sign-16", full: bool = False, errors: int = 0, now: datetime | None = None, unchanged: DataFrame | None = None
+    store: Store, documents: DataFrame, scanned: DataFrame, embed: Embedder | None = None, model_name: str = "sign-16", full: bool = False,
+    errors: int = 0, now: datetime | None = None, unchanged: DataFrame | None = None
 ) -> Snapshot:
     """Bring the store to ``documents`` (all that were parsed) and ``unchanged`` (path of those that need no parse), with
     sources scanned successfully in ``scanned``.
@@ -111,25 +115,34 @@ def run(
         buckets = last.meta["buckets"]
     else:
         fresh, kept, runs, buckets = seen, seen.select(*DOCUMENT_COLUMNS), None, store.buckets
-        before, buried, stored = spark.createDataFrame([], OWNERS), none, spark.createDataFrame([], "path string, ord int, kind string, content_hash string")
+        before, buried, stored = spark.createDataFrame([], OWNERS), none, spark.createDataFrame([],
+            "path string, ord int, kind string, content_hash string")
     pieces = materialize(chunks_of(fresh), "chunks")
     occurrences = materialize(stored.unionByName(pieces.select("path", "ord", "kind", "content_hash")), "occurrences")
     held = before.select("content_hash").union(buried)
-    unit = pieces.join(held, "content_hash", "left_anti").groupBy("content_hash").agg(F.min_by(F.struct("kind", "text"), F.struct("path", "ord")).alias("c"))
-    added = materialize(unit.select("content_hash", "c.kind", "c.text").withColumn("bucket", indexed.bucket_of(F.col("content_hash"), buckets)), "chunks")
+    unit = pieces.join(held, "content_hash", "left_anti").groupBy("content_hash").agg(F.min_by(F.struct("kind", "text"),
+        F.struct("path", "ord")).alias("c"))
+    added = materialize(unit.select("content_hash", "c.kind", "c.text").withColumn("bucket", indexed.bucket_of(F.col("content_hash"), buckets)),
+        "chunks")
     posted = materialize(indexed.postings(added.select("content_hash", "text"), "content_hash").withColumnRenamed("unit", "content_hash"), "postings")
-    owners = materialize(owned(occurrences, before, buried if last is None else last.segments("postings").join(buried, "content_hash", "left_semi"), posted, added), "owners")
+    owners = materialize(owned(occurrences, before, buried if last is None else last.segments("postings").join(buried, "content_hash", "left_semi"),
+        posted, added), "owners")
     dead = materialize(held.distinct().join(owners, "content_hash", "left_anti"), "dead")
     vectors = spark.createDataFrame([], "content_hash string, model string, embedding array<float>")
     if embed is not None:
-        texts = added.select("content_hash", "kind", "text") if last is None else last.segments("texts").drop("bucket").unionByName(added.drop("bucket", "kind")).join(owners.select("content_hash", "kind"), "content_hash")
-        vectors = materialize(embedded(maintenance.pending(texts, vectors if last is None else last.segments("vectors"), model_name), embed, model_name), "vectors")
+        texts = added.select("content_hash", "kind",
+            "text") if last is None else last.segments("texts").drop("bucket").unionByName(added.drop("bucket",
+                "kind")).join(owners.select("content_hash", "kind"), "content_hash")
+        vectors = materialize(embedded(maintenance.pending(texts, vectors if last is None else last.segments("vectors"), model_name), embed,
+            model_name), "vectors")
     number = (runs.agg(F.max("run_id")).first()[0] or 0) + 1 if runs is not None else 1
-    row = spark.createDataFrame([(number, started.isoformat(), datetime.now(UTC).isoformat(), "full" if full else "incremental", seen.count(), fresh.count(), errors)], RUNS)
+    row = spark.createDataFrame([(number, started.isoformat(), datetime.now(UTC).isoformat(), "full" if full else "incremental", seen.count(),
+        fresh.count(), errors)], RUNS)
     runs = row if runs is None else runs.unionByName(row)
     tables = {"documents": kept, "occurrences": occurrences, "owners": owners, "dead": dead, "ingest_runs": runs}
     new = {"texts": added.select("content_hash", "text", "bucket"), "postings": posted, "vectors": vectors}
-    return store.publish(tables, new if last is None else {n: df for n, df in new.items() if not df.isEmpty()}, {"pipeline_version": str(model.PIPELINE_VERSION), "embed_model": model_name if embed else ""})
+    return store.publish(tables, new if last is None else {n: df for n, df in new.items() if not df.isEmpty()},
+        {"pipeline_version": str(model.PIPELINE_VERSION), "embed_model": model_name if embed else ""})
 
 
 def owned(occurrences: DataFrame, before: DataFrame, buried: DataFrame, posted: DataFrame, added: DataFrame) -> DataFrame:
@@ -141,7 +154,8 @@ def owned(occurrences: DataFrame, before: DataFrame, buried: DataFrame, posted:
     lengths = before.select("content_hash", "dl").unionByName(posted.groupBy("content_hash").agg(F.first("dl").alias("dl")))
     if "dl" in buried.columns:
         lengths = lengths.unionByName(buried.groupBy("content_hash").agg(F.first("dl").alias("dl")))
-    return home.join(lengths, "content_hash", "left").select("content_hash", "home.path", "home.ord", "home.kind", F.coalesce("dl", F.lit(0)).alias("dl"))
+    return home.join(lengths, "content_hash", "left").select("content_hash", "home.path", "home.ord", "home.kind",
+        F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
 def repaired(store: Store) -> Snapshot:
@@ -155,9 +169,12 @@ def repaired(store: Store) -> Snapshot:
     again = F.when(F.col("_lost"), F.lit("")).otherwise(F.col("content_hash"))
     documents = last.table("documents").join(lost.select("path").distinct().withColumn("_lost", F.lit(True)), "path", "left")
     documents = documents.withColumn("content_hash", again).withColumn("size", F.when(F.col("_lost"), -1).otherwise(F.col("size"))).drop("_lost")
-    tables = {"documents": documents, "occurrences": occurrences.join(texts, "content_hash", "left_semi"), "owners": owners, "dead": last.table("dead").where("false"), "ingest_runs": last.table("ingest_runs")}
-    rows = {n: materialize(last.segments(n).join(owners.select("content_hash"), "content_hash", "left_semi").select(last.segments(n).columns), n) for n in ("texts", "vectors")}
-    posted = last.segments("postings").join(owners.select("content_hash"), "content_hash", "left_semi").select("term", "content_hash", "dl", "positions")
+    tables = {"documents": documents, "occurrences": occurrences.join(texts, "content_hash", "left_semi"), "owners": owners,
+        "dead": last.table("dead").where("false"), "ingest_runs": last.table("ingest_runs")}
+    rows = {n: materialize(last.segments(n).join(owners.select("content_hash"), "content_hash", "left_semi").select(last.segments(n).columns),
+        n) for n in ("texts", "vectors")}
+    posted = last.segments("postings").join(owners.select("content_hash"), "content_hash", "left_semi").select("term", "content_hash", "dl",
+        "positions")
     return store.publish(tables, rows | {"postings": posted.repartitionByRange("term", "content_hash").sortWithinPartitions("term")}, {}, anew=True)
 
 
@@ -175,6 +192,7 @@ def reattributed(store: Store, roots: list[str]) -> Snapshot:
 def folder_hash(files: DataFrame) -> DataFrame:
     """(folder, digest): a hash over names and contents in order of name; changes when either does."""
     own = F.sha2(F.col("content"), 256)
-    held = files.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), F.struct(F.substring_index("path", "/", -1).alias("name"), own.alias("h")).alias("f"))
+    held = files.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"),
+        F.struct(F.substring_index("path", "/", -1).alias("name"), own.alias("h")).alias("f"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: F.concat_ws("\x1f", f["name"], f["h"])), "\n")
     return held.groupBy("folder").agg(F.sha2(joined, 256).alias("digest"))

@@ -38,8 +38,10 @@ def text_report(snapshot: Snapshot, states: list[tuple[str, str, str]] = (), fre
     """
     h, meta = health(snapshot).first(), snapshot.meta
     occurrences = snapshot.table("occurrences").count()
-    out = ["Corpus report", f"  store         : {snapshot.store.root}/{snapshot.number}", f"  schema        : {meta['schema_version']}", f"  embed model   : {meta.get('embed_model') or '-'}", ""]
-    out += [f"  documents     : {h['documents']:,}", f"  unique chunks : {h['chunks']:,}  (prose {h['prose']:,} / tool events {h['tool_events']:,})", f"  occurrences   : {occurrences:,}  ({occurrences - h['chunks']:,} duplicate chunks saved)", f"  embedded      : {h['vectors']:,}"]
+    out = ["Corpus report", f"  store         : {snapshot.store.root}/{snapshot.number}", f"  schema        : {meta['schema_version']}",
+        f"  embed model   : {meta.get('embed_model') or '-'}", ""]
+    out += [f"  documents     : {h['documents']:,}", f"  unique chunks : {h['chunks']:,}  (prose {h['prose']:,} / tool events {h['tool_events']:,})",
+        f"  occurrences   : {occurrences:,}  ({occurrences - h['chunks']:,} duplicate chunks saved)", f"  embedded      : {h['vectors']:,}"]
     if h["pending"]:
         out.append(f"  PENDING       : {h['pending']:,} prose chunks")
     if h["dangling_occurrences"]:
@@ -57,7 +59,8 @@ def text_report(snapshot: Snapshot, states: list[tuple[str, str, str]] = (), fre
         out += ["", "Capture freshness", *(f"  {r['source']:<14} {r['state']}" for r in rows)]
         stalled = [r for r in rows if r["state"] in ("stalled", "NEVER ARCHIVED")]
     run = snapshot.table("ingest_runs").orderBy(F.desc("run_id")).first()
-    out += ["", f"Last run: {run['mode']}, {run['seen']:,} seen, {run['written']:,} written, {run['errors']:,} errors" if run else "Last run: none", f"VERDICT: {h['verdict']}"]
+    out += ["", f"Last run: {run['mode']}, {run['seen']:,} seen, {run['written']:,} written, {run['errors']:,} errors" if run else "Last run: none",
+        f"VERDICT: {h['verdict']}"]
     failed = any(state == "failed" for _, state, _ in states)
     return "\n".join(out), max(exit_code(h), int(bool(stalled)), int(failed))
 
@@ -95,7 +98,8 @@ def dashboard(curated: DataFrame, documents: DataFrame, chunk_counts: DataFrame,
     overview = curated.where(name == "overview.md")
     questions = notes.open_questions(overview)
     last = log.groupBy("project").agg(F.max("date").alias("last_activity"))
-    projects = overview.select("project", notes.status_line(F.col("text")).alias("status")).join(last, "project", "left").orderBy(F.col("last_activity").desc_nulls_last(), "project").limit(MOST_SHOWN)
+    projects = overview.select("project", notes.status_line(F.col("text")).alias("status")).join(last, "project",
+        "left").orderBy(F.col("last_activity").desc_nulls_last(), "project").limit(MOST_SHOWN)
     day = F.lit(as_of).cast("date")
     return Dashboard(
         projects,
@@ -110,8 +114,10 @@ def home_page(d: Dashboard) -> str:
     """The dashboard as Markdown; every frame is a feed of few rows."""
     out = ["# Corpus", ""]
     parts = (
-        ("Projects", d.projects, lambda r: f"**{r['project']}** {r['last_activity'] or ''} {r['status'] or ''}"), ("Log", d.log, lambda r: f"{r['date']} {r['project']}: {r['heading']}"),
-        ("Decisions", d.decisions, lambda r: f"{r['id']} {r['project']}: {r['title']} [{r['status']}]"), ("Open questions", d.questions, lambda r: f"{r['project']}: {r['question']}"),
+        ("Projects", d.projects, lambda r: f"**{r['project']}** {r['last_activity'] or ''} {r['status'] or ''}"),
+        ("Log", d.log, lambda r: f"{r['date']} {r['project']}: {r['heading']}"),
+        ("Decisions", d.decisions, lambda r: f"{r['id']} {r['project']}: {r['title']} [{r['status']}]"),
+        ("Open questions", d.questions, lambda r: f"{r['project']}: {r['question']}"),
         ("Backlog", d.backlog, lambda r: f"{r['project']}: {r['documents']} documents, score {r['score']:.1f}"),
     )
     for title, frame, line in parts:
@@ -140,7 +146,8 @@ def golden_verdict(present: DataFrame, absent: DataFrame) -> DataFrame:
     either, which is not a pass."""
     p = present.agg(F.median("score").alias("present"))
     a = probe_states(absent).where("state = 'clean'").agg(F.max("score").alias("absent"))
-    verdict = F.when(F.col("present").isNull() | F.col("absent").isNull(), "SKIP").when(F.col("absent") < ABSENT_SHARE * F.col("present"), "PASS").otherwise("FAIL")
+    verdict = F.when(F.col("present").isNull() | F.col("absent").isNull(), "SKIP").when(F.col("absent") < ABSENT_SHARE * F.col("present"),
+        "PASS").otherwise("FAIL")
     return p.join(F.broadcast(a)).select("present", "absent", verdict.alias("verdict"))
 
 

@@ -20,7 +20,8 @@ from corpusloom.operators import indexed
 #: Tables of a folder, and the schemas of those that lie in segments.
 TABLES = ("documents", "occurrences", "owners", "dead", "ingest_runs")
 SCHEMAS = {
-    "texts": "content_hash string, text string, bucket int", "postings": "term string, content_hash string, dl int, positions array<int>", "vectors": "content_hash string, model string, embedding array<float>",
+    "texts": "content_hash string, text string, bucket int", "postings": "term string, content_hash string, dl int, positions array<int>",
+    "vectors": "content_hash string, model string, embedding array<float>",
 }
 #: Segments of a table at most, and dead chunks for each live one, beyond which segments are merged.
 MOST_SEGMENTS, MOST_DEAD = 8, 0.5
@@ -56,7 +57,8 @@ class Store:
         rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
         options = jvm.java.lang.reflect.Array.newInstance(rename, 1)
         options[0] = rename.getEnumConstants()[1]
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, self._fs(path)[1], options)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, self._fs(path)[1],
+            options)
 
     def holds(self, path: str) -> bool:
         """Whether a table was written whole below the path."""
@@ -65,7 +67,8 @@ class Store:
 
     def log(self, name: str, record: dict) -> None:
         """Append one record to the JSON-lines log ``name``."""
-        self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/logs/{name}")
+        self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)],
+            "value string").coalesce(1).write.mode("append").text(f"{self.root}/logs/{name}")
 
     def logged(self, name: str) -> DataFrame:
         return self.spark.read.text(f"{self.root}/logs/{name}")
@@ -87,7 +90,8 @@ class Store:
         last = self.current()
         if last is None:
             return []
-        kept = [Snapshot(self, n, json.loads(self._read(f"{self.root}/{n}/manifest.json") or "{}")) for n in range(max(0, last.number - keep + 1), last.number + 1)]
+        kept = [Snapshot(self, n, json.loads(self._read(f"{self.root}/{n}/manifest.json") or "{}")) for n in range(max(0, last.number - keep + 1),
+            last.number + 1)]
         used = {s for k in kept for held in k.meta["segments"].values() for s in held}
         fs, root = self._fs(self.root)
         gone = []
@@ -119,7 +123,8 @@ class Store:
         owners = self.spark.read.parquet(f"{self.root}/{number}/owners").agg(F.count("*"), F.avg("dl")).first()
         dead = self.spark.read.parquet(f"{self.root}/{number}/dead").count()
         models = [r[0] for r in self.spark.read.schema(SCHEMAS["vectors"]).parquet(*(f"{self.root}/{s}" for s in segments["vectors"])).select("model").distinct().collect()]
-        facts = {"segments": segments, "buckets": last.meta["buckets"] if last else self.buckets, "total": owners[0], "mean_dl": owners[1] or 0.0, "dead": dead, "models": models}
+        facts = {"segments": segments, "buckets": last.meta["buckets"] if last else self.buckets, "total": owners[0], "mean_dl": owners[1] or 0.0,
+            "dead": dead, "models": models}
         manifest = (last.meta if last else {}) | {"schema_version": str(model.SCHEMA_VERSION)} | facts | meta
         self._write(f"{self.root}/{number}/manifest.json", json.dumps(manifest))
         self._write(f"{self.root}/CURRENT", str(number))
@@ -148,7 +153,8 @@ class Snapshot:
     def table(self, name: str) -> DataFrame:
         """A table by name; chunks are owners with their texts."""
         if name == "chunks":
-            return self.table("owners").join(self.segments("texts").drop("bucket"), "content_hash").select("content_hash", "path", "ord", "kind", "text")
+            return self.table("owners").join(self.segments("texts").drop("bucket"), "content_hash").select("content_hash", "path", "ord", "kind",
+                "text")
         return self.live(name) if name in SCHEMAS else self.store.spark.read.parquet(self.path(name))
 
     def is_scattered(self) -> bool:
@@ -157,7 +163,8 @@ class Snapshot:
     def merged(self) -> Snapshot:
         """The next snapshot, with the same rows in one segment each and no dead ones."""
         same = {n: self.table(n) for n in TABLES if n != "dead"} | {"dead": self.table("dead").where("false")}
-        rows = {n: self.live(n) for n in SCHEMAS} | {"postings": self.live("postings").repartitionByRange("term", "content_hash").sortWithinPartitions("term")}
+        rows = {n: self.live(n) for n in SCHEMAS} | {"postings": self.live("postings").repartitionByRange("term",
+            "content_hash").sortWithinPartitions("term")}
         return self.store.publish(same, rows, {}, anew=True)
 
     def search_rows(self) -> DataFrame:
@@ -176,7 +183,8 @@ class Snapshot:
         rows = self.places().withColumn("branch", F.coalesce("branch", F.lit(model.CANONICAL)))
         rows = rows.select(unit, "chunk_id", "path", "project", "source_type", "kind", "doc_date", "title", "ord", "branch")
         return indexed.Index(
-            rows, self.live("postings").withColumnRenamed("content_hash", "unit"), self.segments("texts").withColumnRenamed("content_hash", "unit"), self.meta["total"], self.meta["mean_dl"], self.meta["buckets"],
+            rows, self.live("postings").withColumnRenamed("content_hash", "unit"), self.segments("texts").withColumnRenamed("content_hash", "unit"),
+            self.meta["total"], self.meta["mean_dl"], self.meta["buckets"],
             self.live("vectors").withColumnRenamed("content_hash", "unit") if self.meta["models"] else None, tuple(self.meta["models"]),
             self.table("occurrences").select(unit, "kind"),
         )

@@ -12,7 +12,8 @@ def export_batches(files: DataFrame) -> DataFrame:
     """(batch, batch_date, files) of folders that hold conversations, at any depth, oldest first; a batch is known by
     what it holds, not by its name."""
     held = files.where(F.substring_index("path", "/", -1).rlike(f"^{exports.CONVERSATIONS}$"))
-    by = held.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("batch")).agg(F.max("mtime").alias("mtime"), F.array_sort(F.collect_set("path")).alias("files"))
+    by = held.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("batch")).agg(F.max("mtime").alias("mtime"),
+        F.array_sort(F.collect_set("path")).alias("files"))
     return by.select("batch", exports.batch_date(F.col("batch"), F.col("mtime")).alias("batch_date"), "files").orderBy("batch_date", "batch")
 
 

@@ -16,7 +16,8 @@ from corpusloom.sources.files import metadata_path
 
 # File names of exports and what they are.
 PERSONAL = ("user.json", "users.json", "login_history.json")
-SKIPPED = ("chat.html", "ads.json", "export_manifest.json", "conversation_asset_file_names.json", "library_files.json", "user_settings.json", "message_feedback.json", "shared_conversations.json")
+SKIPPED = ("chat.html", "ads.json", "export_manifest.json", "conversation_asset_file_names.json", "library_files.json", "user_settings.json",
+    "message_feedback.json", "shared_conversations.json")
 CONVERSATIONS = r"conversations[^/]*\.json"
 EXPORT_SALIENT = ("command", "file_path", "path", "query", "pattern", "url", "prompt", "description")
 ASSET_NAMES = "conversation_asset_file_names.json"
@@ -37,7 +38,9 @@ def survey(listing: DataFrame) -> DataFrame:
 def batch_date(path: Column, mtime: Column) -> Column:
     """Date in a batch's name, else of an epoch in it, else of the file."""
     epoch = F.regexp_extract(path, r"(?:^|[-_/])(1[0-9]{9})(?:[0-9]{3})?(?:[-_/.]|$)", 1)
-    return F.coalesce(F.nullif(F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.when(epoch != "", F.date_format(F.timestamp_seconds(epoch.cast("long")), "yyyy-MM-dd")), F.date_format(F.timestamp_seconds(mtime), "yyyy-MM-dd"))
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")),
+        F.when(epoch != "", F.date_format(F.timestamp_seconds(epoch.cast("long")), "yyyy-MM-dd")),
+        F.date_format(F.timestamp_seconds(mtime), "yyyy-MM-dd"))
 
 
 def date_of(value: Column) -> Column:
@@ -73,7 +76,9 @@ def node_text(message: Column, assets: Column) -> Column:
     content = F.try_variant_get(message, "$.content", "variant")
     kind = get(content, "content_type")
     none = F.expr("cast(array() as array<variant>)")
-    thoughts = F.transform(F.coalesce(F.try_variant_get(content, "$.thoughts", "array<variant>"), none), lambda t: F.concat_ws("\n", F.when(F.trim(get(t, "summary")) != "", F.concat(F.lit("[thinking] "), F.trim(get(t, "summary")))), F.nullif(F.trim(get(t, "content")), F.lit(""))))
+    thoughts = F.transform(F.coalesce(F.try_variant_get(content, "$.thoughts", "array<variant>"), none),
+        lambda t: F.concat_ws("\n", F.when(F.trim(get(t, "summary")) != "", F.concat(F.lit("[thinking] "), F.trim(get(t, "summary")))),
+            F.nullif(F.trim(get(t, "content")), F.lit(""))))
     reasoning = F.array_join(F.filter(thoughts, lambda s: s != ""), "\n")
 
     def label(part: Column) -> Column:
@@ -85,7 +90,8 @@ def node_text(message: Column, assets: Column) -> Column:
         return F.when(pointer.isNotNull(), F.concat(F.lit("["), what, F.coalesce(F.concat(F.lit(": "), name), F.lit("")), F.lit("]")))
 
     said = lambda s: F.when(F.trim(s) != "", s)
-    parts = F.transform(F.coalesce(F.try_variant_get(content, "$.parts", "array<variant>"), none), lambda p: F.when(F.schema_of_variant(p).startswith("OBJECT"), F.coalesce(said(get(p, "text")), label(p))).otherwise(said(get(p, ""))))
+    parts = F.transform(F.coalesce(F.try_variant_get(content, "$.parts", "array<variant>"), none),
+        lambda p: F.when(F.schema_of_variant(p).startswith("OBJECT"), F.coalesce(said(get(p, "text")), label(p))).otherwise(said(get(p, ""))))
     every = F.filter(F.concat(parts, F.array(said(get(content, "text")))), lambda s: s.isNotNull())
     strange = (F.size(every) == 0) & kind.isNotNull() & ~kind.isin(*CONTENT_TYPES)
     flat = F.when(~F.schema_of_variant(content).startswith("OBJECT"), get(content, ""))
@@ -99,30 +105,43 @@ def tree_messages(files: DataFrame, assets: dict[str, str] | None = None) -> tup
     held = F.create_map(*(F.lit(x) for kv in assets.items() for x in kv)) if assets else F.expr("cast(map() as map<string,string>)")
     item = F.col("item")
     stem = F.substring_index("path", "/", -1)
-    rows = items(files).select("path", F.coalesce(get(item, "conversation_id"), get(item, "id"), F.concat_ws("-", stem, F.col("at").cast("string"))).alias("conv"), get(item, "title").alias("title"), get(item, "current_node").alias("head"), date_of(get(item, "create_time")).alias("doc_date"), F.coalesce(get(item, "update_time", "double"), get(item, "create_time", "double")).alias("updated"), F.try_variant_get(item, "$.mapping", "map<string,variant>").alias("mapping"))
+    rows = items(files).select("path", F.coalesce(get(item, "conversation_id"), get(item, "id"),
+        F.concat_ws("-", stem, F.col("at").cast("string"))).alias("conv"), get(item, "title").alias("title"), get(item, "current_node").alias("head"),
+        date_of(get(item, "create_time")).alias("doc_date"), F.coalesce(get(item, "update_time", "double"),
+        get(item, "create_time", "double")).alias("updated"), F.try_variant_get(item, "$.mapping", "map<string,variant>").alias("mapping"))
     rows = rows.where("mapping is not null and size(mapping) > 0")
     last = maintenance.latest(rows, "conv", F.coalesce("updated", F.lit(0.0)), F.col("path"))
     node = F.col("n")
     nodes = last.select("conv", F.explode("mapping").alias("node", "n"))
     text = node_text(F.try_variant_get(node, "$.message", "variant"), held)
-    nodes = nodes.select("conv", "node", get(node, "parent").alias("parent"), F.coalesce(get(node, "message.create_time", "double"), F.lit(0.0)).alias("at"), get(node, "message.author.role").alias("role"), text.alias("t"))
+    nodes = nodes.select("conv", "node", get(node, "parent").alias("parent"),
+        F.coalesce(get(node, "message.create_time", "double"), F.lit(0.0)).alias("at"), get(node, "message.author.role").alias("role"),
+        text.alias("t"))
     return last.drop("mapping"), nodes.select("conv", "node", "parent", "at", "role", "t.prose", "t.reasoning")
 
 
 def flat_messages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conversations, nodes) of an export whose conversations are lists of messages with parents."""
     item, m = F.col("item"), F.col("m")
-    rows = items(files).select("path", F.coalesce(get(item, "uuid"), get(item, "id"), F.concat(F.lit("index-"), F.col("at").cast("string"))).alias("conv"), F.coalesce(get(item, "name"), get(item, "title")).alias("title"), get(item, "summary").alias("summary"), date_of(F.coalesce(get(item, "created_at"), get(item, "create_time"))).alias("doc_date"), F.coalesce(get(item, "updated_at"), get(item, "created_at"), F.lit("")).alias("updated"), F.coalesce(F.try_variant_get(item, "$.chat_messages", "array<variant>"), F.try_variant_get(item, "$.messages", "array<variant>")).alias("messages"))
+    rows = items(files).select("path", F.coalesce(get(item, "uuid"), get(item, "id"),
+        F.concat(F.lit("index-"), F.col("at").cast("string"))).alias("conv"), F.coalesce(get(item, "name"), get(item, "title")).alias("title"),
+        get(item, "summary").alias("summary"), date_of(F.coalesce(get(item, "created_at"), get(item, "create_time"))).alias("doc_date"),
+        F.coalesce(get(item, "updated_at"), get(item, "created_at"), F.lit("")).alias("updated"),
+        F.coalesce(F.try_variant_get(item, "$.chat_messages", "array<variant>"),
+            F.try_variant_get(item, "$.messages", "array<variant>")).alias("messages"))
     rows = rows.where("messages is not null and size(messages) > 0")
     last = maintenance.latest(rows, "conv", F.col("updated"), F.col("path"))
     none = F.expr("cast(array() as array<variant>)")
     nodes = last.select("conv", F.posexplode("messages").alias("i", "m"))
     blocks = F.coalesce(F.try_variant_get(m, "$.content", "array<variant>"), none)
     wanted = F.filter(blocks, lambda b: F.coalesce(get(b, "type"), F.lit("text")).isin("text", "thinking"))
-    body = F.filter(F.transform(wanted, lambda b: F.coalesce(F.nullif(get(b, "text"), F.lit("")), get(b, "thinking"), F.when(~F.schema_of_variant(b).startswith("OBJECT"), get(b, "")))), lambda s: s.isNotNull() & (F.trim(s) != ""))
+    body = F.filter(F.transform(wanted, lambda b: F.coalesce(F.nullif(get(b, "text"), F.lit("")), get(b, "thinking"),
+        F.when(~F.schema_of_variant(b).startswith("OBJECT"), get(b, "")))), lambda s: s.isNotNull() & (F.trim(s) != ""))
     prose = F.when(F.trim(get(m, "text")) != "", get(m, "text")).otherwise(F.array_join(body, "\n"))
     tools = F.transform(F.filter(blocks, lambda b: get(b, "type") == "tool_use"), lambda b: tool_line(b, EXPORT_SALIENT))
-    nodes = nodes.select("conv", F.coalesce(get(m, "uuid"), F.concat(F.lit("#"), F.col("i").cast("string"))).alias("node"), get(m, "parent_message_uuid").alias("parent"), F.coalesce(get(m, "created_at"), F.lit("")).alias("at"), get(m, "sender").alias("role"), prose.alias("prose"), F.array_join(tools, "\n").alias("reasoning"))
+    nodes = nodes.select("conv", F.coalesce(get(m, "uuid"), F.concat(F.lit("#"), F.col("i").cast("string"))).alias("node"),
+        get(m, "parent_message_uuid").alias("parent"), F.coalesce(get(m, "created_at"), F.lit("")).alias("at"), get(m, "sender").alias("role"),
+        prose.alias("prose"), F.array_join(tools, "\n").alias("reasoning"))
     held = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("ok"))
     nodes = nodes.join(held, ["conv", "parent"], "left").withColumn("parent", F.when(F.col("ok"), F.col("parent"))).drop("ok")
     heads = nodes.groupBy("conv").agg(F.max_by("node", F.struct("at", "node")).alias("head"))
@@ -131,17 +150,21 @@ def flat_messages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def documents(conversations: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
     """(path, source_type, doc_date, title, branch, prose, events) of both branches of every conversation."""
-    branch = threads.canonical(nodes.select("conv", "node", "parent"), conversations.where("head is not null").select("conv", F.col("head").alias("node")))
+    branch = threads.canonical(nodes.select("conv", "node", "parent"),
+        conversations.where("head is not null").select("conv", F.col("head").alias("node")))
     rows = nodes.join(branch, ["conv", "node"])
     line = lambda text, role: F.when(F.trim(text) != "", F.concat_ws(": ", role, text))
-    order = F.array_sort(F.collect_list(F.struct("at", "node", line(F.col("prose"), F.col("role")).alias("p"), line(F.col("reasoning"), F.lit(None).cast("string")).alias("r"))))
+    order = F.array_sort(F.collect_list(F.struct("at", "node", line(F.col("prose"), F.col("role")).alias("p"),
+        line(F.col("reasoning"), F.lit(None).cast("string")).alias("r"))))
     said = rows.groupBy("conv", "branch").agg(order.alias("said"), F.count("*").alias("messages"))
     text = lambda k, sep: F.array_join(F.filter(F.transform("said", lambda s: s[k]), lambda s: s.isNotNull()), sep)
     off = F.col("branch") == model.ABANDONED
     out = said.join(conversations.select("conv", "title", "doc_date"), "conv")
     return out.select(
-        F.concat(F.lit(f"{root}#conversation="), "conv", F.when(off, "&branch=abandoned").otherwise("")).alias("path"), F.lit(model.TRANSCRIPT).alias("source_type"), "doc_date",
-        F.concat(F.coalesce("title", F.concat(F.lit("Conversation "), "conv")), F.when(off, " (abandoned branch)").otherwise("")).alias("title"), "branch", "messages", text("p", "\n\n").alias("prose"), text("r", "\n").alias("events"),
+        F.concat(F.lit(f"{root}#conversation="), "conv", F.when(off, "&branch=abandoned").otherwise("")).alias("path"),
+        F.lit(model.TRANSCRIPT).alias("source_type"), "doc_date",
+        F.concat(F.coalesce("title", F.concat(F.lit("Conversation "), "conv")), F.when(off, " (abandoned branch)").otherwise("")).alias("title"),
+        "branch", "messages", text("p", "\n\n").alias("prose"), text("r", "\n").alias("events"),
     ).where("prose <> '' or events <> ''")
 
 
@@ -149,10 +172,12 @@ def memory_documents(files: DataFrame, batch: str, root: str) -> DataFrame:
     """Memories as snapshots of their batch, which no later batch overwrites."""
     item, f = F.col("item"), F.col("f")
     rows = items(files, "memories")
-    blob = rows.select(F.lit(f"{root}#batch={batch}/memories/conversations_memory").alias("path"), F.lit("Memory: conversations").alias("title"), date_of(get(item, "updated_at")).alias("doc_date"), get(item, "conversations_memory").alias("prose"))
+    blob = rows.select(F.lit(f"{root}#batch={batch}/memories/conversations_memory").alias("path"), F.lit("Memory: conversations").alias("title"),
+        date_of(get(item, "updated_at")).alias("doc_date"), get(item, "conversations_memory").alias("prose"))
     each = rows.select(F.explode(F.try_variant_get(item, "$.memory_files", "array<variant>")).alias("f"))
     name = F.coalesce(get(f, "path"), get(f, "filename"), get(f, "name"), F.lit("memory"))
-    file = each.select(F.concat(F.lit(f"{root}#batch={batch}/memories/"), name).alias("path"), F.concat(F.lit("Memory: "), name).alias("title"), date_of(get(f, "updated_at")).alias("doc_date"), F.coalesce(get(f, "content"), get(f, "text")).alias("prose"))
+    file = each.select(F.concat(F.lit(f"{root}#batch={batch}/memories/"), name).alias("path"), F.concat(F.lit("Memory: "), name).alias("title"),
+        date_of(get(f, "updated_at")).alias("doc_date"), F.coalesce(get(f, "content"), get(f, "text")).alias("prose"))
     return blob.union(file).where("trim(prose) <> ''").withColumn("source_type", F.lit(model.USER_MEMORY))
 
 
@@ -160,10 +185,14 @@ def project_documents(files: DataFrame, batch: str, root: str) -> DataFrame:
     """Briefs of projects and the documents attached to them, as snapshots of their batch."""
     v, d = F.col("v"), F.col("d")
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.json$", "")
-    rows = files.select(F.coalesce(get(v, "uuid"), stem).alias("id"), F.coalesce(get(v, "name"), stem).alias("name"), date_of(get(v, "created_at")).alias("doc_date"), F.concat_ws("\n\n", F.nullif(get(v, "description"), F.lit("")), F.nullif(get(v, "prompt_template"), F.lit(""))).alias("brief"), F.try_variant_get(v, "$.docs", "array<variant>").alias("docs"))
+    rows = files.select(F.coalesce(get(v, "uuid"), stem).alias("id"), F.coalesce(get(v, "name"), stem).alias("name"),
+        date_of(get(v, "created_at")).alias("doc_date"), F.concat_ws("\n\n", F.nullif(get(v, "description"), F.lit("")),
+        F.nullif(get(v, "prompt_template"), F.lit(""))).alias("brief"), F.try_variant_get(v, "$.docs", "array<variant>").alias("docs"))
     at = F.concat(F.lit(f"{root}#batch={batch}/project="), "id")
-    brief = rows.where("brief <> ''").select(at.alias("path"), F.concat(F.lit("Project: "), "name").alias("title"), "doc_date", F.concat(F.lit("# "), "name", F.lit("\n\n"), "brief").alias("prose"))
+    brief = rows.where("brief <> ''").select(at.alias("path"), F.concat(F.lit("Project: "), "name").alias("title"), "doc_date",
+        F.concat(F.lit("# "), "name", F.lit("\n\n"), "brief").alias("prose"))
     attached = rows.select("id", "name", "doc_date", F.explode("docs").alias("d"))
     name = F.coalesce(get(d, "filename"), get(d, "uuid"), F.lit("doc"))
-    each = attached.select(F.concat(at, F.lit("/doc="), name).alias("path"), F.concat_ws(": ", "name", name).alias("title"), F.coalesce(date_of(get(d, "created_at")), "doc_date").alias("doc_date"), get(d, "content").alias("prose"))
+    each = attached.select(F.concat(at, F.lit("/doc="), name).alias("path"), F.concat_ws(": ", "name", name).alias("title"),
+        F.coalesce(date_of(get(d, "created_at")), "doc_date").alias("doc_date"), get(d, "content").alias("prose"))
     return brief.union(each).where("trim(prose) <> ''").withColumn("source_type", F.lit(model.PROJECT_BRIEF))

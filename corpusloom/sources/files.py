@@ -37,7 +37,8 @@ def load_config(text: str) -> Config:
         path = (entry["path"] if isinstance(entry, dict) else str(entry)).rstrip("/")
         *_, parent, name = ["", *path.split("/")]
         roots[f"{parent}-{name}" if name in roots or name == "projects" else name] = path
-    return Config(roots, tuple(raw.get("exclude_dirs") or ()), tuple(raw.get("exclude_files") or ()), tuple(raw.get("never_index") or ()), dict(raw.get("historical_aliases") or {}))
+    return Config(roots, tuple(raw.get("exclude_dirs") or ()), tuple(raw.get("exclude_files") or ()), tuple(raw.get("never_index") or ()),
+        dict(raw.get("historical_aliases") or {}))
 
 
 def globs(names: tuple[str, ...]) -> str:
@@ -124,7 +125,8 @@ def entries(spark: SparkSession, folder: str) -> Iterator[tuple[str, bool, Found
             yield f.getPath().getName(), f.isDirectory(), Found(f.getPath().toString(), f.getModificationTime() / 1000, f.getLen())
 
 
-def walk(spark: SparkSession, root: str, config: Config = Config(), suffixes: tuple[str, ...] | None = None) -> Iterator[Found]:  # noqa: B008  never changed
+def walk(spark: SparkSession, root: str, config: Config = Config(), suffixes: tuple[str,
+    ...] | None = None) -> Iterator[Found]:  # noqa: B008  never changed
     """Files below ``root`` that the configuration admits, of all suffixes if none are given.
 
     Excluded and forbidden folders are not listed, links are not followed, and no file is opened.
@@ -153,7 +155,8 @@ def listed(spark: SparkSession, found: list[Found]) -> DataFrame:
     return spark.createDataFrame([(f.path, f.mtime, f.size) for f in found], "path string, mtime double, size long")
 
 
-def read_tree(spark: SparkSession, root: str, label: str, config: Config, suffixes: tuple[str, ...] = SUFFIXES, skip: Callable[[list[Found]], set[str]] | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, label: str, config: Config, suffixes: tuple[str, ...] = SUFFIXES,
+    skip: Callable[[list[Found]], set[str]] | None = None) -> DataFrame:
     """(path, root, project, text, encoding_fallback, mtime, size) of the admitted files below ``root``.
 
     The tree is walked first, so only admitted files are opened; of these ``skip`` names those that need no read.
@@ -168,11 +171,14 @@ def read_tree(spark: SparkSession, root: str, label: str, config: Config, suffix
     rows = raw.select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("at"), F.col("length").alias("size"), "content")
     base = (local(root) or root).rstrip("/")
     parts = F.split(F.substr("path", F.lit(len(base) + 2)), "/")
-    return rows.select("path", F.lit(label).alias("root"), F.when(F.size(parts) == 1, "_loose").otherwise(parts[0]).alias("project"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), (~F.is_valid_utf8(F.col("content").cast("string"))).alias("encoding_fallback"), (F.unix_micros("at") / F.lit(1e6)).alias("mtime"), "size")
+    return rows.select("path", F.lit(label).alias("root"), F.when(F.size(parts) == 1, "_loose").otherwise(parts[0]).alias("project"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+        (~F.is_valid_utf8(F.col("content").cast("string"))).alias("encoding_fallback"), (F.unix_micros("at") / F.lit(1e6)).alias("mtime"), "size")
 
 
 def lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, seq, value) of every line; ``seq`` sorts the lines of a file."""
     raw = spark.read.text(paths)
-    raw = raw.select(metadata_path().alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"), "value")
+    raw = raw.select(metadata_path().alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line")).alias("seq"), "value")
     return raw.where("trim(value) <> ''")

@@ -42,9 +42,16 @@ def decisions(notes: DataFrame) -> DataFrame:
     head = lambda k: F.regexp_extract("head", DECISION, k)
     said = F.coalesce(bullet(F.col("body"), "Status"), F.nullif(head(3), F.lit("")))
     low = F.lower(said)
-    status = F.when(said.isNull(), "unknown").when(low.startswith("superseded"), "superseded").when(low.startswith("active"), "active").otherwise(said)
-    own = rows.select("project", "path", "n", head(1).alias("id"), head(2).alias("title"), F.coalesce(F.nullif(F.regexp_extract(F.coalesce(bullet(F.col("body"), "Date"), F.lit("")), r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.substring(head(1), 3, 10)).alias("date"), status.alias("status"), F.when(low.startswith("superseded"), F.array_distinct(F.regexp_extract_all(said, F.lit(f"({DECISION_ID})"), 1))).otherwise(F.expr("cast(array() as array<string>)")).alias("superseded_by"), bullet(F.col("body"), "Why").alias("why"))
-    back = own.select("project", "id", F.explode("superseded_by").alias("by")).groupBy("project", F.col("by").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("supersedes"))
+    status = F.when(said.isNull(), "unknown").when(low.startswith("superseded"), "superseded").when(low.startswith("active"),
+        "active").otherwise(said)
+    own = rows.select("project", "path", "n", head(1).alias("id"), head(2).alias("title"),
+        F.coalesce(F.nullif(F.regexp_extract(F.coalesce(bullet(F.col("body"), "Date"), F.lit("")), r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")),
+            F.substring(head(1), 3, 10)).alias("date"), status.alias("status"),
+            F.when(low.startswith("superseded"),
+                F.array_distinct(F.regexp_extract_all(said, F.lit(f"({DECISION_ID})"),
+                    1))).otherwise(F.expr("cast(array() as array<string>)")).alias("superseded_by"), bullet(F.col("body"), "Why").alias("why"))
+    back = own.select("project", "id", F.explode("superseded_by").alias("by")).groupBy("project",
+        F.col("by").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("supersedes"))
     return own.join(back, ["project", "id"], "left").withColumn("supersedes", F.coalesce("supersedes", F.expr("cast(array() as array<string>)")))
 
 
@@ -53,12 +60,14 @@ def log_entries(notes: DataFrame) -> DataFrame:
     rows = split_sections(lines(notes), LOG)
     part = lambda k: F.regexp_extract("head", LOG, k)
     refs = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(f"({DECISION_ID})"), 1)))
-    return rows.select("project", "path", "n", part(1).alias("date"), F.trim(part(2)).alias("agent"), part(3).alias("heading"), refs.alias("decisions"), first_line(F.col("body")).alias("first_line"))
+    return rows.select("project", "path", "n", part(1).alias("date"), F.trim(part(2)).alias("agent"), part(3).alias("heading"),
+        refs.alias("decisions"), first_line(F.col("body")).alias("first_line"))
 
 
 def first_line(body: Column, limit: int = 240) -> Column:
     """The first line that says something, without list marks."""
-    said = F.filter(F.transform(F.split(body, "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:[-*>]\s+)?", ""))), lambda s: (s != "") & ~s.startswith("#"))
+    said = F.filter(F.transform(F.split(body, "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:[-*>]\s+)?", ""))),
+        lambda s: (s != "") & ~s.startswith("#"))
     line = F.try_element_at(said, F.lit(1))
     return F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit), F.lit("…"))).otherwise(line)
 
@@ -70,9 +79,11 @@ def open_questions(notes: DataFrame) -> DataFrame:
     items = rows.select("path", "project", "n", F.posexplode(F.split("body", "\n")).alias("i", "line"))
     w = Window.partitionBy("path", "n").orderBy("i")
     items = items.withColumn("b", F.sum(F.col("line").rlike(r"^[-*]\s+").cast("int")).over(w)).where("b > 0 and trim(line) <> ''")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: F.trim(F.regexp_replace(x["line"], r"^\s*[-*]\s+", ""))), " ")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))),
+        lambda x: F.trim(F.regexp_replace(x["line"], r"^\s*[-*]\s+", ""))), " ")
     out = items.groupBy("path", "project", "n", "b").agg(text.alias("question"))
-    return out.where(~F.lower("question").rlike(r"(?:\(|\*\*|—|-)\s*resolved\b[^)]*\)?\**\.?\s*$")).select("project", "n", F.col("b").alias("at"), "question")
+    return out.where(~F.lower("question").rlike(r"(?:\(|\*\*|—|-)\s*resolved\b[^)]*\)?\**\.?\s*$")).select("project", "n", F.col("b").alias("at"),
+        "question")
 
 
 def status_line(overview: Column) -> Column:
@@ -93,11 +104,15 @@ def alias_table(index: DataFrame, config_aliases: dict[str, str] | None = None)
     cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     rows = rows.where(F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+$")).withColumn("c", cells)
     ticked = lambda c: F.regexp_extract_all(c, F.lit("`([^`]+)`"), 1)
-    families = rows.where(F.col("section").contains("famil") & (F.size("c") >= 3)).select(F.try_element_at(ticked(F.get("c", F.lit(1))), F.lit(1)).alias("canonical"), F.explode(ticked(F.get("c", F.lit(2)))).alias("alias")).where("canonical is not null")
+    families = rows.where(F.col("section").contains("famil") & (F.size("c") >= 3)).select(F.try_element_at(ticked(F.get("c", F.lit(1))),
+        F.lit(1)).alias("canonical"), F.explode(ticked(F.get("c", F.lit(2)))).alias("alias")).where("canonical is not null")
     clean = lambda c: F.trim(F.regexp_replace(c, r"[`*\[\]]|\(.*?\)", ""))
-    projects = rows.where(F.col("section").contains("project") & (F.size("c") >= 5)).select(clean(F.get("c", F.lit(0))).alias("canonical"), F.explode(F.split(F.element_at("c", -1), "[,;]")).alias("a")).select("canonical", clean(F.col("a")).alias("alias"))
-    names = rows.where(F.col("section").contains("project")).select(clean(F.get("c", F.lit(0))).alias("canonical")).select("canonical", F.col("canonical").alias("alias"))
-    every = families.select("alias", "canonical").withColumn("rank", F.lit(2)).union(projects.select("alias", "canonical").withColumn("rank", F.lit(3))).union(names.select("alias", "canonical").withColumn("rank", F.lit(4)))
+    projects = rows.where(F.col("section").contains("project") & (F.size("c") >= 5)).select(clean(F.get("c", F.lit(0))).alias("canonical"),
+        F.explode(F.split(F.element_at("c", -1), "[,;]")).alias("a")).select("canonical", clean(F.col("a")).alias("alias"))
+    names = rows.where(F.col("section").contains("project")).select(clean(F.get("c", F.lit(0))).alias("canonical")).select("canonical",
+        F.col("canonical").alias("alias"))
+    every = families.select("alias", "canonical").withColumn("rank", F.lit(2)).union(projects.select("alias", "canonical").withColumn("rank",
+        F.lit(3))).union(names.select("alias", "canonical").withColumn("rank", F.lit(4)))
     if config_aliases:
         every = every.union(spark.createDataFrame([(a, c, 1) for a, c in config_aliases.items()], "alias string, canonical string, rank int"))
     first = every.where("alias is not null and alias not in ('', '-', '—') and canonical <> ''").groupBy(F.lower("alias").alias("alias")).agg(F.min_by("canonical", F.struct("rank", "canonical")).alias("canonical"))
@@ -114,10 +129,13 @@ def classify_drops(listing: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("is_dir") & inside(r"^conversations[^/]*\.json$") & inside(r"^users?\.json$"), "account-export")
         .when(F.col("is_dir") & inside(r"^rollout-.*\.jsonl$"), "rollouts").when(F.col("is_dir") & inside(r"\.(md|markdown)$"), "notes")
-        .when(name.endswith(".zip") & name.rlike("export|data-"), "export-archive").when(name.endswith(".zip"), "archive").when(name.rlike(r"^rollout-.*\.jsonl$"), "rollouts")
-        .when(name.endswith(".jsonl") & F.col("head").contains('"sessionId"'), "session").when(name.rlike(r"\.(md|markdown|txt)$"), "notes").otherwise("unknown")
+        .when(name.endswith(".zip") & name.rlike("export|data-"), "export-archive").when(name.endswith(".zip"),
+            "archive").when(name.rlike(r"^rollout-.*\.jsonl$"), "rollouts")
+        .when(name.endswith(".jsonl") & F.col("head").contains('"sessionId"'), "session").when(name.rlike(r"\.(md|markdown|txt)$"),
+            "notes").otherwise("unknown")
     )
-    return listing.select("path", kind.alias("kind"), F.when(kind == "unknown", "no rule fits").otherwise(F.concat(F.lit("looks like "), kind)).alias("reason"))
+    return listing.select("path", kind.alias("kind"), F.when(kind == "unknown",
+        "no rule fits").otherwise(F.concat(F.lit("looks like "), kind)).alias("reason"))
 
 
 def name_scan(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -130,7 +148,8 @@ def name_scan(rows: DataFrame, names: DataFrame) -> DataFrame:
     wanted = names.select("name", plain(F.col("name")).alias("plain")).where("plain <> ''").withColumn("first", F.substring_index("plain", " ", 1))
     held = rows.withColumn("_plain", F.concat(F.lit(" "), plain(F.col("line")), F.lit(" ")))
     words = held.withColumn("first", F.explode(F.array_distinct(F.split(F.trim("_plain"), " "))))
-    return words.join(wanted, "first").where(F.col("_plain").contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")))).select("name", "path", "n", "line").distinct()
+    return words.join(wanted, "first").where(F.col("_plain").contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")))).select("name", "path", "n",
+        "line").distinct()
 
 
 def protected_names(candidates: DataFrame, allowed: DataFrame, generic: tuple[str, ...] = (), least: int = 5) -> DataFrame:

@@ -49,7 +49,8 @@ def main(argv: list[str] | None = None, embed: ingest.Embedder | None = ingest.s
         if asked.config:
             with open(asked.config, encoding="utf-8") as f:
                 config = files.load_config(f.read())
-        sources = gather.Sources(config, asked.curated, asked.memory, asked.sessions, asked.rollouts, asked.thread_names, asked.tree_exports, asked.flat_exports)
+        sources = gather.Sources(config, asked.curated, asked.memory, asked.sessions, asked.rollouts, asked.thread_names, asked.tree_exports,
+            asked.flat_exports)
         _, found = gather.update(store, sources, None if asked.no_embed else embed, model_name, asked.full)
         for name, state, what in found.states:
             print(f"{name}: {state} {what}")
@@ -61,8 +62,10 @@ def main(argv: list[str] | None = None, embed: ingest.Embedder | None = ingest.s
     known = embed if model_name in snapshot.meta["models"] else None
     service = Service(snapshot, known, model_name)
     if asked.command == "search":
-        options = {"project": asked.project, "source_type": asked.source_type, "kind": asked.kind, "after": asked.after, "before": asked.before, "exact": asked.exact}
-        print(json.dumps(service.search(asked.query, limit=asked.limit, **options), ensure_ascii=False, indent=1) if asked.json else service.search_text(asked.query, asked.limit, **options))
+        options = {"project": asked.project, "source_type": asked.source_type, "kind": asked.kind, "after": asked.after, "before": asked.before,
+            "exact": asked.exact}
+        print(json.dumps(service.search(asked.query, limit=asked.limit, **options), ensure_ascii=False,
+            indent=1) if asked.json else service.search_text(asked.query, asked.limit, **options))
         return 0
     if asked.command == "read":
         print(service.read_text(asked.path, asked.ord, asked.context))

@@ -67,7 +67,8 @@ def run(service: Service, checks: Checks) -> list[Outcome]:
 
 def configured(service: Service, checks: Checks) -> Iterator[Outcome]:
     meta = service.snapshot.meta
-    yield said("configuration", meta["schema_version"] == str(model.SCHEMA_VERSION) and meta["pipeline_version"] == str(model.PIPELINE_VERSION), f"schema {meta['schema_version']}, pipeline {meta['pipeline_version']}")
+    yield said("configuration", meta["schema_version"] == str(model.SCHEMA_VERSION) and meta["pipeline_version"] == str(model.PIPELINE_VERSION),
+        f"schema {meta['schema_version']}, pipeline {meta['pipeline_version']}")
     yield said("one model", len(meta["models"]) == 1 if meta["models"] else None, ", ".join(meta["models"]))
 
 

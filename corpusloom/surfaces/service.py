@@ -24,7 +24,8 @@ SHOWN_CHARS, MOST_CONTEXT = 500, 10
 def as_dict(row) -> dict:
     """A result row as plain values, scores rounded."""
     return {
-        "path": row["path"], "project": row["project"], "source_type": row["source_type"], "doc_date": row["doc_date"], "title": row["title"], "score": round(row["score"], 5), "chunk_ord": row["ord"], "chunk_kind": row["kind"],
+        "path": row["path"], "project": row["project"], "source_type": row["source_type"], "doc_date": row["doc_date"], "title": row["title"],
+        "score": round(row["score"], 5), "chunk_ord": row["ord"], "chunk_kind": row["kind"],
         "excerpt": row["excerpt"], "chunk_id": row["chunk_id"], "confidence": round(row["confidence"], 3), "matched_by": list(row["matched_by"]),
     }
 
@@ -46,11 +47,13 @@ class Service:
         row = aliases.resolve(self.aliases, asked).first()
         return row["canonical"], tuple(dict.fromkeys([project, *row["names"]]))
 
-    def search(self, query: str, project: str | None = None, source_type: str | None = None, after: str | None = None, before: str | None = None, limit: int | None = None, kind: str | None = None, exact: bool = False) -> list[dict]:
+    def search(self, query: str, project: str | None = None, source_type: str | None = None, after: str | None = None, before: str | None = None,
+        limit: int | None = None, kind: str | None = None, exact: bool = False) -> list[dict]:
         filters = Filters(self.names(project)[1] if project else None, source_type, kind, after, before)
         query = querytext.as_exact(query) if exact else query
         vector = self.embed([query])[0] if self.embed and not filters.skips_vectors() else None
-        rows = indexed.find(self.snapshot.index, query, vector, filters, querytext.clamp(limit, model.WEB_DEFAULT, model.WEB_MOST), name=self.model_name if vector else None)
+        rows = indexed.find(self.snapshot.index, query, vector, filters, querytext.clamp(limit, model.WEB_DEFAULT, model.WEB_MOST),
+            name=self.model_name if vector else None)
         return [as_dict(r) for r in rows.collect()]
 
     def search_text(self, query: str, limit: int | None = 10, **options) -> str:
@@ -70,8 +73,10 @@ class Service:
         for k, r in enumerate(rows, 1):
             kind = "" if r["chunk_kind"] == model.PROSE else f"/{r['chunk_kind']}"
             out += [
-                "", f"{k}. {r['title'] or '(untitled)'}", f"   source={r['source_type']}{kind}  project={r['project'] or '-'}  date={r['doc_date'] or '-'}",
-                f"   confidence={r['confidence']:.2f}  matched_by={'+'.join(r['matched_by']) or '-'}  score={r['score']:.4f}", f"   path={r['path']}  chunk_ord={r['chunk_ord']}", f"   {r['excerpt'].strip()[:SHOWN_CHARS]}",
+                "", f"{k}. {r['title'] or '(untitled)'}",
+                f"   source={r['source_type']}{kind}  project={r['project'] or '-'}  date={r['doc_date'] or '-'}",
+                f"   confidence={r['confidence']:.2f}  matched_by={'+'.join(r['matched_by']) or '-'}  score={r['score']:.4f}",
+                f"   path={r['path']}  chunk_ord={r['chunk_ord']}", f"   {r['excerpt'].strip()[:SHOWN_CHARS]}",
             ]
         return "\n".join(out)
 
@@ -82,14 +87,16 @@ class Service:
         if not found or found[0]["status"] == reading.MANY:
             return {"error": reading.MANY if found else reading.NONE, "candidates": [r["path"] for r in found]}
         place = F.col("path")
-        own = s.table("documents").where(place == found[0]["path"]).withColumns({"is_transcript": text.is_transcript(place), "base_path": text.base_path(place)}).first()
+        own = s.table("documents").where(place == found[0]["path"]).withColumns({"is_transcript": text.is_transcript(place),
+            "base_path": text.base_path(place)}).first()
         chunks = reading.chunks_of(s.table("occurrences"), s.table("chunks"), own["path"])
         held = chunks if ord_ is None else reading.window(chunks, ord_, max(0, min(MOST_CONTEXT, context)))
         rows = sorted(held.collect(), key=lambda r: r["ord"])
         whole = "\n\n".join(r["text"] for r in rows)
         if len(whole) > model.READ_CHARS:
             whole = whole[: model.READ_CHARS] + "\n\n[truncated]"
-        return {k: own[k] for k in ("path", "title", "source_type", "project", "doc_date", "is_transcript", "base_path")} | {"chunk_count": chunks.count() if ord_ is not None else len(rows), "text": whole}
+        return {k: own[k] for k in ("path", "title", "source_type", "project", "doc_date", "is_transcript",
+            "base_path")} | {"chunk_count": chunks.count() if ord_ is not None else len(rows), "text": whole}
 
     def read_text(self, path: str, ord_: int | None = None, context: int = 2) -> str:
         d = self.read(path, ord_, context)
@@ -111,9 +118,12 @@ class Service:
         documents = analytics.documents_of(self.snapshot.table("documents"), list(names)).first()["documents"]
         ordered = lambda rows, *by: [r.asDict() for r in rows.orderBy(*by).limit(1000).collect()]
         return {
-            "name": held[0]["project"], "resolved_from": name if held[0]["project"] != name else None, "aliases": list(names), "canonical": canonical, "overview": overview["t"] if overview else None,
-            "open_questions": [r["question"] for r in ordered(notes.open_questions(of("overview.md")), "n", "at")], "decisions": ordered(notes.decisions(of("decisions.md")), F.desc("date"), F.desc("id")),
-            "log": ordered(notes.log_entries(of("log.md")), F.desc("date"), "n"), "files": sorted(r["path"] for r in held), "indexed_documents": documents,
+            "name": held[0]["project"], "resolved_from": name if held[0]["project"] != name else None, "aliases": list(names), "canonical": canonical,
+            "overview": overview["t"] if overview else None,
+            "open_questions": [r["question"] for r in ordered(notes.open_questions(of("overview.md")), "n", "at")],
+            "decisions": ordered(notes.decisions(of("decisions.md")), F.desc("date"), F.desc("id")),
+            "log": ordered(notes.log_entries(of("log.md")), F.desc("date"), "n"), "files": sorted(r["path"] for r in held),
+            "indexed_documents": documents,
         }
 
     def health(self) -> dict:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 
 from corpusloom.surfaces.service import Service
 
-HEADERS = {"Content-Type": "application/json; charset=utf-8", "Cache-Control": "no-store", "X-Content-Type-Options": "nosniff", "Content-Security-Policy": "default-src 'none'"}
+HEADERS = {"Content-Type": "application/json; charset=utf-8", "Cache-Control": "no-store", "X-Content-Type-Options": "nosniff",
+    "Content-Security-Policy": "default-src 'none'"}
 FILTERS = ("project", "source_type", "kind", "after", "before")
 
 
