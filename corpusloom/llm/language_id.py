@@ -102,7 +102,8 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     """Adam on cross-entropy; the gradient of a pooled filter goes to the place of its largest answer."""
     rng = np.random.Generator(np.random.PCG64(seed))
     n_hidden = FILTERS * len(WIDTHS)
-    params = [rng.normal(0, 0.3, (256, EMBEDDED)), *(rng.normal(0, 1 / np.sqrt(w * EMBEDDED), (w * EMBEDDED, FILTERS)) for w in WIDTHS), np.zeros(n_hidden), rng.normal(0, 0.2, (n_hidden, len(languages))), np.zeros(len(languages))]
+    params = [rng.normal(0, 0.3, (256, EMBEDDED)), *(rng.normal(0, 1 / np.sqrt(w * EMBEDDED), (w * EMBEDDED, FILTERS)) for w in WIDTHS),
+        np.zeros(n_hidden), rng.normal(0, 0.2, (n_hidden, len(languages))), np.zeros(len(languages))]
     params = [p.astype(np.float32) for p in params]
     params[0][0] = 0  # padding
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]

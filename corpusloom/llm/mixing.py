@@ -152,10 +152,12 @@ def name_of(of: str) -> Name:
 class Mix:
     """The plan of a mix: facts about sources, blocks and parts of blocks, that any pass over the rows can use."""
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, blocks: int = BLOCKS, shards: int | None = None, seed: int = SEED) -> None:
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, blocks: int = BLOCKS, shards: int | None = None,
+        seed: int = SEED) -> None:
         self.spark, self.seed = docs.sparkSession, seed
         #: doc_id, source, size, of, mark of every row
-        self.rows = materialize(marked(docs, seed, F.col("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "mixing")
+        self.rows = materialize(marked(docs, seed, F.col("doc_id"), F.col("source").cast("string").alias("source"),
+            size_of(F.col("text")).alias("size")), "mixing")
         sums = {r[0]: (r[1], r[2]) for r in self.rows.groupBy("of").agg(F.count("*"), F.sum("size")).collect()}
         share = max(LEAST_ROWS, sum(n for n, _ in sums.values()) / blocks)
         sizes = {name_of(of): words for of, (_, words) in sums.items()}
@@ -208,8 +210,10 @@ class Mix:
         inside = F.col("cut") & F.coalesce(~F.col("whole"), F.lit(False)) & (F.col("rest") > 0)
         # only the rows of the one part of a source that is cut meet, in permuted order
         before = F.sum("size").over(Window.partitionBy("of").orderBy("mark", "size").rowsBetween(Window.unboundedPreceding, -1))
-        cut = every.where(inside).withColumn("size", size).withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.coalesce(before, F.lit(0)))))
-        others = every.where(~inside).withColumn("size", size).withColumn("more", F.when(F.col("cut") & F.coalesce("whole", F.lit(False)), F.col("size")).otherwise(0))
+        cut = every.where(inside).withColumn("size", size).withColumn("more",
+            F.greatest(F.lit(0), F.least("size", F.col("rest") - F.coalesce(before, F.lit(0)))))
+        others = every.where(~inside).withColumn("size", size).withColumn("more",
+            F.when(F.col("cut") & F.coalesce("whole", F.lit(False)), F.col("size")).otherwise(0))
         both = cut.unionByName(others)
         draws = F.transform("shards", lambda s, k: F.struct(s.alias("shard"), k.alias("copy"), F.col("size").alias("words")))
         last = F.struct(F.col("more_shard").alias("shard"), F.size("shards").alias("copy"), F.col("more").cast("long").alias("words"))

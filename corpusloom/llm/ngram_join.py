@@ -109,9 +109,11 @@ def sign(docs: DataFrame) -> DataFrame:
             some = [i for i, w in enumerate(first) if len(w)]
             sigs = dict(zip(some, signatures([shingle_hashes(first[i], WORDS) for i in some]), strict=True))
             marks = [sequence_mark(*w) for w in zip(first, second, strict=True)]
-            yield batch({k: b.column(k) for k in ("doc_id", "text_mark")} | {"mark": marks, "sig": [sigs[i].tobytes() if i in sigs else None for i in range(len(first))]}, SIGNED)
+            yield batch({k: b.column(k) for k in ("doc_id", "text_mark")} | {"mark": marks,
+                "sig": [sigs[i].tobytes() if i in sigs else None for i in range(len(first))]}, SIGNED)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_mark")).mapInArrow(run, "doc_id long, text_mark long, mark binary, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_mark")).mapInArrow(run,
+        "doc_id long, text_mark long, mark binary, sig binary")
 
 
 def bucket_entries(classes: DataFrame) -> DataFrame:
@@ -237,7 +239,8 @@ def left_over(rows: DataFrame) -> DataFrame:
     def solve(tile: Tile) -> Iterator[pa.RecordBatch]:
         used = np.unique(np.concatenate(tile.pairs()))
         if len(used):
-            yield batch({"tile": np.full(len(used), tile.tile), "band": np.full(len(used), tile.band), "chunk": tile.col["chunk"][used], "rep": tile.rep[used]}, LEFT)
+            yield batch({"tile": np.full(len(used), tile.tile), "band": np.full(len(used), tile.band), "chunk": tile.col["chunk"][used],
+                "rep": tile.rep[used]}, LEFT)
 
     return by_tile(rows, solve, "tile long, band int, chunk int, rep long")
 
@@ -279,7 +282,8 @@ def classes_of(signed: DataFrame) -> DataFrame:
     again = held.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
     if again.isEmpty():
         return held.withColumn("rep", F.col("id"))
-    return materialize(held.join(again, "id", "left").withColumn("rep", F.when(F.col("again"), F.xxhash64("id", "mark")).otherwise(F.col("id"))).drop("again"), "classes")
+    return materialize(held.join(again, "id", "left").withColumn("rep",
+        F.when(F.col("again"), F.xxhash64("id", "mark")).otherwise(F.col("id"))).drop("again"), "classes")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -292,7 +296,8 @@ def link(docs: DataFrame) -> DataFrame:
     signed = materialize(sign(docs), "signatures").withColumn("able", F.expr("mark is not null and doc_id is not null"))
     classes = classes_of(signed)
     entries = bucket_entries(classes)
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
     # of buckets with equal members the one of the first band stays, to which all their pairs belong
     first = buckets.groupBy("n", "x", "y").agg(F.min(F.struct(F.col("bucket").bitwiseAND(31).alias("band"), "bucket")).alias("b"))
     chunk_count = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
@@ -310,7 +315,9 @@ def link(docs: DataFrame) -> DataFrame:
     groups = groups.join(ids, "component")
     others = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = classes.select("mark", "rep", "id", "times").join(others, "rep", "left").join(groups, "rep", "left")
-    named = named.select("mark", F.coalesce("component", "rep").alias("group"), F.coalesce("class_id", "id").alias("class_id"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    named = named.select("mark", F.coalesce("component", "rep").alias("group"), F.coalesce("class_id", "id").alias("class_id"),
+        (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = signed.where("able").select("doc_id", "text_mark", "mark").join(named, "mark").select("doc_id", "text_mark", "group", "class_id", "n_links")
-    alone = signed.where("not able").select("doc_id", "text_mark", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = signed.where("not able").select("doc_id", "text_mark", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"))
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -152,20 +152,23 @@ def moments(held: DataFrame) -> DataFrame:
     products = [F.sum(F.col("n") * F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"p{i}{j}") for i, j in lower]
     added = held.groupBy("key", "start").agg(F.sum("n").alias("n"), *sums, *products)
     means = added.select("*", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(k)))
-    return means.select("key", "start", *(f"m{i}" for i in range(k)), *((F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in lower))
+    return means.select("key", "start", *(f"m{i}" for i in range(k)),
+        *((F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in lower))
 
 
 def starts(held: DataFrame) -> DataFrame:
     """Medians, with squared normalised median deviations and interquartile ranges as diagonal covariances."""
     k = len(STATISTICS)
     # values lie on the grid, so a quantile's table of values is small
-    middle = held.groupBy("key").agg(*(F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"q{i}") for i, s in enumerate(STATISTICS)))
+    middle = held.groupBy("key").agg(*(F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"q{i}") for i,
+        s in enumerate(STATISTICS)))
     middle = materialize(middle, "groups")
     off = [F.percentile(F.abs(F.col(s) - F.col(f"q{i}")[1]), 0.5, F.col("n")).alias(f"a{i}") for i, s in enumerate(STATISTICS)]
     both = materialize(middle.join(held.join(hinted(middle, middle.count()), "key").groupBy("key").agg(*off), "key"), "groups")
     wide = ([1.4826 * F.col(f"a{i}") for i in range(k)], [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(k)])
     means = {f"m{i}": F.col(f"q{i}")[1] for i in range(k)}
-    out = [both.withColumns({"start": F.lit(at)} | means | {f"c{i}{j}": F.pow(w[i], 2) if i == j else F.lit(0.0) for i in range(k) for j in range(i + 1)}) for at, w in enumerate(wide)]
+    out = [both.withColumns({"start": F.lit(at)} | means | {f"c{i}{j}": F.pow(w[i],
+        2) if i == j else F.lit(0.0) for i in range(k) for j in range(i + 1)}) for at, w in enumerate(wide)]
     return factored(out[0].unionByName(out[1]))
 
 
@@ -177,7 +180,8 @@ def spot() -> Column:
 def scaled(held: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """``groups`` with the scale that makes the median distance of the cells' rows that of a normal sample, 1 at least."""
     middle = held.join(hinted(groups, n), "key").withColumn("d", distance()).groupBy("key").agg(F.percentile(spot(), 0.5, F.col("n")).alias("q"))
-    return materialize(groups.join(middle, "key").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("q") / SPOTS) / MEDIAN)).drop("q"), "groups")
+    return materialize(groups.join(middle, "key").withColumn("scale", F.greatest(F.lit(1.0), F.expm1(F.col("q") / SPOTS) / MEDIAN)).drop("q"),
+        "groups")
 
 
 def robust(held: DataFrame) -> DataFrame:

@@ -28,11 +28,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [secret_scan.spans_of("base", name).alias(f"n_{name}") for name in secret_scan.KINDS[:3]]
     every = F.array_sort(F.concat("base", "added"))
-    return found.select("doc_id", *counts, F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"), secret_scan.spans_text(every).alias("spans"), F.size("added").alias("n_owned"), "n_examples", "n_base_examples")
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.spans_text(every).alias("spans"), F.size("added").alias("n_owned"), "n_examples", "n_base_examples")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_draws"))
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken",
+        F.size("draws").cast("long").alias("n_draws"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

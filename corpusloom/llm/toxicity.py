@@ -47,7 +47,8 @@ KEPT_WORDS = 400_000
 # What signs stand for, and pronouns of the second person.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tus usted ustedes vosotros".split())
-FEATURES = ("density", "hits", "strongest", "weight", "weight_density", "near_you", "near_you_share", "you", "capitals", "exclamations", "marks", "repeated", "masked", "masked_hits", "length")
+FEATURES = ("density", "hits", "strongest", "weight", "weight_density", "near_you", "near_you_share", "you", "capitals", "exclamations", "marks",
+    "repeated", "masked", "masked_hits", "length")
 
 
 def terms(words: Iterable[str]) -> set[str]:

@@ -90,7 +90,8 @@ class Tile:
         r, c = r[linked], c[linked]
         if len(r):
             n = len(self.links)
-            self.links += np.bincount(r, weights=self.times[c], minlength=n).astype(np.int64) + np.bincount(c, weights=self.times[r], minlength=n).astype(np.int64)
+            self.links += np.bincount(r, weights=self.times[c], minlength=n).astype(np.int64) + np.bincount(c, weights=self.times[r],
+                minlength=n).astype(np.int64)
             join(self.least, r, c)
 
     def _survivors(self, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,9 +242,11 @@ def linked(distinct: DataFrame, dim: int, cosine: float, block_rows: int | None)
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = unit(vectors_of(b.column("raw"), dim)) @ turn
-            yield batch({k: b.column(k) for k in ("rep", "times", "raw")} | {"lead": list(x[:, :lead]), "tail": np.sqrt((x[:, lead:] ** 2).sum(axis=1))}, types)
+            yield batch({k: b.column(k) for k in ("rep", "times", "raw")} | {"lead": list(x[:, :lead]),
+                "tail": np.sqrt((x[:, lead:] ** 2).sum(axis=1))}, types)
 
-    placed = materialize(distinct.select("rep", "times", "raw").mapInArrow(project, "rep long, times long, raw binary, lead array<double>, tail double"), "vectors")
+    placed = materialize(distinct.select("rep", "times", "raw").mapInArrow(project,
+        "rep long, times long, raw binary, lead array<double>, tail double"), "vectors")
     total = placed.count()
     most = max(PATCH_ROWS, min(BLOCK_BYTES // (8 * dim), -(-total // LEAST_BLOCKS)))
     placed = blocked(placed, grid_of(placed, total, block_rows or most))
@@ -267,7 +270,8 @@ def pairs_of_blocks(spark: SparkSession, stats: dict[int, np.ndarray], lead: int
                 met = np.flatnonzero(products.sum(axis=1) + tail[i] * tail[i:] >= cosine - SLACK) + i
                 tile = i * len(names) + met
                 other = met != i
-                yield batch({"tile": np.concatenate([tile, tile[other]]), "in_block": np.concatenate([np.full(len(met), names[i]), names[met[other]]])}, types)
+                yield batch({"tile": np.concatenate([tile, tile[other]]),
+                    "in_block": np.concatenate([np.full(len(met), names[i]), names[met[other]]])}, types)
 
     tasks = -(-len(names) // BLOCKS_AT_A_TIME)
     return spark.range(0, len(names), 1, tasks).mapInArrow(run, "tile long, in_block int")
@@ -287,7 +291,8 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int | None = N
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [np.asarray(v, "<f8").tobytes() for v in b.column("v").to_numpy(zero_copy_only=False)]
-            yield batch({"rep": b.column("rep"), "times": b.column("times"), "dim": [len(r) // 8 for r in raw], "raw": raw}, {"rep": pa.int64(), "times": pa.int64(), "dim": pa.int32(), "raw": pa.binary()})
+            yield batch({"rep": b.column("rep"), "times": b.column("times"), "dim": [len(r) // 8 for r in raw], "raw": raw},
+                {"rep": pa.int64(), "times": pa.int64(), "dim": pa.int32(), "raw": pa.binary()})
 
     distinct = materialize(grouped.mapInArrow(pack, "rep long, times long, dim int, raw binary"), "vectors")
     found = None
@@ -300,7 +305,8 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int | None = N
     groups = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     others = found.groupBy("rep").agg(F.sum("n").alias("n"))
     facts = distinct.select("rep", "times").join(others, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("rep", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    facts = facts.select("rep", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "rep").alias("component_id"))
     named = grouped.select("v", "rep").join(facts, "rep").drop("rep")
     single = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = rows.where("good").join(named, "v").select("vec_id", "n_links", "component_id").union(single)

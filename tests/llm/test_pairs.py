@@ -37,7 +37,8 @@ def shingle_set(text):
 
 def brute_links(texts):
     sets = [shingle_set(t) for t in texts]
-    return [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return [(i, j) for i in range(len(sets)) for j in range(i + 1,
+        len(sets)) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
 
 
 def near_copies(n_groups=12, each=9):
@@ -102,7 +103,8 @@ def test_dense_counts_equal_sets():
 
 def brute_vectors(rows, cosine=0.9):
     good = [(k, np.array(v, float)) for k, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    return [(i, j) for p, (i, a) in enumerate(good) for j, b in good[p + 1 :] if len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= cosine]
+    return [(i, j) for p, (i, a) in enumerate(good) for j,
+        b in good[p + 1 :] if len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= cosine]
 
 
 @pytest.mark.parametrize("block_rows", [4096, 16])
@@ -110,7 +112,9 @@ def test_vectors(spark, block_rows):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 24))
     rows = [(k, (centres[k % 6] + rng.normal(size=24) * (0.1 + 0.08 * (k % 5))).tolist()) for k in range(120)]
-    rows += [(200, None), (201, []), (202, [0.0] * 24), (203, [float("nan")] + [1.0] * 23), (204, [None] + [1.0] * 23), (205, [float("inf")] + [1.0] * 23), (206, rows[0][1]), (207, rows[0][1]), (208, [2 * x for x in rows[0][1]]), (209, [1.0, 0.0]), (210, [1.0, 0.0]), (211, [1e-200] * 24), (212, [-0.0] * 23 + [1.0]), (213, [0.0] * 23 + [1.0])]
+    rows += [(200, None), (201, []), (202, [0.0] * 24), (203, [float("nan")] + [1.0] * 23), (204, [None] + [1.0] * 23),
+        (205, [float("inf")] + [1.0] * 23), (206, rows[0][1]), (207, rows[0][1]), (208, [2 * x for x in rows[0][1]]), (209, [1.0, 0.0]),
+        (210, [1.0, 0.0]), (211, [1e-200] * 24), (212, [-0.0] * 23 + [1.0]), (213, [0.0] * 23 + [1.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in vector_dedup.dedup(df, block_rows=block_rows).collect()}
     ids = [i for i, _ in rows]
@@ -118,7 +122,8 @@ def test_vectors(spark, block_rows):
     if (k := ids.index(211)) is not None:  # too small for a plain norm
         pairs = [p for p in pairs if k not in p]
         one = np.ones(24) / np.sqrt(24)
-        pairs += [(min(k, j), max(k, j)) for j, (_, v) in enumerate(rows) if j != k and v and len(v) == 24 and None not in v and np.isfinite(v).all() and any(v) and np.array(v) @ one / np.linalg.norm(v) >= 0.9]
+        pairs += [(min(k, j), max(k, j)) for j, (_,
+            v) in enumerate(rows) if j != k and v and len(v) == 24 and None not in v and np.isfinite(v).all() and any(v) and np.array(v) @ one / np.linalg.norm(v) >= 0.9]
     n = np.zeros(len(rows), int)
     for a, b in pairs:
         n[a] += 1

@@ -56,7 +56,8 @@ def test_secret_query(spark, sf, tmp_path):
 
 def test_ownership_tells_examples_from_owned(spark):
     copied, owned = "Zx9Qw8Er7Ty6Ui5Op4As3D", "Mn1Bv2Cx3Zl4Kj5Hg6Fd7S"
-    rows = [(i, f"see{i} {copied} here", "en", f"org{i}/repo", 1) for i in range(4)] + [(10 + i, f"my {owned} value", "en", f"me/repo{i}", 1) for i in range(3)]
+    rows = [(i, f"see{i} {copied} here", "en", f"org{i}/repo", 1) for i in range(4)] + [(10 + i, f"my {owned} value", "en", f"me/repo{i}",
+        1) for i in range(3)]
     got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()}
     assert all(not got[i].added and got[i].n_examples == 1 for i in range(4))
     assert all([(s.start, s.end) for s in got[10 + i].added] == [(3, 3 + len(owned))] and got[10 + i].n_examples == 0 for i in range(3))
@@ -73,7 +74,8 @@ def test_copies_of_a_document_keep_its_credential(spark, places):
 
 def test_random_keys_are_candidates():
     rng = np.random.default_rng(3)
-    for signs, n in [("0123456789abcdef", 20), ("0123456789abcdef", 31), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 40)]:
+    for signs, n in [("0123456789abcdef", 20), ("0123456789abcdef", 31), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20),
+        ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 40)]:
         keys = ["".join(rng.choice(list(signs), n)) for _ in range(1000)]
         assert np.mean([len(secret_scan.candidates(f"a {k} b", [])) == 1 for k in keys]) >= 0.98, (signs, n)
     path = "/".join(["example", "documents", "archive"] * 4)
@@ -231,7 +233,8 @@ def counted(text):
 
 
 def test_quality(spark, sf):
-    rows = odd_rows.rows() + [(500 + k, odd_rows.prose(80 + k, k) + ("\nsame line here" * (k % 4)), "en", "big", 1) for k in range(120)] + [(900, "#$% " * 60 + odd_rows.prose(90, 5), "en", "big", 1)]
+    rows = odd_rows.rows() + [(500 + k, odd_rows.prose(80 + k, k) + ("\nsame line here" * (k % 4)), "en", "big", 1) for k in range(120)] + [(900,
+        "#$% " * 60 + odd_rows.prose(90, 5), "en", "big", 1)]
     got = quality_rules.judge(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()
     texts = defaultdict(list)
     for r in rows:
@@ -252,7 +255,8 @@ def test_quality(spark, sf):
 
 def test_quality_of_small_groups(spark):
     junk = "#$% " * 60 + odd_rows.prose(90, 5)
-    rows = [(k, odd_rows.prose(80 + k, k), "en", f"s{k % 20}", 1) for k in range(120)] + [(900, junk, "en", "s3", 1), (901, junk, "xx", None, 1), (902, odd_rows.prose(90, 7), "xx", "", 1)]
+    rows = [(k, odd_rows.prose(80 + k, k), "en", f"s{k % 20}", 1) for k in range(120)] + [(900, junk, "en", "s3", 1), (901, junk, "xx", None, 1),
+        (902, odd_rows.prose(90, 7), "xx", "", 1)]
     by = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()}
     assert len(by) == len(rows) and all(r.distance is not None for r in by.values() if not r.base_failed)
     assert not by[900].base_failed and not by[900].kept and not by[901].base_failed and not by[901].kept and by[902].kept
@@ -334,10 +338,12 @@ def test_numerals_are_no_letters(spark):
 def test_tables_equal_a_direct_convolution():
     rng = np.random.default_rng(2)
     widths, e, f = language_id.WIDTHS, language_id.EMBEDDED, language_id.FILTERS
-    net = language_id.Network(["a", "b", "c"], rng.normal(size=(256, e)), [rng.normal(size=(w * e, f)) for w in widths], rng.normal(size=f * len(widths)), rng.normal(size=(f * len(widths), 3)), rng.normal(size=3))
+    net = language_id.Network(["a", "b", "c"], rng.normal(size=(256, e)), [rng.normal(size=(w * e, f)) for w in widths],
+        rng.normal(size=f * len(widths)), rng.normal(size=(f * len(widths), 3)), rng.normal(size=3))
     net.tables()
     b = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8)
-    pooled = [np.stack([net.embed[b[:, at : at + w]].reshape(5, -1) @ filters for at in range(language_id.WINDOW - w + 1)]).max(axis=0) for w, filters in zip(widths, net.filters, strict=True)]
+    pooled = [np.stack([net.embed[b[:, at : at + w]].reshape(5, -1) @ filters for at in range(language_id.WINDOW - w + 1)]).max(axis=0) for w,
+        filters in zip(widths, net.filters, strict=True)]
     want = np.maximum(np.concatenate(pooled, axis=1) + net.bias, 0) @ net.out + net.out_bias
     assert np.allclose(net.odds(b), language_id.softmax(want), atol=1e-4)
 
@@ -345,11 +351,13 @@ def test_tables_equal_a_direct_convolution():
 def test_gradients_equal_differences():
     rng = np.random.default_rng(4)
     widths, e, f = language_id.WIDTHS, language_id.EMBEDDED, language_id.FILTERS
-    params = [rng.normal(size=(256, e)), *(rng.normal(size=(w * e, f)) for w in widths), rng.normal(size=f * len(widths)), rng.normal(size=(f * len(widths), 3)), rng.normal(size=3)]
+    params = [rng.normal(size=(256, e)), *(rng.normal(size=(w * e, f)) for w in widths), rng.normal(size=f * len(widths)),
+        rng.normal(size=(f * len(widths), 3)), rng.normal(size=3)]
     b, labels = rng.integers(0, 256, (4, 20)).astype(np.uint8), np.array([0, 1, 2, 1])
 
     def loss():
-        pooled = [np.stack([params[0][b[:, at : at + w]].reshape(4, -1) @ filters for at in range(20 - w + 1)]).max(axis=0) for w, filters in zip(widths, params[1 : 1 + len(widths)], strict=True)]
+        pooled = [np.stack([params[0][b[:, at : at + w]].reshape(4, -1) @ filters for at in range(20 - w + 1)]).max(axis=0) for w,
+            filters in zip(widths, params[1 : 1 + len(widths)], strict=True)]
         odds = language_id.softmax(np.maximum(np.concatenate(pooled, axis=1) + params[-3], 0) @ params[-2] + params[-1])
         return -np.log(odds[np.arange(4), labels]).mean()
 
@@ -429,7 +437,9 @@ def test_pipeline_run(spark, sf, tmp_path):
     columns = spark.read.parquet(f"{sf}/documents.parquet").schema
     n = len(rows)
     secret = "password = hunter2hunter2 " + odd_rows.prose(80, 41)
-    rows += [(n + 1, secret, "en", "src1", len(secret)), (None, "api_key: abcdef0123456789 " + odd_rows.prose(90, 42), "en", "src2", 1), (n + 1, odd_rows.prose(70, 43), "en", "src1", 1), (n + 2, secret + " end", "en", "src3", 1), (n + 3, "½ 12", "en", "src3", 4), (n + 4, None, None, None, None)]
+    rows += [(n + 1, secret, "en", "src1", len(secret)), (None, "api_key: abcdef0123456789 " + odd_rows.prose(90, 42), "en", "src2", 1),
+        (n + 1, odd_rows.prose(70, 43), "en", "src1", 1), (n + 2, secret + " end", "en", "src3", 1), (n + 3, "½ 12", "en", "src3", 4),
+        (n + 4, None, None, None, None)]
     spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -463,7 +473,8 @@ def test_pipeline_run(spark, sf, tmp_path):
 
 def test_texts_of_one_identifier_are_told_apart(spark):
     a, b = odd_rows.prose(60, 1), odd_rows.prose(60, 2)
-    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (2, b + " end", "en", "s", 1), (3, a, "en", "s", 1), (4, odd_rows.prose(60, 9), "en", "s", 1)]
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (2, b + " end", "en", "s", 1), (3, a, "en", "s", 1),
+        (4, odd_rows.prose(60, 9), "en", "s", 1)]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, odd_rows.SCHEMA), "").collect()
     assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, a), (1, b), (4, rows[-1][1])])
     links = {(r.doc_id, r.n_links) for r in ngram_join.link(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()}

@@ -35,7 +35,8 @@ def check_pieces(rows, texts, window=4096):
     for doc, pieces in by_doc.items():
         want = [ids_of(t) + [2] for i, t in texts if i == doc]
         starts = sorted((p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces)
-        every = sorted((s, n, crc(ids[s : s + n]), len(ids)) for ids in want for s, n in [(p.start, p.length) for p in pieces][: len(pieces) // len(want)] if s < len(ids))
+        every = sorted((s, n, crc(ids[s : s + n]), len(ids)) for ids in want for s,
+            n in [(p.start, p.length) for p in pieces][: len(pieces) // len(want)] if s < len(ids))
         if len(want) == 1:
             assert starts == every
             assert sum(p.length for p in pieces) == len(want[0])
