@@ -65,8 +65,11 @@ def test_walk_prunes_and_follows_no_links(spark, tmp_path):
 def test_scrub(spark):
     """The rule itself: what begins at a dangerous element goes to its closing tag, or to the end."""
     cases = {
-        "<p>x</p><script>alert(1)": "<p>x</p>", "a< script >b</ script >c": "ac", "a<applet code=x>b</applet>c": "ac", "a<STYLE>b</style>c<b>d</b>": "ac<b>d</b>", "a<meta charset=x>b": "a", "x</form>y": "xy",
-        '<a onclick="f()" href="/ok">z</a>': '<a href="/ok">z</a>', "<a href='javascript:f()'>z</a>": '<a href="#">z</a>', "<img src=data:x>": '<img src="#">', "<p>scripted</p>": "<p>scripted</p>", '<a href="javascript:it(\'s\')">z</a>': '<a href="javascript:it(\'s\')">z</a>',
+        "<p>x</p><script>alert(1)": "<p>x</p>", "a< script >b</ script >c": "ac", "a<applet code=x>b</applet>c": "ac",
+        "a<STYLE>b</style>c<b>d</b>": "ac<b>d</b>", "a<meta charset=x>b": "a", "x</form>y": "xy",
+        '<a onclick="f()" href="/ok">z</a>': '<a href="/ok">z</a>', "<a href='javascript:f()'>z</a>": '<a href="#">z</a>',
+        "<img src=data:x>": '<img src="#">', "<p>scripted</p>": "<p>scripted</p>",
+        '<a href="javascript:it(\'s\')">z</a>': '<a href="javascript:it(\'s\')">z</a>',
     }
     df = spark.createDataFrame(list(cases.items()), "html string, want string").select("want", text.scrubbed(F.col("html")).alias("got"))
     assert [(r.got) for r in df.collect()] == [r.want for r in df.collect()]
@@ -74,7 +77,8 @@ def test_scrub(spark):
 
 @pytest.mark.parametrize("series", ["B01", "TM05", "AD01", "M01", "01"])
 def test_decision_series(spark, series):
-    n = spark.createDataFrame([("p/decisions.md", "p", f"## D-2026-04-10-{series} — A title; of one [active]\n- Why: x\n## D-2026-04-11-{series} — Second\n- Status: superseded by D-2026-04-10-{series} — replaced\n")], "path string, project string, text string")
+    n = spark.createDataFrame([("p/decisions.md", "p",
+        f"## D-2026-04-10-{series} — A title; of one [active]\n- Why: x\n## D-2026-04-11-{series} — Second\n- Status: superseded by D-2026-04-10-{series} — replaced\n")], "path string, project string, text string")
     got = {r.id: r for r in notes.decisions(n).collect()}
     assert got[f"D-2026-04-10-{series}"].title == "A title; of one" and got[f"D-2026-04-10-{series}"].supersedes == [f"D-2026-04-11-{series}"]
     assert got[f"D-2026-04-11-{series}"].superseded_by == [f"D-2026-04-10-{series}"]
@@ -82,7 +86,8 @@ def test_decision_series(spark, series):
 
 def test_admission(spark):
     cfg = files.Config(roots={"r": "/r"}, exclude_dirs=("node_modules",), exclude_files=(".env*",), never_index=("/r/never",))
-    paths = ["/r/a/b.md", "/r//a/./b.txt", "/r/a/../../etc/x.md", "/x/a.md", "/r/node_modules/a.md", "/r/.env.md", "/r/never/a.md", "/r/private/a.md", "/r/a.py", "/r"]
+    paths = ["/r/a/b.md", "/r//a/./b.txt", "/r/a/../../etc/x.md", "/x/a.md", "/r/node_modules/a.md", "/r/.env.md", "/r/never/a.md", "/r/private/a.md",
+        "/r/a.py", "/r"]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
     assert [r.i for r in df.where(files.admit(F.col("path"), cfg, ("/r/private",))).orderBy("i").collect()] == [0, 1]
 
@@ -96,7 +101,10 @@ def test_sessions(spark, tmp_path):
     d = tmp_path / "s"
     jsonl(d / "one.jsonl", [
         {"type": "user", "sessionId": "S1", "cwd": "/w/a", "timestamp": "2026-01-02T00:00:00", "message": {"role": "user", "content": "hello there"}},
-        {"type": "assistant", "sessionId": "S1", "gitBranch": "main", "timestamp": "2026-01-01T00:00:00", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "hi"}, {"type": "tool_use", "name": "Bash", "input": {"command": "ls\n-l", "other": 1}}, {"type": "tool_result", "content": "SECRET OUTPUT"}]}},
+        {"type": "assistant", "sessionId": "S1", "gitBranch": "main", "timestamp": "2026-01-01T00:00:00",
+            "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "hi"},
+                {"type": "tool_use", "name": "Bash", "input": {"command": "ls\n-l", "other": 1}},
+                {"type": "tool_result", "content": "SECRET OUTPUT"}]}},
         {"type": "user", "sessionId": "S1", "toolUseResult": {"stdout": "x"}, "message": {"role": "user", "content": "TOOL OUTPUT"}},
         {"type": "user", "sessionId": "S1", "isMeta": True, "message": {"role": "user", "content": "META"}},
         "not json", "[1, 2]", {"type": "summary", "customTitle": "My title"},
@@ -108,7 +116,8 @@ def test_sessions(spark, tmp_path):
     s = got["S1"]
     assert s.prose == "user: hello there\n\nassistant: hm\n\nassistant: hi\n\nuser: later"
     assert s.events == "[tool] Bash command=ls -l"
-    assert (s.cwd, s.git_branch, s.title, s.doc_date, s.sidechain, s.skipped_meta, len(s.files)) == ("/w/a", "main", "My title", "2026-01-01", True, 1, 2)
+    assert (s.cwd, s.git_branch, s.title, s.doc_date, s.sidechain, s.skipped_meta, len(s.files)) == ("/w/a", "main", "My title", "2026-01-01", True,
+        1, 2)
     assert s.path.endswith("/s#session=S1")
 
 
@@ -128,20 +137,28 @@ def test_rollouts(spark, tmp_path):
     assert r.prose == "assistant: answer\n\nuser: question\n\nreasoning: because"
     assert r.events == '[tool] shell {"a":1}\n[exec] ls -l (exit 2)\n[web_search] spark'
     assert (r.session, r.cwd, r.model, r.doc_date) == ("R1", "/w", "m1", "2026-05-12")
-    index = jsonl(tmp_path / "session_index.jsonl", [{"id": "R1", "thread_name": "old", "updated_at": "1"}, {"id": "R1", "thread_name": "new", "updated_at": "2"}])
+    index = jsonl(tmp_path / "session_index.jsonl", [{"id": "R1", "thread_name": "old", "updated_at": "1"},
+        {"id": "R1", "thread_name": "new", "updated_at": "2"}])
     assert agents.with_titles(agents.rollout_documents(files.lines(spark, f)), files.lines(spark, index)).first().title == "new"
 
 
 def node(i, parent, text_, at, **more):
-    return {"id": i, "parent": parent, "message": {"author": {"role": "user"}, "create_time": at, "content": {"content_type": "text", "parts": [text_]} | more}}
+    return {"id": i, "parent": parent, "message": {"author": {"role": "user"}, "create_time": at,
+        "content": {"content_type": "text", "parts": [text_]} | more}}
 
 
 def test_tree_export(spark, tmp_path):
     d = tmp_path / "x"
-    tree = {"a": node("a", None, "root", 1.0), "b": node("b", "a", "left", 2.0), "c": node("c", "a", "right", 3.0), "d": node("d", "c", "", 4.0, parts=[{"content_type": "image_asset_pointer", "asset_pointer": "file-service://file-1"}])}
-    odd = {"q": node("q", None, "", 1.0, content_type="strange", parts=[]), "t": node("t", "q", "", 2.0, content_type="thoughts", thoughts=[{"summary": "S", "content": "body"}])}
-    put(d / "conversations-1.json", json.dumps([{"conversation_id": "C1", "title": "T", "create_time": 1_700_000_000, "update_time": 5.0, "current_node": "d", "mapping": tree}, {"conversation_id": "C2", "current_node": "t", "mapping": odd}]))
-    put(d / "deep/conversations-2.json", json.dumps({"conversations": [{"conversation_id": "C1", "update_time": 1.0, "current_node": "a", "mapping": {"a": node("a", None, "old", 1.0)}}]}))
+    tree = {"a": node("a", None, "root", 1.0), "b": node("b", "a", "left", 2.0), "c": node("c", "a", "right", 3.0),
+        "d": node("d", "c", "", 4.0, parts=[{"content_type": "image_asset_pointer", "asset_pointer": "file-service://file-1"}])}
+    odd = {"q": node("q", None, "", 1.0, content_type="strange", parts=[]),
+        "t": node("t", "q", "", 2.0, content_type="thoughts", thoughts=[{"summary": "S", "content": "body"}])}
+    put(d / "conversations-1.json",
+        json.dumps([{"conversation_id": "C1", "title": "T", "create_time": 1_700_000_000, "update_time": 5.0, "current_node": "d", "mapping": tree},
+            {"conversation_id": "C2", "current_node": "t", "mapping": odd}]))
+    put(d / "deep/conversations-2.json",
+        json.dumps({"conversations": [{"conversation_id": "C1", "update_time": 1.0, "current_node": "a",
+            "mapping": {"a": node("a", None, "old", 1.0)}}]}))
     put(d / "bad.json", "{")
     good, bad = exports.json_files(spark, [f"{d}/conversations-1.json", f"{d}/deep/conversations-2.json", f"{d}/bad.json"])
     assert [r.path.endswith("bad.json") for r in bad.collect()] == [True]
@@ -157,18 +174,26 @@ def test_flat_export(spark, tmp_path):
     m = lambda u, p, t, at: {"uuid": u, "parent_message_uuid": p, "sender": "human", "text": t, "created_at": at}
     data = [
         {"uuid": "L", "name": "linear", "created_at": "2026-02-03T00:00:00", "chat_messages": [m("1", None, "one", "1"), m("2", None, "two", "2")]},
-        {"uuid": "B", "name": "branched", "chat_messages": [m("1", "gone", "one", "1"), m("2", "1", "off", "2"), m("3", "1", "on", "3"), {"uuid": "4", "parent_message_uuid": "3", "sender": "assistant", "created_at": "4", "content": [{"type": "text", "text": "blocks"}, {"type": "tool_result", "text": "NO"}, {"type": "tool_use", "name": "web", "input": {"query": "q"}}]}]},
+        {"uuid": "B", "name": "branched", "chat_messages": [m("1", "gone", "one", "1"), m("2", "1", "off", "2"), m("3", "1", "on", "3"),
+            {"uuid": "4", "parent_message_uuid": "3", "sender": "assistant", "created_at": "4",
+                "content": [{"type": "text", "text": "blocks"}, {"type": "tool_result", "text": "NO"},
+                    {"type": "tool_use", "name": "web", "input": {"query": "q"}}]}]},
     ]
     good, _ = exports.json_files(spark, put(tmp_path / "conversations.json", json.dumps(data)))
     got = {r.path: r for r in exports.documents(*exports.flat_messages(good), "r").collect()}
     assert got["r#conversation=L"].prose == "human: one\n\nhuman: two" and got["r#conversation=L"].doc_date == "2026-02-03"
     assert got["r#conversation=B"].prose == "human: one\n\nhuman: on\n\nassistant: blocks" and got["r#conversation=B"].events == "[tool] web query=q"
     assert got["r#conversation=B&branch=abandoned"].prose == "human: off"
-    memories, _ = exports.json_files(spark, put(tmp_path / "memories.json", json.dumps([{"conversations_memory": "blob", "memory_files": [{"path": "a.md", "content": "A", "updated_at": "2026-01-01T0"}]}])))
-    assert {r.path for r in exports.memory_documents(memories, "b1", "r").collect()} == {"r#batch=b1/memories/conversations_memory", "r#batch=b1/memories/a.md"}
-    projects, _ = exports.json_files(spark, put(tmp_path / "p.json", json.dumps({"uuid": "P", "name": "N", "description": "D", "docs": [{"filename": "f", "content": "C"}, {"filename": "e", "content": " "}]})))
-    assert {r.path: r.prose for r in exports.project_documents(projects, "b1", "r").collect()} == {"r#batch=b1/project=P": "# N\n\nD", "r#batch=b1/project=P/doc=f": "C"}
-    listing = spark.createDataFrame([("/e/users.json",), ("/e/conversations.json",), ("/e/projects/u.json",), ("/e/chat.html",), ("/e/odd.json",)], "path string")
+    memories, _ = exports.json_files(spark, put(tmp_path / "memories.json",
+        json.dumps([{"conversations_memory": "blob", "memory_files": [{"path": "a.md", "content": "A", "updated_at": "2026-01-01T0"}]}])))
+    assert {r.path for r in exports.memory_documents(memories, "b1", "r").collect()} == {"r#batch=b1/memories/conversations_memory",
+        "r#batch=b1/memories/a.md"}
+    projects, _ = exports.json_files(spark, put(tmp_path / "p.json",
+        json.dumps({"uuid": "P", "name": "N", "description": "D", "docs": [{"filename": "f", "content": "C"}, {"filename": "e", "content": " "}]})))
+    assert {r.path: r.prose for r in exports.project_documents(projects, "b1", "r").collect()} == {"r#batch=b1/project=P": "# N\n\nD",
+        "r#batch=b1/project=P/doc=f": "C"}
+    listing = spark.createDataFrame([("/e/users.json",), ("/e/conversations.json",), ("/e/projects/u.json",), ("/e/chat.html",), ("/e/odd.json",)],
+        "path string")
     assert [r.state for r in exports.survey(listing).collect()] == ["personal", "parsed", "parsed", "skipped", "unknown"]
 
 
@@ -176,24 +201,31 @@ def test_notes(spark):
     body = "## D-2026-01-02-01 — Use Spark [active]\n- **Why:** fast\n## D-2026-01-03-B02 — Old way\n- **Status:** superseded by D-2026-01-02-01\n- **Date:** 2025-12-31\n"
     n = spark.createDataFrame([("p/decisions.md", "p", body)], "path string, project string, text string")
     got = {r.id: r for r in notes.decisions(n).collect()}
-    assert (got["D-2026-01-02-01"].status, got["D-2026-01-02-01"].supersedes, got["D-2026-01-02-01"].why, got["D-2026-01-02-01"].title) == ("active", ["D-2026-01-03-B02"], "fast", "Use Spark")
-    assert (got["D-2026-01-03-B02"].status, got["D-2026-01-03-B02"].superseded_by, got["D-2026-01-03-B02"].date) == ("superseded", ["D-2026-01-02-01"], "2025-12-31")
+    assert (got["D-2026-01-02-01"].status, got["D-2026-01-02-01"].supersedes, got["D-2026-01-02-01"].why, got["D-2026-01-02-01"].title) == ("active",
+        ["D-2026-01-03-B02"], "fast", "Use Spark")
+    assert (got["D-2026-01-03-B02"].status, got["D-2026-01-03-B02"].superseded_by, got["D-2026-01-03-B02"].date) == ("superseded",
+        ["D-2026-01-02-01"], "2025-12-31")
     log = n.withColumn("text", F.lit("## 2026-01-05 — bot — Did things\n- first D-2026-01-02-01\nmore D-2026-01-02-01\n"))
     e = notes.log_entries(log).first()
-    assert (e.date, e.agent, e.heading, e.decisions, e.first_line) == ("2026-01-05", "bot", "Did things", ["D-2026-01-02-01"], "first D-2026-01-02-01")
+    assert (e.date, e.agent, e.heading, e.decisions, e.first_line) == ("2026-01-05", "bot", "Did things", ["D-2026-01-02-01"],
+        "first D-2026-01-02-01")
     q = n.withColumn("text", F.lit("## Open questions\n- why?\n  because\n- done (resolved 2026)\n## Other\n- no\n"))
     assert [r.question for r in notes.open_questions(q).collect()] == ["why? because"]
     index = n.withColumn("text", F.lit("## Families\n| f | m | n |\n|---|---|---|\n| F | `alpha`, `beta` | was `old-alpha` |\n## Projects\n| name | x | y | z | aliases |\n|--|--|--|--|--|\n| beta | a | b | c | bb, `cc` |\n"))
     table = notes.alias_table(index, {"legacy": "alpha"})
-    assert {(r.alias, r.canonical) for r in table.collect()} >= {("old-alpha", "alpha"), ("bb", "beta"), ("cc", "beta"), ("beta", "beta"), ("legacy", "alpha")}
+    assert {(r.alias, r.canonical) for r in table.collect()} >= {("old-alpha", "alpha"), ("bb", "beta"), ("cc", "beta"), ("beta", "beta"),
+        ("legacy", "alpha")}
     r = aliases.resolve(table, spark.createDataFrame([("BB",), ("none",)], "name string")).collect()
     assert {x.name: x.canonical for x in r} == {"BB": "beta", "none": "none"}
 
 
 def test_drops_and_names(spark):
-    drops = spark.createDataFrame([("/d/x", True, ["conversations.json", "users.json"], None), ("/d/rollout-1.jsonl", False, None, ""), ("/d/s.jsonl", False, None, '{"sessionId": 1}'), ("/d/q.bin", False, None, None)], "path string, is_dir boolean, names array<string>, head string")
+    drops = spark.createDataFrame([("/d/x", True, ["conversations.json", "users.json"], None), ("/d/rollout-1.jsonl", False, None, ""),
+        ("/d/s.jsonl", False, None, '{"sessionId": 1}'), ("/d/q.bin", False, None, None)],
+        "path string, is_dir boolean, names array<string>, head string")
     assert [r.kind for r in notes.classify_drops(drops).collect()] == ["account-export", "rollouts", "session", "unknown"]
-    rows = spark.createDataFrame([("f", 1, "the Secret-Project here"), ("f", 2, "secretprojects"), ("f", 3, "secret project")], "path string, n int, line string")
+    rows = spark.createDataFrame([("f", 1, "the Secret-Project here"), ("f", 2, "secretprojects"), ("f", 3, "secret project")],
+        "path string, n int, line string")
     assert [r.n for r in notes.name_scan(rows, spark.createDataFrame([("secret_project",)], "name string")).orderBy("n").collect()] == [1, 3]
 
 
@@ -217,25 +249,30 @@ def test_query_text():
 
 def test_folding(spark):
     said = "Café CAFE\u0301 Ångström straße naïve İstanbul Ελλάς e\u0301\u0302x"
-    got = spark.createDataFrame([(said,)], "t string").select(text.tokens(F.col("t")).alias("a"), text.tokens(F.col("t"), folded=False).alias("b")).first()
+    got = spark.createDataFrame([(said,)], "t string").select(text.tokens(F.col("t")).alias("a"),
+        text.tokens(F.col("t"), folded=False).alias("b")).first()
     assert got.a == ["cafe", "cafe", "angstrom", "straße", "naive", "istanbul", "ελλάς", "ex"] and got.b[0] == "café"
     assert querytext.phrases('"Café Ångström" naïve') == [["cafe", "angstrom"], ["naive"]]
 
 
 def test_high_entropy(spark):
     keep, drop = "a1" * 40, "aB3" * 25
-    r = spark.createDataFrame([(f"{keep} and {drop}== end",)], "text string").select(text.redacted(F.col("text")).alias("r"), text.redact_text(F.col("text")).alias("t")).first()
+    r = spark.createDataFrame([(f"{keep} and {drop}== end",)], "text string").select(text.redacted(F.col("text")).alias("r"),
+        text.redact_text(F.col("text")).alias("t")).first()
     assert r.r.text == f"{keep} and [REDACTED:high-entropy] end" == r.t and r.r.kinds == ["high-entropy"]
 
 
 def docs(spark, rows):
-    return spark.createDataFrame(rows, "path string, source_type string, project string, doc_date string, title string, text string, mtime double, size long")
+    return spark.createDataFrame(rows,
+        "path string, source_type string, project string, doc_date string, title string, text string, mtime double, size long")
 
 
 def test_store_over_runs(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     scanned = spark.createDataFrame([("repo-doc",)], "source_type string")
-    one = [("/r/p/a.md", "repo-doc", "p", "2026-01-01", "A", "alpha words shared", 1.0, 1), ("/r/p/b.md", "repo-doc", "p", None, "B", "alpha words shared", 1.0, 1), ("/s#session=1", "transcript", "q", "2026-02-02", "S", "beta words password", 1.0, 1)]
+    one = [("/r/p/a.md", "repo-doc", "p", "2026-01-01", "A", "alpha words shared", 1.0, 1),
+        ("/r/p/b.md", "repo-doc", "p", None, "B", "alpha words shared", 1.0, 1),
+        ("/s#session=1", "transcript", "q", "2026-02-02", "S", "beta words password", 1.0, 1)]
     first = ingest.run(store, docs(spark, one), scanned, ingest.sign_embedder)
     assert first.table("chunks").count() == 2 and first.table("occurrences").count() == 3 and first.table("vectors").count() == 2
     # a changes, b stays and now owns the shared chunk, the transcript's source wasn't scanned
@@ -283,6 +320,8 @@ def test_filters_before_limit(spark):
     """A weak hit that a filter wants is found although stronger ones outside it fill the limit."""
     rows = [(i, f"/d/{i}", "other", "repo-doc", "prose", "2026-01-01", "t", 0, "canonical", "token " * 5) for i in range(8)]
     rows += [(100, "/d/t", "mine", "repo-doc", "prose", None, "t", 0, "canonical", "token with many other words around it")]
-    c = spark.createDataFrame(rows, "chunk_id long, path string, project string, source_type string, kind string, doc_date string, title string, ord int, branch string, text string")
-    assert [r.chunk_id for r in search.search(c, None, "token", filters=Filters(projects=("MINE",)), policy=search.Policy(3, 3, True)).collect()] == [100]
+    c = spark.createDataFrame(rows,
+        "chunk_id long, path string, project string, source_type string, kind string, doc_date string, title string, ord int, branch string, text string")
+    assert [r.chunk_id for r in search.search(c, None, "token", filters=Filters(projects=("MINE",)),
+        policy=search.Policy(3, 3, True)).collect()] == [100]
     assert 100 not in [r.chunk_id for r in search.search(c, None, "token", filters=Filters(after="2025-01-01")).collect()]

@@ -28,14 +28,22 @@ def sources(tmp_path):
     put(d / "kb/alpha/overview.md", "# Alpha\n**Status:** running\n## Open questions\n- why zebra?\n")
     put(d / "kb/alpha/decisions.md", "## D-2026-04-10-B01 — Use zebra [active]\n- Why: stripes\n")
     put(d / "kb/alpha/log.md", "## 2026-05-01 — me — Began\nfirst words\n")
-    jsonl(d / "sessions/s1.jsonl", [{"type": "user", "sessionId": "S1", "cwd": str(d / "repos/alpha"), "timestamp": "2026-01-02T00:00:00", "message": {"role": "user", "content": "where is the zebra parser"}}])
-    jsonl(d / "codex/sessions/rollout-2026-05-12T19-28-22-x.jsonl", [{"timestamp": "2026-05-12T19:00:00", "type": "session_meta", "payload": {"id": "R1", "cwd": str(d / "repos/alpha")}}, {"type": "event_msg", "payload": {"type": "user_message", "message": "rollout question about giraffes"}}])
+    jsonl(d / "sessions/s1.jsonl", [{"type": "user", "sessionId": "S1", "cwd": str(d / "repos/alpha"), "timestamp": "2026-01-02T00:00:00",
+        "message": {"role": "user", "content": "where is the zebra parser"}}])
+    jsonl(d / "codex/sessions/rollout-2026-05-12T19-28-22-x.jsonl",
+        [{"timestamp": "2026-05-12T19:00:00", "type": "session_meta", "payload": {"id": "R1", "cwd": str(d / "repos/alpha")}},
+            {"type": "event_msg", "payload": {"type": "user_message", "message": "rollout question about giraffes"}}])
     names = jsonl(d / "index.jsonl", [{"id": "R1", "thread_name": "Giraffe thread", "updated_at": "1"}])
-    node = lambda i, parent, said, at: {"id": i, "parent": parent, "message": {"author": {"role": "user"}, "create_time": at, "content": {"content_type": "text", "parts": said}}}
-    tree = {"a": node("a", None, ["tree talk about lions"], 1.0), "b": node("b", "a", [{"content_type": "image_asset_pointer", "asset_pointer": "file-service://file-1"}], 2.0)}
-    put(d / "tree/2026-01-01/conversations.json", json.dumps([{"conversation_id": "C1", "title": "Lions", "create_time": 1_700_000_000, "current_node": "b", "mapping": tree}]))
+    node = lambda i, parent, said, at: {"id": i, "parent": parent, "message": {"author": {"role": "user"}, "create_time": at,
+        "content": {"content_type": "text", "parts": said}}}
+    tree = {"a": node("a", None, ["tree talk about lions"], 1.0), "b": node("b", "a",
+        [{"content_type": "image_asset_pointer", "asset_pointer": "file-service://file-1"}], 2.0)}
+    put(d / "tree/2026-01-01/conversations.json",
+        json.dumps([{"conversation_id": "C1", "title": "Lions", "create_time": 1_700_000_000, "current_node": "b", "mapping": tree}]))
     put(d / "tree/2026-01-01/conversation_asset_file_names.json", json.dumps({"file-1.dat": "lion.png"}))
-    put(d / "flat/data-1/conversations.json", json.dumps([{"uuid": "L", "name": "flat", "created_at": "2026-02-03T00:00:00", "chat_messages": [{"uuid": "1", "sender": "human", "text": "flat talk about tigers", "created_at": "1"}]}]))
+    put(d / "flat/data-1/conversations.json",
+        json.dumps([{"uuid": "L", "name": "flat", "created_at": "2026-02-03T00:00:00",
+            "chat_messages": [{"uuid": "1", "sender": "human", "text": "flat talk about tigers", "created_at": "1"}]}]))
     put(d / "flat/data-1/memories.json", json.dumps([{"conversations_memory": "memory of tigers"}]))
     put(d / "flat/data-1/projects/p.json", json.dumps({"uuid": "P", "name": "Pride", "description": "brief of tigers"}))
     config = files.Config({"repos": str(d / "repos")}, exclude_dirs=("node_modules",))
@@ -87,15 +95,18 @@ def test_service_and_web(spark, tmp_path, sources):
     page = service.project("old-alpha", curated)
     assert page["name"] == "alpha" and page["resolved_from"] == "old-alpha" and page["indexed_documents"] == 7
     assert page["decisions"][0]["id"] == "D-2026-04-10-B01" and page["open_questions"] == ["why zebra?"] and page["log"][0]["date"] == "2026-05-01" and len(page["files"]) == 3
-    assert web.answer(service, "/api/search?q=zebra&limit=1")[1]["results"][0]["confidence"] <= 1 and web.answer(service, "/api/search")[0] == 400 and web.answer(service, "/api/doc?path=none")[0] == 404
-    assert web.answer(service, "/api/health")[1]["documents"] == 11 and web.answer(service, "/api/project/..%2Fx", curated)[0] == 404 and web.answer(service, "/api/project/alpha", curated)[0] == 200
+    assert web.answer(service, "/api/search?q=zebra&limit=1")[1]["results"][0]["confidence"] <= 1 and web.answer(service,
+        "/api/search")[0] == 400 and web.answer(service, "/api/doc?path=none")[0] == 404
+    assert web.answer(service, "/api/health")[1]["documents"] == 11 and web.answer(service, "/api/project/..%2Fx",
+        curated)[0] == 404 and web.answer(service, "/api/project/alpha", curated)[0] == 200
     server = web.server(service)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         at = f"http://127.0.0.1:{server.server_port}/api/health"
         with urllib.request.urlopen(at) as r:
             assert json.load(r)["documents"] == 11 and r.headers["X-Content-Type-Options"] == "nosniff"
-        for request, status in ((urllib.request.Request(at, method="POST"), 405), (urllib.request.Request(at, headers={"Host": "evil.example"}), 403)):
+        for request, status in ((urllib.request.Request(at, method="POST"), 405),
+            (urllib.request.Request(at, headers={"Host": "evil.example"}), 403)):
             with pytest.raises(urllib.error.HTTPError) as error:
                 urllib.request.urlopen(request)
             assert error.value.code == status
@@ -106,10 +117,12 @@ def test_service_and_web(spark, tmp_path, sources):
 def test_golden_suite(spark, tmp_path, sources):
     snap, _ = gather.update(Store(spark, f"file://{tmp_path}/store"), sources, ingest.sign_embedder)
     service = Service(snap)
-    checks = golden.Checks((("zebra parser", "alpha"),), ("quixotic umbrella saxophone",), ("zebra",), (("zebra", "alpha"), ("zebra", "nowhere")), seconds=30)
+    checks = golden.Checks((("zebra parser", "alpha"),), ("quixotic umbrella saxophone",), ("zebra",), (("zebra", "alpha"), ("zebra", "nowhere")),
+        seconds=30)
     outcomes = golden.run(service, checks)
     by = {(o.section, o.detail.split(":")[0]): o.state for o in outcomes}
-    assert by["answers", "'zebra parser' finds alpha"] == "PASS" and by["small project answers", "nowhere"] == "SKIP" and by["small project answers", "alpha"] == "PASS"
+    assert by["answers", "'zebra parser' finds alpha"] == "PASS" and by["small project answers", "nowhere"] == "SKIP" and by["small project answers",
+        "alpha"] == "PASS"
     assert not [o for o in outcomes if o.state == "FAIL" and o.section != "crosses projects"]
     text, code = golden.summary(outcomes)
     assert "skipped" in text and code == int(any(o.state == "FAIL" for o in outcomes))
@@ -122,12 +135,14 @@ def test_repair_and_attribution(spark, tmp_path):
     docs = spark.createDataFrame(rows, "path string, source_type string, project string, text string, cwd string, mtime double, size long")
     first = ingest.run(store, docs, docs.select("source_type"), ingest.sign_embedder)
     where = f"{tmp_path}/store/0/texts"
-    kept = spark.createDataFrame([tuple(r) for r in spark.read.parquet(where).where("text like 'beta%'").collect()], "content_hash string, text string, bucket int")
+    kept = spark.createDataFrame([tuple(r) for r in spark.read.parquet(where).where("text like 'beta%'").collect()],
+        "content_hash string, text string, bucket int")
     kept.write.mode("overwrite").partitionBy("bucket").parquet(where)
     assert report.health(first).first().dangling_occurrences == 1
     mended = ingest.repaired(store)
     row = report.health(mended).first()
-    assert (row.dangling_occurrences, row.orphan_vectors, row.documents) == (0, 0, 2) and mended.table("postings").where("term = 'alpha'").count() == 0
+    assert (row.dangling_occurrences, row.orphan_vectors, row.documents) == (0, 0,
+        2) and mended.table("postings").where("term = 'alpha'").count() == 0
     again = ingest.run(store, docs, docs.select("source_type"), ingest.sign_embedder)
     assert again.table("chunks").count() == 2 and again.table("ingest_runs").orderBy(F.desc("run_id")).first().written == 1
     moved = ingest.reattributed(store, ["/r"])
