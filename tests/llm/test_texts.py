@@ -395,6 +395,42 @@ def test_toxicity(spark):
     assert toxicity.score(odd_rows.empty(spark), toxicity.fit([], np.zeros(0, np.int64))).count() == 0
 
 
+def plain_boosting(x, y, trees):
+    """Each node by trying every threshold of every feature on its own rows."""
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, toxicity.BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    share = y.mean()
+    score = np.full(len(x), np.log(share / (1 - share)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p)
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + toxicity.L2)  # noqa: B023, E731
+        leaves = [np.arange(len(x))]
+        for _ in range(toxicity.DEPTH):
+            split = []
+            for rows in leaves:
+                best = (1e-9, None, None)
+                for j, held in enumerate(edges):
+                    for e in held:
+                        left, right = rows[x[rows, j] <= e], rows[x[rows, j] > e]
+                        gain = worth(left) + worth(right) - worth(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, left, right)
+                split += [rows, rows[:0]] if best[1] is None else [best[1], best[2]]
+            leaves = split
+        for rows in leaves:
+            score[rows] -= toxicity.RATE * g[rows].sum() / (h[rows].sum() + toxicity.L2)
+    return score
+
+
+def test_boosting_equals_plain_trees(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 4)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(80, 3)), 2)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=80) > 1).astype(int)
+    model = toxicity.boost(x, y)
+    assert len(model.trees) == 4 and np.allclose(model.raw(x), plain_boosting(x, y, 4), atol=1e-9)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     x = rng.normal(size=400)
