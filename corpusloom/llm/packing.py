@@ -30,7 +30,8 @@ TOKENIZER = "word_bpe_49k.json"
 DOCUMENT_END = 2
 
 ENCODED = {"doc_id": pa.int64(), "part": pa.int32(), "before": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
-PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()}
+PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
+    "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()}
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = DOCUMENT_END) -> DataFrame:
@@ -45,8 +46,10 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = DOC
             found = [np.concatenate([ids, end]) for ids in ids_of.of(b.column("text").to_pylist())]
             n = np.array([len(x) for x in found])
             ends = before + np.cumsum(n)
-            yield batch({"doc_id": b.column("doc_id"), "part": np.full(len(n), part), "before": ends - n, "n_tokens": n, "ids": [x.tobytes() for x in found]}, ENCODED)
+            yield batch({"doc_id": b.column("doc_id"), "part": np.full(len(n), part), "before": ends - n, "n_tokens": n,
+                "ids": [x.tobytes() for x in found]}, ENCODED)
             before = int(ends[-1])
+        ids_of.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids binary")
 
@@ -87,4 +90,5 @@ def sequences(pieces: DataFrame) -> DataFrame:
     """(sequence_id, n_tokens, ids) from pieces; a group holds at most one window of tokens."""
     ordered = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
     joined = pieces.groupBy("sequence_id").agg(ordered.alias("p"))
-    return joined.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return joined.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"),
+        F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

@@ -149,6 +149,7 @@ def count(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> Da
         for b in slices(batches):
             n = counts.of(b.column("text").to_pylist())
             yield batch({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "n_tokens": n, "over_limit": n > limit}, types)
+        counts.kept = {}
 
     sized = docs.selectExpr("doc_id", "text", "coalesce(cast(octet_length(text) as bigint), 0L) n_bytes")
     return sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

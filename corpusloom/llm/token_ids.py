@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 
+from corpusloom.batching import give_back
 from corpusloom.llm.pretokens import Pretokenizer, chunks, load_tokenizer
 
 #: Pre-tokens whose ids a worker keeps; beyond it the store starts anew.  It bounds memory, not results.
@@ -36,6 +37,11 @@ class TokenIds:
             found |= zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True)
         return found
 
+    def forget(self) -> None:
+        """Empty the store of words, which an idle worker needs not hold."""
+        self.kept = {}
+        give_back()
+
     def word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.alphabet)
@@ -78,5 +84,5 @@ class TokenIds:
 
 @cache
 def shared_ids(name: str) -> TokenIds:
-    """One ``TokenIds`` for a worker, which serves task after task: the file is read and frequent words are merged once."""
+    """One ``TokenIds`` for a worker, which serves task after task, so that its file is read once."""
     return TokenIds(name)

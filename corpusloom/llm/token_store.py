@@ -117,7 +117,8 @@ class ShardWriter:
         marked = np.zeros(bits, np.uint8)
         marked[filter_places(self.keys, bits)] = 1
         bloom = np.packbits(marked).tobytes()
-        footer = FOOTER.pack(self.size, self.size + len(index), bits, len(self.keys), self.tokens, self.part, self.number, self.width, zlib.crc32(index + bloom), MAGIC)
+        footer = FOOTER.pack(self.size, self.size + len(index), bits, len(self.keys), self.tokens, self.part, self.number, self.width,
+            zlib.crc32(index + bloom), MAGIC)
         return b"".join([*self.body, index, bloom, footer])
 
 
@@ -178,7 +179,8 @@ class Manifest:
         home = spark._jvm.org.apache.hadoop.fs.Path(path)
         found = home.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(home)
         names = [f.getPath().getName().removeprefix(f"{FOLDER}=") for f in found if f.isDirectory() and f.getPath().getName().startswith(f"{FOLDER}=")]
-        shards = sorted((int(part), int(number), bytes.fromhex(first), bytes.fromhex(last), int(tokens), name) for name in names for _, part, number, first, last, _, tokens in [name.split("-")])
+        shards = sorted((int(part), int(number), bytes.fromhex(first), bytes.fromhex(last), int(tokens), name) for name in names for _, part, number,
+            first, last, _, tokens in [name.split("-")])
         self.names = [s[5] for s in shards]
         self.first, self.last = [s[2] for s in shards], [s[3] for s in shards]
         ends = np.cumsum([s[4] for s in shards], dtype=np.int64)
@@ -193,7 +195,8 @@ class Manifest:
         return [self.names[i] for i in sorted(found)]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int | None = DOCUMENT_END, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int | None = DOCUMENT_END, shard_bytes: int = SHARD_BYTES,
+    block_bytes: int = BLOCK_BYTES) -> None:
     """Write the shards of ``docs`` (doc_id, text) below ``path``."""
     small_batches(docs.sparkSession)
     types = {FOLDER: pa.string(), "data": pa.binary()}
@@ -211,10 +214,12 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
                     number, shard = number + 1, None
         if shard:
             yield batch({FOLDER: [shard.name()], "data": [shard.finish()]}, types)
+        ids_of.forget()
 
     mark = F.xxhash64("text")
     # the text's hash and a row's number split what shares an identifier
-    ordered = docs.select("doc_id", "text", mark.alias("_mark"), F.monotonically_increasing_id().alias("_row")).repartitionByRange("doc_id", "_mark", "_row").sortWithinPartitions("doc_id", "_mark")
+    ordered = docs.select("doc_id", "text", mark.alias("_mark"), F.monotonically_increasing_id().alias("_row")).repartitionByRange("doc_id", "_mark",
+        "_row").sortWithinPartitions("doc_id", "_mark")
     shards = ordered.select("doc_id", "text").mapInArrow(run, f"{FOLDER} string, data binary").withColumn("data", F.col("data").cast("string"))
     shards.write.partitionBy(FOLDER).text(path)
 
@@ -239,7 +244,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for number in range(len(shard.index)):
                 rows = list(shard.block(number))
                 ids = [np.frombuffer(x, f"<u{shard.width}").astype("<u4") for _, _, x in rows]
-                yield batch({"doc_id": [id_of(k) for k, _, _ in rows], "start": [base + s for _, s, _ in rows], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}, ROW)
+                yield batch({"doc_id": [id_of(k) for k, _, _ in rows], "start": [base + s for _, s, _ in rows], "n_tokens": [len(x) for x in ids],
+                    "ids": [x.tobytes() for x in ids]}, ROW)
 
     schema = "doc_id long, start long, n_tokens long, ids binary"
     return files(spark, path).select("content").mapInArrow(run, schema) if before else spark.createDataFrame([], schema)
