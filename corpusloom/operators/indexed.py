@@ -24,7 +24,7 @@ from corpusloom.operators.filters import Filters
 
 @dataclass(frozen=True)
 class Index:
-    """``rows``: unit and search.ATTRIBUTES; ``postings``: term, unit, dl, positions; ``texts``: unit, bucket, text;
+    """``rows``: unit and search.ATTRIBUTES; ``postings``: term, unit, dl, tf, positions; ``texts``: unit, bucket, text;
     ``vectors``: unit, model, embedding.  Texts, and rows if they have the column, are partitioned by ``bucket``."""
 
     rows: DataFrame
@@ -52,10 +52,10 @@ def bucket_of(unit: Column, buckets: int) -> Column:
 
 
 def postings(units: DataFrame, unit: str = "unit") -> DataFrame:
-    """(term, unit, dl, positions) of (unit, text), sorted by term."""
+    """(term, unit, dl, tf, positions) of (unit, text), sorted by term."""
     held = units.select(F.col(unit).alias("unit"), text.tokens(F.col("text")).alias("t")).select("unit", F.size("t").alias("dl"),
         F.posexplode("t").alias("at", "term"))
-    found = held.groupBy("term", "unit").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("positions"))
+    found = held.groupBy("term", "unit").agg(F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
     return found.repartitionByRange("term", "unit").sortWithinPartitions("term")
 
 
@@ -65,12 +65,17 @@ def scores(index: Index, phrases: list[list[str]], allowed: DataFrame | None = N
     if not wanted:
         return index.postings.select("unit", F.lit(0.0).alias("score")).where("false")
     few = index.postings.where(F.col("term").isin(wanted))
-    at = {t: f"p{k}" for k, t in enumerate(wanted)}
-    held = few.groupBy("unit").agg(F.first("dl").alias("dl"), *(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(p) for t,
-        p in at.items()))
+    # positions are read of terms that stand in a phrase of several words only
+    placed = {t for p in phrases if len(p) > 1 for t in p}
+    at = {t: f"{'p' if t in placed else 'n'}{k}" for k, t in enumerate(wanted)}
+    held = few.groupBy("unit").agg(
+        F.first("dl").alias("dl"), *(F.max(F.when(F.col("term") == t, F.col("positions" if t in placed else "tf"))).alias(c) for t, c in at.items())
+    )
 
     def times(phrase: list[str]) -> Column:
         met = F.col(at[phrase[0]])
+        if phrase[0] not in placed:
+            return F.coalesce(met, F.lit(0))
         for k, t in enumerate(phrase[1:], 1):
             met = F.array_intersect(met, lexical.shifted(at[t], k))
         return F.coalesce(F.greatest(F.size(met), F.lit(0)), F.lit(0))

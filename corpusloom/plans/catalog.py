@@ -91,7 +91,7 @@ def overlap_prefix(spark, sf_dir):
 
 def term_postings(spark, sf_dir):
     p = indexed.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"),
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf").cast("long")).alias("cf"),
         F.min(F.col("positions")[0]).cast("long").alias("earliest"))
 
 
@@ -118,7 +118,7 @@ def index(spark: SparkSession, sf_dir: str) -> indexed.Index:
 def built(spark: SparkSession, chunks: DataFrame, held: DataFrame) -> indexed.Index:
     units = chunks.withColumnRenamed("chunk_id", "unit")
     found = materialize(indexed.postings(units.select("unit", "text")), "postings")
-    sizes = units.select("text").agg(F.count("*").alias("n")).join(found.agg(F.sum(F.size("positions")).alias("tokens"))).first()  # one row each
+    sizes = units.select("text").agg(F.count("*").alias("n")).join(found.agg(F.sum("tf").alias("tokens"))).first()  # one row each
     buckets = 1 + sizes["n"] // BUCKET_UNITS
     bucket = indexed.bucket_of(F.col("unit"), buckets)
     rows, texts = (scratch_path(spark, n) for n in ("rows", "texts"))
@@ -133,7 +133,7 @@ def search_index(spark, sf_dir):
     """The index built anew, and what it holds."""
     made = built(spark, corpus(spark, sf_dir), vectors(spark, sf_dir))
     p = made.postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"),
-        F.sum(F.size("positions").cast("long")).alias("tokens"))
+        F.sum(F.col("tf").cast("long")).alias("tokens"))
     return p.select(F.lit(made.total).cast("long").alias("units"), "terms", "postings", "tokens")
 
 

@@ -173,8 +173,7 @@ def repaired(store: Store) -> Snapshot:
         "dead": last.table("dead").where("false"), "ingest_runs": last.table("ingest_runs")}
     rows = {n: materialize(last.segments(n).join(owners.select("content_hash"), "content_hash", "left_semi").select(last.segments(n).columns),
         n) for n in ("texts", "vectors")}
-    posted = last.segments("postings").join(owners.select("content_hash"), "content_hash", "left_semi").select("term", "content_hash", "dl",
-        "positions")
+    posted = last.segments("postings").join(owners.select("content_hash"), "content_hash", "left_semi").select("term", "content_hash", "dl", "tf", "positions")
     return store.publish(tables, rows | {"postings": posted.repartitionByRange("term", "content_hash").sortWithinPartitions("term")}, {}, anew=True)
 
 

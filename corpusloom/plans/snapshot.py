@@ -20,7 +20,7 @@ from corpusloom.operators import indexed
 #: Tables of a folder, and the schemas of those that lie in segments.
 TABLES = ("documents", "occurrences", "owners", "dead", "ingest_runs")
 SCHEMAS = {
-    "texts": "content_hash string, text string, bucket int", "postings": "term string, content_hash string, dl int, positions array<int>",
+    "texts": "content_hash string, text string, bucket int", "postings": "term string, content_hash string, dl int, tf int, positions array<int>",
     "vectors": "content_hash string, model string, embedding array<float>",
 }
 #: Segments of a table at most, and dead chunks for each live one, beyond which segments are merged.
