@@ -11,15 +11,21 @@ name the folders to read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import model
+from corpusloom.batching import slices, small_batches
 from corpusloom.functions import querytext, scoring, text
 from corpusloom.operators import lexical, search
 from corpusloom.operators.filters import Filters
+from corpusloom.workdir import materialize
 
 
 @dataclass(frozen=True)
@@ -52,11 +58,43 @@ def bucket_of(unit: Column, buckets: int) -> Column:
 
 
 def postings(units: DataFrame, unit: str = "unit") -> DataFrame:
-    """(term, unit, dl, tf, positions) of (unit, text), sorted by term."""
-    held = units.select(F.col(unit).alias("unit"), text.tokens(F.col("text")).alias("t")).select("unit", F.size("t").alias("dl"),
-        F.posexplode("t").alias("at", "term"))
-    found = held.groupBy("term", "unit").agg(F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-    return found.repartitionByRange("term", "unit").sortWithinPartitions("term")
+    """(term, unit, dl, tf, positions) of (unit, text), sorted by term over all partitions.
+
+    They are written once before they are sorted: the sort looks for its bounds in passes of their own, which would
+    cut all texts into tokens again.
+    """
+    return materialize(grouped(units, unit), "grouped").repartitionByRange("term", "unit").sortWithinPartitions("term")
+
+
+def grouped(units: DataFrame, unit: str = "unit") -> DataFrame:
+    """(term, unit, dl, tf, positions) of (unit, text), in no order.
+
+    A unit's tokens are in one row, so its postings need no shuffle: they are grouped within Arrow batches, by array
+    operations.  (Collecting positions by term and unit would sort all tokens and shuffle them first.)
+    """
+    held = units.select(F.col(unit).alias("unit"), text.tokens(F.col("text")).alias("t"))
+    small_batches(units.sparkSession)
+    names = ["term", "unit", "dl", "tf", "positions"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            size = pc.fill_null(pc.list_value_length(b.column("t")), 0).to_numpy()
+            words = b.column("t").flatten().dictionary_encode()
+            if not len(words):
+                continue
+            doc = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            key = doc * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")  # places stay in order
+            head = np.flatnonzero(np.append(True, np.diff(key[order]) > 0))
+            first, ends = order[head], np.append(head, len(order)).astype(np.int32)
+            term = words.dictionary.take(words.indices.take(pa.array(first)))
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order], pa.int32()))
+            columns = [term, b.column("unit").take(pa.array(doc[first])), pa.array(size[doc[first]], pa.int32()), pa.array(np.diff(ends), pa.int32()), places]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kind = held.schema["unit"].dataType.simpleString()
+    return held.mapInArrow(run, f"term string, unit {kind}, dl int, tf int, positions array<int>")
 
 
 def scores(index: Index, phrases: list[list[str]], allowed: DataFrame | None = None) -> DataFrame:

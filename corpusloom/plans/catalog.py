@@ -90,7 +90,7 @@ def overlap_prefix(spark, sf_dir):
 
 
 def term_postings(spark, sf_dir):
-    p = indexed.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    p = indexed.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf").cast("long")).alias("cf"),
         F.min(F.col("positions")[0]).cast("long").alias("earliest"))
 
@@ -161,7 +161,7 @@ def bm25_scan(spark, sf_dir):
 def bm25_index(spark, sf_dir):
     """The same, from postings that the query itself makes and doesn't write."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
-    p = indexed.postings(d)
+    p = indexed.grouped(d)
     sizes = d.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean")).first()
     made = indexed.Index(d.select("unit"), p, d, sizes["n"], sizes["mean"], 1)
     return _ranked(lexical.ranked(indexed.scores(made, querytext.phrases(PHRASED)), 20, "unit"))
