@@ -25,6 +25,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ class ByteLevel:
         self.tokenizer = load_tokenizer(name)
         self.tokenizer.encode_special_tokens = True
         alphabet = {c: b for b, c in TokenIds.byte_alphabet().items()}
+        alphabet |= {chr(b): b for b in range(256) if b not in alphabet.values()}  # no text has these bytes; they stand as themselves
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes: list[bytes] = [b""] * (1 + max(vocab.values()))
         for token, i in vocab.items():
@@ -114,18 +116,50 @@ def encoders(a: str, b: str) -> tuple[ByteLevel, Pieces]:
 
 
 @cache
-def decimals(size: int, mark: str) -> np.ndarray:
-    """Each id in decimal digits with a mark behind it, as rows of bytes with zeros behind."""
-    held = np.array([f"{i}{mark}".encode() for i in range(size)])
-    return held.view(np.uint8).reshape(size, held.dtype.itemsize)
+def decimals(size: int, marks: str) -> np.ndarray:
+    """Each id in decimal digits with a mark behind it, as rows of bytes with zeros behind: all ids with the first mark, then with the
+    second."""
+    held = np.array([f"{i}{mark}".encode() for mark in marks for i in range(size)])
+    return held.view(np.uint8).reshape(len(held), held.dtype.itemsize)
+
+
+class Side:
+    """Tokens of several texts on end: ids, how many of each text, and the byte at which each ends."""
+
+    def __init__(self, ids: list[list[int]], table: Table) -> None:
+        self.per_text = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.per_text.sum()))
+        self.ends = np.cumsum(table.length[self.ids])
+        self.bytes = np.diff(np.append(0, np.append(0, self.ends)[np.cumsum(self.per_text)]))  # of each text
+
+    def only(self, texts: np.ndarray, table: Table) -> Side:
+        """The tokens of the texts that are marked."""
+        held = object.__new__(Side)
+        held.ids, held.per_text, held.bytes = self.ids[np.repeat(texts, self.per_text)], self.per_text[texts], self.bytes[texts]
+        held.ends = np.cumsum(table.length[held.ids])
+        return held
+
+
+class Table:
+    """Bytes of all tokens of a tokenizer, on end."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.length) - self.length
+        self.octets = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spelled(self, side: Side) -> np.ndarray:
+        """The bytes that the tokens stand for."""
+        n = self.length[side.ids]
+        return self.octets[np.repeat(self.start[side.ids] - (side.ends - n), n) + np.arange(int(n.sum()))]
 
 
 class Aligner:
-    """Facts of documents from both sides' tokens."""
+    """Facts of documents from both sides' tokens, by array operations over several texts."""
 
     def __init__(self, a: str = A, b: str = B) -> None:
         self.a, self.b = encoders(a, b)
-        self.lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b)]
+        self.tables = [Table(side.bytes) for side in (self.a, self.b)]
 
     def facts(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, keys, times) of each text."""
@@ -134,29 +168,60 @@ class Aligner:
         if not some:
             return out
         wanted = [b" " + texts[i].encode() for i in some]
-        left, right = self.a.encode([" " + texts[i] for i in some]), self.b.encode([texts[i] for i in some])
-        for i, want, x, y in zip(some, wanted, left, right, strict=True):
-            if b"".join(map(self.a.bytes.__getitem__, x)) == want == b"".join(map(self.b.bytes.__getitem__, y)):
-                out[i] = self._document(np.array(x, np.int64), np.array(y, np.int64))
+        sides = [Side(self.a.encode([" " + texts[i] for i in some]), self.tables[0]), Side(self.b.encode([texts[i] for i in some]), self.tables[1])]
+        same = self._spelled(wanted, sides[0], self.tables[0]) & self._spelled(wanted, sides[1], self.tables[1])
+        if not same.all():
+            sides = [side.only(same, table) for side, table in zip(sides, self.tables, strict=True)]
+        for i, found in zip(np.array(some)[same].tolist(), self._aligned(*sides), strict=True):
+            out[i] = found
         return out
 
-    def _document(self, x: np.ndarray, y: np.ndarray) -> tuple:
-        ends_a, ends_b = np.cumsum(self.lengths[0][x]), np.cumsum(self.lengths[1][y])
-        ends = np.union1d(ends_a, ends_b)  # a stretch that ends here is one token of each side
-        keys, times = np.unique((x[np.searchsorted(ends_a, ends)] << 32) | y[np.searchsorted(ends_b, ends)], return_counts=True)
-        close_a, close_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
-        digest = hashlib.sha256(self._groups(x, y, close_a, close_b)).hexdigest()
-        return len(x), len(y), int(close_a.sum()), len(ends), digest, keys.astype("<i8").tobytes(), times.astype("<i4").tobytes()
-
-    def _groups(self, x: np.ndarray, y: np.ndarray, close_a: np.ndarray, close_b: np.ndarray) -> bytes:
-        """`a1,a2|b1;a3|b2,b3`: ids of each group in order, A's before B's."""
-        at_a, at_b = np.cumsum(close_a) - close_a, np.cumsum(close_b) - close_b
-        order = np.argsort(np.concatenate([2 * at_a, 2 * at_b + 1]), kind="stable")
-        rows = [np.where(close[:, None], decimals(len(side.bytes), mark)[ids], decimals(len(side.bytes), ",")[ids])
-            for side, ids, close, mark in ((self.a, x, close_a, "|"), (self.b, y, close_b, ";"))]
-        wide = max(r.shape[1] for r in rows)
-        whole = np.concatenate([np.pad(r, ((0, 0), (0, wide - r.shape[1]))) for r in rows])[order].ravel()
-        return whole[whole != 0].tobytes()[:-1]
+    @staticmethod
+    def _spelled(wanted: list[bytes], side: Side, table: Table) -> np.ndarray:
+        """Which texts' tokens give the texts' bytes."""
+        size = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        same = side.bytes == size
+        if same.any():
+            got = table.spelled(side.only(same, table))
+            odd = got != np.frombuffer(b"".join(w for w, s in zip(wanted, same.tolist(), strict=True) if s), np.uint8)
+            same[np.flatnonzero(same)] = np.add.reduceat(odd, np.cumsum(size[same]) - size[same]) == 0
+        return same
+
+    def _aligned(self, x: Side, y: Side) -> Iterator[tuple]:
+        if not len(x.ids):
+            return
+        # bytes at which tokens end; a stretch that ends at one of either side is one token of each
+        at_a, at_b = np.zeros(int(x.ends[-1]) + 1, bool), np.zeros(int(y.ends[-1]) + 1, bool)
+        at_a[x.ends] = at_b[y.ends] = True
+        ends = np.flatnonzero(at_a | at_b)
+        which_a, which_b = np.cumsum(at_a)[ends - 1], np.cumsum(at_b)[ends - 1]
+        close_a, close_b = at_b[x.ends], at_a[y.ends]
+        groups_a, groups_b = np.cumsum(close_a), np.cumsum(close_b)
+        last_a, last_b = np.cumsum(x.per_text) - 1, np.cumsum(y.per_text) - 1
+        n_groups = np.diff(np.append(0, groups_a[last_a]))
+        n_links = np.diff(np.append(0, np.searchsorted(ends, x.ends[last_a], "right")))
+        text = np.repeat(np.arange(len(n_links)), n_links)
+        wide = len(self.a.bytes), len(self.b.bytes)
+        found, times = runs(np.sort((text * wide[0] + x.ids[which_a]) * wide[1] + y.ids[which_b]))
+        text_a, ids_b = np.divmod(found, wide[1])
+        text, ids_a = np.divmod(text_a, wide[0])
+        cuts = np.searchsorted(text, np.arange(len(n_links) + 1))
+        keys, times = ((ids_a << 32) | ids_b).astype("<i8"), times.astype("<i4")
+        # tokens of a group in order, A's before B's: how many of the other side stand before each
+        open_a, open_b = np.flatnonzero(close_a) + 1, np.append(0, np.flatnonzero(close_b) + 1)
+        place_a = np.arange(len(x.ids)) + open_b[groups_a - close_a]
+        place_b = np.arange(len(y.ids)) + open_a[groups_b - close_b]
+        tables = decimals(wide[0], ",|"), decimals(wide[1], ",;")
+        rows = np.zeros((len(x.ids) + len(y.ids), max(t.shape[1] for t in tables)), np.uint8)
+        rows[place_a, : tables[0].shape[1]] = tables[0][x.ids + wide[0] * close_a]
+        rows[place_b, : tables[1].shape[1]] = tables[1][y.ids + wide[1] * close_b]
+        at = 0
+        for i, (n_a, n_b) in enumerate(zip(x.per_text.tolist(), y.per_text.tolist(), strict=True)):
+            said = rows[at : at + n_a + n_b].ravel()
+            at += n_a + n_b
+            digest = hashlib.sha256(said[said != 0].tobytes()[:-1]).hexdigest()
+            few = slice(cuts[i], cuts[i + 1])
+            yield n_a, n_b, int(n_groups[i]), int(n_links[i]), digest, keys[few].tobytes(), times[few].tobytes()
 
 
 def facts(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
@@ -195,17 +260,17 @@ def partial_counts(known: DataFrame) -> DataFrame:
 def summed(keys: np.ndarray, n: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Counts by key, and one more for each time a key is in ``held``."""
     more, times = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
-    return runs(np.concatenate([keys, more]), np.concatenate([n, times]))
+    keys, n = np.concatenate([keys, more]), np.concatenate([n, times])
+    order = np.argsort(keys, kind="stable")
+    return runs(keys[order], n[order])
 
 
-def runs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys, and the sum of n over each one's run."""
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    head = np.flatnonzero(np.append(True, np.diff(keys) > 0))
-    return keys[head], np.add.reduceat(n, head)
+def runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted keys, and the sum of n over each one's run, or the run's length."""
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    if n is None:
+        return keys[head], np.diff(head, append=len(keys))
+    return keys[head], np.add.reduceat(n, head) if len(keys) else n
 
 
 def counts(partial: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def hits(auto: Automaton, found: Words) -> dict[int, Hit]:
             for i, (v, d) in enumerate(zip(state.tolist(), depth.tolist(), strict=True)):
                 for n, item in auto.short.get(v, ()):
                     if n <= d:
-                        spans.append((i - n + 1, i + 1, d))
+                        spans.append((i - n + 1, i + 1, n))
                         items.add(item)
         if spans:
             t = int(text[a])
