@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from corpusloom.functions import querytext, scoring, text
 from corpusloom.operators import aliases, analytics, chunking, indexed, lexical, maintenance, reading, search, sessions, threads
 from corpusloom.operators.filters import Filters
 from corpusloom.plans.ingest import sign_embedder
-from corpusloom.sources import notes
+from corpusloom.sources import elements, notes
 from corpusloom.workdir import materialize, scratch_path
 
 #: What the search queries ask for, and whom.
@@ -357,6 +358,26 @@ def capture_lag(spark, sf_dir):
     return analytics.capture_lag(live, kept, 0.5).select("source", F.round("lag_hours", 6).alias("lag_hours"), "state")
 
 
+def export_elements(spark, sf_dir):
+    """Turns written as arrays of JSON, one a file, and read back by their elements."""
+    path = scratch_path(spark, "export")
+
+    def arrays(batches):
+        lead = "["
+        for b in batches:
+            lines = [lead + b["line"].iloc[0], *("," + line for line in b["line"].iloc[1:])] if len(b) else []
+            lead = "," if lines else lead
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    turns = table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("line"))
+    turns.mapInPandas(arrays, "value string").write.text(path)
+    read, _ = elements.elements(spark, path)
+    get = lambda name, kind: F.try_variant_get("item", f"$.{name}", kind)
+    rows = read.select(get("conv_id", "long").alias("conv_id"), get("turn", "long").alias("turn"), F.length(get("text", "string")).cast("long").alias("n"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("n").alias("n_chars"), F.sum("turn").alias("turn_sum"))
+
+
 def export_freshness(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("batch_date"))
@@ -625,7 +646,7 @@ content_hash chunk_plain chunk_dedup dedupe_savings overlap_prefix term_postings
 bm25_date_scoped filter_post_vs_pre bm25_folded lexical_coverage knn_l2 knn_scoped eligible_count vector_confidence rrf_fusion static_boosts
 hybrid_search hybrid_scan hybrid_filtered hybrid_exact_first hybrid_parity best_chunk_per_document median_confidence_banner read_document read_window
 path_resolution excerpt_trim health_counts docs_by_type health_verdict pending_embeddings dangling_occurrences orphan_vectors capture_lag
-export_freshness latest_run_per_source source_status run_totals backlog alias_resolution alias_suppressions session_transcripts canonical_thread
+export_elements export_freshness latest_run_per_source source_status run_totals backlog alias_resolution alias_suppressions session_transcripts canonical_thread
 branch_points branch_share latest_batch_wins snapshot_diff upsert_merge prune_missing unchanged_fast_path rehome_chunks redact_text
 redaction_totals html_scrub html_escape doc_title_date project_from_path recent_feed_topn name_scan protected_names session_files distilled_names project_documents transcript_branches reattributed embed_sign markdown_chunks embed_sign_python
 """.split()

@@ -1,7 +1,7 @@
 """Documents of all sources for one run: curated notes, repositories, agent sessions, rollouts and two account exports.
 
-Each source is gathered on its own.  One that fails is counted and reported, and its type is then not among those
-scanned, so that its documents stay; files that the last snapshot holds as they are need no parse.
+Each source is gathered on its own.  One that fails is counted and reported, as is one of which a part can't be read (the rest is
+taken); its type is then not among those scanned, so that its documents stay.  Files that the last snapshot holds as they are need no parse.
 """
 
 from __future__ import annotations
@@ -42,12 +42,12 @@ class Gathered:
     documents: DataFrame
     unchanged: DataFrame
     scanned: DataFrame
-    #: (source, state, documents or what went wrong)
+    #: (source, read, partial or failed, documents or what went wrong)
     states: list[tuple[str, str, str]]
 
     @property
     def errors(self) -> int:
-        return sum(state == "failed" for _, state, _ in self.states)
+        return sum(state != "read" for _, state, _ in self.states)
 
 
 class Run:
@@ -56,6 +56,8 @@ class Run:
         self.held = last.table("documents").select("path", "mtime", "size") if last else None
         self.roots = list(sources.config.roots.values())
         self.skipped: list[str] = []
+        #: what the source that is being read has besides what it gives
+        self.problems: list[str] = []
 
     def skip(self, found: list[files.Found]) -> set[str]:
         """Paths of a walk that need no parse; the walk's list is on the driver anyway."""
@@ -97,41 +99,50 @@ class Run:
             rows = agents.with_titles(rows, files.lines(self.spark, self.sources.thread_names))
         return self.placed(rows)
 
+    def json_items(self, paths: list[str], inner: str | None = "conversations") -> DataFrame:
+        """Elements that are JSON; the first few of those that aren't are problems of the source."""
+        good, bad = exports.json_items(self.spark, paths, inner)
+        places = [r["path"] + (f" element {r['at']}" if r["at"] >= 0 else "") for r in bad.orderBy("path", "at").limit(6).collect()]
+        if places:
+            self.problems.append(f"no JSON in {', '.join(places[:5])}" + " and more" * (len(places) > 5))
+        return good
+
+    def surveyed(self, listing: DataFrame) -> None:
+        """Files of an export that nobody knows are a problem."""
+        strange = [r["path"] for r in exports.survey(listing).where("state = 'unknown'").orderBy("path").limit(6).collect()]
+        if strange:
+            self.problems.append(f"unknown files: {', '.join(strange[:5])}" + " and more" * (len(strange) > 5))
+
     def tree_export(self, root: str) -> DataFrame:
-        batches = discovery.export_batches(files.listing(self.spark, root)).collect()
+        listing = files.listing(self.spark, root)
+        self.surveyed(listing)
+        batches = discovery.export_batches(listing).collect()
         if not batches:
             return self.none()
-        good, bad = exports.json_files(self.spark, [p for b in batches for p in b["files"]])
-        self.report(bad)
-        names = exports.asset_names(self.spark, [f"{b['batch']}/{exports.ASSET_NAMES}" for b in batches])
+        good = self.json_items([p for b in batches for p in b["files"]])
+        maps = [r["path"] for r in listing.where(F.substring_index("path", "/", -1) == exports.ASSET_NAMES).select("path").collect()]
+        names = exports.asset_names(self.json_items(maps, None)) if maps else None
         return exports.documents(*exports.tree_messages(good, names), root)
 
     def flat_export(self, root: str) -> DataFrame:
         listing = files.listing(self.spark, root)
+        self.surveyed(listing)
         held = [r["path"] for r in listing.select("path").collect()]
         out = self.none()
         talks = [p for p in held if p.rsplit("/", 1)[-1] == "conversations.json"]
         if talks:
-            good, bad = exports.json_files(self.spark, talks)
-            self.report(bad)
-            out = out.unionByName(exports.documents(*exports.flat_messages(good), root), allowMissingColumns=True)
+            out = out.unionByName(exports.documents(*exports.flat_messages(self.json_items(talks)), root), allowMissingColumns=True)
         for batch in (r["batch"] for r in discovery.second_batches(listing).collect()):
             name = batch.rsplit("/", 1)[-1]
-            for wanted, read in ((lambda p: p == f"{batch}/memories.json", exports.memory_documents),
-                (lambda p: p.startswith(f"{batch}/projects/"), exports.project_documents)):  # noqa: B023
+            for wanted, inner, read in ((lambda p: p == f"{batch}/memories.json", "memories", exports.memory_documents),
+                (lambda p: p.startswith(f"{batch}/projects/"), None, exports.project_documents)):  # noqa: B023
                 if mine := [p for p in held if wanted(p)]:
-                    good, bad = exports.json_files(self.spark, mine)
-                    self.report(bad)
-                    out = out.unionByName(read(good, name, root), allowMissingColumns=True)
+                    out = out.unionByName(read(self.json_items(mine, inner), name, root), allowMissingColumns=True)
         return out
 
     def none(self) -> DataFrame:
         return self.spark.createDataFrame([], COLUMNS)
 
-    def report(self, bad: DataFrame) -> None:
-        if first := bad.limit(5).collect():
-            raise ValueError(f"no JSON in {', '.join(r['path'] for r in first)}")
-
     def named(self) -> list[tuple[str, tuple[str, ...], Callable[[], DataFrame]]]:
         """(name, types it feeds, how it is read) of every source that is there."""
         s = self.sources
@@ -155,13 +166,15 @@ def gather(spark: SparkSession, sources: Sources, last: Snapshot | None = None,
     documents, states, fed, failed = run.none(), [], set(), set()
     for name, kinds, read in run.named():
         fed |= set(kinds)
+        run.problems = []
         try:
             rows = read()
             for column in (c for c in documents.columns if c not in rows.columns):
                 rows = rows.withColumn(column, F.lit(None).cast(documents.schema[column].dataType))
             rows = materialize(rows.select(*(F.col(f.name).cast(f.dataType) for f in documents.schema)), "source")
             documents = documents.unionByName(rows)
-            states.append((name, "read", str(rows.count())))
+            states.append((name, "partial", "; ".join(run.problems)) if run.problems else (name, "read", str(rows.count())))
+            failed |= set(kinds) if run.problems else set()
         except Exception as error:  # noqa: BLE001  a source's failure is reported and leaves its documents as they are
             failed |= set(kinds)
             states.append((name, "failed", str(error).split("\n")[0][:300]))

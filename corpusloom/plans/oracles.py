@@ -196,6 +196,7 @@ ORACLES = {
     "dangling_occurrences": "SELECT (SELECT count(*) FROM documents WHERE doc_id % 11 = 0) AS dangling_occurrences, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id % 11 = 0) AS damaged_documents, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 11 <> 0)) AS orphan_vectors",
     "orphan_vectors": "SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 13 <> 0)",
     "capture_lag": "WITH e AS (SELECT 'u' || (user_id % 7) AS source, ts, event_type FROM events), a AS (SELECT source, max(ts) AS live FROM e WHERE event_type <> 'error' AND source <> 'u6' GROUP BY 1), b AS (SELECT source, max(ts) AS kept FROM e WHERE event_type = 'error' AND source <> 'u5' GROUP BY 1), j AS (SELECT coalesce(a.source, b.source) AS source, live, kept, CASE WHEN live IS NULL OR kept IS NULL THEN 0.0 ELSE greatest(0.0, (epoch_us(live) - epoch_us(kept)) / 3.6e9) END AS lag FROM a FULL JOIN b ON a.source = b.source) SELECT source, round(lag, 6) AS lag_hours, CASE WHEN live IS NULL THEN 'no live source' WHEN kept IS NULL THEN 'NEVER ARCHIVED' WHEN lag > 0.5 THEN 'stalled' ELSE 'ok' END AS state FROM j",
+    "export_elements": "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(turn) AS BIGINT) AS turn_sum FROM conversations GROUP BY 1",
     "export_freshness": "WITH n AS (SELECT o_orderpriority AS source, max(o_orderdate)::DATE AS d FROM orders GROUP BY 1) SELECT source, strftime(d, '%Y-%m-%d') AS newest, date_diff('day', d, DATE '1998-08-15') AS age_days, date_diff('day', d, DATE '1998-08-15') > 35 AS stale FROM n",
     "latest_run_per_source": "SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "source_status": "SELECT user_id % 9 AS source, count(*) AS seen, count(*) FILTER (event_type = 'error') AS errors, sum(CAST(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS written FROM events GROUP BY 1",

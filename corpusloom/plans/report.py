@@ -33,7 +33,7 @@ def coverage(snapshot: Snapshot) -> DataFrame:
 def text_report(snapshot: Snapshot, states: list[tuple[str, str, str]] = (), freshness: DataFrame | None = None) -> tuple[str, int]:
     """(text, exit code): totals, integrity, coverage by source, redactions, freshness, the last run and the verdict.
 
-    ``states`` are (source, read or failed, documents or reason) of the last run's sources, ``freshness`` the rows of
+    ``states`` are (source, read, partial or failed, documents or reason) of the last run's sources, ``freshness`` the rows of
     ``analytics.capture_lag``.  A source that gave nothing is untested, neither healthy nor broken.
     """
     h, meta = health(snapshot).first(), snapshot.meta
@@ -61,7 +61,7 @@ def text_report(snapshot: Snapshot, states: list[tuple[str, str, str]] = (), fre
     run = snapshot.table("ingest_runs").orderBy(F.desc("run_id")).first()
     out += ["", f"Last run: {run['mode']}, {run['seen']:,} seen, {run['written']:,} written, {run['errors']:,} errors" if run else "Last run: none",
         f"VERDICT: {h['verdict']}"]
-    failed = any(state == "failed" for _, state, _ in states)
+    failed = any(state != "read" for _, state, _ in states)
     return "\n".join(out), max(exit_code(h), int(bool(stalled)), int(failed))
 
 

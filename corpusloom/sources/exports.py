@@ -1,7 +1,7 @@
 """Account exports: conversations as trees of nodes, or as flat messages with parents.
 
-Whole files are parsed to variants.  A file that isn't valid JSON gives a failure row, never silence.
-Files with personal data are known by name and never opened.
+Files of any size are read by their elements (see ``elements``), each a variant.  What isn't valid JSON, an element or a whole file,
+gives a failure row, never silence.  Files with personal data are known by name and never opened.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import model
 from corpusloom.operators import maintenance, threads
+from corpusloom.sources import elements
 from corpusloom.sources.agents import get, tool_line
-from corpusloom.sources.files import metadata_path
 
 # File names of exports and what they are.
 PERSONAL = ("user.json", "users.json", "login_history.json")
@@ -49,26 +49,30 @@ def date_of(value: Column) -> Column:
     return F.when(number > 0, F.date_format(F.timestamp_seconds(number), "yyyy-MM-dd")).when(F.length(value) >= 10, F.substring(value, 1, 10))
 
 
-def json_files(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
-    """((path, v) of valid files, (path) of files that hold no JSON)."""
-    raw = spark.read.text(paths, wholetext=True).select(metadata_path().alias("path"), F.try_parse_json("value").alias("v"))
-    return raw.where("v is not null"), raw.where("v is null").select("path")
+def json_items(spark: SparkSession, paths: list[str] | str, inner: str | None = "conversations") -> tuple[DataFrame, DataFrame]:
+    """((path, at, item), (path, at, problem)): elements of an array, of an object's array ``inner``, or the object itself."""
+    return elements.elements(spark, paths, inner)
 
 
-def asset_names(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Names of assets by their key, from the maps beside an export's conversations; a map that isn't there, or no map, is empty."""
-    held = [p for p in paths if (found := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)]
-    if not held:
-        return {}
-    good, _ = json_files(spark, held)
-    rows = good.select("path", F.explode(F.try_variant_get("v", "$", "map<string,string>")).alias("key", "name")).where("name is not null")
-    return {r["key"]: r["name"] for r in rows.orderBy("path").collect()}
+def asset_names(items: DataFrame) -> DataFrame:
+    """(key, name) of assets, from the maps beside an export's conversations; of several names the last path's."""
+    rows = items.select("path", F.explode(F.try_variant_get("item", "$", "map<string,string>")).alias("key", "name")).where("name is not null")
+    return rows.groupBy("key").agg(F.max_by("name", "path").alias("name"))
 
 
-def items(files: DataFrame, inner: str = "conversations") -> DataFrame:
-    """(path, at, item): elements of an array, of an object's array ``inner``, or the object itself."""
-    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", f"$.{inner}", "array<variant>"), F.array("v"))
-    return files.select("path", F.posexplode(listed).alias("at", "item"))
+def pointers(message: Column) -> Column:
+    """Keys of the assets that a node's message points to."""
+    parts = F.coalesce(F.try_variant_get(message, "$.content.parts", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    keys = F.transform(parts, lambda p: F.when(F.schema_of_variant(p).startswith("OBJECT"), F.substring_index(get(p, "asset_pointer"), "/", -1)))
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+
+
+def with_assets(nodes: DataFrame, assets: DataFrame) -> DataFrame:
+    """Nodes (conv, node, message) with ``assets``, a map of the names of what each points to; only nodes with pointers are joined."""
+    asked = nodes.select("conv", "node", F.explode(pointers(F.col("message"))).alias("pointer")).withColumn("key",
+        F.explode(F.array("pointer", F.concat("pointer", F.lit(".dat")))))
+    held = asked.join(assets, "key").groupBy("conv", "node").agg(F.map_from_entries(F.collect_set(F.struct("key", "name"))).alias("assets"))
+    return nodes.join(held, ["conv", "node"], "left")
 
 
 def node_text(message: Column, assets: Column) -> Column:
@@ -100,30 +104,30 @@ def node_text(message: Column, assets: Column) -> Column:
     return F.struct(prose.alias("prose"), more.alias("reasoning"))
 
 
-def tree_messages(files: DataFrame, assets: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(conversations, nodes) of an export whose conversations are maps of nodes with parent edges."""
-    held = F.create_map(*(F.lit(x) for kv in assets.items() for x in kv)) if assets else F.expr("cast(map() as map<string,string>)")
+def tree_messages(items: DataFrame, assets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(conversations, nodes) of an export whose conversations are maps of nodes with parent edges; ``assets`` has (key, name)."""
     item = F.col("item")
     stem = F.substring_index("path", "/", -1)
-    rows = items(files).select("path", F.coalesce(get(item, "conversation_id"), get(item, "id"),
+    rows = items.select("path", F.coalesce(get(item, "conversation_id"), get(item, "id"),
         F.concat_ws("-", stem, F.col("at").cast("string"))).alias("conv"), get(item, "title").alias("title"), get(item, "current_node").alias("head"),
         date_of(get(item, "create_time")).alias("doc_date"), F.coalesce(get(item, "update_time", "double"),
         get(item, "create_time", "double")).alias("updated"), F.try_variant_get(item, "$.mapping", "map<string,variant>").alias("mapping"))
     rows = rows.where("mapping is not null and size(mapping) > 0")
     last = maintenance.latest(rows, "conv", F.coalesce("updated", F.lit(0.0)), F.col("path"))
     node = F.col("n")
-    nodes = last.select("conv", F.explode("mapping").alias("node", "n"))
-    text = node_text(F.try_variant_get(node, "$.message", "variant"), held)
+    nodes = last.select("conv", F.explode("mapping").alias("node", "n")).withColumn("message", F.try_variant_get(node, "$.message", "variant"))
+    nodes = nodes.withColumn("assets", F.lit(None).cast("map<string,string>")) if assets is None else with_assets(nodes, assets)
+    text = node_text(F.col("message"), F.col("assets"))
     nodes = nodes.select("conv", "node", get(node, "parent").alias("parent"),
         F.coalesce(get(node, "message.create_time", "double"), F.lit(0.0)).alias("at"), get(node, "message.author.role").alias("role"),
         text.alias("t"))
     return last.drop("mapping"), nodes.select("conv", "node", "parent", "at", "role", "t.prose", "t.reasoning")
 
 
-def flat_messages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def flat_messages(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conversations, nodes) of an export whose conversations are lists of messages with parents."""
     item, m = F.col("item"), F.col("m")
-    rows = items(files).select("path", F.coalesce(get(item, "uuid"), get(item, "id"),
+    rows = items.select("path", F.coalesce(get(item, "uuid"), get(item, "id"),
         F.concat(F.lit("index-"), F.col("at").cast("string"))).alias("conv"), F.coalesce(get(item, "name"), get(item, "title")).alias("title"),
         get(item, "summary").alias("summary"), date_of(F.coalesce(get(item, "created_at"), get(item, "create_time"))).alias("doc_date"),
         F.coalesce(get(item, "updated_at"), get(item, "created_at"), F.lit("")).alias("updated"),
@@ -168,24 +172,23 @@ def documents(conversations: DataFrame, nodes: DataFrame, root: str) -> DataFram
     ).where("prose <> '' or events <> ''")
 
 
-def memory_documents(files: DataFrame, batch: str, root: str) -> DataFrame:
+def memory_documents(items: DataFrame, batch: str, root: str) -> DataFrame:
     """Memories as snapshots of their batch, which no later batch overwrites."""
     item, f = F.col("item"), F.col("f")
-    rows = items(files, "memories")
-    blob = rows.select(F.lit(f"{root}#batch={batch}/memories/conversations_memory").alias("path"), F.lit("Memory: conversations").alias("title"),
+    blob = items.select(F.lit(f"{root}#batch={batch}/memories/conversations_memory").alias("path"), F.lit("Memory: conversations").alias("title"),
         date_of(get(item, "updated_at")).alias("doc_date"), get(item, "conversations_memory").alias("prose"))
-    each = rows.select(F.explode(F.try_variant_get(item, "$.memory_files", "array<variant>")).alias("f"))
+    each = items.select(F.explode(F.try_variant_get(item, "$.memory_files", "array<variant>")).alias("f"))
     name = F.coalesce(get(f, "path"), get(f, "filename"), get(f, "name"), F.lit("memory"))
     file = each.select(F.concat(F.lit(f"{root}#batch={batch}/memories/"), name).alias("path"), F.concat(F.lit("Memory: "), name).alias("title"),
         date_of(get(f, "updated_at")).alias("doc_date"), F.coalesce(get(f, "content"), get(f, "text")).alias("prose"))
     return blob.union(file).where("trim(prose) <> ''").withColumn("source_type", F.lit(model.USER_MEMORY))
 
 
-def project_documents(files: DataFrame, batch: str, root: str) -> DataFrame:
+def project_documents(items: DataFrame, batch: str, root: str) -> DataFrame:
     """Briefs of projects and the documents attached to them, as snapshots of their batch."""
-    v, d = F.col("v"), F.col("d")
+    v, d = F.col("item"), F.col("d")
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.json$", "")
-    rows = files.select(F.coalesce(get(v, "uuid"), stem).alias("id"), F.coalesce(get(v, "name"), stem).alias("name"),
+    rows = items.select(F.coalesce(get(v, "uuid"), stem).alias("id"), F.coalesce(get(v, "name"), stem).alias("name"),
         date_of(get(v, "created_at")).alias("doc_date"), F.concat_ws("\n\n", F.nullif(get(v, "description"), F.lit("")),
         F.nullif(get(v, "prompt_template"), F.lit(""))).alias("brief"), F.try_variant_get(v, "$.docs", "array<variant>").alias("docs"))
     at = F.concat(F.lit(f"{root}#batch={batch}/project="), "id")

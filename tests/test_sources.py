@@ -160,9 +160,11 @@ def test_tree_export(spark, tmp_path):
         json.dumps({"conversations": [{"conversation_id": "C1", "update_time": 1.0, "current_node": "a",
             "mapping": {"a": node("a", None, "old", 1.0)}}]}))
     put(d / "bad.json", "{")
-    good, bad = exports.json_files(spark, [f"{d}/conversations-1.json", f"{d}/deep/conversations-2.json", f"{d}/bad.json"])
-    assert [r.path.endswith("bad.json") for r in bad.collect()] == [True]
-    conv, nodes = exports.tree_messages(good, {"file-1.dat": "cat.png"})
+    put(d / "assets.json", json.dumps({"file-1.dat": "cat.png", "file-2": None}))
+    good, bad = exports.json_items(spark, [f"{d}/conversations-1.json", f"{d}/deep/conversations-2.json", f"{d}/bad.json"])
+    assert [(r.path.endswith("bad.json"), r.at) for r in bad.collect()] == [(True, -1)]
+    names = exports.asset_names(exports.json_items(spark, f"{d}/assets.json", None)[0])
+    conv, nodes = exports.tree_messages(good, names)
     got = {r.path: r for r in exports.documents(conv, nodes, "root").collect()}
     assert got["root#conversation=C1"].prose == "user: root\n\nuser: right\n\nuser: [image: cat.png]"
     assert got["root#conversation=C1"].doc_date == "2023-11-14"
@@ -179,17 +181,17 @@ def test_flat_export(spark, tmp_path):
                 "content": [{"type": "text", "text": "blocks"}, {"type": "tool_result", "text": "NO"},
                     {"type": "tool_use", "name": "web", "input": {"query": "q"}}]}]},
     ]
-    good, _ = exports.json_files(spark, put(tmp_path / "conversations.json", json.dumps(data)))
+    good, _ = exports.json_items(spark, put(tmp_path / "conversations.json", json.dumps(data)))
     got = {r.path: r for r in exports.documents(*exports.flat_messages(good), "r").collect()}
     assert got["r#conversation=L"].prose == "human: one\n\nhuman: two" and got["r#conversation=L"].doc_date == "2026-02-03"
     assert got["r#conversation=B"].prose == "human: one\n\nhuman: on\n\nassistant: blocks" and got["r#conversation=B"].events == "[tool] web query=q"
     assert got["r#conversation=B&branch=abandoned"].prose == "human: off"
-    memories, _ = exports.json_files(spark, put(tmp_path / "memories.json",
-        json.dumps([{"conversations_memory": "blob", "memory_files": [{"path": "a.md", "content": "A", "updated_at": "2026-01-01T0"}]}])))
+    memories, _ = exports.json_items(spark, put(tmp_path / "memories.json",
+        json.dumps([{"conversations_memory": "blob", "memory_files": [{"path": "a.md", "content": "A", "updated_at": "2026-01-01T0"}]}])), "memories")
     assert {r.path for r in exports.memory_documents(memories, "b1", "r").collect()} == {"r#batch=b1/memories/conversations_memory",
         "r#batch=b1/memories/a.md"}
-    projects, _ = exports.json_files(spark, put(tmp_path / "p.json",
-        json.dumps({"uuid": "P", "name": "N", "description": "D", "docs": [{"filename": "f", "content": "C"}, {"filename": "e", "content": " "}]})))
+    projects, _ = exports.json_items(spark, put(tmp_path / "p.json",
+        json.dumps({"uuid": "P", "name": "N", "description": "D", "docs": [{"filename": "f", "content": "C"}, {"filename": "e", "content": " "}]})), None)
     assert {r.path: r.prose for r in exports.project_documents(projects, "b1", "r").collect()} == {"r#batch=b1/project=P": "# N\n\nD",
         "r#batch=b1/project=P/doc=f": "C"}
     listing = spark.createDataFrame([("/e/users.json",), ("/e/conversations.json",), ("/e/projects/u.json",), ("/e/chat.html",), ("/e/odd.json",)],

@@ -63,7 +63,7 @@ def test_all_sources_in_one_run(spark, tmp_path, sources):
     os.remove(tmp_path / "repos/alpha/b.md")
     put(tmp_path / "tree/2026-01-01/conversations.json", "{")
     again, found = gather.update(store, sources, ingest.sign_embedder)
-    assert {s for _, s, _ in found.states} == {"read", "failed"} and found.errors == 1
+    assert {s for _, s, _ in found.states} == {"read", "partial"} and found.errors == 1
     assert found.documents.where("source_type = 'curated' or source_type = 'repo-doc'").count() == 0 and found.unchanged.count() == 5
     left = {r.path.replace(str(tmp_path), "") for r in again.table("documents").collect()}
     # the transcripts stay although one of their sources failed; the removed file is gone
@@ -71,7 +71,7 @@ def test_all_sources_in_one_run(spark, tmp_path, sources):
     hits = Service(again, ingest.sign_embedder, "sign-16").search("zebra parser", limit=3)
     assert hits[0]["source_type"] == "curated" and any(h["path"].endswith("a.md") for h in hits)
     page, code = report.text_report(again, found.states)
-    assert code == 1 and "IMPORTER ERRORS" in page and "openai-key" not in page and "tree export    failed" in page
+    assert code == 1 and "IMPORTER ERRORS" in page and "openai-key" not in page and "tree export    partial" in page
 
 
 def test_service_and_web(spark, tmp_path, sources):
