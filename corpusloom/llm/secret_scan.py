@@ -2,16 +2,17 @@
 
 Fixed kinds (assign, access, hex) are found in every text.  Besides, every bare string that could be a
 credential is a candidate, known by a hash of its value.  Over the whole corpus the hashes of candidates,
-and of the values of fixed kinds, are counted by distinct repositories and owners.  The characters around a
-value are its context, and a context counts once, for the least owner and repository that have it, so copies of
-a document add no owners.  A value that ``COPIED_OWNERS`` owners hold in ``COPIED_REPOSITORIES`` repositories by
-contexts of their own is a widely copied example; any other that looks like a live credential becomes a span of
-kind ``owned``.  Spans of fixed kinds stay whatever their owners; how many of them hold examples is told.
+and of the values of fixed kinds, are counted by distinct repositories and owners.  Values that ``COPIED_OWNERS`` owners hold
+in ``COPIED_REPOSITORIES`` repositories are contested: a snippet that many people paste, or one document that was copied.
+The texts that hold contested values are joined by similarity (see ``ngram_join``), and each group of near copies
+counts once, for its least owner and repository.  A value that still has as many owners and repositories is a widely
+copied example; any other that looks like a live credential becomes a span of kind ``owned``.  Spans of fixed kinds stay
+whatever their owners; how many of them hold examples is told.
 
-Only values' and contexts' hashes leave a task; counts are combined before each shuffle, by (hash, context)
-and then by hash, so a value in a third of all rows is a small group.
+Only values' hashes leave a task; they are combined by (value, owner, repository) before each shuffle, so a value in a
+third of all rows is a small group.  Texts are read again only where contested values stand.
 
-Null texts count as empty and give no spans.  Rows that repeat are scanned each.  A null repository or
+Null texts count as empty and give no spans.  Rows that repeat are scanned each, and count once.  A null repository or
 owner counts as one name of its own.  Offsets are in code points, ends exclusive.  An empty table gives
 no rows.  Other columns stay out of the way.
 """
@@ -21,15 +22,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import ngram_join
 from corpusloom.llm.arrow_rows import batch, slices, small_batches
 from corpusloom.workdir import materialize
 
@@ -44,8 +48,10 @@ KINDS = ("assign", "access", "hex", "owned")
 #: A bare string that could be a credential, and how many bits by character it may lack of a random string's.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LEAST_CHARS, LACKING_BITS = 20, 0.5
-#: Distinct owners and repositories from which a value is an example that people copy, and characters of context on each side.
-COPIED_OWNERS, COPIED_REPOSITORIES, AROUND = 4, 4, 32
+#: Distinct owners and repositories from which a value is an example that people copy.
+COPIED_OWNERS, COPIED_REPOSITORIES = 4, 4
+#: Values or texts' hashes that may be broadcast, of some 40 bytes each; beyond it rows are joined to them.
+BROADCAST_VALUES = 500_000
 #: Spans of all documents that may be broadcast, of some 20 bytes each; beyond it texts are joined to them.
 BROADCAST_SPANS = 1_000_000
 PIECE = re.compile(r"[^/]{20,}")
@@ -82,26 +88,27 @@ def looks_live(value: str) -> bool:
 
 
 def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int]]:
-    """(start, end) of live-looking bare strings, or of their parts between slashes, that no fixed span touches."""
+    """(start, end) of live-looking bare strings, or of their parts between slashes, that no fixed span touches; ``taken`` is sorted."""
+    starts, reach = [t[0] for t in taken], list(accumulate((t[2] for t in taken), max))
     found = []
     for m in CANDIDATE.finditer(text):
         spans = [m.span()] if looks_live(m[0]) else [p.span() for p in PIECE.finditer(text, *m.span()) if looks_live(p[0])]
-        found += [(a, z) for a, z in spans if all(z <= t[0] or a >= t[2] for t in taken)]
+        for a, z in spans:
+            before = bisect_left(starts, z)
+            if not before or reach[before - 1] <= a:
+                found.append((a, z))
     return found
 
 
-def hashed(text: str, a: int, z: int) -> dict[str, str]:
-    """Hashes of the value between two places and of what stands around it, blanks aside."""
-    around = "".join(text[max(0, a - AROUND) : a].split()) + "\0" + "".join(text[z : z + AROUND].split())
-    short = lambda s, n: hashlib.blake2b(s.encode(), digest_size=n).hexdigest()
-    return {"value": short(text[a:z], 16), "context": short(around, 8)}
+def hashed(value: str) -> str:
+    return hashlib.blake2b(value.encode(), digest_size=16).hexdigest()
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-VALUES = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string()), ("context", pa.string())])
+VALUES = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())])
 SCANNED = {"row": pa.string(), "doc_id": pa.int64(), "mark": pa.string(), "repository": pa.string(), "owner": pa.string(), "base": pa.list_(SPAN),
     "held": pa.list_(VALUES)}
-SCANNED_DDL = "row string, doc_id long, mark string, repository string, owner string, base array<struct<start:long,kind:int,end:long>>, held array<struct<start:long,kind:int,end:long,value:string,context:string>>"
+SCANNED_DDL = "row string, doc_id long, mark string, repository string, owner string, base array<struct<start:long,kind:int,end:long>>, held array<struct<start:long,kind:int,end:long,value:string>>"
 OWNED = KINDS.index("owned")
 
 
@@ -123,7 +130,7 @@ def find(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
                 out["row"].append(f"{part}:{number}")
                 out["mark"].append(None if text is None else hashlib.sha256(text.encode()).hexdigest())
                 out["base"].append([{"start": s, "kind": k, "end": e} for s, k, e, _ in base])
-                out["held"].append([{"start": s, "kind": k, "end": e} | hashed(said, v, e) for s, k, e, v in values])
+                out["held"].append([{"start": s, "kind": k, "end": e, "value": hashed(said[v:e])} for s, k, e, v in values])
                 number += 1
             yield batch(out | {k: b.column(k) for k in ("doc_id", "repository", "owner")}, SCANNED)
 
@@ -131,15 +138,36 @@ def find(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
         SCANNED_DDL)
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_places, n_contexts, n_repositories, n_owners) of every value; a context counts for its least owner."""
-    held = found.select("repository", "owner", F.explode("held").alias("h")).select("repository", "owner", "h.value", "h.context")
-    # a null name sorts first and is one name
-    who = F.min(F.struct("owner", "repository")).alias("who")
-    by_context = held.groupBy("value", "context").agg(F.count("*").alias("n"), who).select("value", "n", "who.*")
+def few(rows: DataFrame) -> DataFrame:
+    """Written rows, broadcast where a count allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_VALUES else rows
+
+
+def frequent(held: DataFrame, copied_owners: int, copied_repositories: int) -> DataFrame:
+    """(value) of those with as many owners and repositories; ``held`` has (value, owner, repository)."""
+    by = held.groupBy("value", "owner", "repository").agg(F.count("*").alias("n"))
+    # a null name is one name
     named = {c: F.countDistinct(c) + F.max(F.col(c).isNull().cast("long")) for c in ("repository", "owner")}
-    return by_context.groupBy("value").agg(F.sum("n").alias("n_places"), F.count("*").alias("n_contexts"),
-        named["repository"].alias("n_repositories"), named["owner"].alias("n_owners"))
+    counts = by.groupBy("value").agg(named["repository"].alias("n_repositories"), named["owner"].alias("n_owners"))
+    return counts.where((F.col("n_owners") >= copied_owners) & (F.col("n_repositories") >= copied_repositories)).select("value")
+
+
+def examples(docs: DataFrame, found: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """(value) of the widely copied ones, where near copies of a text count once."""
+    held = found.select("owner", "repository", "mark", F.explode("held.value").alias("value"))
+    contested = materialize(frequent(held, copied_owners, copied_repositories), "contested")
+    if contested.isEmpty():
+        return contested
+    held = held.join(few(contested), "value", "left_semi").distinct()
+    marks = materialize(held.select("mark").distinct(), "contested")
+    texts = docs.select(F.sha2("text", 256).alias("mark"), "text").join(few(marks), "mark", "left_semi").dropDuplicates(["mark"])
+    texts = materialize(texts.select("mark", F.xxhash64("text").alias("doc_id"), "text"), "contested")
+    groups = ngram_join.link(texts.select("doc_id", "text")).select("doc_id", "group")
+    # a text without words is a group of its own
+    named = texts.select("mark", "doc_id").join(groups, "doc_id").select("mark", F.coalesce("group", "doc_id").alias("group"))
+    # a null name sorts first
+    once = held.join(named, "mark").groupBy("value", "group").agg(F.min(F.struct("owner", "repository")).alias("who")).select("value", "who.*")
+    return materialize(frequent(once, copied_owners, copied_repositories), "contested")
 
 
 def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, copied_owners: int = COPIED_OWNERS,
@@ -153,21 +181,15 @@ def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None
     repository = F.col("source") if repository is None else repository
     owner = F.substring_index(F.col("source").cast("string"), "/", 1) if owner is None else owner
     found = materialize(find(docs, repository, owner), "secret-scan")
-    owners = ownership(found)
-    values = found.select("row", F.explode("held").alias("h")).select("row", "h.*")
-    copied = (F.col("n_owners") >= copied_owners) & (F.col("n_repositories") >= copied_repositories)
-    bare = F.col("kind") == OWNED
-    judged = values.join(owners, "value").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(bare & ~copied, F.struct("start", "kind", "end")))).alias("added"),
-        F.count_if(bare & copied).alias("n_examples"), F.count_if(~bare & copied).alias("n_base_examples"),
-    )
-    # rows without values don't take part in the join
-    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    counts = ("n_examples", "n_base_examples")
-    few = found.where(F.size("held") > 0).join(judged, "row", "left").select("doc_id", "mark", "base", F.coalesce("added", none).alias("added"),
-        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts))
-    rest = found.where(F.size("held") == 0).select("doc_id", "mark", "base", none.alias("added"), *(F.lit(0).cast("long").alias(c) for c in counts))
-    return few.unionByName(rest)
+    copied = few(examples(docs, found, copied_owners, copied_repositories))
+    known = found.select("row", F.explode(F.array_distinct("held.value")).alias("value")).join(copied, "value", "left_semi")
+    known = known.groupBy("row").agg(F.collect_list("value").alias("copied"))  # of one text
+    rows = found.join(known, "row", "left").withColumn("copied", F.coalesce("copied", F.expr("cast(array() as array<string>)")))
+    bare, example = lambda s: s["kind"] == OWNED, lambda s: F.array_contains("copied", s["value"])
+    added = F.transform(F.filter("held", lambda s: bare(s) & ~example(s)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return rows.select("doc_id", "mark", "base", F.array_sort(added).alias("added"),
+        F.size(F.filter("held", lambda s: bare(s) & example(s))).cast("long").alias("n_examples"),
+        F.size(F.filter("held", lambda s: ~bare(s) & example(s))).cast("long").alias("n_base_examples"))
 
 
 def spans_of(spans: str, kind: str) -> Column:

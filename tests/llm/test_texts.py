@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,8 +87,29 @@ def test_random_keys_are_candidates():
     assert not secret_scan.candidates("internationalization " + path + " InternationalizationSupportModule " + "=" * 40 + "a1" + "-" * 40, [])
 
 
+@pytest.mark.parametrize("pasted", [False, True])
+def test_pasted_snippets_are_examples_and_copied_documents_are_not(spark, pasted):
+    """One key under 50 owners: in a snippet with its surroundings that stands in 50 documents, or in one document that was copied."""
+    snippet = "client = Client(region='eu-west', key='Mn1Bv2Cx3Zl4Kj5Hg6Fd7S', retries=3, timeout=30, verify=True)"
+    rows = [(i, f"{odd_rows.prose(60, 1000 + (i if pasted else 0))} {snippet} {odd_rows.prose(40, 5000 + (i if pasted else 0))} end{i}", "en", f"org{i}/repo", 1) for i in range(50)]
+    got = secret_scan.scan(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()
+    assert {(len(r.added), r.n_examples) for r in got} == {(0, 1) if pasted else (1, 0)}
+
+
+def test_candidates_beside_many_spans():
+    text = " ".join(f"token=abcdefgh{i} Mn1Bv2Cx3Zl4Kj5Hg6Fd{i:03d} AKIA{'A1' * 8}b" for i in range(300))
+    base = secret_scan.base_values(text)
+    every = [m.span() for m in secret_scan.CANDIDATE.finditer(text) if secret_scan.looks_live(m[0])]
+    want = [(a, z) for a, z in every if all(z <= t[0] or a >= t[2] for t in base)]
+    assert secret_scan.candidates(text, base) == want and len(want) == 300 < len(every) + 1
+    long = text * 100
+    began = time.perf_counter()
+    assert len(secret_scan.candidates(long, secret_scan.base_values(long))) > 29_000
+    assert time.perf_counter() - began < 20
+
+
 def test_added_spans_equal_brute_force(spark):
-    """Ownership counted in plain Python over a corpus of values that few or many hold, in few or many contexts."""
+    """Ownership counted in plain Python, over values that few or many hold, in documents of their own or in near copies of one."""
     rng = np.random.default_rng(8)
     signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     keys = ["".join(rng.choice(signs, 24)) for _ in range(30)]
@@ -95,28 +117,31 @@ def test_added_spans_equal_brute_force(spark):
     rows = []
     for k, key in enumerate(keys):
         for j in range(1 + k % 9):
-            around = f"{j if k % 3 else 0}{k}"
-            text = f"{odd_rows.prose(9, 7 * k + j)} before{around}xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx {key} afterwards{around}yyyyyyyyyyyyyyyyyyyyyyyyyyy " + ("token=" + keys[(k + 1) % len(keys)] if j % 4 == 3 else "")
+            said = odd_rows.prose(60, 7 * k) if k % 3 == 0 else odd_rows.prose(9, 100 * k + j)
+            text = f"{said} {key} after{j} " + ("token=" + keys[(k + 1) % len(keys)] if j % 4 == 3 else "")
             rows.append((len(rows), text, "en", None if j == 5 else f"o{j % 7}/r{j}", 1))
-    places = []
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (r[1].split() for r in rows)]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    places, least = [], {}
     for i, text, _, source, _ in rows:
         fixed = [(m.start(1), m.end()) for m in re.finditer(r"token=([A-Za-z0-9]+)", text)]
         for key in keys:
             for m in re.finditer(key, text):
-                shown = "".join(text[max(0, m.start() - 32) : m.start()].split()), "".join(text[m.end() : m.end() + 32].split())
-                places.append((key, shown, source.split("/")[0] if source else None, source, i, m.start(), m.end(), m.span() in fixed))
-    least = {}
-    for key, shown, owner, source, *_ in places:
-        name = (owner is not None, owner or "", source or "")
-        least[key, shown] = min(least.get((key, shown), name), name)
-    examples = {key for key in keys if all(len({n[at] for (k, _), n in least.items() if k == key}) >= 4 for at in (slice(0, 2), slice(0, 3)))}
-    assert 3 < len(examples) < len(keys) - 3
+                places.append((key, i, *m.span(), m.span() in fixed))
+                name = (source is not None, source.split("/")[0] if source else "", source or "")
+                least[key, group[i]] = min(least.get((key, group[i]), name), name)
+    found = {key for key in keys if all(len({n[at] for (k, _), n in least.items() if k == key}) >= 4 for at in (slice(0, 2), slice(0, 3)))}
+    assert 3 < len(found) < len(keys) - 3
     got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, odd_rows.SCHEMA)).collect()}
     for i, *_ in rows:
-        bare = [p for p in places if p[4] == i and not p[7]]
-        assert [(s.start, s.end) for s in got[i].added] == sorted(p[5:7] for p in bare if p[0] not in examples), i
-        assert got[i].n_examples == sum(p[0] in examples for p in bare)
-        assert got[i].n_base_examples == sum(p[0] in examples for p in places if p[4] == i and p[7])
+        bare = [p for p in places if p[1] == i and not p[4]]
+        assert [(s.start, s.end) for s in got[i].added] == sorted(p[2:4] for p in bare if p[0] not in found), i
+        assert got[i].n_examples == sum(p[0] in found for p in bare)
+        assert got[i].n_base_examples == sum(p[0] in found for p in places if p[1] == i and p[4])
 
 
 def test_redaction_of_odd_rows(spark):
