@@ -4,9 +4,9 @@ Postings, vectors and texts are of units, which are distinct texts; ``rows`` hol
 unit stands.  A query reads the postings of its own terms, the attributes its filter needs, the vectors of its
 leg, and the texts of the few candidates that are left; no text is cut into tokens.
 
-Postings are written sorted by term, so a term prunes row groups.  Texts and attributes are dealt into folders by a
-hash of the unit (``bucket``); the candidates, which the legs' limits bound, are known before these are read and
-name the folders to read.
+Postings are written sorted by term, so a term prunes row groups.  Texts and attributes are sorted by unit, with a list of
+each file's keys (see ``keyed``); the candidates, which the legs' limits bound, are known before these are read and
+name the files to open.
 """
 
 from __future__ import annotations
@@ -23,26 +23,28 @@ from pyspark.sql import functions as F
 from corpusloom import model
 from corpusloom.batching import slices, small_batches
 from corpusloom.functions import querytext, scoring, text
-from corpusloom.operators import lexical, search
+from corpusloom.operators import clusters, keyed, lexical, search
 from corpusloom.operators.filters import Filters
 from corpusloom.workdir import materialize
 
 
 @dataclass(frozen=True)
 class Index:
-    """``rows``: unit and search.ATTRIBUTES; ``postings``: term, unit, dl, tf, positions; ``texts``: unit, bucket, text;
-    ``vectors``: unit, model, embedding.  Texts, and rows if they have the column, are partitioned by ``bucket``."""
+    """``rows``: unit and search.ATTRIBUTES, ``texts``: unit and text, both by unit; ``postings``: term, unit, dl, tf, positions;
+    ``vectors``: unit, model, embedding."""
 
-    rows: DataFrame
+    rows: keyed.Keyed | None
     postings: DataFrame
-    texts: DataFrame
+    texts: keyed.Keyed | None
     total: int
     mean_dl: float
-    buckets: int
     vectors: DataFrame | None = None
     models: tuple[str, ...] = field(default=())
     #: unit and kind of every place, from which a filter on the kind alone is answered
     kinds: DataFrame | None = None
+    #: the same vectors by clusters, from which the nearest are found without reading all; (unit) of those that don't count any more
+    clusters: clusters.Clustered | None = None
+    dead: DataFrame | None = None
 
     def checked(self, name: str | None) -> DataFrame | None:
         """Vectors of one model; a query of another model is refused."""
@@ -53,10 +55,6 @@ class Index:
         return self.vectors
 
 
-def bucket_of(unit: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(unit), F.lit(buckets)).cast("int")
-
-
 def postings(units: DataFrame, unit: str = "unit") -> DataFrame:
     """(term, unit, dl, tf, positions) of (unit, text), sorted by term over all partitions.
 
@@ -131,7 +129,7 @@ def scores(index: Index, phrases: list[list[str]], allowed: DataFrame | None = N
 
 def allowed(index: Index, filters: Filters) -> DataFrame | None:
     """(unit) of the places that pass; a filter on the kind alone doesn't touch documents."""
-    rows = index.rows if filters.needs_documents() or index.kinds is None else index.kinds
+    rows = index.rows.all() if filters.needs_documents() or index.kinds is None else index.kinds
     return rows.where(filters.predicate()).select("unit") if filters.active() else None
 
 
@@ -141,6 +139,15 @@ def lexical_leg(index: Index, query: str, limit: int, filters: Filters = Filters
 
 def vector_leg(index: Index, vector: list[float], limit: int, filters: Filters, scoped: bool, name: str | None = None) -> DataFrame:
     held = index.checked(name)
+
+    def among(rows: DataFrame) -> DataFrame:
+        rows = rows if index.dead is None else rows.join(index.dead, "unit", "left_anti")
+        return rows.join(allowed(index, filters), "unit", "left_semi") if scoped and filters.active() else rows
+
+    if index.clusters is not None:
+        key = index.clusters.key
+        hits = index.clusters.nearest(vector, limit, lambda rows: among(rows.withColumnRenamed(key, "unit")).withColumnRenamed("unit", key))
+        return hits.withColumnRenamed(key, "unit")
     if scoped and filters.active():
         held = held.join(allowed(index, filters), "unit", "left_semi")
     measured = held.select("unit", scoring.l2(F.col("embedding"), vector).alias("distance"))
@@ -169,14 +176,13 @@ def find(
     name: str | None = None,
 ) -> DataFrame:
     """The result rows of ``search.search``, from the index.  The candidates are brought to the driver, as many as the
-    legs' limits allow, so that only their folders of attributes and texts are read."""
+    legs' limits allow, so that only the files of their attributes and texts are opened."""
     policy = policy or search.exact_policy(filters)
-    held = candidates(index, query, vector, filters, policy, name).withColumn("bucket", bucket_of(F.col("unit"), index.buckets))
+    held = candidates(index, query, vector, filters, policy, name)
     few = held.collect()
-    wanted = sorted({r["bucket"] for r in few})
-    near = lambda table: table.where(F.col("bucket").isin(wanted)).drop("bucket") if "bucket" in table.columns else table
-    small = F.broadcast(index.rows.sparkSession.createDataFrame(few, held.schema).drop("bucket"))  # the legs' limits bound it
+    units = [r["unit"] for r in few]
+    small = F.broadcast(index.postings.sparkSession.createDataFrame(few, held.schema))  # the legs' limits bound it
     # a global pool holds rows the filter excludes, and a unit stands in places it excludes
-    rows = small.join(near(index.rows).where(filters.predicate()), "unit")
-    rows = rows.join(near(index.texts).select("unit", "text"), "unit")
+    rows = small.join(index.rows.rows(units).where(filters.predicate()), "unit")
+    rows = rows.join(index.texts.rows(units).select("unit", "text"), "unit")
     return search.finished(rows, query, sure, hopeless, limit, digits)

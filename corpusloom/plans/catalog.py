@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import model
 from corpusloom.functions import querytext, scoring, text
-from corpusloom.operators import aliases, analytics, chunking, indexed, lexical, maintenance, reading, search, sessions, threads
+from corpusloom.operators import aliases, analytics, chunking, clusters, indexed, keyed, lexical, maintenance, reading, search, sessions, threads
 from corpusloom.operators.filters import Filters
 from corpusloom.plans.ingest import sign_embedder
 from corpusloom.sources import elements, notes
@@ -96,8 +96,8 @@ def term_postings(spark, sf_dir):
         F.min(F.col("positions")[0]).cast("long").alias("earliest"))
 
 
-#: Units of a bucket of texts, and how many built indexes a session keeps.
-BUCKET_UNITS, KEPT_INDEXES = 50_000, 4
+#: How many built indexes a session keeps.
+KEPT_INDEXES = 4
 _indexes: dict[tuple, indexed.Index] = {}
 
 
@@ -120,14 +120,13 @@ def built(spark: SparkSession, chunks: DataFrame, held: DataFrame) -> indexed.In
     units = chunks.withColumnRenamed("chunk_id", "unit")
     found = materialize(indexed.postings(units.select("unit", "text")), "postings")
     sizes = units.select("text").agg(F.count("*").alias("n")).join(found.agg(F.sum("tf").alias("tokens"))).first()  # one row each
-    buckets = 1 + sizes["n"] // BUCKET_UNITS
-    bucket = indexed.bucket_of(F.col("unit"), buckets)
-    rows, texts = (scratch_path(spark, n) for n in ("rows", "texts"))
-    units.drop("text").withColumns({"chunk_id": F.col("unit"), "bucket": bucket}).write.partitionBy("bucket").parquet(rows)
-    units.select("unit", "text", bucket.alias("bucket")).write.partitionBy("bucket").parquet(texts)
+    tables = []
+    for name, part in (("rows", units.drop("text").withColumn("chunk_id", F.col("unit"))), ("texts", units.select("unit", "text"))):
+        path = scratch_path(spark, name)
+        keyed.write(part, path, "unit")
+        tables.append(keyed.Keyed(spark, [path], part.schema, "unit"))
     embedded = held.select(F.col("chunk_id").alias("unit"), F.lit("given").alias("model"), "embedding")
-    return indexed.Index(spark.read.parquet(rows), found, spark.read.parquet(texts), sizes["n"], (sizes["tokens"] or 0) / max(1, sizes["n"]), buckets,
-        embedded, ("given",))
+    return indexed.Index(tables[0], found, tables[1], sizes["n"], (sizes["tokens"] or 0) / max(1, sizes["n"]), embedded, ("given",))
 
 
 def search_index(spark, sf_dir):
@@ -164,7 +163,7 @@ def bm25_index(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
     p = indexed.grouped(d)
     sizes = d.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean")).first()
-    made = indexed.Index(d.select("unit"), p, d, sizes["n"], sizes["mean"], 1)
+    made = indexed.Index(None, p, None, sizes["n"], sizes["mean"])
     return _ranked(lexical.ranked(indexed.scores(made, querytext.phrases(PHRASED)), 20, "unit"))
 
 
@@ -200,6 +199,26 @@ def knn_l2(spark, sf_dir):
         F.col("rank0").cast("long").alias("rank0"))
 
 
+def _clustered(spark, sf_dir) -> clusters.Clustered:
+    path = scratch_path(spark, "clusters")
+    held = vectors(spark, sf_dir)
+    clusters.write(held, path, "chunk_id")
+    return clusters.Clustered(spark, [path], "chunk_id long, embedding " + held.schema["embedding"].dataType.simpleString(), "chunk_id")
+
+
+def knn_clustered(spark, sf_dir):
+    """The same as knn_l2, from clusters."""
+    hits = _clustered(spark, sf_dir).nearest(asked_vector(spark, sf_dir), 20)
+    return hits.select("chunk_id", F.round("distance", 6).alias("distance"), F.col("rank0").cast("long").alias("rank0"))
+
+
+def knn_clustered_scoped(spark, sf_dir):
+    """The same as knn_scoped, from clusters."""
+    allowed = corpus(spark, sf_dir).where(Filters(projects=(PROJECT,)).predicate()).select("chunk_id")
+    hits = _clustered(spark, sf_dir).nearest(asked_vector(spark, sf_dir), 20, lambda rows: rows.join(allowed, "chunk_id", "left_semi"))
+    return hits.select("chunk_id", F.round("distance", 6).alias("distance"), F.col("rank0").cast("long").alias("rank0"))
+
+
 def knn_scoped(spark, sf_dir):
     hits = search.vector_leg(corpus(spark, sf_dir), vectors(spark, sf_dir), asked_vector(spark, sf_dir), 20, Filters(projects=(PROJECT,)), True)
     return hits.select("chunk_id", F.round("distance", 6).alias("distance"), F.col("rank0").cast("long").alias("rank0"))
@@ -643,7 +662,7 @@ def embed_sign_python(spark, sf_dir):
 
 NAMES = """
 content_hash chunk_plain chunk_dedup dedupe_savings overlap_prefix term_postings search_index bm25_topk bm25_phrase bm25_scan bm25_index bm25_project_scoped
-bm25_date_scoped filter_post_vs_pre bm25_folded lexical_coverage knn_l2 knn_scoped eligible_count vector_confidence rrf_fusion static_boosts
+bm25_date_scoped filter_post_vs_pre bm25_folded lexical_coverage knn_l2 knn_scoped knn_clustered knn_clustered_scoped eligible_count vector_confidence rrf_fusion static_boosts
 hybrid_search hybrid_scan hybrid_filtered hybrid_exact_first hybrid_parity best_chunk_per_document median_confidence_banner read_document read_window
 path_resolution excerpt_trim health_counts docs_by_type health_verdict pending_embeddings dangling_occurrences orphan_vectors capture_lag
 export_elements export_freshness latest_run_per_source source_status run_totals backlog alias_resolution alias_suppressions session_transcripts canonical_thread

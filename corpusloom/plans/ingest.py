@@ -112,9 +112,8 @@ def run(
         kept = maintenance.prune(maintenance.upsert(old, seen.select(*old.columns)), paths, scanned)
         before, buried, runs = last.table("owners"), last.table("dead"), last.table("ingest_runs")
         stored = last.table("occurrences").join(kept.select("path"), "path", "left_semi").join(fresh.select("path"), "path", "left_anti")
-        buckets = last.meta["buckets"]
     else:
-        fresh, kept, runs, buckets = seen, seen.select(*DOCUMENT_COLUMNS), None, store.buckets
+        fresh, kept, runs = seen, seen.select(*DOCUMENT_COLUMNS), None
         before, buried, stored = spark.createDataFrame([], OWNERS), none, spark.createDataFrame([],
             "path string, ord int, kind string, content_hash string")
     pieces = materialize(chunks_of(fresh), "chunks")
@@ -122,8 +121,7 @@ def run(
     held = before.select("content_hash").union(buried)
     unit = pieces.join(held, "content_hash", "left_anti").groupBy("content_hash").agg(F.min_by(F.struct("kind", "text"),
         F.struct("path", "ord")).alias("c"))
-    added = materialize(unit.select("content_hash", "c.kind", "c.text").withColumn("bucket", indexed.bucket_of(F.col("content_hash"), buckets)),
-        "chunks")
+    added = materialize(unit.select("content_hash", "c.kind", "c.text"), "chunks")
     posted = materialize(indexed.postings(added.select("content_hash", "text"), "content_hash").withColumnRenamed("unit", "content_hash"), "postings")
     owners = materialize(owned(occurrences, before, buried if last is None else last.segments("postings").join(buried, "content_hash", "left_semi"),
         posted, added), "owners")
@@ -131,8 +129,7 @@ def run(
     vectors = spark.createDataFrame([], "content_hash string, model string, embedding array<float>")
     if embed is not None:
         texts = added.select("content_hash", "kind",
-            "text") if last is None else last.segments("texts").drop("bucket").unionByName(added.drop("bucket",
-                "kind")).join(owners.select("content_hash", "kind"), "content_hash")
+            "text") if last is None else last.segments("texts").unionByName(added.drop("kind")).join(owners.select("content_hash", "kind"), "content_hash")
         vectors = materialize(embedded(maintenance.pending(texts, vectors if last is None else last.segments("vectors"), model_name), embed,
             model_name), "vectors")
     number = (runs.agg(F.max("run_id")).first()[0] or 0) + 1 if runs is not None else 1
@@ -140,7 +137,7 @@ def run(
         fresh.count(), errors)], RUNS)
     runs = row if runs is None else runs.unionByName(row)
     tables = {"documents": kept, "occurrences": occurrences, "owners": owners, "dead": dead, "ingest_runs": runs}
-    new = {"texts": added.select("content_hash", "text", "bucket"), "postings": posted, "vectors": vectors}
+    new = {"texts": added.select("content_hash", "text"), "postings": posted, "vectors": vectors}
     return store.publish(tables, new if last is None else {n: df for n, df in new.items() if not df.isEmpty()},
         {"pipeline_version": str(model.PIPELINE_VERSION), "embed_model": model_name if embed else ""})
 

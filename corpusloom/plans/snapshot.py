@@ -1,7 +1,8 @@
 """The store: numbered folders of Parquet tables, a manifest in each, and a pointer that is replaced whole.
 
 What is written once for each distinct chunk (texts, postings, vectors) lies in segments that later snapshots go on
-reading; a run writes a segment of its new chunks only, and the hashes of chunks that no document holds any more (``dead``).
+reading.  Vectors lie by clusters.  Texts, and the places where chunks stand with the attributes of their documents, are sorted by hash with a list of each
+file's keys, so that a search opens the files of its candidates only; a run writes a segment of its new chunks only, and the hashes of chunks that no document holds any more (``dead``).
 Segments are merged when there are many, or many dead in them.
 """
 
@@ -15,23 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import model
-from corpusloom.operators import indexed
+from corpusloom.operators import clusters, indexed, keyed
 
 #: Tables of a folder, and the schemas of those that lie in segments.
 TABLES = ("documents", "occurrences", "owners", "dead", "ingest_runs")
 SCHEMAS = {
-    "texts": "content_hash string, text string, bucket int", "postings": "term string, content_hash string, dl int, tf int, positions array<int>",
+    "texts": "content_hash string, text string", "postings": "term string, content_hash string, dl int, tf int, positions array<int>",
     "vectors": "content_hash string, model string, embedding array<float>",
 }
+PLACES = ("content_hash string, chunk_id long, path string, project string, source_type string, kind string, doc_date string, title string, "
+    "ord int, branch string")
 #: Segments of a table at most, and dead chunks for each live one, beyond which segments are merged.
 MOST_SEGMENTS, MOST_DEAD = 8, 0.5
 
 
 class Store:
-    """A corpus below one folder, in any file system that Spark writes to; ``buckets`` is fixed by its first snapshot."""
+    """A corpus below one folder, in any file system that Spark writes to; ``file_rows`` bounds the files of keyed tables."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 8) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, file_rows: int = keyed.FILE_ROWS) -> None:
+        self.spark, self.root, self.file_rows = spark, root.rstrip("/"), file_rows
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -115,15 +118,22 @@ class Store:
         number = last.number + 1 if last else 0
         segments = {n: [] if anew or not last else list(last.meta["segments"][n]) for n in SCHEMAS}
         for name, df in tables.items():
+            # one document's occurrences are in few files
+            df = df.repartitionByRange("path").sortWithinPartitions("path", "ord") if name == "occurrences" else df
             df.write.mode("overwrite").parquet(f"{self.root}/{number}/{name}")
         for name, df in added.items():
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy("bucket") if name == "texts" else writer).parquet(f"{self.root}/{number}/{name}")
+            if name == "texts":
+                keyed.write(df.select("content_hash", "text"), f"{self.root}/{number}/{name}", "content_hash", self.file_rows)
+            elif name == "vectors":
+                clusters.write(df.select("content_hash", "model", "embedding"), f"{self.root}/{number}/{name}", "content_hash", self.file_rows)
+            else:
+                df.write.mode("overwrite").parquet(f"{self.root}/{number}/{name}")
             segments[name].append(f"{number}/{name}")
+        keyed.write(self._places(number), f"{self.root}/{number}/places", "content_hash", self.file_rows)
         owners = self.spark.read.parquet(f"{self.root}/{number}/owners").agg(F.count("*"), F.avg("dl")).first()
         dead = self.spark.read.parquet(f"{self.root}/{number}/dead").count()
         models = [r[0] for r in self.spark.read.schema(SCHEMAS["vectors"]).parquet(*(f"{self.root}/{s}" for s in segments["vectors"])).select("model").distinct().collect()]
-        facts = {"segments": segments, "buckets": last.meta["buckets"] if last else self.buckets, "total": owners[0], "mean_dl": owners[1] or 0.0,
+        facts = {"segments": segments, "total": owners[0], "mean_dl": owners[1] or 0.0,
             "dead": dead, "models": models}
         manifest = (last.meta if last else {}) | {"schema_version": str(model.SCHEMA_VERSION)} | facts | meta
         self._write(f"{self.root}/{number}/manifest.json", json.dumps(manifest))
@@ -131,6 +141,13 @@ class Store:
         snapshot = Snapshot(self, number, manifest)
         return snapshot.merged() if snapshot.is_scattered() else snapshot
 
+    def _places(self, number: int) -> DataFrame:
+        """Occurrences with what a filter or a result says of their documents."""
+        read = lambda name, *columns: self.spark.read.parquet(f"{self.root}/{number}/{name}").select(*columns)
+        d = read("documents", "path", "project", "source_type", "doc_date", "title", F.coalesce("branch", F.lit(model.CANONICAL)).alias("branch"))
+        held = read("occurrences", "path", "ord", "content_hash", "kind").join(d, "path").withColumn("chunk_id", F.xxhash64("path", "ord"))
+        return held.select(*(f.split()[0] for f in PLACES.split(", ")))
+
 
 @dataclass
 class Snapshot:
@@ -153,7 +170,7 @@ class Snapshot:
     def table(self, name: str) -> DataFrame:
         """A table by name; chunks are owners with their texts."""
         if name == "chunks":
-            return self.table("owners").join(self.segments("texts").drop("bucket"), "content_hash").select("content_hash", "path", "ord", "kind",
+            return self.table("owners").join(self.segments("texts"), "content_hash").select("content_hash", "path", "ord", "kind",
                 "text")
         return self.live(name) if name in SCHEMAS else self.store.spark.read.parquet(self.path(name))
 
@@ -167,24 +184,24 @@ class Snapshot:
             "content_hash").sortWithinPartitions("term")}
         return self.store.publish(same, rows, {}, anew=True)
 
-    def search_rows(self) -> DataFrame:
-        """Occurrences with the attributes of the documents that hold them and their text."""
-        return self.places().join(self.segments("texts").drop("bucket"), "content_hash")
+    def texts(self, alias: str | None = None) -> keyed.Keyed:
+        """Texts by hash; those of dead chunks are among them."""
+        return keyed.Keyed(self.store.spark, [f"{self.store.root}/{s}" for s in self.meta["segments"]["texts"]], SCHEMAS["texts"], "content_hash", alias)
 
-    def places(self) -> DataFrame:
-        d = self.table("documents").select("path", "project", "source_type", "doc_date", "title", "branch")
-        o = self.table("occurrences").select("path", "ord", "content_hash", "kind")
-        return o.join(d, "path").withColumn("chunk_id", F.xxhash64("path", "ord"))
+    def chunks_of(self, path: str) -> DataFrame:
+        """(path, ord, text) of one document, from the files that hold its chunks."""
+        own = self.table("occurrences").where(F.col("path") == path).select("path", "ord", "content_hash").collect()  # of one document
+        held = F.broadcast(self.store.spark.createDataFrame(own, "path string, ord int, content_hash string"))
+        return self.texts().rows([r["content_hash"] for r in own]).join(held, "content_hash").select("path", "ord", "text")
 
     @cached_property
     def index(self) -> indexed.Index:
         """What a search reads."""
-        unit = F.col("content_hash").alias("unit")
-        rows = self.places().withColumn("branch", F.coalesce("branch", F.lit(model.CANONICAL)))
-        rows = rows.select(unit, "chunk_id", "path", "project", "source_type", "kind", "doc_date", "title", "ord", "branch")
+        places = keyed.Keyed(self.store.spark, [self.path("places")], PLACES, "content_hash", "unit")
         return indexed.Index(
-            rows, self.live("postings").withColumnRenamed("content_hash", "unit"), self.segments("texts").withColumnRenamed("content_hash", "unit"),
-            self.meta["total"], self.meta["mean_dl"], self.meta["buckets"],
+            places, self.live("postings").withColumnRenamed("content_hash", "unit"), self.texts("unit"), self.meta["total"], self.meta["mean_dl"],
             self.live("vectors").withColumnRenamed("content_hash", "unit") if self.meta["models"] else None, tuple(self.meta["models"]),
-            self.table("occurrences").select(unit, "kind"),
+            self.table("occurrences").select(F.col("content_hash").alias("unit"), "kind"),
+            clusters.Clustered(self.store.spark, [f"{self.store.root}/{s}" for s in self.meta["segments"]["vectors"]], SCHEMAS["vectors"], "content_hash"),
+            self.table("dead").select(F.col("content_hash").alias("unit")) if self.meta["dead"] else None,
         )

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.batching import slices, small_batches
+
+#: Names of one automaton.
+BLOCK_NAMES = 100_000
 # A decision's identifier is a date and a series of letters or digits.
 DECISION_ID = r"D-\d{4}-\d{2}-\d{2}-[A-Za-z0-9]+"
 DECISION = rf"^##\s+({DECISION_ID})\s*(?:[—–-]+\s*)?(.*?)\s*(?:\[([^\]]+)\])?\s*$"
@@ -138,18 +145,55 @@ def classify_drops(listing: DataFrame) -> DataFrame:
         "no rule fits").otherwise(F.concat(F.lit("looks like "), kind)).alias("reason"))
 
 
-def name_scan(rows: DataFrame, names: DataFrame) -> DataFrame:
+def name_scan(rows: DataFrame, names: DataFrame, block_names: int = BLOCK_NAMES) -> DataFrame:
     """(name, path, n, line): protected names in lines, bounded by what is no letter or digit; ``_``, ``-`` and
     blanks stand for each other.
 
-    Lines are cut into words once; a name joins on its first word, which few lines hold, and is then checked whole.
+    All names of a block are one automaton, which goes over every line once, in batches; only lines with a name leave a task.
     """
+    spark = rows.sparkSession
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    wanted = names.select("name", plain(F.col("name")).alias("plain")).where("plain <> ''").withColumn("first", F.substring_index("plain", " ", 1))
-    held = rows.withColumn("_plain", F.concat(F.lit(" "), plain(F.col("line")), F.lit(" ")))
-    words = held.withColumn("first", F.explode(F.array_distinct(F.split(F.trim("_plain"), " "))))
-    return words.join(wanted, "first").where(F.col("_plain").contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")))).select("name", "path", "n",
-        "line").distinct()
+    wanted = names.select("name", plain(F.col("name")).alias("plain")).where("plain <> ''").distinct()
+    held = rows.select("path", "n", "line", F.concat(F.lit(" "), plain(F.col("line")), F.lit(" ")).alias("plain"))
+    small_batches(spark)
+    schema = "name string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema if f.name != "plain")
+    out = spark.createDataFrame([], schema)
+    blocks = 1 + wanted.count() // block_names
+    for i in range(blocks):
+        some = wanted.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i).collect()  # block_names of them, or so
+        if some:
+            out = out.unionByName(held.mapInArrow(_finder(spark.sparkContext.broadcast(automaton([(r["plain"], r["name"]) for r in some]))), schema))
+    return out.distinct()
+
+
+def automaton(named: list[tuple[str, str]]):
+    """An automaton of plain names with a blank on each side; names of one plain form are found together."""
+    import ahocorasick
+
+    by: dict[str, list[str]] = {}
+    for plain, name in named:
+        by.setdefault(plain, []).append(name)
+    made = ahocorasick.Automaton()
+    for plain, held in by.items():
+        made.add_word(f" {plain} ", held)
+    made.make_automaton()
+    return made
+
+
+def _finder(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = shared.value.iter
+        for b in slices(batches):
+            at, found = [], []
+            for i, line in enumerate(b.column("plain").to_pylist()):
+                for name in {n for _, held in search(line) for n in held} if line else ():
+                    at.append(i)
+                    found.append(name)
+            if at:
+                part = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(found), *(part.column(c) for c in ("path", "n", "line"))], ["name", "path", "n", "line"])
+
+    return run
 
 
 def protected_names(candidates: DataFrame, allowed: DataFrame, generic: tuple[str, ...] = (), least: int = 5) -> DataFrame:

@@ -1,15 +1,19 @@
-"""``python -m corpusloom.surfaces.cli``: index, search, read, report, project and serve over a store."""
+"""``python -m corpusloom.surfaces.cli``: index, search, read, project, dashboard, report, repair and serve over a store.
+
+Where curated notes are named, the tables of their index note say which names are one project's.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from datetime import UTC, datetime
 
 from corpusloom.plans import gather, ingest, report
 from corpusloom.plans.snapshot import Store
 from corpusloom.session import session
-from corpusloom.sources import files
+from corpusloom.sources import files, notes
 from corpusloom.surfaces.service import Service
 
 
@@ -36,8 +40,14 @@ def parser() -> argparse.ArgumentParser:
     read.add_argument("--context", type=int, default=2)
     todo.add_parser("report", help="coverage and health; the exit code is 1 if something is wrong")
     todo.add_parser("repair", help="drop what nothing holds, have damaged documents parsed again")
+    project = todo.add_parser("project", help="a project's page from curated notes, as JSON")
+    project.add_argument("name")
+    dashboard = todo.add_parser("dashboard", help="projects, log, decisions, questions and backlog, as JSON")
+    dashboard.add_argument("--as-of", help="the day that ages count to; today if none is given")
     serve = todo.add_parser("serve", help="answer GET requests on this machine")
     serve.add_argument("--port", type=int, default=8765)
+    for command in (search, project, dashboard, serve):
+        command.add_argument("--curated", required=command in (project, dashboard), help="folder of curated notes")
     return out
 
 
@@ -60,7 +70,10 @@ def main(argv: list[str] | None = None, embed: ingest.Embedder | None = ingest.s
         print("no index", file=sys.stderr)
         return 1
     known = embed if model_name in snapshot.meta["models"] else None
-    service = Service(snapshot, known, model_name)
+    notes_of = getattr(asked, "curated", None)
+    curated = files.read_tree(store.spark, notes_of, "curated", files.Config()) if notes_of else None
+    names = None if curated is None else notes.alias_table(curated.where("lower(substring_index(path, '/', -1)) = 'index.md'"))
+    service = Service(snapshot, known, model_name, names)
     if asked.command == "search":
         options = {"project": asked.project, "source_type": asked.source_type, "kind": asked.kind, "after": asked.after, "before": asked.before,
             "exact": asked.exact}
@@ -73,10 +86,15 @@ def main(argv: list[str] | None = None, embed: ingest.Embedder | None = ingest.s
     if asked.command == "repair":
         ingest.repaired(store)
         return 0
+    if asked.command in ("project", "dashboard"):
+        day = datetime.now(UTC).date().isoformat()
+        found = service.project(asked.name, curated) if asked.command == "project" else service.dashboard(curated, asked.as_of or day)
+        print(json.dumps(found, ensure_ascii=False, indent=1, default=str))
+        return int("error" in found)
     if asked.command == "serve":
         from corpusloom.surfaces.web import serve
 
-        serve(service, asked.port)
+        serve(service, asked.port, curated)
         return 0
     page, code = report.text_report(snapshot)
     print(page)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -31,6 +32,8 @@ def answer(service: Service, target: str, curated: DataFrame | None = None) -> t
             return (404 if "error" in found else 200), found
         if route == "/api/health":
             return 200, service.health()
+        if route == "/api/dashboard" and curated is not None:
+            return 200, service.dashboard(curated, asked.get("as_of") or datetime.now(UTC).date().isoformat())
         if route.startswith("/api/project/") and curated is not None:
             name = route.removeprefix("/api/project/")
             if not name or "/" in name or "\\" in name or ".." in name:

@@ -81,10 +81,10 @@ def test_service_and_web(spark, tmp_path, sources):
     rows = service.search("zebra", project="OLD-alpha", source_type="repo-doc", limit=99)
     assert [r["title"] for r in rows][:1] == ["Alpha design"] and all(r["project"] == "alpha" and round(r["score"], 5) == r["score"] for r in rows)
     said = service.search_text("zebra")
-    assert "context to be checked" in said and "1. " in said and "matched_by=fts" in said
-    assert "Refusing" in Service(snap, ingest.sign_embedder, "other-model").search_text("zebra")
+    assert "context to be checked" in said and "[1] " in said and "found by fts" in said
+    assert "can't answer" in Service(snap, ingest.sign_embedder, "other-model").search_text("zebra")
     lonely = Service(snap).search_text("nothingatall")
-    assert lonely.startswith("No results") and "lexical results only" in lonely
+    assert lonely.startswith("Nothing found") and "words alone" in lonely
     d = service.read("alpha/docs/a.md")
     assert d["title"] == "Alpha design" and "zebra kind" in d["text"] and service.read("alpha/docs/a.md", 0, 99)["chunk_count"] == 1
     talk = service.read("#session=S1")
@@ -136,8 +136,8 @@ def test_repair_and_attribution(spark, tmp_path):
     first = ingest.run(store, docs, docs.select("source_type"), ingest.sign_embedder)
     where = f"{tmp_path}/store/0/texts"
     kept = spark.createDataFrame([tuple(r) for r in spark.read.parquet(where).where("text like 'beta%'").collect()],
-        "content_hash string, text string, bucket int")
-    kept.write.mode("overwrite").partitionBy("bucket").parquet(where)
+        "content_hash string, text string")
+    kept.write.mode("overwrite").parquet(where)
     assert report.health(first).first().dangling_occurrences == 1
     mended = ingest.repaired(store)
     row = report.health(mended).first()
@@ -161,5 +161,13 @@ def test_command_line(spark, tmp_path, sources, capsys):
     assert cli.main([store, "search", "zebra", "--json", "--limit", "2"]) == 0
     assert len(json.loads(capsys.readouterr().out)) == 2
     assert cli.main([store, "read", "docs/a.md"]) == 0 and "zebra kind" in capsys.readouterr().out
+    put(tmp_path / "kb/INDEX.md", "## Projects\n| name | x | y | z | aliases |\n|--|--|--|--|--|\n| alpha | a | b | c | old-alpha |\n")
+    assert cli.main([store, "project", "old-alpha", "--curated", sources.curated]) == 0
+    assert json.loads(capsys.readouterr().out)["name"] == "alpha"
+    assert cli.main([store, "project", "nobody", "--curated", sources.curated]) == 1
+    capsys.readouterr()
+    assert cli.main([store, "dashboard", "--curated", sources.curated, "--as-of", "2026-06-01"]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert [d["id"] for d in shown["decisions"]] == ["D-2026-04-10-B01"] and [p["project"] for p in shown["projects"]] == ["alpha"]
     assert cli.main([store, "report"]) == 0 and "HEALTHY" in capsys.readouterr().out
     assert cli.main([store, "repair"]) == 0
