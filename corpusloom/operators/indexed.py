@@ -4,7 +4,8 @@ Postings, vectors and texts are of units, which are distinct texts; ``rows`` hol
 unit stands.  A query reads the postings of its own terms, the attributes its filter needs, the vectors of its
 leg, and the texts of the few candidates that are left; no text is cut into tokens.
 
-Postings are written sorted by term, so a term prunes row groups.  Texts and attributes are sorted by unit, with a list of
+Postings lie in ranges of units, sorted by term within a range, with bounds of what a term can add to a score there (see
+``ranges``).  Texts and attributes are sorted by unit, with a list of
 each file's keys (see ``keyed``); the candidates, which the legs' limits bound, are known before these are read and
 name the files to open.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusloom import model
 from corpusloom.batching import slices, small_batches
 from corpusloom.functions import querytext, scoring, text
-from corpusloom.operators import clusters, keyed, lexical, search
+from corpusloom.operators import clusters, keyed, lexical, ranges, search
 from corpusloom.operators.filters import Filters
 from corpusloom.workdir import materialize
 
@@ -45,6 +46,8 @@ class Index:
     #: the same vectors by clusters, from which the nearest are found without reading all; (unit) of those that don't count any more
     clusters: clusters.Clustered | None = None
     dead: DataFrame | None = None
+    #: the same postings in ranges of units with bounds, from which the best are found without reading or moving all
+    ranges: ranges.Ranged | None = None
 
     def checked(self, name: str | None) -> DataFrame | None:
         """Vectors of one model; a query of another model is refused."""
@@ -56,12 +59,9 @@ class Index:
 
 
 def postings(units: DataFrame, unit: str = "unit") -> DataFrame:
-    """(term, unit, dl, tf, positions) of (unit, text), sorted by term over all partitions.
-
-    They are written once before they are sorted: the sort looks for its bounds in passes of their own, which would
-    cut all texts into tokens again.
-    """
-    return materialize(grouped(units, unit), "grouped").repartitionByRange("term", "unit").sortWithinPartitions("term")
+    """(term, unit, dl, tf, positions) of (unit, text), written once: dealing them to ranges looks for its bounds in a
+    pass of its own, which would cut all texts into tokens again."""
+    return materialize(grouped(units, unit), "grouped")
 
 
 def grouped(units: DataFrame, unit: str = "unit") -> DataFrame:
@@ -134,7 +134,11 @@ def allowed(index: Index, filters: Filters) -> DataFrame | None:
 
 
 def lexical_leg(index: Index, query: str, limit: int, filters: Filters = Filters()) -> DataFrame:  # noqa: B008  immutable
-    return lexical.ranked(scores(index, querytext.phrases(query), allowed(index, filters)), limit, "unit")
+    phrases, among = querytext.phrases(query), allowed(index, filters)
+    if index.ranges is not None:
+        narrowed = None if among is None else lambda hits: hits.join(among, "unit", "left_semi")
+        return index.ranges.best(phrases, limit, index.total, index.mean_dl, narrowed, index.dead)
+    return lexical.ranked(scores(index, phrases, among), limit, "unit")
 
 
 def vector_leg(index: Index, vector: list[float], limit: int, filters: Filters, scoped: bool, name: str | None = None) -> DataFrame:

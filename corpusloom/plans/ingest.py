@@ -122,7 +122,7 @@ def run(
     unit = pieces.join(held, "content_hash", "left_anti").groupBy("content_hash").agg(F.min_by(F.struct("kind", "text"),
         F.struct("path", "ord")).alias("c"))
     added = materialize(unit.select("content_hash", "c.kind", "c.text"), "chunks")
-    posted = materialize(indexed.postings(added.select("content_hash", "text"), "content_hash").withColumnRenamed("unit", "content_hash"), "postings")
+    posted = indexed.postings(added.select("content_hash", "text"), "content_hash").withColumnRenamed("unit", "content_hash")
     owners = materialize(owned(occurrences, before, buried if last is None else last.segments("postings").join(buried, "content_hash", "left_semi"),
         posted, added), "owners")
     dead = materialize(held.distinct().join(owners, "content_hash", "left_anti"), "dead")
@@ -171,7 +171,7 @@ def repaired(store: Store) -> Snapshot:
     rows = {n: materialize(last.segments(n).join(owners.select("content_hash"), "content_hash", "left_semi").select(last.segments(n).columns),
         n) for n in ("texts", "vectors")}
     posted = last.segments("postings").join(owners.select("content_hash"), "content_hash", "left_semi").select("term", "content_hash", "dl", "tf", "positions")
-    return store.publish(tables, rows | {"postings": posted.repartitionByRange("term", "content_hash").sortWithinPartitions("term")}, {}, anew=True)
+    return store.publish(tables, rows | {"postings": posted}, {}, anew=True)
 
 
 def reattributed(store: Store, roots: list[str]) -> Snapshot:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import model
-from corpusloom.operators import clusters, indexed, keyed
+from corpusloom.operators import clusters, indexed, keyed, ranges
 
 #: Tables of a folder, and the schemas of those that lie in segments.
 TABLES = ("documents", "occurrences", "owners", "dead", "ingest_runs")
@@ -127,7 +127,7 @@ class Store:
             elif name == "vectors":
                 clusters.write(df.select("content_hash", "model", "embedding"), f"{self.root}/{number}/{name}", "content_hash", self.file_rows)
             else:
-                df.write.mode("overwrite").parquet(f"{self.root}/{number}/{name}")
+                ranges.write(df.select("term", "content_hash", "dl", "tf", "positions"), f"{self.root}/{number}/{name}", "content_hash")
             segments[name].append(f"{number}/{name}")
         keyed.write(self._places(number), f"{self.root}/{number}/places", "content_hash", self.file_rows)
         owners = self.spark.read.parquet(f"{self.root}/{number}/owners").agg(F.count("*"), F.avg("dl")).first()
@@ -180,9 +180,7 @@ class Snapshot:
     def merged(self) -> Snapshot:
         """The next snapshot, with the same rows in one segment each and no dead ones."""
         same = {n: self.table(n) for n in TABLES if n != "dead"} | {"dead": self.table("dead").where("false")}
-        rows = {n: self.live(n) for n in SCHEMAS} | {"postings": self.live("postings").repartitionByRange("term",
-            "content_hash").sortWithinPartitions("term")}
-        return self.store.publish(same, rows, {}, anew=True)
+        return self.store.publish(same, {n: self.live(n) for n in SCHEMAS}, {}, anew=True)
 
     def texts(self, alias: str | None = None) -> keyed.Keyed:
         """Texts by hash; those of dead chunks are among them."""
@@ -204,4 +202,5 @@ class Snapshot:
             self.table("occurrences").select(F.col("content_hash").alias("unit"), "kind"),
             clusters.Clustered(self.store.spark, [f"{self.store.root}/{s}" for s in self.meta["segments"]["vectors"]], SCHEMAS["vectors"], "content_hash"),
             self.table("dead").select(F.col("content_hash").alias("unit")) if self.meta["dead"] else None,
+            ranges.Ranged(self.store.spark, [f"{self.store.root}/{s}" for s in self.meta["segments"]["postings"]], SCHEMAS["postings"], "content_hash"),
         )
