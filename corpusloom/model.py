@@ -32,7 +32,7 @@ BOOSTS = {CURATED: 3.0, TOOL_MEMORY: 2.4, USER_MEMORY: 2.4, PROJECT_BRIEF: 2.0,
 BOOST_REPO_TOP, BOOST_REPO_DEEP = 2.0, 0.7
 BOOST_PROSE, BOOST_TOOL_EVENT, BOOST_ABANDONED = 1.0, 0.5, 0.3
 
-PIPELINE_VERSION, SCHEMA_VERSION = 1, 1
+PIPELINE_VERSION, SCHEMA_VERSION = 1, 2
 
 DOCUMENTS = "path string, source_type string, project string, root string, doc_date string, mtime double, size long, content_hash string, title string, extra string"
 CHUNKS = "path string, ord int, kind string, text string, content_hash string"
