@@ -7,7 +7,6 @@ TARGET_CHARS, OVERLAP_CHARS = 3200, 480
 MIN_CHUNK_CHARS, MERGED_CHARS = 400, 4000
 RRF_K = 60
 POOL_GLOBAL, POOL_BROAD, POOL_PROJECT = 50, 1600, 50
-EXACT_SCAN_CHUNKS = 3000
 L2_SURE, L2_HOPELESS = 0.80, 0.95
 LEAST_CONFIDENCE, COVERED, ABSENT_MEDIAN = 0.15, 0.80, 0.60
 BM25_K1, BM25_B, LEAST_IDF = 1.2, 0.75, 1e-6

@@ -49,9 +49,10 @@ def shifted(positions: str, by: int) -> Column:
 
 
 def ranked(scores: DataFrame, limit: int, key: str = "chunk_id", order: str = "score", descending: bool = True, digits: int = 6) -> DataFrame:
-    """The first ``limit`` rows with their rank from 0; ties by key, values compared at ``digits``."""
+    """The first ``limit`` rows with their rank from 0; ties by key, values compared at ``digits``, nulls last."""
     value = F.round(order, digits)
-    best = scores.orderBy(value.desc() if descending else value.asc(), F.col(key).asc()).limit(limit)
+    first = value.desc_nulls_last() if descending else value.asc_nulls_last()
+    best = scores.orderBy(first, F.col(key).asc()).limit(limit)
     # at most ``limit`` rows are numbered
-    w = Window.orderBy(value.desc() if descending else value.asc(), F.col(key).asc())
+    w = Window.orderBy(first, F.col(key).asc())
     return best.withColumn("rank0", F.row_number().over(w) - 1)

@@ -33,20 +33,11 @@ class Policy:
 
 
 def exact_policy(filters: Filters) -> Policy:
-    """Both legs always scoped; pools by what is filtered."""
+    """Both legs always scoped, however many chunks pass; pools by what is filtered."""
     pool = model.POOL_BROAD if filters.active() and filters.projects is None else model.POOL_PROJECT
     return Policy(pool, model.POOL_GLOBAL, True, not filters.skips_vectors())
 
 
-def parity_policy(filters: Filters, eligible: int) -> Policy:
-    """The vector leg is scoped only where few chunks are eligible, else it takes a large global pool."""
-    if not filters.active():
-        return Policy(model.POOL_GLOBAL, model.POOL_GLOBAL, False)
-    pool = model.POOL_PROJECT if filters.projects is not None else model.POOL_BROAD
-    few = eligible <= model.EXACT_SCAN_CHUNKS
-    return Policy(pool, model.POOL_GLOBAL if few else model.POOL_BROAD, few, not filters.skips_vectors())
-
-
 def eligible_count(chunks: DataFrame, filters: Filters) -> DataFrame:
     return chunks.where(filters.predicate()).agg(F.count("*").alias("eligible"))
 
